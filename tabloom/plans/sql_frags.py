@@ -84,3 +84,24 @@ def fuse_ctes(p: str, dense: str, sparse: str, k: int, lmbd: float, similarity:
 {p}_top AS (SELECT query_id, grp, source, page, score,
                    row_number() OVER (PARTITION BY query_id, grp ORDER BY round(score, 9) DESC, first_pos) AS rank
             FROM {p}_g QUALIFY rank <= {k})"""
+
+
+TABLE_INDEX = """ti AS (
+  SELECT d.source, o.o_orderkey // 15 AS page, (o.o_orderkey % 15)::INTEGER AS table_no, o.o_orderkey
+  FROM orders o JOIN documents d ON d.doc_id = o.o_orderkey // 15)"""
+
+CELLS = TABLE_INDEX + """,
+li AS (SELECT ti.source, ti.page, ti.table_no,
+              (row_number() OVER (PARTITION BY l.l_orderkey ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey,
+                  l.l_quantity, l.l_extendedprice, l.l_discount, l.l_tax, l.l_returnflag, l.l_linestatus,
+                  l.l_shipdate) - 1)::INTEGER AS row_idx, l.*
+       FROM lineitem l JOIN ti ON ti.o_orderkey = l.l_orderkey),
+cells AS (
+  SELECT source, page, table_no, row_idx, 0 AS col_idx, 'item' AS header, 'part ' || l_partkey::VARCHAR AS cell FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 1, 'flag', l_returnflag FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 2, 'value', l_quantity::BIGINT::VARCHAR FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 3, 'value', format('{:,.2f}', l_extendedprice) FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 4, 'discount', round(l_discount * 100)::INTEGER::VARCHAR || '%' FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 5, 'tax', replace(printf('%.2f', l_tax), '.', ',') FROM li WHERE l_tax > 0
+  UNION ALL SELECT source, page, table_no, row_idx, 6, ' ', year(l_shipdate)::VARCHAR FROM li
+  UNION ALL SELECT source, page, table_no, row_idx, 7, NULL, '** R' FROM li WHERE l_returnflag = 'R')"""

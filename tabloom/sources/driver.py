@@ -19,7 +19,7 @@ Fixed mapping (also documented in README):
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import chunk_id, company_from_source, title_from_source
@@ -91,3 +91,46 @@ def table_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.floor(F.col("o_orderkey") / TABLES_PER_PAGE).cast("long").alias("page"),
                  (F.col("o_orderkey") % TABLES_PER_PAGE).cast("int").alias("table_no"))
     return t.join(d, "page").select("source", "page", "table_no", "o_orderkey")
+
+
+# Header labels of the lineitem tables: a repeated label and a blank one are
+# part of the mapping so header repair has work to do.
+CELL_HEADERS = ("item", "flag", "value", "value", "discount", "tax", " ")
+NOTE_CELL = "** R"
+
+
+def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long cells of the lineitem tables (one table per order).
+
+    Columns: item label, return flag, quantity, price with thousands commas,
+    discount in percent, tax with a decimal comma (absent when 0, so rows are
+    ragged), ship year, and an extra header-less note cell on returned lines.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    ti = table_index(spark, sf_dir)
+    r = li.join(ti, li.l_orderkey == ti.o_orderkey)
+    h = CELL_HEADERS
+
+    def e(i, header, cell):
+        return F.struct(F.lit(i).alias("col_idx"), F.lit(header).cast("string").alias("header"),
+                        cell.cast("string").alias("cell"))
+
+    entries = F.array(
+        e(0, h[0], F.concat(F.lit("part "), F.col("l_partkey").cast("string"))),
+        e(1, h[1], F.col("l_returnflag")),
+        e(2, h[2], F.col("l_quantity").cast("long").cast("string")),
+        e(3, h[3], F.format_number("l_extendedprice", 2)),
+        e(4, h[4], F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))),
+        F.when(F.col("l_tax") > 0, e(5, h[5], F.replace(F.format_string("%.2f", "l_tax"), F.lit("."), F.lit(",")))),
+        e(6, h[6], F.year("l_shipdate").cast("string")),
+        F.when(F.col("l_returnflag") == "R", e(7, None, F.lit(NOTE_CELL))),
+    )
+    # Line numbers repeat inside an order, so rows are numbered by a full sort
+    # of the line's values (ties are lines with identical cells).
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_returnflag", "l_linestatus", "l_shipdate")
+    r = r.withColumn("row_idx", F.row_number().over(order) - 1)
+    x = r.select("source", "page", "table_no", "row_idx",
+                 F.explode(F.filter(entries, lambda s: s.isNotNull())).alias("_e"))
+    return x.select("source", "page", "table_no", "row_idx", "_e.col_idx", "_e.header", "_e.cell")
