@@ -87,14 +87,14 @@ SQL_DENSE_SOURCE = _sql(S.CHUNKS, S.Q_VEC, S.VECS, _SOURCE_VECS, S.dense_ctes("d
                         final=_SELECT.format("dn"))
 SQL_DENSE_SECTORS = _sql(S.CHUNKS, S.Q_VEC, S.VECS, _SECTOR_VECS,
                          S.dense_ctes("dn", DEFAULT_K, similarity=True), final=_SELECT.format("dn"))
-SQL_HYBRID_SOURCE = _sql(S.CHUNKS, S.Q_TEXT, S.Q_VEC, S.VECS, _SOURCE_DOCS, _SOURCE_VECS,
-                         S.sparse_ctes("sp", DEFAULT_K), S.dense_ctes("dn", DEFAULT_K),
-                         S.fuse_ctes("hy", "dn", "sp", DEFAULT_K, DEFAULT_LAMBDA),
-                         final=_SELECT.format("hy"))
-SQL_HYBRID_SECTORS = _sql(S.CHUNKS, S.Q_TEXT, S.Q_VEC, S.VECS, _SECTOR_DOCS, _SECTOR_VECS,
-                          S.sparse_ctes("sp", DEFAULT_K), S.dense_ctes("dn", DEFAULT_K, similarity=True),
-                          S.fuse_ctes("hy", "dn", "sp", DEFAULT_K, DEFAULT_LAMBDA, similarity=True),
-                          final=_SELECT.format("hy"))
+HYBRID_SOURCE_CTES = ",\n".join([S.CHUNKS, S.Q_TEXT, S.Q_VEC, S.VECS, _SOURCE_DOCS, _SOURCE_VECS,
+                                  S.sparse_ctes("sp", DEFAULT_K), S.dense_ctes("dn", DEFAULT_K),
+                                  S.fuse_ctes("hy", "dn", "sp", DEFAULT_K, DEFAULT_LAMBDA)])
+SQL_HYBRID_SOURCE = "WITH " + HYBRID_SOURCE_CTES + "\n" + _SELECT.format("hy")
+HYBRID_SECTORS_CTES = ",\n".join([S.CHUNKS, S.Q_TEXT, S.Q_VEC, S.VECS, _SECTOR_DOCS, _SECTOR_VECS,
+                                   S.sparse_ctes("sp", DEFAULT_K), S.dense_ctes("dn", DEFAULT_K, similarity=True),
+                                   S.fuse_ctes("hy", "dn", "sp", DEFAULT_K, DEFAULT_LAMBDA, similarity=True)])
+SQL_HYBRID_SECTORS = "WITH " + HYBRID_SECTORS_CTES + "\n" + _SELECT.format("hy")
 
 
 @register("sparse_topk_by_source", SQL_SPARSE_SOURCE)
