@@ -134,3 +134,17 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = r.select("source", "page", "table_no", "row_idx",
                  F.explode(F.filter(entries, lambda s: s.isNotNull())).alias("_e"))
     return x.select("source", "page", "table_no", "row_idx", "_e.col_idx", "_e.header", "_e.cell")
+
+
+def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(company, metric, year, region, value): revenue per nation, return flag and ship year.
+
+    Sums run on decimal(18,2) so they are exact, then become double.
+    """
+    li = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_shipdate", "l_extendedprice")
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    j = li.join(s, li.l_suppkey == s.s_suppkey).join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    return j.groupBy(F.col("n_name").alias("company"), F.col("l_returnflag").alias("metric"),
+                     F.year("l_shipdate").alias("year"), F.col("n_regionkey").alias("region")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
