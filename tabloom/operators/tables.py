@@ -85,7 +85,7 @@ def repair_table(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True)
     grid = rows.join(widths, kk).select(
         *kk, "row_idx", "_m", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
     out = grid.select(*kk, "row_idx", "col_idx",
-                      F.coalesce(F.element_at("_m", F.col("col_idx")), F.lit(MISSING_CELL)).alias("cell"))
+                      F.coalesce(F.try_element_at("_m", F.col("col_idx")), F.lit(MISSING_CELL)).alias("cell"))
     return out.join(headers, [*kk, "col_idx"], "left").select(*kk, "row_idx", "col_idx", "header", "cell")
 
 

@@ -214,7 +214,7 @@ elements AS (SELECT page_id, elem_idx::INTEGER AS elem_idx,
                       AS category, {_STRIP.format(x="h")} AS text FROM el)"""
 
 
-def _elements(spark, sf_dir):
+def elements(spark, sf_dir):
     p = driver.table(spark, sf_dir, "pages").select(F.lit("web").alias("source"),
                                                     F.col("page_id").alias("page"), "html")
     return L.html_elements(p)
@@ -224,17 +224,20 @@ def _elements(spark, sf_dir):
 SELECT page_id, elem_idx, (row_number() OVER (PARTITION BY page_id ORDER BY elem_idx) - 1)::INTEGER AS table_no
 FROM elements WHERE category = 'Table'""")
 def q_number_tables(spark, sf_dir):
-    return L.number_tables(_elements(spark, sf_dir)).select(
+    return L.number_tables(elements(spark, sf_dir)).select(
         F.col("page").alias("page_id"), "elem_idx", "table_no")
 
 
-@register("page_placeholders", "WITH " + SQL_ELEMENTS + """,
+PLACEHOLDER_CTES = SQL_ELEMENTS + """,
 parts AS (SELECT page_id, elem_idx,
                  CASE WHEN category = 'Table'
                       THEN '[TABLEPLACEHOLDER ' || (sum(CASE WHEN category = 'Table' THEN 1 ELSE 0 END)
                            OVER (PARTITION BY page_id ORDER BY elem_idx) - 1)::VARCHAR || ']'
-                      ELSE text END AS part FROM elements)
-SELECT page_id, string_agg(part, chr(10) ORDER BY elem_idx) AS text FROM parts
-WHERE part IS NOT NULL AND length(trim(part)) > 0 GROUP BY page_id""")
+                      ELSE text END AS part FROM elements),
+ph AS (SELECT page_id, string_agg(part, chr(10) ORDER BY elem_idx) AS text FROM parts
+       WHERE part IS NOT NULL AND length(trim(part)) > 0 GROUP BY page_id)"""
+
+
+@register("page_placeholders", "WITH " + PLACEHOLDER_CTES + " SELECT * FROM ph")
 def q_page_placeholders(spark, sf_dir):
-    return L.page_text_with_placeholders(_elements(spark, sf_dir)).select(F.col("page").alias("page_id"), "text")
+    return L.page_text_with_placeholders(elements(spark, sf_dir)).select(F.col("page").alias("page_id"), "text")

@@ -199,16 +199,21 @@ _STRIP = r"""trim(replace(replace(replace(replace(replace(replace(
     '&#39;', ''''), '&amp;', '&'))"""
 
 
-@register("html_list_cells", r"""
-WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<ul\b[^>]*>(.*?)</ul>', 1)) AS tbl,
-                  unnest(range(0, len(regexp_extract_all(html, '(?s)<ul\b[^>]*>(.*?)</ul>', 1)))) AS table_no
-           FROM pages),
-r AS (SELECT page_id, table_no, unnest(regexp_extract_all(tbl, '(?s)<li\b[^>]*>(.*?)</li>', 1)) AS rw,
-             unnest(range(0, len(regexp_extract_all(tbl, '(?s)<li\b[^>]*>(.*?)</li>', 1)))) AS row_idx FROM t),
-c AS (SELECT page_id, table_no, row_idx, unnest(regexp_extract_all(rw, '(?s)<(?:a)\b[^>]*>(.*?)</(?:a)>', 1)) AS cl,
-             unnest(range(0, len(regexp_extract_all(rw, '(?s)<(?:a)\b[^>]*>(.*?)</(?:a)>', 1)))) AS col_idx FROM r)
-SELECT page_id, table_no::INTEGER AS table_no, row_idx::INTEGER AS row_idx, col_idx::INTEGER AS col_idx,
-       """ + _STRIP.format(x="cl") + """ AS cell FROM c""")
+LIST_CELLS_CTES = r"""
+lc_t AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<ul\b[^>]*>(.*?)</ul>', 1)) AS tbl,
+                unnest(range(0, len(regexp_extract_all(html, '(?s)<ul\b[^>]*>(.*?)</ul>', 1)))) AS table_no
+         FROM pages),
+lc_r AS (SELECT page_id, table_no, unnest(regexp_extract_all(tbl, '(?s)<li\b[^>]*>(.*?)</li>', 1)) AS rw,
+                unnest(range(0, len(regexp_extract_all(tbl, '(?s)<li\b[^>]*>(.*?)</li>', 1)))) AS row_idx FROM lc_t),
+lc_c AS (SELECT page_id, table_no, row_idx,
+                unnest(regexp_extract_all(rw, '(?s)<(?:a)\b[^>]*>(.*?)</(?:a)>', 1)) AS cl,
+                unnest(range(0, len(regexp_extract_all(rw, '(?s)<(?:a)\b[^>]*>(.*?)</(?:a)>', 1)))) AS col_idx
+         FROM lc_r),
+lc AS (SELECT page_id, table_no::INTEGER AS table_no, row_idx::INTEGER AS row_idx, col_idx::INTEGER AS col_idx,
+              """ + _STRIP.format(x="cl") + """ AS cell FROM lc_c)"""
+
+
+@register("html_list_cells", "WITH " + LIST_CELLS_CTES + " SELECT * FROM lc")
 def q_html_list_cells(spark, sf_dir):
     p = driver.table(spark, sf_dir, "pages")
     return T.html_tables_to_cells(p, "html", ["page_id"], table_tag="ul", row_tag="li", cell_tags=("a",))
