@@ -148,3 +148,40 @@ def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.groupBy(F.col("n_name").alias("company"), F.col("l_returnflag").alias("metric"),
                      F.year("l_shipdate").alias("year"), F.col("n_regionkey").alias("region")).agg(
         F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("value"))
+
+
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gold values and model responses in every answer shape, one per order.
+
+    The shape is chosen by ``o_custkey mod 8`` (exact, unit suffix, bound,
+    percent scale, thousands commas, list literal, dash range, no number);
+    model, dataset, question wording and the hierarchical flag come from the
+    order's priority and status.
+    """
+    o = table(spark, sf_dir, "orders")
+    v = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
+    a = F.col("o_custkey").cast("string")
+    b = (F.col("o_custkey") + 1).cast("string")
+    shape = F.col("o_custkey") % 8
+    value = (F.when(shape == 2, F.concat(F.lit("<"), v))
+             .when(shape == 5, F.concat(a, F.lit(", "), b))
+             .when(shape == 6, F.concat(a, F.lit("-"), b))
+             .otherwise(v))
+    response = (F.when(shape == 0, v)
+                .when(shape == 1, F.concat(v, F.lit(" EUR")))
+                .when(shape == 2, F.concat(F.lit("< "), v, F.lit("kg")))
+                .when(shape == 3, (F.col("o_totalprice") / 100).cast("decimal(18,4)").cast("string"))
+                .when(shape == 4, F.format_number("o_totalprice", 2))
+                .when(shape == 5, F.concat(F.lit("['"), a, F.lit("', '"), b, F.lit("']")))
+                .when(shape == 6, F.concat(a, F.lit(" – "), b))
+                .otherwise(F.lit("n/a")))
+    pr = F.col("o_orderpriority")
+    model = (F.when(pr == "1-URGENT", "cot").when(pr == "2-HIGH", "pot").when(pr == "3-MEDIUM", "cot_noiseTrue")
+             .when(pr == "4-NOT SPECIFIED", "pot_noiseFalse").otherwise("cot_noiseFalse"))
+    dataset = F.when(pr.isin("1-URGENT", "3-MEDIUM", "5-LOW"), "extra").otherwise("rel")
+    st = F.col("o_orderstatus")
+    question = (F.when(st == "F", "What percentage of revenue came from this order?")
+                .when(st == "O", "What is the order total (in %)?").otherwise("What is the order total?"))
+    return o.select(F.col("o_orderkey").alias("qid"), model.alias("model"), question.alias("question"),
+                    value.alias("value"), response.alias("response"), dataset.alias("dataset"),
+                    F.when(st == "O", 1).otherwise(0).alias("hierarchical"))
