@@ -108,7 +108,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _json_files(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.format("text").option("wholetext", "true").load(path)
+    return (spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.json")
+            .option("recursiveFileLookup", "true").load(path)
             .select(F.col("value").alias("_j"), F.col("_metadata.file_path").alias("_path")))
 
 
