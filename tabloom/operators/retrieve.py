@@ -67,7 +67,9 @@ def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=("page",),
     terms = docs.select(*g, *kk, F.explode(tokenize("_text")).alias("term"))
     tf = terms.groupBy(*g, *kk, "term").agg(F.count(F.lit(1)).alias("tf"))
     n_docs = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
-    dfreq = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
+    # Counting through the tf value (always > 0) keeps the tf aggregate
+    # identical in both branches, so its shuffle is computed once and reused.
+    dfreq = tf.groupBy(*g, "term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
     idf = dfreq.join(n_docs, g).select(
         *g, "term",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -104,14 +106,17 @@ def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
     raw = (model.weights.join(qtf, "term")
            .groupBy("query_id", *g, *kk)
            .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
+    # The query norm is constant within a (query, group), so ranking on the
+    # raw dot product gives the cosine order; the top-k then runs straight on
+    # the scorer output and Catalyst places a partial WindowGroupLimit before
+    # the shuffle (only k rows per query, group and map partition move).
+    ranked = _rank(raw, ["query_id", *g], [F.round("raw", RANK_DIGITS).desc(), *[F.col(c).asc() for c in kk]], k)
     # The query vector is normalised over the terms known to the group only.
     qnorm = (model.idf.join(qtf, "term")
              .groupBy("query_id", *g)
              .agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm")))
-    hits = raw.join(qnorm, ["query_id", *g]).select(
-        "query_id", *g, *kk, (F.col("raw") / F.col("qnorm")).alias("score"))
-    top = _rank(hits, ["query_id", *g],
-                [F.round("score", RANK_DIGITS).desc(), *[F.col(c).asc() for c in kk]], k)
+    top = ranked.join(qnorm, ["query_id", *g]).select(
+        "query_id", *g, *kk, "rank", (F.col("raw") / F.col("qnorm")).alias("score"))
 
     # Zero-score fill for (query, group) lists shorter than k.
     qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")), max_broadcast_rows)

@@ -49,13 +49,14 @@ def sparse_ctes(p: str, k: int) -> str:
            FROM {p}_qtf q JOIN {p}_idf i USING (term) GROUP BY ALL),
 {p}_raw AS (SELECT q.query_id, w.grp, w.source, w.page, sum(w.wn * q.qtf * w.idf) AS raw
             FROM {p}_wn w JOIN {p}_qtf q USING (term) GROUP BY ALL),
-{p}_all AS (SELECT q.query_id, d.grp, d.source, d.page, coalesce(r.raw / n.qnorm, 0.0) AS score
+{p}_all AS (SELECT q.query_id, d.grp, d.source, d.page, coalesce(r.raw, 0.0) AS raw,
+                   coalesce(r.raw / n.qnorm, 0.0) AS score
             FROM q_text q CROSS JOIN {p}_docs d
             LEFT JOIN {p}_raw r ON r.query_id = q.query_id AND r.grp = d.grp
                                AND r.source = d.source AND r.page = d.page
             LEFT JOIN {p}_qn n ON n.query_id = q.query_id AND n.grp = d.grp),
 {p}_top AS (SELECT query_id, grp, source, page, score,
-                   row_number() OVER (PARTITION BY query_id, grp ORDER BY round(score, 9) DESC, source, page) AS rank
+                   row_number() OVER (PARTITION BY query_id, grp ORDER BY round(raw, 9) DESC, source, page) AS rank
             FROM {p}_all QUALIFY rank <= {k})"""
 
 
