@@ -222,3 +222,71 @@ def q_ingest_stream_store(spark, sf_dir):
                           to_chunks, glob="documents.parquet")
         q.awaitTermination()
     return spark.read.parquet(store).select("chunk_id", "source", "page")
+
+
+@register("chunk_packed_windows")
+def q_chunk_packed_windows(spark, sf_dir):
+    """I10 over every document (rows-only check; fixture test against a direct implementation)."""
+    docs = driver.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
+    return ingest.chunk_packed(docs)
+
+
+@register("parse_embeddings", """
+SELECT vec_id, len(embedding) AS dim,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm
+FROM embeddings WHERE embedding IS NOT NULL""")
+def q_parse_embeddings(spark, sf_dir):
+    """Embeddings arrive as JSON text; parse, drop nulls, report dimension and norm."""
+    from tabloom.functions.vectors import norm, parse_embedding
+    e = driver.table(spark, sf_dir, "embeddings").select("vec_id", F.to_json("embedding").alias("emb_text"))
+    p = e.select("vec_id", parse_embedding("emb_text").alias("embedding")).where(F.col("embedding").isNotNull())
+    return p.select("vec_id", F.size("embedding").alias("dim"), F.round(norm("embedding"), 6).alias("norm"))
+
+
+@register("list_tables", "WITH " + S.TABLE_INDEX + """
+SELECT source, string_agg(page::VARCHAR || '_' || table_no::VARCHAR, ',' ORDER BY page, table_no) AS tables,
+       min_by(page::VARCHAR || '_' || table_no::VARCHAR, page * 100000 + table_no) AS default_table
+FROM ti GROUP BY source""")
+def q_list_tables(spark, sf_dir):
+    """Per document its tables (page_table names in order) and the default (first) one."""
+    t = catalog.list_tables(driver.table_index(spark, sf_dir))
+    return t.select("source", F.array_join("tables", ",").alias("tables"), "default_table")
+
+
+@register("list_table_sets", "WITH " + S.TABLE_INDEX + " SELECT DISTINCT source FROM ti")
+def q_list_table_sets(spark, sf_dir):
+    return catalog.list_table_sets(driver.table_index(spark, sf_dir))
+
+
+@register("company_summaries", "WITH " + S.CHUNKS + """,
+comp AS (SELECT DISTINCT source AS company_name FROM chunks),
+summ AS (SELECT source AS company_name, arg_min(content, page) AS summary FROM chunks WHERE lang = 'en' GROUP BY source)
+SELECT c.company_name, coalesce(s.summary, '') AS summary FROM comp c LEFT JOIN summ s USING (company_name)""")
+def q_company_summaries(spark, sf_dir):
+    """Every company with its summary text, '' when it has none."""
+    ch = driver.chunks(spark, sf_dir)
+    companies = ch.select(F.col("source").alias("company_name")).distinct()
+    summaries = (ch.where(F.col("lang") == "en").groupBy(F.col("source").alias("company_name"))
+                 .agg(F.min_by("content", "page").alias("summary")))
+    return catalog.with_summaries(companies, summaries)
+
+
+@register("table_count_by_sector", "WITH " + S.CHUNKS + ", " + S.TABLE_INDEX + """
+SELECT s.sector, count(DISTINCT ti.source || '/' || ti.page::VARCHAR || '/' || ti.table_no::VARCHAR) AS n_tables
+FROM ti JOIN (SELECT source, page, unnest(company_sectors) AS sector FROM chunks) s USING (source, page)
+GROUP BY s.sector""")
+def q_table_count_by_sector(spark, sf_dir):
+    """Number of distinct tables per sector (a page's sectors are its document's)."""
+    sect = driver.chunks(spark, sf_dir).select("source", "page", F.explode("company_sectors").alias("sector"))
+    t = driver.table_index(spark, sf_dir).join(sect, ["source", "page"])
+    return catalog.table_count(t, ["sector"])
+
+
+@register("chunk_errors", """
+SELECT source, doc_id AS page, 'no text' AS reason FROM documents
+WHERE text IS NULL OR length(trim(text)) = 0""")
+def q_chunk_errors(spark, sf_dir):
+    """Documents that yield no chunk, with the reason (side output of chunking)."""
+    docs = driver.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
+    _, failed = ingest.chunk_with_errors(docs)
+    return failed

@@ -387,3 +387,40 @@ def test_evaluate_cascade(spark):
     assert [got[i] for i in range(len(EVAL_CASES))] == [c[-1] for c in EVAL_CASES]
     em = E.exact_match(E.evaluate(df)).collect()[0]
     assert em.em == 80.0 and em.n == len(EVAL_CASES)
+
+
+# ------------------------------------------------------------- added coverage
+
+def test_recursive_split_example(spark):
+    assert ingest.recursive_split("aaaa bbbb cccc dddd", 10, 3) == ["aaaa bbbb", "cccc dddd"]
+    assert ingest.recursive_split("p1 line\n\np2 is here", 12, 0) == ["p1 line", "p2 is here"]
+    pages = spark.createDataFrame([("s", 1, "aaaa bbbb cccc dddd"), ("s", 2, None)], "source string, page int, text string")
+    out = ingest.chunk_packed(pages, 10, 3).orderBy("chunk_no").collect()
+    assert [r.content for r in out] == ["aaaa bbbb", "cccc dddd"]
+    ok, failed = ingest.chunk_with_errors(pages.withColumn("error", F.lit(None).cast("string")))
+    assert ok.count() == 1 and failed.collect()[0].reason == "no text"
+
+
+def test_limit_and_index_join(spark):
+    qa = spark.createDataFrame([(i, f"q{i}", i % 2) for i in range(10)], "qid int, question string, hierarchical int")
+    assert [r.qid for r in E.limit_questions(qa, 3).collect()] == [0, 1, 2]
+    res = spark.createDataFrame([(3, True), (4, False)], "qid int, correct boolean")
+    j = {r.qid: r.hierarchical for r in L.join_on_index(res, qa).collect()}
+    assert j == {3: 1, 4: 0}
+
+
+def test_sinks_pages_metrics_sector(spark):
+    root = _tmp()
+    pages = spark.createDataFrame([("d", 1, "text one"), ("d", 2, "text two")], "source string, page int, text string")
+    writers.write_pages(pages, f"{root}/pages")
+    back = files.read_pages(spark, f"{root}/pages")
+    assert back.count() == 2
+    writers.write_metrics(spark.createDataFrame([("cot", 93.1)], "model string, em double"), f"{root}/m")
+    m = spark.read.option("header", True).csv(f"{root}/m").collect()[0]
+    assert (m.model, m.em) == ("cot", "93.1")
+    cells = spark.createDataFrame([("d", 1, 0, 0, 0, "k", "x"), ("d", 2, 0, 0, 0, "k", "y")],
+                                  "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
+    hits = spark.createDataFrame([("energy", "d", 1)], "sector string, source string, page int")
+    writers.export_sector(pages, cells, hits, f"{root}/sec")
+    assert spark.read.text(f"{root}/sec/pages").count() == 1
+    assert spark.read.text(f"{root}/sec/tables", wholetext=True).collect()[0].value.splitlines() == ["k", "x"]
