@@ -106,35 +106,32 @@ def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
     raw = (model.weights.join(qtf, "term")
            .groupBy("query_id", *g, *kk)
            .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
+    # Zero-score candidates: documents sharing no term score 0 and only fill
+    # lists shorter than k, in key order.  At most (k - 1) of a group's first
+    # 2k documents can be positive hits of a short list, so those 2k are
+    # enough; they are unioned with the scored pairs so the scorer output is
+    # consumed once.
+    qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")), max_broadcast_rows)
+    first = _rank(model.docs, g, [F.col(c).asc() for c in kk], 2 * k).drop("rank")
+    cand = first.crossJoin(qids).select("query_id", *g, *kk, F.lit(0.0).alias("raw"))
     # The query norm is constant within a (query, group), so ranking on the
-    # raw dot product gives the cosine order; the top-k then runs straight on
-    # the scorer output and Catalyst places a partial WindowGroupLimit before
-    # the shuffle (only k rows per query, group and map partition move).
-    ranked = _rank(raw, ["query_id", *g], [F.round("raw", RANK_DIGITS).desc(), *[F.col(c).asc() for c in kk]], k)
+    # raw dot product gives the cosine order; the top-k runs straight on the
+    # scorer output and Catalyst places a partial WindowGroupLimit before the
+    # shuffle (only a few rows per query, group and map partition move).
+    order = [F.round("raw", RANK_DIGITS).desc(), *[F.col(c).asc() for c in kk]]
+    top2 = _rank(raw.unionByName(cand), ["query_id", *g], order, 2 * k).drop("rank")
+    # A document that is both a hit and a zero candidate keeps its hit row
+    # (same partitioning: no further shuffle).
+    dup = Window.partitionBy("query_id", *g, *kk).orderBy(F.col("raw").desc())
+    top2 = top2.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") == 1).drop("_d")
+    ranked = _rank(top2, ["query_id", *g], order, k)
     # The query vector is normalised over the terms known to the group only.
     qnorm = (model.idf.join(qtf, "term")
              .groupBy("query_id", *g)
              .agg(F.sqrt(F.sum(F.pow(F.col("qtf") * F.col("idf"), 2))).alias("qnorm")))
-    top = ranked.join(qnorm, ["query_id", *g]).select(
-        "query_id", *g, *kk, "rank", (F.col("raw") / F.col("qnorm")).alias("score"))
-
-    # Zero-score fill for (query, group) lists shorter than k.
-    qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")), max_broadcast_rows)
-    groups = model.docs.select(*g).distinct()
-    counts = top.groupBy("query_id", *g).agg(F.max("rank").alias("n_hit"))
-    short = (groups.crossJoin(qids)
-             .join(counts, ["query_id", *g], "left")
-             .where(F.coalesce(F.col("n_hit"), F.lit(0)) < k)
-             .select("query_id", *g, F.coalesce(F.col("n_hit"), F.lit(0)).alias("n_hit")))
-    # At most n_hit (< k) of the first 2k docs of a group can be hits.
-    first = _rank(model.docs, g, [F.col(c).asc() for c in kk], 2 * k).drop("rank")
-    fill = (short.join(first, g)
-            .join(top.select("query_id", *g, *kk), ["query_id", *g, *kk], "left_anti"))
-    fw = Window.partitionBy("query_id", *g).orderBy(*[F.col(c).asc() for c in kk])
-    fill = (fill.withColumn("rank", F.col("n_hit") + F.row_number().over(fw))
-            .where(F.col("rank") <= k)
-            .select("query_id", *g, *kk, F.lit(0.0).alias("score"), "rank"))
-    return top.select("query_id", *g, *kk, "score", "rank").unionByName(fill)
+    out = ranked.join(qnorm, ["query_id", *g], "left")
+    score = F.when(F.col("raw") > 0, F.col("raw") / F.col("qnorm")).otherwise(F.lit(0.0))
+    return out.select("query_id", *g, *kk, score.alias("score"), "rank")
 
 
 def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
