@@ -66,27 +66,49 @@ def html_tables_to_cells(df: DataFrame, html_col: str = "html", key_cols=("sourc
 def table_widths(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True) -> DataFrame:
     """Width per table: header columns (cells with a header) or the widest row."""
     kk = _key(key_cols)
-    src = cells.where(F.col("header").isNotNull()) if from_header else cells
-    return src.groupBy(*kk).agg((F.max("col_idx") + 1).alias("width"))
+    return _table_summaries(_row_summaries(cells, kk), kk, from_header).select(*kk, "width")
+
+
+def _row_summaries(cells: DataFrame, kk) -> DataFrame:
+    """One row per (table, row): its cells as a map, its header pairs, its widths.
+
+    The single pass over the cells every table operator starts from.
+    """
+    has_h = F.col("header").isNotNull()
+    return cells.groupBy(*kk, "row_idx").agg(
+        F.map_from_entries(F.collect_list(F.struct("col_idx", "cell"))).alias("_m"),
+        F.collect_list(F.when(has_h, F.struct("col_idx", "header"))).alias("_h"),
+        F.max(F.when(has_h, F.col("col_idx"))).alias("_hw"),
+        F.max("col_idx").alias("_rw"))
+
+
+def _table_summaries(rows: DataFrame, kk, from_header: bool = True) -> DataFrame:
+    """Per table: width and the header of every column (max label, like a groupBy max)."""
+    pairs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h"))))
+    width = (F.max("_hw") if from_header else F.max("_rw")) + 1
+    t = rows.groupBy(*kk).agg(width.alias("width"), pairs.alias("_hp"))
+    # keep the last (largest) label of each column in the sorted pair list
+    last = F.filter("_hp", lambda x, i: (i == F.size("_hp") - 1)
+                    | (F.try_element_at("_hp", i + 2)["col_idx"] != x["col_idx"]))
+    return t.select(*kk, "width", F.map_from_entries(last).alias("_hmap"))
 
 
 def repair_table(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True) -> DataFrame:
     """T5: pad short rows with 'NaN' and cut cells beyond the table width.
 
-    Each row becomes a map col_idx -> cell (bounded by its own width); the
-    width comes from a combinable per-table aggregate joined back.
+    One aggregation per row (a map col_idx -> cell, bounded by the row's own
+    width), one per table over those row summaries (width, headers), joined
+    back and expanded; the cells are read once.
     """
     kk = _key(key_cols)
-    widths = table_widths(cells, kk, from_header)
-    headers = (cells.where(F.col("header").isNotNull())
-               .groupBy(*kk, "col_idx").agg(F.max("header").alias("header")))
-    rows = (cells.groupBy(*kk, "row_idx")
-            .agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "cell"))).alias("_m")))
-    grid = rows.join(widths, kk).select(
-        *kk, "row_idx", "_m", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
-    out = grid.select(*kk, "row_idx", "col_idx",
-                      F.coalesce(F.try_element_at("_m", F.col("col_idx")), F.lit(MISSING_CELL)).alias("cell"))
-    return out.join(headers, [*kk, "col_idx"], "left").select(*kk, "row_idx", "col_idx", "header", "cell")
+    rows = _row_summaries(cells, kk)
+    tabs = _table_summaries(rows, kk, from_header)
+    grid = rows.join(tabs, kk).select(
+        *kk, "row_idx", "_m", "_hmap",
+        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
+    return grid.select(*kk, "row_idx", "col_idx",
+                       F.try_element_at("_hmap", F.col("col_idx")).alias("header"),
+                       F.coalesce(F.try_element_at("_m", F.col("col_idx")), F.lit(MISSING_CELL)).alias("cell"))
 
 
 def is_blank(cell: Column) -> Column:
@@ -183,51 +205,54 @@ def csv_quote(cell: Column, sep: str = ";") -> Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
 
-def render_rows(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";") -> DataFrame:
-    """One text line per row (cells in column order), plus the header line as row -1."""
-    kk = _key(key_cols)
-    body = (cells.groupBy(*kk, "row_idx")
-            .agg(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c"))))
-                 .alias("_cs")))
-    body = body.select(*kk, "row_idx", F.array_join(F.transform("_cs", lambda x: csv_quote(x["c"], sep)), sep)
-                       .alias("line"))
-    head = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("h"))
-            .groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("_hs")))
-    head = head.select(*kk, F.lit(-1).alias("row_idx"),
-                       F.array_join(F.transform("_hs", lambda x: csv_quote(x["h"], sep)), sep).alias("line"))
-    return head.unionByName(body)
+def _rendered(cells: DataFrame, kk, cell_fmt, head_fmt, row_open="", row_close="", sep="") -> DataFrame:
+    """Per table: the header line and the body lines in row order, from one pass.
+
+    Rows are aggregated first (cells in column order, plus their header
+    pairs); the table aggregate then collects the row lines and the distinct
+    header pairs.  Returns (<key>, _head string or null, _lines array<string>).
+    """
+    has_h = F.col("header").isNotNull()
+    rows = cells.groupBy(*kk, "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c")))).alias("_cs"),
+        F.collect_list(F.when(has_h, F.struct("col_idx", "header"))).alias("_h"))
+    rows = rows.select(*kk, "row_idx", "_h", F.concat(
+        F.lit(row_open), F.array_join(F.transform("_cs", lambda x: cell_fmt(x["c"])), sep), F.lit(row_close))
+        .alias("line"))
+    t = rows.groupBy(*kk).agg(
+        F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h")))).alias("_hp"))
+    last = F.filter("_hp", lambda x, i: (i == F.size("_hp") - 1)
+                    | (F.try_element_at("_hp", i + 2)["col_idx"] != x["col_idx"]))
+    head = F.when(F.size("_hp") > 0, F.concat(
+        F.lit(row_open), F.array_join(F.transform(last, lambda x: head_fmt(x["header"])), sep), F.lit(row_close)))
+    return t.select(*kk, head.alias("_head"), F.transform("_ls", lambda x: x["line"]).alias("_lines"))
 
 
 def render_csv(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";", max_lines: int | None = None) -> DataFrame:
     """A table as ';'-separated text, header line first.  ``max_lines`` gives L5's preview."""
     kk = _key(key_cols)
-    lines = render_rows(cells, kk, sep)
+    q = lambda c: csv_quote(c, sep)
+    r = _rendered(cells, kk, q, q, sep=sep)
+    lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()), F.col("_lines"))
     if max_lines is not None:
-        lines = lines.where(F.col("row_idx") < max_lines - 1)
-    agg = lines.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls"))
-    return agg.select(*kk, F.array_join(F.transform("_ls", lambda x: x["line"]), "\n").alias("csv"))
+        lines = F.slice(lines, 1, max_lines)
+    return r.select(*kk, F.array_join(lines, "\n").alias("csv"))
+
+
+def _esc(c: Column) -> Column:
+    return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
+                     F.lit(">"), F.lit("&gt;"))
 
 
 def render_html(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
     """A table as an HTML ``<table>`` with a header row."""
     kk = _key(key_cols)
-    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")),
-                              F.lit(">"), F.lit("&gt;"))
-    body = (cells.groupBy(*kk, "row_idx")
-            .agg(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c"))))
-                 .alias("_cs")))
-    body = body.select(*kk, "row_idx", F.concat(F.lit("<tr>"), F.array_join(
-        F.transform("_cs", lambda x: F.concat(F.lit("<td>"), esc(x["c"]), F.lit("</td>"))), ""),
-        F.lit("</tr>")).alias("line"))
-    head = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("h"))
-            .groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("_hs")))
-    head = head.select(*kk, F.lit(-1).alias("row_idx"), F.concat(F.lit("<tr>"), F.array_join(
-        F.transform("_hs", lambda x: F.concat(F.lit("<th>"), esc(x["h"]), F.lit("</th>"))), ""),
-        F.lit("</tr>")).alias("line"))
-    agg = (head.unionByName(body).groupBy(*kk)
-           .agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls")))
-    return agg.select(*kk, F.concat(F.lit("<table>"), F.array_join(F.transform("_ls", lambda x: x["line"]), ""),
-                                    F.lit("</table>")).alias("html"))
+    r = _rendered(cells, kk, lambda c: F.concat(F.lit("<td>"), _esc(c), F.lit("</td>")),
+                  lambda c: F.concat(F.lit("<th>"), _esc(c), F.lit("</th>")), "<tr>", "</tr>")
+    body = F.array_join(F.col("_lines"), "")
+    return r.select(*kk, F.concat(F.lit("<table>"), F.coalesce("_head", F.lit("")), body,
+                                  F.lit("</table>")).alias("html"))
 
 
 def apply_edits(cells: DataFrame, edits: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
