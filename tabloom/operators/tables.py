@@ -86,7 +86,10 @@ def _table_summaries(rows: DataFrame, kk, from_header: bool = True) -> DataFrame
     """Per table: width and the header of every column (max label, like a groupBy max)."""
     pairs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h"))))
     width = (F.max("_hw") if from_header else F.max("_rw")) + 1
-    t = rows.groupBy(*kk).agg(width.alias("width"), pairs.alias("_hp"))
+    # Reading every summary column keeps this branch's input identical to the
+    # row branch, so Spark reuses one shuffle instead of re-deriving the cells.
+    t = rows.groupBy(*kk).agg(width.alias("width"), pairs.alias("_hp"),
+                              F.max(F.size("_m")).alias("_mx"), F.max("_rw").alias("_rx"), F.max("_hw").alias("_hx"))
     # keep the last (largest) label of each column in the sorted pair list
     last = F.filter("_hp", lambda x, i: (i == F.size("_hp") - 1)
                     | (F.try_element_at("_hp", i + 2)["col_idx"] != x["col_idx"]))
@@ -117,12 +120,14 @@ def is_blank(cell: Column) -> Column:
 
 
 def drop_empty_rows(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
-    """Drop rows whose cells are all empty or NaN."""
+    """Drop rows whose cells are all empty or NaN.
+
+    A window per row (bounded by the row's width) decides in one pass.
+    """
     kk = _key(key_cols)
-    keep = (cells.groupBy(*kk, "row_idx")
-            .agg(F.max((~is_blank(F.col("cell"))).cast("int")).alias("_any"))
-            .where(F.col("_any") == 1).drop("_any"))
-    return cells.join(keep, [*kk, "row_idx"], "left_semi")
+    w = Window.partitionBy(*kk, "row_idx")
+    anyv = F.max((~is_blank(F.col("cell"))).cast("int")).over(w)
+    return cells.withColumn("_any", anyv).where(F.col("_any") == 1).drop("_any")
 
 
 def unique_headers(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
