@@ -307,10 +307,11 @@ def test_dense_topk_exact(spark):
     vecs = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 1.0]), ("s", 3, [1.0, 1.0]),
                                   ("s", 4, None)], "source string, page int, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id int, embedding array<float>")
-    out = R.dense_topk(q, vecs, k=2).orderBy("rank").collect()
-    assert [r.page for r in out] == [1, 3]
-    sim = R.dense_topk(q, vecs, k=1, score="similarity").collect()[0]
-    assert sim.page == 1 and sim.score > 0.99
+    for engine in ("arrow", "jvm"):
+        out = R.dense_topk(q, vecs, k=2, engine=engine).orderBy("rank").collect()
+        assert [r.page for r in out] == [1, 3]
+        sim = R.dense_topk(q, vecs, k=1, score="similarity", engine=engine).collect()[0]
+        assert sim.page == 1 and sim.score > 0.99
 
 
 # ------------------------------------------------------------- linking / context
