@@ -204,6 +204,26 @@ def select_cells(questions: DataFrame, cells: DataFrame, key_cols=TABLE_KEY) ->
                       F.coalesce("cols", empty_i).alias("cols"))
 
 
+def index_table(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
+    """Positional form used for row/column selection.
+
+    The header becomes row -1, a leading column 0 holds the row index (the
+    header row's label is 'index'), data columns shift right by one, and the
+    headers are replaced by their positions.
+    """
+    kk = _key(key_cols)
+    heads = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("cell"))
+             .select(*kk, F.lit(-1).alias("row_idx"), "col_idx", "cell"))
+    body = cells.select(*kk, "row_idx", "col_idx", "cell")
+    shifted = heads.unionByName(body).withColumn("col_idx", F.col("col_idx") + 1)
+    idx = body.select(*kk, "row_idx").distinct().select(*kk, "row_idx", F.lit(0).alias("col_idx"),
+                                                        F.col("row_idx").cast("string").alias("cell"))
+    idx_head = heads.select(*kk).distinct().select(*kk, F.lit(-1).alias("row_idx"), F.lit(0).alias("col_idx"),
+                                                   F.lit("index").alias("cell"))
+    out = shifted.unionByName(idx).unionByName(idx_head)
+    return out.withColumn("header", F.col("col_idx").cast("string"))
+
+
 def csv_quote(cell: Column, sep: str = ";") -> Column:
     """Quote a CSV field when it holds the separator, a quote or a newline."""
     needs = cell.contains(sep) | cell.contains('"') | cell.contains("\n")

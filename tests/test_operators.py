@@ -425,3 +425,11 @@ def test_sinks_pages_metrics_sector(spark):
     writers.export_sector(pages, cells, hits, f"{root}/sec")
     assert spark.read.text(f"{root}/sec/pages").count() == 1
     assert spark.read.text(f"{root}/sec/tables", wholetext=True).collect()[0].value.splitlines() == ["k", "x"]
+
+
+def test_index_table(spark):
+    cells = spark.createDataFrame([("d", 1, 0, 0, 0, "k", "a"), ("d", 1, 0, 0, 1, "v", "1"),
+                                   ("d", 1, 0, 1, 0, "k", "b"), ("d", 1, 0, 1, 1, "v", "2")],
+                                  "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
+    got = {(r.row_idx, r.col_idx): r.cell for r in T.index_table(cells).collect()}
+    assert got[(-1, 0)] == "index" and got[(-1, 1)] == "k" and got[(0, 0)] == "0" and got[(1, 2)] == "2"
