@@ -51,10 +51,31 @@ class TfidfModel:
     key_cols: list
 
     def persist(self) -> "TfidfModel":
+        """Keep the fit for reuse by several retrieval plans (lazy)."""
         for df in (self.weights, self.idf, self.docs):
             df.persist()
         return self
 
+    def checkpoint(self) -> "TfidfModel":
+        """Cut the lineage of the fit with reliable checkpoints in ``spark.checkpoint.dir``.
+
+        After this, a lost executor costs a re-read of the checkpoint files,
+        not a re-tokenisation of the corpus.
+        """
+        return TfidfModel(self.weights.checkpoint(), self.idf.checkpoint(), self.docs.checkpoint(),
+                          self.group_cols, self.key_cols)
+
+    def save(self, path: str, mode: str = "overwrite") -> None:
+        """Store the fit as Parquet (weights clustered by group and term for pruned scans)."""
+        self.weights.sortWithinPartitions(*self.group_cols, "term").write.mode(mode).parquet(f"{path}/weights")
+        self.idf.sortWithinPartitions(*self.group_cols, "term").write.mode(mode).parquet(f"{path}/idf")
+        self.docs.write.mode(mode).parquet(f"{path}/docs")
+
+    @staticmethod
+    def load(spark, path: str, group_cols, key_cols) -> "TfidfModel":
+        return TfidfModel(spark.read.parquet(f"{path}/weights"), spark.read.parquet(f"{path}/idf"),
+                          spark.read.parquet(f"{path}/docs"), list(group_cols), list(key_cols))
+
 
 def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=("page",),
               text_col: str = "content") -> TfidfModel:

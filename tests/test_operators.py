@@ -433,3 +433,17 @@ def test_index_table(spark):
                                   "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
     got = {(r.row_idx, r.col_idx): r.cell for r in T.index_table(cells).collect()}
     assert got[(-1, 0)] == "index" and got[(-1, 1)] == "k" and got[(0, 0)] == "0" and got[(1, 2)] == "2"
+
+
+def test_tfidf_model_checkpoint_and_store(spark):
+    docs = spark.createDataFrame([("s", 1, "energy water"), ("s", 2, "water water"), ("t", 3, "energy")],
+                                 "source string, page int, content string")
+    q = spark.createDataFrame([(0, "water")], "query_id int, text string")
+    model = R.tfidf_fit(docs)
+    base = sorted((r.source, r.page, r.rank, round(r.score, 9)) for r in R.sparse_topk(q, model, 2).collect())
+    ck = sorted((r.source, r.page, r.rank, round(r.score, 9)) for r in R.sparse_topk(q, model.checkpoint(), 2).collect())
+    path = _tmp() + "/model"
+    model.save(path)
+    loaded = R.TfidfModel.load(spark, path, ["source"], ["page"])
+    st = sorted((r.source, r.page, r.rank, round(r.score, 9)) for r in R.sparse_topk(q, loaded, 2).collect())
+    assert base == ck == st and base[0][:3] == ("s", 2, 1)
