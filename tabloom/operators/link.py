@@ -32,15 +32,21 @@ def link_codes(codes: DataFrame, hits: DataFrame, tables: DataFrame) -> DataFram
     (from a retriever run with the codes' descriptions as queries),
     ``tables(source, page, table_no)``.  A (code, document) pair whose pages
     hold no table keeps one row with null page/table_no (an empty list).
-    The ordinal orders refs by hit rank, then table number.
+    The ordinal orders refs by hit rank, then table number.  The hits are
+    read once: one left join, then windows over each (document, code) list
+    (bounded by k pages x their tables).
     """
-    pairs = hits.select("code", "source").distinct()
-    found = hits_to_tables(hits.select("code", "source", "page", "rank"), tables)
-    w = Window.partitionBy("source", "code").orderBy("rank", "page", "table_no")
-    found = found.withColumn("ordinal", F.row_number().over(w) - 1).drop("rank")
-    refs = pairs.join(found, ["code", "source"], "left")
-    return refs.join(codes.select("code"), "code", "left_semi").select(
-        "source", "code", "page", "table_no", "ordinal")
+    h = hits.select("code", "source", "page", "rank").join(codes.select("code"), "code", "left_semi")
+    j = h.join(tables.select(*TABLE_KEY), ["source", "page"], "left")
+    lst = Window.partitionBy("source", "code")
+    ordered = lst.orderBy(F.col("table_no").isNull(), "rank", "page", "table_no")
+    j = j.withColumns({"_has": F.max(F.col("table_no").isNotNull().cast("int")).over(lst),
+                       "_n": F.row_number().over(ordered) - 1})
+    found = F.col("table_no").isNotNull()
+    keep = found | ((F.col("_has") == 0) & (F.col("_n") == 0))
+    return j.where(keep).select(
+        "source", "code", F.when(found, F.col("page")).alias("page"), "table_no",
+        F.when(found, F.col("_n")).alias("ordinal"))
 
 
 def number_tables(elements: DataFrame) -> DataFrame:
