@@ -18,11 +18,19 @@ from tabloom.operators.ingest import split_new
 from tabloom.sinks.writers import append_chunks
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def _store_or_empty(spark: SparkSession, store_path: str, like: DataFrame) -> DataFrame:
-    try:
-        return spark.read.parquet(store_path).select("chunk_id")
-    except AnalysisException:
-        return spark.createDataFrame([], like.select("chunk_id").schema)
+    if _exists(spark, store_path):
+        try:
+            return spark.read.parquet(store_path).select("chunk_id")
+        except AnalysisException:  # folder exists but holds no data files yet
+            pass
+    return spark.createDataFrame([], like.select("chunk_id").schema)
 
 
 def ingest_stream(spark: SparkSession, source_path: str, schema, store_path: str, checkpoint_path: str,
