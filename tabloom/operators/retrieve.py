@@ -224,9 +224,25 @@ def dense_topk_arrow(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
     g, kk = list(group_cols), list(key_cols)
     q = queries.select(F.col(query_col).alias("query_id"), F.col(qvec_col).alias("v")).where(F.col("v").isNotNull())
     if q.limit(max_query_rows + 1).count() > max_query_rows:
-        # Beyond the bound the query side is not shipped whole: fall back to the
-        # shuffle-capable JVM plan.
-        return dense_topk_jvm(queries, vecs, k, g, kk, query_col, qvec_col, vec_col, score)
+        # Beyond the bound the query side is split into hash blocks that each
+        # fit it; every block is scored like a small query set and the
+        # per-block top-k lists are disjoint by query, so a union is exact.
+        n = q.count()
+        blocks = -(-n * 5 // (4 * max_query_rows))  # about 80% of the bound per block
+        while True:
+            b = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+            biggest = b.groupBy("_b").count().agg(F.max("count")).first()[0]
+            if biggest <= max_query_rows:
+                break
+            blocks *= 2
+        parts = [dense_topk_arrow(b.where(F.col("_b") == i).select(F.col("query_id").alias(query_col),
+                                                                   F.col("v").alias(qvec_col)),
+                                  vecs, k, g, kk, query_col, qvec_col, vec_col, score, max_query_rows)
+                 for i in range(blocks)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
     qp = q.toPandas()
     qm = np.array(qp["v"].tolist(), dtype=np.float64).reshape(len(qp), -1) if len(qp) else np.zeros((0, 0))
     qn = np.linalg.norm(qm, axis=1) if len(qp) else np.zeros(0)

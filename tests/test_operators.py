@@ -447,3 +447,15 @@ def test_tfidf_model_checkpoint_and_store(spark):
     loaded = R.TfidfModel.load(spark, path, ["source"], ["page"])
     st = sorted((r.source, r.page, r.rank, round(r.score, 9)) for r in R.sparse_topk(q, loaded, 2).collect())
     assert base == ck == st and ("s", 2, 1) in [x[:3] for x in base]
+
+
+def test_dense_query_blocks_match_single_block(spark):
+    import random
+    rnd = random.Random(7)
+    vecs = spark.createDataFrame([("s" if i % 2 else "t", i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(60)],
+                                 "source string, page int, embedding array<float>")
+    q = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(25)],
+                              "query_id int, embedding array<float>")
+    one = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3).collect())
+    many = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3, max_query_rows=4).collect())
+    assert one == many and len(one) == 25 * 2 * 3
