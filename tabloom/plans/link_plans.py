@@ -241,3 +241,55 @@ ph AS (SELECT page_id, string_agg(part, chr(10) ORDER BY elem_idx) AS text FROM
 @register("page_placeholders", "WITH " + PLACEHOLDER_CTES + " SELECT * FROM ph")
 def q_page_placeholders(spark, sf_dir):
     return L.page_text_with_placeholders(elements(spark, sf_dir)).select(F.col("page").alias("page_id"), "text")
+
+
+VERDICT_THRESHOLD = 0.05
+VERDICT_PREVIEW_LINES = 30
+
+
+def _default_verdict_refs(spark, sf_dir):
+    from tabloom.operators import tables as T
+    before = refs_before(spark, sf_dir)
+    kept_tables = before.where(F.col("page").isNotNull()).select(*KEY).distinct()
+    previews = T.table_preview(driver.cells(spark, sf_dir).join(kept_tables, KEY, "left_semi"),
+                               n=VERDICT_PREVIEW_LINES)
+    return before, L.default_verdicts(before, driver.codes(spark, sf_dir), previews, VERDICT_THRESHOLD)
+
+
+_TOKS = r"[\p{L}\p{N}_]{2,}"
+SQL_DEFAULT_VERDICTS = SQL_REFS + ",\n" + S.CELLS[len(S.TABLE_INDEX) + 2:] + f""",
+kt AS (SELECT DISTINCT source, page, table_no FROM refs WHERE page IS NOT NULL),
+kc AS (SELECT c.* FROM cells c JOIN kt USING (source, page, table_no)),
+hl AS (SELECT source, page, table_no, -1 AS row_idx,
+              string_agg(CASE WHEN strpos(h, ';') > 0 OR strpos(h, '"') > 0 OR strpos(h, chr(10)) > 0
+                              THEN '"' || replace(h, '"', '""') || '"' ELSE h END, ';' ORDER BY col_idx) AS line
+       FROM (SELECT source, page, table_no, col_idx, max(header) AS h FROM kc WHERE header IS NOT NULL GROUP BY ALL)
+       GROUP BY ALL),
+bl AS (SELECT source, page, table_no, row_idx,
+              string_agg(CASE WHEN strpos(c, ';') > 0 OR strpos(c, '"') > 0 OR strpos(c, chr(10)) > 0
+                              THEN '"' || replace(c, '"', '""') || '"' ELSE c END, ';' ORDER BY col_idx) AS line
+       FROM (SELECT source, page, table_no, row_idx, col_idx, coalesce(cell, '') AS c FROM kc) GROUP BY ALL),
+pv AS (SELECT source, page, table_no, string_agg(line, chr(10) ORDER BY row_idx) AS preview
+       FROM (SELECT * FROM hl UNION ALL SELECT * FROM bl) WHERE row_idx < {VERDICT_PREVIEW_LINES} - 1 GROUP BY ALL),
+pt AS (SELECT DISTINCT source, page, table_no, unnest(regexp_extract_all(lower(preview), '{_TOKS}')) AS term FROM pv),
+pn AS (SELECT source, page, table_no, count(*) AS n_p FROM pt GROUP BY ALL),
+ct AS (SELECT DISTINCT 'B' || item_id::VARCHAR AS code, unnest(regexp_extract_all(lower(text), '{_TOKS}')) AS term
+       FROM benchmark),
+cn AS (SELECT code, count(*) AS n_c FROM ct GROUP BY code),
+vpairs AS (SELECT DISTINCT source, code, page, table_no FROM refs WHERE page IS NOT NULL),
+sh AS (SELECT p.source, p.code, p.page, p.table_no, count(*) AS s FROM vpairs p JOIN ct USING (code)
+       JOIN pt ON pt.source = p.source AND pt.page = p.page AND pt.table_no = p.table_no AND pt.term = ct.term
+       GROUP BY ALL),
+dv AS (SELECT p.source, p.code, p.page, p.table_no,
+              CASE WHEN coalesce(coalesce(sh.s, 0) / sqrt(cn.n_c * pn.n_p), 0.0) >= {VERDICT_THRESHOLD}
+                   THEN 'YES' ELSE 'NO' END AS verdict
+       FROM vpairs p LEFT JOIN sh USING (source, code, page, table_no) LEFT JOIN cn USING (code)
+       LEFT JOIN pn USING (source, page, table_no))"""
+
+
+@register("default_verdicts", "WITH " + SQL_DEFAULT_VERDICTS + " SELECT * FROM dv")
+def q_default_verdicts(spark, sf_dir):
+    """L4 default: a (code, table) is relevant when the token-overlap cosine of the
+    code description and the table preview reaches the threshold."""
+    _, v = _default_verdict_refs(spark, sf_dir)
+    return v.select("source", "code", F.col("page").cast("long"), "table_no", "verdict")
