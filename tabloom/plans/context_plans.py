@@ -9,7 +9,7 @@ from tabloom.operators import context as X
 from tabloom.operators import link as L
 from tabloom.operators import tables as T
 from tabloom.plans import sql_frags as S
-from tabloom.plans.link_plans import PLACEHOLDER_CTES, SQL_REFS, elements, refs_after, tables
+from tabloom.plans.link_plans import PLACEHOLDER_CTES, SQL_REFS, elements, refs_after
 from tabloom.plans.registry import register
 from tabloom.plans.retrieval_plans import (HYBRID_SECTORS_CTES, HYBRID_SOURCE_CTES, SELECTION_NAME,
                                            hybrid_by_sectors, hybrid_by_source)
