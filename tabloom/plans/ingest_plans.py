@@ -159,7 +159,7 @@ def q_vectors_by_sectors(spark, sf_dir):
     v = driver.vectors(spark, sf_dir)
     v = v.withColumn("cmetadata", F.to_json(F.struct("source", "page", "company_name", "company_sectors")))
     hit = catalog.vectors_by_sectors(v, VECTOR_SECTORS)
-    return hit.select("source", "page", "label", F.size("embedding").alias("dim"))
+    return hit.select("source", "page", "label", F.size("embedding").cast("long").alias("dim"))
 
 
 @register("filter_equalities", "WITH " + S.CHUNKS + """
@@ -240,7 +240,7 @@ def q_parse_embeddings(spark, sf_dir):
     from tabloom.functions.vectors import norm, parse_embedding
     e = driver.table(spark, sf_dir, "embeddings").select("vec_id", F.to_json("embedding").alias("emb_text"))
     p = e.select("vec_id", parse_embedding("emb_text").alias("embedding")).where(F.col("embedding").isNotNull())
-    return p.select("vec_id", F.size("embedding").alias("dim"), F.round(norm("embedding"), 6).alias("norm"))
+    return p.select("vec_id", F.size("embedding").cast("long").alias("dim"), F.round(norm("embedding"), 6).alias("norm"))
 
 
 @register("list_tables", "WITH " + S.TABLE_INDEX + """

@@ -39,3 +39,14 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert set(df.columns) == {"query_id", "source", "page", "rank", "score"}
     assert df.count() > 0
+
+
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT", "timestamp": "TIMESTAMP"}
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_query_types_match_oracle(spark, con, name):
+    sp = {f.name: f.dataType.simpleString() for f in QUERIES[name](spark, SF_SMALL).schema.fields}
+    dk = {r[0]: r[1] for r in con.execute(f"DESCRIBE {SQL[name]}").fetchall()}
+    assert {c: SPARK_TO_DUCK.get(t, t) for c, t in sp.items()} == dk
