@@ -120,7 +120,7 @@ tcsv AS (SELECT source, page, table_no, string_agg(line, chr(10) ORDER BY row_id
 
 def _kept_cells(spark, sf_dir):
     kept = refs_after(spark, sf_dir).select(*KEY).distinct()
-    return driver.cells(spark, sf_dir).join(kept, KEY, "left_semi")
+    return driver.cells(spark, sf_dir, only=kept)
 
 
 @register("company_context", "WITH " + _KEPT_CSV + """
@@ -166,8 +166,7 @@ SELECT code, source, regexp_replace('Company name: ' || source || chr(10) || chr
 FROM th GROUP BY code, source""")
 def q_table_listing(spark, sf_dir):
     kept = refs_after(spark, sf_dir).select("code", *KEY).distinct()
-    cells = driver.cells(spark, sf_dir)
-    html = T.render_html(cells.join(kept.select(*KEY).distinct(), KEY, "left_semi"))
+    html = T.render_html(driver.cells(spark, sf_dir, only=kept))
     return X.table_listing(kept.join(html, KEY), ["code", "source"])
 
 

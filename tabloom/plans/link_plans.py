@@ -251,8 +251,7 @@ def _default_verdict_refs(spark, sf_dir):
     from tabloom.operators import tables as T
     before = refs_before(spark, sf_dir)
     kept_tables = before.where(F.col("page").isNotNull()).select(*KEY).distinct()
-    previews = T.table_preview(driver.cells(spark, sf_dir).join(kept_tables, KEY, "left_semi"),
-                               n=VERDICT_PREVIEW_LINES)
+    previews = T.table_preview(driver.cells(spark, sf_dir, only=kept_tables), n=VERDICT_PREVIEW_LINES)
     return before, L.default_verdicts(before, driver.codes(spark, sf_dir), previews, VERDICT_THRESHOLD)
 
 

@@ -99,15 +99,22 @@ CELL_HEADERS = ("item", "flag", "value", "value", "discount", "tax", " ")
 NOTE_CELL = "** R"
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Long cells of the lineitem tables (one table per order).
 
+    ``only(source, page, table_no)`` restricts the tables before any line is
+    read into cells (the semi join runs on the small table index, so the
+    filter reaches the lineitem join instead of trailing the explode).
+
     Columns: item label, return flag, quantity, price with thousands commas,
     discount in percent, tax with a decimal comma (absent when 0, so rows are
     ragged), ship year, and an extra header-less note cell on returned lines.
     """
     li = table(spark, sf_dir, "lineitem")
     ti = table_index(spark, sf_dir)
+    if only is not None:
+        ti = ti.join(only.select("source", "page", "table_no").distinct(), ["source", "page", "table_no"],
+                     "left_semi")
     r = li.join(ti, li.l_orderkey == ti.o_orderkey)
     h = CELL_HEADERS
 
