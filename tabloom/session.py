@@ -12,7 +12,12 @@ from pyspark.sql import SparkSession
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Target size of a post-shuffle partition after AQE coalescing/splitting.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A partition 5x the median and over 256 MB is split (hot terms, hot sources).
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
@@ -31,8 +36,10 @@ def get_session(master: str | None = None, app: str = "tabloom",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+    existing = SparkSession.getActiveSession()
     for key, value in DEFAULT_CONF.items():
-        builder = builder.config(key, value)
+        if existing is None or existing.conf.get(key, None) is None:
+            builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for key, value in (extra or {}).items():
@@ -62,3 +69,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A path for an intermediate table below the shared checkpoint folder."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/tables/{name}-{os.getpid()}"
+
+
+def shuffle_partitions_for(input_bytes: int, blowup: float = 3.0, target_bytes: int = 128 << 20,
+                           minimum: int = 200) -> int:
+    """Shuffle partitions for a job reading ``input_bytes``.
+
+    ``blowup`` is the largest shuffle volume relative to the input (the
+    tokenised (doc, term, count) rows of the TF-IDF fit are about 3x the
+    compressed text); partitions target ``target_bytes`` so each fits in
+    executor memory without spilling, and AQE coalesces what is smaller.
+    E.g. 100 TB of text -> about 2.3M partitions; set it per job.
+    """
+    return max(minimum, int(input_bytes * blowup // target_bytes) + 1)
