@@ -36,9 +36,10 @@ def get_session(master: str | None = None, app: str = "tabloom",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    existing = SparkSession.getActiveSession()
+    from pyspark import SparkConf
+    submitted = SparkConf()  # holds what spark-submit / spark-defaults already set
     for key, value in DEFAULT_CONF.items():
-        if existing is None or existing.conf.get(key, None) is None:
+        if not submitted.contains(key):
             builder = builder.config(key, value)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
