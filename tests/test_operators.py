@@ -459,3 +459,12 @@ def test_dense_query_blocks_match_single_block(spark):
     one = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3).collect())
     many = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3, max_query_rows=4).collect())
     assert one == many and len(one) == 25 * 2 * 3
+
+
+def test_golden_ratio_ranking_low_desc(spark):
+    f = _facts(spark, [("s", "a", 1, 707033.0), ("s", "b", 1, 688474.0),
+                       ("t", "a", 1, 417294.0), ("t", "b", 1, 512802.0),
+                       ("u", "a", 1, 900000.0), ("u", "b", 1, 100000.0)])
+    ratio = Q.q_ratio(f, ["company"], F.col("metric") == "a", F.col("metric") == "b").withColumn("metric", F.lit("m"))
+    r = Q.two_step(ratio, ["metric"], "rank", item="company", n=2, pick="low", order="desc").collect()[0]
+    assert r.answer == "102.70, 81.38"
