@@ -59,17 +59,33 @@ def with_lower(chunks: DataFrame, col: str = "content") -> DataFrame:
     return chunks.withColumn(f"{col}_lc", F.lower(F.col(col)))
 
 
-def split_new(batch: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
+STORE_BUCKETS = 1024  # folders of the chunk store (hash of the source)
+
+
+def with_store_bucket(chunks: DataFrame, n: int = STORE_BUCKETS) -> DataFrame:
+    """Bucket of the chunk store a chunk belongs to (store partition column)."""
+    return chunks.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int"))
+
+
+def split_new(batch: DataFrame, store: DataFrame, keys=("chunk_id",),
+              max_broadcast_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(new chunks, skipped (source, page)) of a batch against a store.
 
     Duplicates inside the batch are removed too (quirk Q2 of the reference).
-    Both are set-based joins on ``chunk_id``; AQE broadcasts the smaller side
-    at runtime when its real size allows.
+    The store is only *probed*: a semi join from the store to the batch's
+    keys finds the ids that already exist, so a small batch never shuffles
+    the whole store.  With ``keys=("bucket", "chunk_id")`` and a store
+    partitioned by ``bucket``, dynamic partition pruning limits the scan to
+    the buckets the batch touches.  The batch keys are broadcast only when
+    their count is proven small.
     """
+    from tabloom.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+    keys = list(keys)
     dedup = batch.dropDuplicates(["chunk_id"])
-    ids = store.select("chunk_id")
-    new = dedup.join(ids, "chunk_id", "left_anti")
-    skipped = dedup.join(ids, "chunk_id", "left_semi").select("source", "page").distinct()
+    batch_keys = broadcast_if_bounded(dedup.select(*keys), max_broadcast_rows or DEFAULT_MAX_BROADCAST_ROWS)
+    existing = store.select(*keys).join(batch_keys, keys, "left_semi")
+    new = dedup.join(existing, keys, "left_anti")
+    skipped = dedup.join(existing, keys, "left_semi").select("source", "page").distinct()
     return new, skipped
 
 

@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from tabloom.operators.ingest import split_new
+from tabloom.operators.ingest import split_new, with_store_bucket
 from tabloom.sinks.writers import append_chunks
 
 
@@ -27,10 +27,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def _store_or_empty(spark: SparkSession, store_path: str, like: DataFrame) -> DataFrame:
     if _exists(spark, store_path):
         try:
-            return spark.read.parquet(store_path).select("chunk_id")
+            return spark.read.parquet(store_path).select("bucket", "chunk_id")
         except AnalysisException:  # folder exists but holds no data files yet
             pass
-    return spark.createDataFrame([], like.select("chunk_id").schema)
+    return spark.createDataFrame([], like.select("bucket", "chunk_id").schema)
 
 
 def ingest_stream(spark: SparkSession, source_path: str, schema, store_path: str, checkpoint_path: str,
@@ -39,7 +39,9 @@ def ingest_stream(spark: SparkSession, source_path: str, schema, store_path: str
     """Start the ingest stream; with ``available_now`` it drains the folder and stops.
 
     ``to_chunks`` maps a micro-batch of raw rows to chunk rows that carry
-    ``chunk_id, source, page`` (and any other store columns).
+    ``chunk_id, source, page`` (and any other store columns).  The store is
+    partitioned by a hash bucket of the source, and each batch probes only
+    the buckets it touches (``split_new`` with dynamic partition pruning).
     """
     reader = spark.readStream.schema(schema).format("parquet")
     if glob:
@@ -49,9 +51,10 @@ def ingest_stream(spark: SparkSession, source_path: str, schema, store_path: str
     raw = reader.load(source_path)
 
     def load_batch(batch: DataFrame, epoch_id: int) -> None:
-        chunks = to_chunks(batch)
-        new, _ = split_new(chunks, _store_or_empty(spark, store_path, chunks))
-        append_chunks(new, store_path)
+        chunks = with_store_bucket(to_chunks(batch))
+        store = _store_or_empty(spark, store_path, chunks)
+        new, _ = split_new(chunks, store, keys=("bucket", "chunk_id"))
+        append_chunks(new, store_path, partition_by=["bucket"])
 
     writer = raw.writeStream.foreachBatch(load_batch).option("checkpointLocation", checkpoint_path)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
