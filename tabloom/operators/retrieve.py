@@ -9,8 +9,9 @@ result   : query_id, <group cols>, <key cols>, rank (int, 1..k), score (double)
 Plan shape (see README "Retrieval at scale"):
 * the query side (query terms, or query vectors) is the only thing broadcast,
   and only after a bounded row-count probe on that small side;
-* the corpus side streams through a broadcast hash join / nested loop, so the
-  inverted index and the vector table are never shuffled for scoring;
+* the inverted index streams through a broadcast hash join and the vector
+  table through Arrow batches scored against the shipped query matrix, so
+  neither is shuffled for scoring;
 * ``row_number() <= k`` lets Catalyst insert a partial ``WindowGroupLimit``
   before the exchange, so only k rows per (query, group, partition) move.
 """
