@@ -115,17 +115,24 @@ def _rank(df: DataFrame, part_cols, order_cols, k: int) -> DataFrame:
 
 def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
                 query_col: str = "query_id", text_col: str = "text",
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                min_idf: float | None = None) -> DataFrame:
     """cosine(query, doc) top-k per (query, group).
 
     Every query is scored against every group of the model (J1).  Documents
     sharing no term score 0; they only fill the lists of queries that have
     fewer than k positive hits in a group, taken in key order.
+
+    ``min_idf`` (off by default, changes scores): terms whose idf is below
+    it, i.e. present in almost every document of a group, are skipped in the
+    scoring join; document and query norms still use every term.  It bounds
+    the query x document pairs that hot terms create on very large groups.
     """
     g, kk = model.group_cols, model.key_cols
     qtf = broadcast_if_bounded(query_terms(queries, query_col, text_col), max_broadcast_rows)
+    weights = model.weights if min_idf is None else model.weights.where(F.col("idf") >= F.lit(min_idf))
 
-    raw = (model.weights.join(qtf, "term")
+    raw = (weights.join(qtf, "term")
            .groupBy("query_id", *g, *kk)
            .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
     # Zero-score candidates: documents sharing no term score 0 and only fill

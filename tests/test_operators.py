@@ -468,3 +468,14 @@ def test_golden_ratio_ranking_low_desc(spark):
     ratio = Q.q_ratio(f, ["company"], F.col("metric") == "a", F.col("metric") == "b").withColumn("metric", F.lit("m"))
     r = Q.two_step(ratio, ["metric"], "rank", item="company", n=2, pick="low", order="desc").collect()[0]
     assert r.answer == "102.70, 81.38"
+
+
+def test_min_idf_cut_is_off_by_default_and_only_drops_common_terms(spark):
+    docs = spark.createDataFrame([("s", i, "the energy" if i < 3 else "the water") for i in range(6)],
+                                 "source string, page int, content string")
+    q = spark.createDataFrame([(0, "the water")], "query_id int, text string")
+    model = R.tfidf_fit(docs)
+    full = {r.page: r.score for r in R.sparse_topk(q, model, 6).collect()}
+    cut = {r.page: r.score for r in R.sparse_topk(q, model, 6, min_idf=1.01).collect()}
+    assert full[0] > 0 and cut[0] == 0.0          # 'the' (idf 1.0) no longer scores
+    assert [p for p, v in sorted(cut.items()) if v > 0] == [3, 4, 5]
