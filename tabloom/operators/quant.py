@@ -70,7 +70,7 @@ def q_best_item(f: DataFrame, by, item: str = "company", how: str = "max") -> Da
     """The item with the highest / lowest value (ties -> smallest name)."""
     w = Window.partitionBy(*by).orderBy(*_ordered(how, item))
     return (f.where(F.col("value").isNotNull()).withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") == 1).select(*by, item, "value"))
+            .where(F.col("_r") <= 1).select(*by, item, "value"))
 
 
 def q_rank(f: DataFrame, by, n: int, item: str = "company", pick: str = "high", order: str = "desc",

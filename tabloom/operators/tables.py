@@ -255,14 +255,44 @@ def _rendered(cells: DataFrame, kk, cell_fmt, head_fmt, row_open="", row_close="
 
 
 def render_csv(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";", max_lines: int | None = None) -> DataFrame:
-    """A table as ';'-separated text, header line first.  ``max_lines`` gives L5's preview."""
+    """A table as ';'-separated text, header line first.  ``max_lines`` gives L5's preview.
+
+    The text of one table is one value; for writing very large tables use
+    ``csv_lines`` (one row per line) with ``sinks.writers.write_tables``.
+    """
     kk = _key(key_cols)
     q = lambda c: csv_quote(c, sep)
-    r = _rendered(cells, kk, q, q, sep=sep)
-    lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()), F.col("_lines"))
-    if max_lines is not None:
-        lines = F.slice(lines, 1, max_lines)
-    return r.select(*kk, F.array_join(lines, "\n").alias("csv"))
+    if max_lines is None:
+        r = _rendered(cells, kk, q, q, sep=sep)
+        lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()),
+                         F.col("_lines"))
+        return r.select(*kk, F.array_join(lines, "\n").alias("csv"))
+    # Preview: only the rows that can appear are aggregated (at most
+    # max_lines - 1 per table); the header comes from a per-column aggregate
+    # over the whole table (bounded by its width).
+    body = _rendered(cells.where(F.col("row_idx") < max_lines - 1), kk, q, q, sep=sep).select(*kk, "_lines")
+    heads = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("h"))
+             .groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("_hs")))
+    heads = heads.select(*kk, F.array_join(F.transform("_hs", lambda x: q(x["h"])), sep).alias("_head"))
+    r = heads.join(body, kk, "full")
+    lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()),
+                     F.coalesce(F.col("_lines"), F.array().cast("array<string>")))
+    return r.select(*kk, F.array_join(F.slice(lines, 1, max_lines), "\n").alias("csv"))
+
+
+def csv_lines(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";") -> DataFrame:
+    """T11 as lines: (<key>, line_no, line) with the header as line 0; no per-table collect."""
+    kk = _key(key_cols)
+    q = lambda c: csv_quote(c, sep)
+    rows = cells.groupBy(*kk, "row_idx").agg(
+        F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c")))).alias("_cs"))
+    body = rows.select(*kk, (F.col("row_idx") + 1).alias("line_no"),
+                       F.array_join(F.transform("_cs", lambda x: q(x["c"])), sep).alias("line"))
+    heads = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("h"))
+             .groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("_hs")))
+    head = heads.select(*kk, F.lit(0).alias("line_no"),
+                        F.array_join(F.transform("_hs", lambda x: q(x["h"])), sep).alias("line"))
+    return head.unionByName(body)
 
 
 def _esc(c: Column) -> Column:

@@ -9,13 +9,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.tables import render_csv
+from tabloom.operators.tables import csv_lines, render_csv
 
 
 def write_tables(cells: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
-    """K1: one CSV text per (source, page, table_no) partition folder."""
-    csv = render_csv(cells, sep=sep)
-    (csv.repartition("source", "page", "table_no")
+    """K1: one CSV text per (source, page, table_no) partition folder.
+
+    Lines are streamed in order (header first) by a sort within partitions,
+    never collected into one value, so a table of any size is written by
+    the task that holds it without building it in memory.
+    """
+    lines = csv_lines(cells, sep=sep)
+    (lines.repartition("source", "page", "table_no")
+     .sortWithinPartitions("source", "page", "table_no", "line_no")
+     .select("source", "page", "table_no", "line")
      .write.mode(mode).partitionBy("source", "page", "table_no").text(path))
 
 
