@@ -82,18 +82,24 @@ def _row_summaries(cells: DataFrame, kk) -> DataFrame:
         F.max("col_idx").alias("_rw"))
 
 
+def _header_pairs(rows: DataFrame, kk) -> DataFrame:
+    """Per table: sorted (col_idx, header) pairs, one per column (max label).
+
+    Built from the row summaries with a combinable per-(table, column)
+    aggregate, so the per-table list is bounded by the table's width, not
+    by its row count.
+    """
+    per_col = (rows.select(*kk, F.explode("_h").alias("_p"))
+               .groupBy(*kk, F.col("_p.col_idx").alias("col_idx")).agg(F.max("_p.header").alias("header")))
+    return per_col.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("_hp"))
+
+
 def _table_summaries(rows: DataFrame, kk, from_header: bool = True) -> DataFrame:
-    """Per table: width and the header of every column (max label, like a groupBy max)."""
-    pairs = F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h"))))
+    """Per table: width and the header of every column (combinable aggregates only)."""
     width = (F.max("_hw") if from_header else F.max("_rw")) + 1
-    # Reading every summary column keeps this branch's input identical to the
-    # row branch, so Spark reuses one shuffle instead of re-deriving the cells.
-    t = rows.groupBy(*kk).agg(width.alias("width"), pairs.alias("_hp"),
-                              F.max(F.size("_m")).alias("_mx"), F.max("_rw").alias("_rx"), F.max("_hw").alias("_hx"))
-    # keep the last (largest) label of each column in the sorted pair list
-    last = F.filter("_hp", lambda x, i: (i == F.size("_hp") - 1)
-                    | (F.try_element_at("_hp", i + 2)["col_idx"] != x["col_idx"]))
-    return t.select(*kk, "width", F.map_from_entries(last).alias("_hmap"))
+    w = rows.groupBy(*kk).agg(width.alias("width"))
+    h = _header_pairs(rows, kk)
+    return w.join(h, kk, "left").select(*kk, "width", F.map_from_entries("_hp").alias("_hmap"))
 
 
 def repair_table(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True) -> DataFrame:
@@ -244,13 +250,11 @@ def _rendered(cells: DataFrame, kk, cell_fmt, head_fmt, row_open="", row_close="
     rows = rows.select(*kk, "row_idx", "_h", F.concat(
         F.lit(row_open), F.array_join(F.transform("_cs", lambda x: cell_fmt(x["c"])), sep), F.lit(row_close))
         .alias("line"))
-    t = rows.groupBy(*kk).agg(
-        F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("_h")))).alias("_hp"))
-    last = F.filter("_hp", lambda x, i: (i == F.size("_hp") - 1)
-                    | (F.try_element_at("_hp", i + 2)["col_idx"] != x["col_idx"]))
-    head = F.when(F.size("_hp") > 0, F.concat(
-        F.lit(row_open), F.array_join(F.transform(last, lambda x: head_fmt(x["header"])), sep), F.lit(row_close)))
+    t = rows.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls"))
+    t = t.join(_header_pairs(rows, kk), kk, "left")
+    hp = F.coalesce(F.col("_hp"), F.array().cast("array<struct<col_idx:int,header:string>>"))
+    head = F.when(F.size(hp) > 0, F.concat(
+        F.lit(row_open), F.array_join(F.transform(hp, lambda x: head_fmt(x["header"])), sep), F.lit(row_close)))
     return t.select(*kk, head.alias("_head"), F.transform("_ls", lambda x: x["line"]).alias("_lines"))
 
 
