@@ -86,3 +86,33 @@ def export_sector(pages: DataFrame, cells: DataFrame, hits: DataFrame, path: str
         f"{path}/pages")
     t.select("sector", "source", "page", "table_no", "csv").write.mode(mode).partitionBy(
         "sector", "source", "page", "table_no").text(f"{path}/tables")
+
+
+def delete_from_store(spark, store_path: str, ids: DataFrame, staging_path: str) -> int:
+    """I8 on a bucket-partitioned store: rewrite only the buckets that hold the ids.
+
+    The surviving rows of the touched buckets are staged under
+    ``staging_path`` (shared storage, e.g. below ``spark.checkpoint.dir``) and
+    written back with dynamic partition overwrite, so untouched buckets keep
+    their files; buckets left empty are removed.  Returns the number of
+    buckets rewritten.  The driver only sees bucket numbers (at most the
+    store's bucket count).
+    """
+    from tabloom.plans.sizing import broadcast_if_bounded
+
+    store = spark.read.parquet(store_path)
+    keys = broadcast_if_bounded(ids.select("chunk_id").distinct())
+    touched = [r["bucket"] for r in store.join(keys, "chunk_id", "left_semi").select("bucket").distinct().collect()]
+    if not touched:
+        return 0
+    keep = store.where(F.col("bucket").isin(touched)).join(keys, "chunk_id", "left_anti")
+    keep.write.mode("overwrite").partitionBy("bucket").parquet(staging_path)
+    staged = spark.read.parquet(staging_path)
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("bucket").parquet(store_path))
+    present = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    for b in set(touched) - present:
+        p = jvm.org.apache.hadoop.fs.Path(f"{store_path.rstrip('/')}/bucket={b}")
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(touched)

@@ -479,3 +479,21 @@ def test_min_idf_cut_is_off_by_default_and_only_drops_common_terms(spark):
     cut = {r.page: r.score for r in R.sparse_topk(q, model, 6, min_idf=1.01).collect()}
     assert full[0] > 0 and cut[0] == 0.0          # 'the' (idf 1.0) no longer scores
     assert [p for p, v in sorted(cut.items()) if v > 0] == [3, 4, 5]
+
+
+def test_delete_from_bucketed_store(spark):
+    import glob
+    rows = [(f"id{i}", f"s{i % 7}", i) for i in range(70)]
+    chunks = ingest.with_store_bucket(spark.createDataFrame(rows, "chunk_id string, source string, page int"), n=16)
+    root = _tmp()
+    chunks.write.partitionBy("bucket").parquet(f"{root}/store")
+    before = {d: os.path.getmtime(d) for d in glob.glob(f"{root}/store/bucket=*")}
+    doomed = spark.createDataFrame([("id0",), ("id7",), ("id3",)], "chunk_id string")
+    n = writers.delete_from_store(spark, f"{root}/store", doomed, f"{root}/staging")
+    left = spark.read.parquet(f"{root}/store")
+    assert left.count() == 67 and left.where(F.col("chunk_id").isin("id0", "id7", "id3")).count() == 0
+    touched = {r.bucket for r in chunks.where(F.col("chunk_id").isin("id0", "id7", "id3")).collect()}
+    assert n == len(touched)
+    after = {d: os.path.getmtime(d) for d in glob.glob(f"{root}/store/bucket=*")}
+    untouched = [d for d in before if int(d.rsplit("=", 1)[1]) not in touched]
+    assert untouched and all(after[d] == before[d] for d in untouched)
