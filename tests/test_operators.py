@@ -497,3 +497,28 @@ def test_delete_from_bucketed_store(spark):
     after = {d: os.path.getmtime(d) for d in glob.glob(f"{root}/store/bucket=*")}
     untouched = [d for d in before if int(d.rsplit("=", 1)[1]) not in touched]
     assert untouched and all(after[d] == before[d] for d in untouched)
+
+
+def test_stream_ingest_incremental_and_idempotent(spark):
+    from tabloom.streaming.ingest_stream import ingest_stream
+    root = _tmp()
+    schema = "source string, page int, content string"
+
+    def to_chunks(batch):
+        b = batch.withColumns({"model_name": F.lit("m"), "company_name": F.col("source"),
+                               "company_sectors": F.array(F.lit("x"))})
+        return ingest.with_chunk_id(b).select("chunk_id", "source", "page", "content")
+
+    spark.createDataFrame([("a", 1, "one"), ("a", 2, "two")], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    file_schema = spark.read.parquet(f"{root}/in").schema
+    q = ingest_stream(spark, f"{root}/in", file_schema, f"{root}/store",
+                      f"{root}/ckpt", to_chunks)
+    q.awaitTermination()
+    assert spark.read.parquet(f"{root}/store").count() == 2
+    # a new file arrives: one new chunk and one repeat of an already stored chunk
+    spark.createDataFrame([("a", 2, "two"), ("b", 1, "three")], schema).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    q = ingest_stream(spark, f"{root}/in", file_schema, f"{root}/store",
+                      f"{root}/ckpt", to_chunks)
+    q.awaitTermination()
+    store = spark.read.parquet(f"{root}/store")
+    assert store.count() == 3 and store.select("chunk_id").distinct().count() == 3
