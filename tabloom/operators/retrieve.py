@@ -95,7 +95,10 @@ def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=("page",),
     idf = dfreq.join(n_docs, g).select(
         *g, "term",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    w = tf.join(idf, g + ["term"]).select(*g, *kk, "term", "idf", (F.col("tf") * F.col("idf")).alias("w"))
+    # Hash join building on idf (one row per group and term, far smaller than
+    # tf): no sort of the tf rows; AQE still splits a skewed hot-term partition.
+    w = (tf.join(idf.hint("shuffle_hash"), g + ["term"])
+         .select(*g, *kk, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")))
     doc_win = Window.partitionBy(*g, *kk)
     weights = w.select(*g, *kk, "term", "idf",
                        (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc_win))).alias("wn"))
