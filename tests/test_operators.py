@@ -283,12 +283,13 @@ def test_sparse_topk_matches_brute_force(spark):
     chunks = spark.createDataFrame([("s", p, c) for p, c in docs.items()], "source string, page int, content string")
     queries = spark.createDataFrame([(0, "energy use of water"), (1, "nothing matches zz")],
                                     "query_id int, text string")
-    got = R.sparse_topk(queries, R.tfidf_fit(chunks), k=5).orderBy("query_id", "rank").collect()
-    for qid, qtext in ((0, "energy use of water"), (1, "nothing matches zz")):
-        exp = _brute_tfidf(docs, qtext, 5)
-        mine = [(r.page, r.score) for r in got if r.query_id == qid]
-        assert [p for p, _ in mine] == [p for p, _ in exp]
-        assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, exp))
+    for engine in ("arrow", "jvm"):
+        got = R.sparse_topk(queries, R.tfidf_fit(chunks), k=5, engine=engine).orderBy("query_id", "rank").collect()
+        for qid, qtext in ((0, "energy use of water"), (1, "nothing matches zz")):
+            exp = _brute_tfidf(docs, qtext, 5)
+            mine = [(r.page, r.score) for r in got if r.query_id == qid]
+            assert [p for p, _ in mine] == [p for p, _ in exp]
+            assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, exp))
 
 
 def test_fuse_lambda_zero_ranks_like_dense(spark):
