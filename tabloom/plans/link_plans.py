@@ -292,3 +292,36 @@ def q_default_verdicts(spark, sf_dir):
     code description and the table preview reaches the threshold."""
     _, v = _default_verdict_refs(spark, sf_dir)
     return v.select("source", "code", F.col("page").cast("long"), "table_no", "verdict")
+
+
+MISSING_PAGE = -1  # a reference to a table that does not exist, appended to every question
+
+
+def qa_corpus(spark, sf_dir):
+    """Questions with list-valued table references, from the kept links (plus one dangling ref)."""
+    kept = refs_after(spark, sf_dir)
+    per_q = kept.groupBy("code").agg(F.array_sort(F.collect_list(
+        F.struct("source", "ordinal", "page", "table_no"))).alias("_r"))
+    refs = F.transform("_r", lambda x: F.struct(x["source"].alias("source"), x["page"].cast("int").alias("page"),
+                                               x["table_no"].alias("table_no")))
+    dangling = F.array(F.struct(F.element_at("_r", 1)["source"].alias("source"),
+                                F.lit(MISSING_PAGE).alias("page"), F.lit(0).alias("table_no")))
+    return per_q.select(F.expr("cast(substring(code, 2) as bigint)").alias("qid"),
+                        F.concat(refs, dangling).alias("refs"))
+
+
+@register("qa_tables", "WITH " + SQL_REFS + f""",
+r AS (SELECT TRY_CAST(substring(code, 2) AS BIGINT) AS qid, source, page::INTEGER AS page, table_no,
+             row_number() OVER (PARTITION BY code ORDER BY source, ordinal, page, table_no) - 1 AS ref_no
+      FROM kept),
+d AS (SELECT qid, max(ref_no) + 1 AS ref_no, arg_min(source, source || lpad(ref_no::VARCHAR, 12, '0')) AS source,
+             {MISSING_PAGE} AS page, 0 AS table_no FROM r GROUP BY qid),
+u AS (SELECT qid, ref_no, source, page, table_no FROM r UNION ALL SELECT qid, ref_no, source, page, table_no FROM d)
+SELECT u.qid, u.ref_no::INTEGER AS ref_no, u.source, u.page, u.table_no,
+       NOT EXISTS (SELECT 1 FROM ti WHERE ti.source = u.source AND ti.page = u.page AND ti.table_no = u.table_no)
+         AS missing
+FROM u""")
+def q_qa_tables(spark, sf_dir):
+    """Explode each question's refs and attach the table; dangling refs are flagged."""
+    return L.qa_tables(qa_corpus(spark, sf_dir), tables(spark, sf_dir).select(
+        "source", F.col("page").cast("int").alias("page"), "table_no"))

@@ -217,3 +217,18 @@ lc AS (SELECT page_id, table_no::INTEGER AS table_no, row_idx::INTEGER AS row_id
 def q_html_list_cells(spark, sf_dir):
     p = driver.table(spark, sf_dir, "pages")
     return T.html_tables_to_cells(p, "html", ["page_id"], table_tag="ul", row_tag="li", cell_tags=("a",))
+
+
+@register("table_facts", "WITH " + S.CELLS + """,
+lbl AS (SELECT source, page, table_no, row_idx, cell AS row_label FROM cells WHERE col_idx = 0),
+dat AS (SELECT * FROM cells WHERE col_idx <> 0 AND NOT regexp_matches(coalesce(header, ''), '(?i)^units?$')),"""
+          + parse_number_sql_ctes("dat", "cell") + r"""
+SELECT p.source, p.page, p.table_no, p.row_idx, p.col_idx, l.row_label, p.header AS column_label,
+       CAST(NULL AS VARCHAR) AS unit,
+       CASE WHEN regexp_extract(coalesce(p.header, ''), '\b((?:19|20)[0-9]{2})\b', 1) <> ''
+            THEN regexp_extract(coalesce(p.header, ''), '\b((?:19|20)[0-9]{2})\b', 1)::INTEGER END AS year,
+       p.lo AS value, p.is_pct
+FROM pn6 p LEFT JOIN lbl l USING (source, page, table_no, row_idx)""")
+def q_table_facts(spark, sf_dir):
+    """Every lineitem table unpivoted to facts (row label, column label, unit, year, value)."""
+    return T.to_facts(driver.cells(spark, sf_dir))
