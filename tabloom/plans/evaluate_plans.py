@@ -121,3 +121,14 @@ FROM scored WHERE dataset = 'extra' GROUP BY model, hierarchical""")
 def q_exact_match_hierarchical(spark, sf_dir):
     scored = E.evaluate(driver.predictions(spark, sf_dir)).where(F.col("dataset") == "extra")
     return E.exact_match(scored, ["model", "hierarchical"])
+
+
+SAMPLE_QUESTIONS = 25
+
+
+@register("limit_questions", "WITH " + PRED_SQL + f"""
+SELECT qid, question, value FROM pred ORDER BY qid LIMIT {SAMPLE_QUESTIONS}""")
+def q_limit_questions(spark, sf_dir):
+    """The first n questions of the corpus by id (the sampling option of a test run)."""
+    qa = driver.predictions(spark, sf_dir).select("qid", "question", "value")
+    return E.limit_questions(qa, SAMPLE_QUESTIONS)
