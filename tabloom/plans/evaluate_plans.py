@@ -132,3 +132,13 @@ def q_limit_questions(spark, sf_dir):
     """The first n questions of the corpus by id (the sampling option of a test run)."""
     qa = driver.predictions(spark, sf_dir).select("qid", "question", "value")
     return E.limit_questions(qa, SAMPLE_QUESTIONS)
+
+
+@register("results_by_index", "WITH " + SCORED_SQL + """
+SELECT qid, model, correct, hierarchical FROM scored""")
+def q_results_by_index(spark, sf_dir):
+    """Scored results get the corpus' hierarchical flag by question id (not by position)."""
+    from tabloom.operators import link as L
+    pred = driver.predictions(spark, sf_dir)
+    results = E.evaluate(pred.drop("hierarchical")).select("qid", "model", "correct")
+    return L.join_on_index(results, pred.select("qid", "hierarchical"))
