@@ -297,11 +297,13 @@ def dense_topk_arrow(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
                      group_cols=("source",), key_cols=("page",),
                      query_col: str = "query_id", qvec_col: str = "embedding",
                      vec_col: str = "embedding", score: str = "distance",
-                     max_query_rows: int = 200_000) -> DataFrame:
+                     max_query_rows: int | None = None, max_query_bytes: int = 256 << 20) -> DataFrame:
     """R5/R6 fast path for wide vectors: block matrix products on Arrow batches.
 
     The (bounded, probed) query matrix is shipped to executors once as a
-    broadcast variable, exactly what a broadcast join would do with it.
+    broadcast variable, exactly what a broadcast join would do with it.  The
+    bound is ``max_query_bytes`` of float64 matrix (256 MB: 43k queries at
+    768 dimensions); larger query sets are split into hash blocks.
     Every Arrow batch of document vectors is scored against all queries with
     one BLAS matmul and reduced to its own top-k per (query, group) before
     Spark sees it; the global top-k then runs with a partial limit before the
@@ -314,6 +316,11 @@ def dense_topk_arrow(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
         raise ValueError("score must be 'distance' or 'similarity'")
     g, kk = list(group_cols), list(key_cols)
     q = queries.select(F.col(query_col).alias("query_id"), F.col(qvec_col).alias("v")).where(F.col("v").isNotNull())
+    if max_query_rows is None:
+        # The bound is in bytes of the shipped float64 matrix: rows x width x 8.
+        first = q.select(F.size("v").alias("d")).first()
+        width = max(int(first["d"]), 1) if first else 1
+        max_query_rows = max(1, max_query_bytes // (8 * width))
     if q.limit(max_query_rows + 1).count() > max_query_rows:
         # Beyond the bound the query side is split into hash blocks that each
         # fit it; every block is scored like a small query set and the
@@ -328,7 +335,8 @@ def dense_topk_arrow(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
             blocks *= 2
         parts = [dense_topk_arrow(b.where(F.col("_b") == i).select(F.col("query_id").alias(query_col),
                                                                    F.col("v").alias(qvec_col)),
-                                  vecs, k, g, kk, query_col, qvec_col, vec_col, score, max_query_rows)
+                                  vecs, k, g, kk, query_col, qvec_col, vec_col, score, max_query_rows,
+                                  max_query_bytes)
                  for i in range(blocks)]
         out = parts[0]
         for p in parts[1:]:
