@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.operators.filters import any_sector
-from tabloom.operators.retrieve import (DEFAULT_K, DEFAULT_LAMBDA, dense_topk, fuse, round_score,
-                                        sparse_topk, tfidf_fit)
+from tabloom.operators.retrieve import DEFAULT_K, DEFAULT_LAMBDA, dense_topk, fuse, round_score, sparse_topk
 from tabloom.plans import sql_frags as S
+from tabloom.plans.index_store import stored_tfidf
 from tabloom.plans.registry import register
 from tabloom.sources import driver
 
@@ -36,14 +36,30 @@ def _sector_vecs(spark, sf_dir):
     return v.withColumn("selection", F.lit(SELECTION_NAME))
 
 
+def _corpus_files(sf_dir):
+    d = sf_dir.rstrip("/")
+    return [f"{d}/documents.parquet", f"{d}/labels.parquet"]
+
+
+def source_index(spark, sf_dir):
+    """The per-document TF-IDF index, fitted once per corpus version and stored."""
+    return stored_tfidf(spark, "by-source", _corpus_files(sf_dir), lambda: driver.chunks(spark, sf_dir),
+                        ["source"], ["page"])
+
+
+def sector_index(spark, sf_dir):
+    """The TF-IDF index of the sector selection (fitted on its union), stored likewise."""
+    name = "sectors-" + "-".join(SECTOR_SELECTION)
+    return stored_tfidf(spark, name, _corpus_files(sf_dir), lambda: _sector_chunks(spark, sf_dir),
+                        ["selection"], ["source", "page"])
+
+
 def sparse_by_source(spark, sf_dir, k=DEFAULT_K):
-    model = tfidf_fit(driver.chunks(spark, sf_dir), ["source"], ["page"])
-    return sparse_topk(driver.text_queries(spark, sf_dir), model, k)
+    return sparse_topk(driver.text_queries(spark, sf_dir), source_index(spark, sf_dir), k)
 
 
 def sparse_by_sectors(spark, sf_dir, k=DEFAULT_K):
-    model = tfidf_fit(_sector_chunks(spark, sf_dir), ["selection"], ["source", "page"])
-    return sparse_topk(driver.text_queries(spark, sf_dir), model, k)
+    return sparse_topk(driver.text_queries(spark, sf_dir), sector_index(spark, sf_dir), k)
 
 
 def dense_by_source(spark, sf_dir, k=DEFAULT_K):
