@@ -2,8 +2,9 @@
 
 The reference refits TF-IDF for every question.  Here the fit is a table
 written below ``spark.checkpoint.dir`` (shared storage on a cluster), keyed by
-the input files it was built from (path, size, modification time) and the
-grouping, so it is rebuilt exactly when the corpus changes.  It is written to
+the input files it was built from (path, size, modification time), the
+grouping and the version of the fitting code, so it is rebuilt exactly when
+the corpus or the fit changes.  It is written to
 a temporary folder and renamed into place, so a reader never sees a partial
 index and a lost executor during the build only repeats the build.
 """
@@ -16,10 +17,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tabloom.functions.text import TOKEN_PATTERN
 from tabloom.operators.retrieve import TfidfModel, tfidf_fit
 from tabloom.session import checkpoint_dir
 
 
+def _code_version() -> str:
+    """Changes whenever the fitting code or the token rule changes (no stale index)."""
+    import inspect
+    return hashlib.sha256((inspect.getsource(tfidf_fit) + TOKEN_PATTERN).encode()).hexdigest()[:12]
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -39,8 +47,8 @@ def fingerprint(spark: SparkSession, paths) -> str:
 def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[[], DataFrame],
                  group_cols, key_cols, text_col: str = "content") -> TfidfModel:
     """Load the index for (name, inputs, grouping) or fit and store it first."""
-    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{list(group_cols)}|{list(key_cols)}"
-                         .encode()).hexdigest()[:24]
+    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{list(group_cols)}|{list(key_cols)}|"
+                         f"{text_col}|{_code_version()}".encode()).hexdigest()[:24]
     base = f"{checkpoint_dir(spark).rstrip('/')}/indexes/{name}-{key}"
     p, fs = _fs(spark, f"{base}/_COMPLETE")
     if not fs.exists(p):

@@ -523,3 +523,28 @@ def test_stream_ingest_incremental_and_idempotent(spark):
     q.awaitTermination()
     store = spark.read.parquet(f"{root}/store")
     assert store.count() == 3 and store.select("chunk_id").distinct().count() == 3
+
+
+def test_stored_index_reused_and_rebuilt_on_change(spark):
+    import time
+    from tabloom.plans.index_store import stored_tfidf
+    root = _tmp()
+    spark.createDataFrame([("s", 1, "energy water"), ("s", 2, "water")], "source string, page int, content string") \
+        .coalesce(1).write.parquet(f"{root}/docs")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.read.parquet(f"{root}/docs")
+    q = spark.createDataFrame([(0, "water")], "query_id int, text string")
+    m1 = stored_tfidf(spark, "t", [f"{root}/docs"], build, ["source"], ["page"])
+    m2 = stored_tfidf(spark, "t", [f"{root}/docs"], build, ["source"], ["page"])
+    assert len(calls) == 1
+    assert [r.page for r in R.sparse_topk(q, m2, 2).orderBy("rank").collect()] == [2, 1]
+    time.sleep(1.1)
+    spark.createDataFrame([("s", 1, "energy water water water"), ("s", 2, "energy")],
+                          "source string, page int, content string").coalesce(1).write.mode("overwrite") \
+        .parquet(f"{root}/docs")
+    m3 = stored_tfidf(spark, "t", [f"{root}/docs"], build, ["source"], ["page"])
+    assert len(calls) == 2
+    assert [r.page for r in R.sparse_topk(q, m3, 2).orderBy("rank").collect()] == [1, 2]
