@@ -62,3 +62,26 @@ def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[
         else:  # built concurrently by another job: keep theirs
             fs.delete(src, True)
     return TfidfModel.load(spark, base, group_cols, key_cols)
+
+
+def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame], version: str) -> DataFrame:
+    """A derived table stored once per (inputs, version) below the shared folder.
+
+    Used for relations that production would store at ingest time (e.g. the
+    extracted table cells); the same temporary-folder-then-rename protocol
+    as the indexes.
+    """
+    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{version}".encode()).hexdigest()[:24]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
+    p, fs = _fs(spark, f"{base}/_COMPLETE")
+    if not fs.exists(p):
+        tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
+        build().write.parquet(tmp)
+        fs.create(_fs(spark, f"{tmp}/_COMPLETE")[0]).close()
+        src, _ = _fs(spark, tmp)
+        dst, _ = _fs(spark, base)
+        if not fs.exists(dst):
+            fs.rename(src, dst)
+        else:
+            fs.delete(src, True)
+    return spark.read.parquet(base)

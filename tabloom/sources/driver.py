@@ -19,6 +19,8 @@ Fixed mapping (also documented in README):
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -100,6 +102,28 @@ NOTE_CELL = "** R"
 
 
 def cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """Long cells of the lineitem tables, as a stored table.
+
+    Production extracts tables once and stores their cells; here the mapping
+    from lineitem (``derive_cells``) plays that role and is stored once per
+    version of its input files and code below the shared checkpoint folder.
+    ``only(source, page, table_no)`` keeps just those tables.
+    """
+    import inspect
+
+    from tabloom.plans.index_store import stored_frame
+
+    d = sf_dir.rstrip("/")
+    version = hashlib.sha256((inspect.getsource(derive_cells) + inspect.getsource(table_index)
+                              + repr((CELL_HEADERS, NOTE_CELL, TABLES_PER_PAGE))).encode()).hexdigest()[:12]
+    c = stored_frame(spark, "cells", [f"{d}/lineitem.parquet", f"{d}/orders.parquet", f"{d}/documents.parquet"],
+                     lambda: derive_cells(spark, sf_dir), version)
+    if only is not None:
+        c = c.join(only.select("source", "page", "table_no").distinct(), ["source", "page", "table_no"], "left_semi")
+    return c
+
+
+def derive_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
     """Long cells of the lineitem tables (one table per order).
 
     ``only(source, page, table_no)`` restricts the tables before any line is
