@@ -59,10 +59,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     registered, so ``DataFrame.checkpoint()`` can cut lineage reliably.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
+    if not current:
+        # The context may already have one (setCheckpointDir adds a run folder
+        # below the configured path; its parent is the shared folder).
+        ctx_dir = spark.sparkContext.getCheckpointDir()
+        current = ctx_dir.rsplit("/", 1)[0] if ctx_dir else None
     if not current:
         current = tempfile.mkdtemp(prefix="tabloom-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+        try:
+            spark.conf.set("spark.checkpoint.dir", current)
+        except Exception:  # a read-only runtime setting: the context path below still applies
+            pass
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(current)
     return current
 
 
