@@ -34,6 +34,21 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _publish(spark: SparkSession, tmp: str, base: str) -> None:
+    """Move a finished build into place; if another job won the race, keep theirs.
+
+    A rename onto a folder created meanwhile would nest the build inside it,
+    so that case is detected and the nested copy removed.
+    """
+    src, fs = _fs(spark, tmp)
+    dst, _ = _fs(spark, base)
+    if fs.exists(dst) or not fs.rename(src, dst):
+        fs.delete(src, True)
+    nested, _ = _fs(spark, f"{base}/{tmp.rsplit('/', 1)[1]}")
+    if fs.exists(nested):
+        fs.delete(nested, True)
+
+
 def fingerprint(spark: SparkSession, paths) -> str:
     """Hash of (path, size, modification time) of every input file."""
     h = hashlib.sha256()
@@ -55,12 +70,7 @@ def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[
         tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
         tfidf_fit(build_chunks(), group_cols, key_cols, text_col).save(tmp)
         fs.create(_fs(spark, f"{tmp}/_COMPLETE")[0]).close()
-        src, _ = _fs(spark, tmp)
-        dst, _ = _fs(spark, base)
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-        else:  # built concurrently by another job: keep theirs
-            fs.delete(src, True)
+        _publish(spark, tmp, base)
     return TfidfModel.load(spark, base, group_cols, key_cols)
 
 
@@ -78,10 +88,5 @@ def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], Dat
         tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
         build().write.parquet(tmp)
         fs.create(_fs(spark, f"{tmp}/_COMPLETE")[0]).close()
-        src, _ = _fs(spark, tmp)
-        dst, _ = _fs(spark, base)
-        if not fs.exists(dst):
-            fs.rename(src, dst)
-        else:
-            fs.delete(src, True)
+        _publish(spark, tmp, base)
     return spark.read.parquet(base)
