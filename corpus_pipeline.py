@@ -7,6 +7,8 @@ the last return the columns of ``documents``.
 1. ``quality_rules``: documents that the rules reject go.
 2. ``ngram_jaccard_join``: one document of each class of near copies stays.
 3. ``decontaminate``: documents that share ten words in a row with a benchmark item go.
+4. ``pii``: personal data in the text is replaced by its kind.
+5. ``sentencepiece``: doc_id, token count and digests of the ids and of the decoded text.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabloom.llm import decontaminate, ngram_join, quality_llr, queries
+from tabloom.llm import decontaminate, ngram_join, pii_spans, quality_llr, queries
 from tabloom.session import checkpoint_dir
 
 
@@ -32,10 +34,20 @@ def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
 
 
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii_spans.mask(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return queries.encoded(docs)
+
+
 STAGES = [
     ("quality_rules", quality_rules),
     ("ngram_jaccard_join", ngram_jaccard_join),
     ("decontaminate", decontaminate_benchmark),
+    ("pii", pii),
+    ("sentencepiece", sentencepiece),
 ]
 
 #: SQL has neither the hash functions of the rules nor the tokenizer: tested against brute force.

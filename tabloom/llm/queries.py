@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
-from . import decontaminate, ngram_join, quality_llr
+from . import decontaminate, ngram_join, pii_spans, piece_codec, quality_llr, token_count
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,11 +27,32 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoded(table(spark, sf_dir, "documents"))
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    return piece_codec.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = quality_llr.rate(table(spark, sf_dir, "documents"), trusted(spark, sf_dir))
     return rated.select("doc.doc_id", "rating.*")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans.detect(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda c: c["base"])
+    counts = [F.size(F.filter("spans", lambda c, k=k: c["base"] & (c["kind"] == k))).cast("bigint").alias(f"n_{name}")
+              for k, name in enumerate(pii_spans.KINDS)]
+    return found.select("doc.doc_id", *counts, F.sha2(pii_spans.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        pii_spans.joined(F.col("spans")).alias("spans"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x["b"] - x["a"])
@@ -40,7 +62,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_ngram_jaccard_join, op5_quality_rules, op10_decontaminate)}
+    return {f.__name__: f for f in (
+        op2_ngram_jaccard_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op8_pii, op10_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
