@@ -18,8 +18,8 @@ from .exprs import let, neighbours, words_of
 
 #: Cells of each multinomial (a power of two) and the count added to every cell.
 BUCKETS, SMOOTHING = 1 << 16, 1.0
-#: Words of an n-gram: pairs of words (1 may be added).
-ORDERS = (2,)
+#: Words of an n-gram.
+ORDERS = (1, 2)
 #: Mean log-likelihood ratio per n-gram below which a document is rejected.
 THRESHOLD = -0.06
 #: The base rules: words of a window, least words, largest share of repeated words in percent.
