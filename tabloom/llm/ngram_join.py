@@ -260,7 +260,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     named = joined.join(joined.groupBy("root").agg(F.min("least").alias("class_id")), "root").select(
         "id", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"))
     return signed.select("doc_id", "row_key", "id").join(named.withColumnRenamed("root", "class_key"), "id", "left").select(
-        "doc_id", "row_key", F.coalesce("class_key", F.col("row_key").cast("binary")).alias("class_key"),
+        "doc_id", "row_key", F.coalesce("class_key", F.encode(F.col("row_key").cast("string"), "UTF-8")).alias("class_key"),
         F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"))
 
 
