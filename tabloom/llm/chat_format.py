@@ -63,14 +63,14 @@ LAYOUTS = (
     Layout("prompt_response", (("user", "prompt"), ("assistant", "response"))),
     Layout("question_answer", (("user", "question"), ("assistant", "answer"))),
 )
-#: One row per turn: a table layout only.
-TURN_ROWS = ("conv_id", "role", "text", "turn")
-KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths} | set(TURN_ROWS) - {"text"})
+#: Paths that tell layouts apart; those of a table with one row per turn.
+KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths})
+TURN_ROWS = ("role", "turn")
 
 
 def fingerprint(paths) -> str:
     """Hash of the known ones among nested field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & set(KNOWN))).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(set(paths) & {*KNOWN, *TURN_ROWS})).encode()).hexdigest()
 
 
 def schema_paths(schema: StructType, prefix: str = "") -> list[str]:

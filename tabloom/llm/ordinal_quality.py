@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import U, Words, _power_tables, chunks, mix
 
 CELLS, GRADES = 1 << 18, 3
-SAMPLE, EPOCHS, RATE, RIDGE = 8_000, 10, 0.1, 1e-6
+SAMPLE, STEPS, RATE, RIDGE = 8_000, 80_000, 0.1, 1e-6
 LEAST, SCREEN = 3, 5.0
 SELECT = 0.5
 
@@ -67,7 +67,7 @@ class CumulativeLink:
         theta, theta_square = np.log(share / (1 - share)), np.full(GRADES - 1, 1e-8)
         rows = self._screened(rows, grades)
         order = np.random.default_rng(7)
-        for _ in range(EPOCHS):
+        for _ in range(-(-STEPS // len(rows))):
             for i in order.permutation(len(rows)):
                 cells, k = rows[i], grades[i]
                 upper = _sigmoid(theta - w[cells].sum())

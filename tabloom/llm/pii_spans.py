@@ -53,7 +53,7 @@ NEAR = {
 }
 AGAINST = r"(?i)version|isbn|issn|doi|order|invoice|serial|sku|\bref\b|section|ticket|build|page"
 #: Characters of context; accepted probability; rounds of EM and of the classifier's fit.
-CONTEXT, ACCEPT, EM_ROUNDS, FIT_ROUNDS = 32, 0.5, 40, 200
+CONTEXT, ACCEPT, EM_ROUNDS, FIT_ROUNDS = 32, 0.5, 200, 200
 VOTERS = ("format", "boundary", "gazetteer", "context")
 
 

@@ -21,7 +21,7 @@ BUCKETS, SMOOTHING = 1 << 16, 1.0
 #: Words of an n-gram.
 ORDERS = (1, 2)
 #: Mean log-likelihood ratio per n-gram below which a document is rejected.
-THRESHOLD = -0.06
+THRESHOLD = -0.25
 #: The base rules: words of a window, least words, largest share of repeated words in percent.
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 #: Trusted keys are broadcast up to this many bytes (16 a row); beyond, Spark's planner decides.

@@ -1,0 +1,430 @@
+"""The training-data operators against brute-force versions, libraries and round trips."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+import public_tokenizers
+import sentencepiece
+import xxhash
+from tabloom.llm import (
+    chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, queries,
+    secret_scan, token_count,
+)
+from tabloom.session import checkpoint_dir
+from tokenizers import Tokenizer
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def words(text):
+    return WORD.findall((text or "").translate(LOWER))
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def docs_of(spark, texts, start=0):
+    return spark.createDataFrame([(start + i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+#: Nulls, empty and very long texts, ties, repeated rows, odd characters.
+ODD = [None, "", " ", "\n\t", "a", "a", "Ünï çödé 日本 😀 é", "x" * 70_000, "w " * 20_000, "\x00\x1c\x85 <s> ▁ <|endoftext|>",
+       "one two three", "one two three", "1 " * 3000, "<|im_end|> \\<\\| <|im_start|>user", "@@@ +++ ... [.]"]
+
+
+def awkward(spark):
+    """ODD with repeated rows, a null id and columns that clash with internal names."""
+    d = docs_of(spark, ODD)
+    d = d.unionByName(d.where("doc_id < 6")).unionByName(d.where("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long")))
+    return d.select("*", *[F.lit(1).alias(c) for c in ("x", "k", "doc", "id", "row", "spans", "items", "b", "w", "t", "unit", "sig", "row_key", "path", "tag")])
+
+
+def empty(spark):
+    return docs_of(spark, ["a"]).where("false")
+
+
+# ---- 1 chat formatting
+
+def test_chat_round_trip_and_digests(spark):
+    rng = random.Random(1)
+    bits = ["<|im_end|>", "<|im_start|>", "<\\|", "\\", "\n", "a", "é", "<", "|", "", "<\\\\|x"]
+    rows = [(c, t, rng.choice(["user", "assistant", "sys\ntem", "a\\n<|", None]), rng.choice([None, "".join(rng.choices(bits, k=6))]))
+            for c in range(40) for t in range(rng.randint(1, 6))]
+    rows += rows[:3] + [(None, 0, "user", "x"), (None, None, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("piece", F.lit(1))
+    pieces = chat_format.format_turns(chat_format.from_table(df))
+    for r in pieces.collect():
+        assert r.piece.count("<|") == 2
+    got = {r.conv_id: r for r in chat_format.read_back(pieces).collect()}
+    convs = defaultdict(list)
+    for c, t, role, text in rows:
+        convs[c].append((-1 if t is None else t, role or "", text or ""))
+    assert set(got) == set(convs)
+    for c, turns in convs.items():
+        loss = Counter(x for _, role, x in turns if role == "assistant")
+        assert got[c].n_turns == len(turns)
+        assert got[c].loss_chars == sum(len(x) * n for x, n in loss.items())
+        if len({t for t, _, _ in turns}) == len(turns):
+            assert got[c].turns_sha256 == sha("".join(f"{r}\n{x}\n" for _, r, x in sorted(turns)))
+            assert got[c].loss_sha256 == sha("".join(x for _, r, x in sorted(turns) if r == "assistant"))
+    assert chat_format.read_back(chat_format.format_turns(df.where("false"))).count() == 0
+
+
+def test_chat_layouts_by_fingerprint(spark):
+    records = {
+        "messages": {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}], "id": 3},
+        "conversations": {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]},
+        "instruction": {"instruction": "q", "output": "a", "extra": {"deep": [1]}},
+        "prompt_response": {"prompt": "q", "response": "a"},
+    }
+    rows = [(n, json.dumps(r)) for n, r in records.items()] + [("none", "{\"foo\": 1}"), ("bad", "{not json"), ("null", None)]
+    df = spark.createDataFrame(rows, "conv_id string, record string")
+    got = defaultdict(list)
+    for r in chat_format.from_json(df, "record").orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    for name in records:
+        assert got[name] == [("user", "q"), ("assistant", "a")], name
+    assert got["bad"] == [(None, "{not json")] and got["none"][0][0] is None and got["null"] == [(None, None)]
+    typed = spark.createDataFrame([(7, [("user", "q"), ("assistant", "a")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert [(r.role, r.text) for r in chat_format.from_table(typed).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
+    with pytest.raises(ValueError):
+        chat_format.from_table(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
+
+
+# ---- 2 similarity join
+
+def brute_links(rows):
+    sets = {}
+    for i, t in rows:
+        w = words(t)
+        sets[i] = frozenset(tuple(w[j:j + 5]) for j in range(max(1, len(w) - 4))) if w else None
+    near = defaultdict(set)
+    ids = [i for i in sets if sets[i]]
+    for a in ids:
+        for b in ids:
+            if a < b and 5 * (n := len(sets[a] & sets[b])) >= 4 * (len(sets[a]) + len(sets[b]) - n):
+                near[a].add(b)
+                near[b].add(a)
+    out = {}
+    for i in sets:
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()] - seen:
+                seen.add(j)
+                todo.append(j)
+        out[i] = (min(seen), len(near[i]))
+    return out
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_ngram_join_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    checkpoint_dir(spark)
+    rng = random.Random(2)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(vocabulary, k=rng.randint(30, 120))
+        for _ in range(rng.randint(1, 9)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy) + rng.choice(["", ".", " !"]))
+    texts += ODD + ["one two three four", "One, two; three four"]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.link(docs_of(spark, texts)).collect()}
+    assert got == brute_links(rows)
+
+
+def test_ngram_join_awkward_rows(spark):
+    checkpoint_dir(spark)
+    d = awkward(spark)
+    rows = ngram_join.link(d).collect()
+    assert len(rows) == d.count()
+    assert ngram_join.link(empty(spark)).count() == 0
+    kept = ngram_join.drop_near_copies(d)
+    assert kept.columns == d.columns
+    texts = [r.text for r in kept.collect()]
+    assert texts.count("one two three") == 1 and texts.count("a") == 1
+
+
+def test_bayesian_bound_keeps_likely_pairs():
+    for n in range(32, 161, 32):
+        m = ngram_join.least_matches(n)
+        assert m <= 0.8 * n and ngram_join.least_matches(n, tolerance=0.5) > m
+
+
+# ---- 3 and 4 tokenizers
+
+def test_token_counts_match_the_library(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rng = random.Random(3)
+    bits = ["The", "don't", "'RE", " ", "\n", "\t", "Σ", "ς", "é", "<|endoftext|>", "<|startoftext|>", "12", "!?", "\x85", " ", "日本", "İ"]
+    texts = ODD + ["".join(rng.choices(bits, k=rng.randint(0, 20))) for _ in range(300)]
+    got = {r.doc_id: r for r in token_count.count_tokens(docs_of(spark, texts), path).collect()}
+    for i, t in enumerate(texts):
+        n = len(library.encode(t or "", add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len((t or "").encode()), n, n > 2048)
+    assert token_count.count_tokens(awkward(spark), path).count() == awkward(spark).count()
+    assert token_count.count_tokens(empty(spark), path).count() == 0
+
+
+def test_pieces_match_the_library(spark, monkeypatch):
+    monkeypatch.setattr(piece_codec, "TABLE_ROWS", 50)
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(4)
+    bits = ["ab", " ", "  ", "▁", "\n", "é", "日本", "😀", "the", "<s>", "\x00", " ", "ﬁ"]
+    texts = ODD + ["".join(rng.choices(bits, k=rng.randint(0, 20))) for _ in range(300)]
+    coded = piece_codec.encode(docs_of(spark, texts), path, ("n_tokens", "ids", "decoded", "ids_sha256", "decoded_sha256"))
+    back = {r.doc_id: r.decoded for r in piece_codec.decode(coded, path).collect()}
+    for r in coded.collect():
+        ids = library.encode(texts[r.doc_id] or "")
+        text = library.decode(ids)
+        assert (r.n_tokens, r.ids, r.decoded, r.ids_sha256, r.decoded_sha256) == (len(ids), ids, text, sha(",".join(map(str, ids))), sha(text))
+        assert back[r.doc_id] == text
+    assert piece_codec.encode(awkward(spark), path).count() == awkward(spark).count()
+    assert piece_codec.encode(empty(spark), path).count() == 0
+
+
+# ---- 5 quality rules
+
+def brute_measures(text):
+    blank = "[^\x20\x09-\x0D]+"
+    w = re.findall(blank, text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(blank, x)]
+    at = defaultdict(list)
+    for i in range(len(w) - 7):
+        at[tuple(w[i:i + 8])].append(i)
+    rep = {j for p in at.values() if len(p) > 1 for i in p for j in range(i, i + 8)}
+    n = len(w)
+    return (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(rep),
+            n < 20 or 100 * len(rep) > 30 * n)
+
+
+def test_quality_measures_and_ratio(spark):
+    rng = random.Random(5)
+    vocabulary = ["the", "of", "and", "tree", "a***", "|", "b##", "house", "<x>", "\x1cz"]
+    texts = ODD + [rng.choice([" ", "\n", "\t ", "\x0b"]).join(rng.choices(vocabulary, k=rng.randint(0, 60))) for _ in range(60)]
+    block = " ".join(rng.choices(vocabulary, k=30))
+    texts += [block + "\n" + block + "\n" + block, " ".join(["the"] * 40), "x\n" * 30, " ".join(f"w{i}" for i in range(25))]
+    d = docs_of(spark, texts)
+    good = spark.createDataFrame([(i,) for i in range(20, 40)], "doc_id long")
+    cells = quality_llr.BUCKETS
+
+    def grams(text):
+        w = re.findall("[^\x20\x09-\x0D]+", text or "")
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+        return [x % cells for x in h] + [(((a << 1) ^ b) % (1 << 64)) % cells for a, b in zip(h, h[1:])]
+
+    raw = Counter(g for t in texts for g in grams(t))
+    target = Counter(g for t in texts[20:40] for g in grams(t))
+    r, t = sum(raw.values()), sum(target.values())
+    ratio = lambda g: np.log((target[g] + 1) / (t + cells)) - np.log((raw[g] + 1) / (r + cells))
+    for row in quality_llr.rate(d, good).select("doc.doc_id", "rating.*").collect():
+        text = texts[row.doc_id]
+        want = brute_measures(text)
+        assert (row.n_words, row.word_chars, row.n_symbols, row.n_dup_lines, row.n_repeat_words, row.base_failed) == want, text
+        own = grams(text)
+        score = sum(map(ratio, own)) / len(own) if own else 0.0
+        assert abs(row.llr_per_ngram - score) < 1e-6
+        assert row.kept == (not want[-1] and row.llr_per_ngram >= quality_llr.THRESHOLD)
+    alone = quality_llr.rate(awkward(spark), good.where("false"))
+    assert alone.count() == awkward(spark).count() and alone.where("rating.llr_per_ngram <> 0").count() == 0
+    assert quality_llr.rate(empty(spark), good).count() == 0
+
+
+# ---- 6 licenses
+
+def test_license_lines_and_inheritance(spark):
+    rows = [("p/LICENSE", "Released under the MIT License."), ("p/a/x.py", "code"), ("p/a/LICENSE.txt", "Licensed under the Apache License, Version 2.0."),
+            ("p/a/b/y.py", "more"), ("p/a/b/z.py", "text\nThis work is licensed under the GNU General Public License, version 3.\nend"),
+            ("q/w.py", "none"), ("q/v.py", None), (None, ""), ("p/LICENSES/k.py", "no licence words match here at all in this line")]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df, F.col("path")).collect()}
+    assert [got[i].license for i in range(len(rows))] == ["MIT", "Apache-2.0", "Apache-2.0", "Apache-2.0", "GPL-3.0", None, None, None, "MIT"]
+    assert [got[i].inherited_from for i in (0, 1, 3, 4, 8)] == [None, "p/a", "p/a", None, "p"]
+    assert got[4].line_no == 1 and got[0].cosine == 1.0
+    assert license_scan.scan(awkward(spark), F.col("source")).count() == awkward(spark).count()
+    assert license_scan.scan(empty(spark), F.col("source")).count() == 0
+
+
+# ---- 7 classifier
+
+def test_ordinal_classifier_orders_held_out_grades(spark):
+    rng = random.Random(7)
+    common, bad, junk = [f"w{i}" for i in range(200)], ["nasty", "awful"], ["a***", "b###"]
+    texts, grade = [], []
+    for i in range(600):
+        g = i % 3
+        extra = [] if g == 2 else rng.choices(bad, k=4) if g == 1 else rng.choices(bad, k=2) + rng.choices(junk, k=10)
+        w = rng.choices(common, k=60) + extra
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        grade.append(g)
+    d = docs_of(spark, texts)
+    graded = spark.createDataFrame([(i, g) for i, g in enumerate(grade) if i < 400], "doc_id long, grade int")
+    model = ordinal_quality.fit(d, graded)
+    assert (np.diff(model.thresholds) >= 0).all()
+    held = [r for r in ordinal_quality.score(d, model).collect() if r.doc_id >= 400]
+    mean = lambda g: np.mean([r.expected_grade for r in held if grade[r.doc_id] == g])
+    assert mean(0) < mean(1) < mean(2)
+    assert np.mean([r.selected == (grade[r.doc_id] == 2) for r in held]) > 0.9
+    assert ordinal_quality.score(awkward(spark), model).count() == awkward(spark).count()
+    untrained = ordinal_quality.fit(d, graded.where("false"))
+    assert {r.p_tail for r in ordinal_quality.score(d, untrained).collect()} == {round(1 / 3, 6)}
+    assert ordinal_quality.score(empty(spark), model).count() == 0
+
+
+# ---- 8 personal data
+
+def brute_pii(text):
+    def luhn(s):
+        return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(s)))) % 10 == 0
+
+    out, digits = [], lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 16 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 8 <= len(digits(m)) <= 15]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def test_pii_base_spans_and_redaction(spark):
+    rng = random.Random(8)
+    bits = ["a@b.c", "x.y@d-e.org", "@", ".", "+1 (743) 555-3824", "+4912345678", "1.2.3.4", "256.1.1.1", "001.2.3.4.5", "4111 1111 1111 1111",
+            "4111111111111112", "378282246310005", " ", "\n", "é😀", "call 555-123-4567", "jo (at) mail [dot] com", "2001:db8:0:0:0:0:0:1", "a@b@c.d.@e.f"]
+    texts = [t for t in ODD] + ["".join(rng.choices(bits, k=rng.randint(0, 10))) for _ in range(300)]
+    d = docs_of(spark, texts)
+    found = pii_spans.detect(d).select(
+        "doc.doc_id", "spans", pii_spans.joined(F.filter("spans", lambda c: c["base"])).alias("base"),
+        pii_spans.redact(F.col("doc.text"), F.col("spans")).alias("clean")).collect()
+    for r in found:
+        text = texts[r.doc_id] or ""
+        assert r.base == brute_pii(text), text
+        for s in r.spans:
+            assert text[s.s:s.e].strip() and 0 <= s.s < s.e <= len(text)
+        if r.spans:
+            at, want = 0, ""
+            for s in sorted(r.spans, key=lambda c: (c.s, c.e)):
+                if s.s >= at:
+                    want += text[at:s.s] + f"<{pii_spans.KINDS[s.kind].upper()}>"
+                at = max(at, s.e)
+            assert r.clean == want + text[at:]
+        else:
+            assert r.clean == texts[r.doc_id]
+    masked = pii_spans.mask(awkward(spark))
+    assert masked.columns == awkward(spark).columns and masked.count() == awkward(spark).count()
+    assert pii_spans.mask(empty(spark)).count() == 0
+
+
+def test_em_recovers_the_better_labeler():
+    rng = random.Random(9)
+    seen = Counter()
+    for _ in range(4000):
+        y = rng.random() < 0.5
+        say = lambda p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)  # noqa: B023, E731
+        seen[(say(0.95), 0, say(0.75), say(0.6))] += 1
+    _, table = pii_spans.reliabilities([(list(v), n) for v, n in seen.items()])
+    right = [table[1][j][1] for j in (0, 2, 3)]
+    assert right[0] > right[1] > right[2] and abs(right[0] - 0.95) < 0.06
+
+
+# ---- 9 secrets
+
+def test_secret_base_spans_and_novelty(spark):
+    rng = random.Random(10)
+    bits = ["password", "Token", "API_KEY", "api-key", " = ", ":", "'", '"', "abc", "abcdef1", "AKIA", "ABCDEF1234567890", "0123456789abcdef01234567", " ", "ſecret", "\n"]
+    texts = [t for t in ODD] + ["".join(rng.choices(bits, k=rng.randint(0, 12))) for _ in range(300)]
+    assign = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    for r in secret_scan.scan(docs_of(spark, texts)).collect():
+        t = texts[r.doc_id] or ""
+        want = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[1]) >= 6]
+        want += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        want += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        assert [tuple(s) for s in r.spans if s.kind < 3] == sorted(want), t
+    random_key = "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=40))
+    text = f"export default config\nbearer {random_key}\nprivate_key user_database_connection_1_user_database_connection_1\n"
+    assert [text[s:e] for s, k, e in secret_scan.novel_spans(text, [])] == [random_key]
+    assert secret_scan.scan(awkward(spark)).count() == awkward(spark).count()
+    assert secret_scan.scan(empty(spark)).count() == 0
+
+
+# ---- 10 decontamination
+
+@pytest.mark.parametrize("block", [40, 16 << 20])
+def test_decontamination_matches_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    rng = random.Random(11)
+    vocabulary = ["aa", "Bb", "cc", "é", "dd"] + [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([0, 1, 2, 4, 7, 9, 10, 15, 25])))) for i in range(9)] + [(3, "aa aa aa"), (77, None), (None, "zz zz zz zz")]
+    texts = [t for t in ODD]
+    for _ in range(80):
+        w = rng.choices(vocabulary, k=rng.randint(0, 30))
+        own = (rng.choice(items)[1] or "").split()
+        a, b = sorted((rng.randint(0, len(own)), rng.randint(0, len(own))))
+        at = rng.randint(0, len(w))
+        texts.append(", ".join(w[:at] + own[a:b] + w[at:]))
+    texts.append("x zz zz zz zz y")
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        for j in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[j:j + n])] |= set() if i is None else {str(i)}
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("x", F.lit(1))
+    for r in decontaminate.scan(docs_of(spark, texts), bench).collect():
+        w, hit, ids = words(texts[r.doc_id]), set(), set()
+        for n in {len(k) for k in windows}:
+            for j in range(len(w) - n + 1):
+                if tuple(w[j:j + n]) in windows:
+                    hit.update(range(j, j + n))
+                    ids |= windows[tuple(w[j:j + n])]
+        assert (r.n_words, sum(s.b - s.a for s in r.spans), r["items"]) == (len(w), len(hit), sorted(ids)), texts[r.doc_id]
+    assert decontaminate.scan(awkward(spark), bench).count() == awkward(spark).count()
+    assert decontaminate.scan(awkward(spark), bench.where("false")).where(F.size("spans") > 0).count() == 0
+    assert decontaminate.clean(empty(spark), bench).count() == 0
+
+
+# ---- pipeline
+
+def test_pipeline_keeps_clean_documents(spark):
+    out = {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()}
+    docs = {r.doc_id: r.text for r in queries.table(spark, SF, "documents").collect()}
+    good = {r.doc_id for r in queries.trusted(spark, SF).collect()}
+    links = brute_links([(i, t) for i, t in docs.items() if not brute_measures(t)[-1]])
+    bench = [tuple(w[j:j + min(10, len(w))]) for w in (words(r.text) for r in queries.table(spark, SF, "benchmark").collect()) for j in range(max(1, len(w) - 9))]
+    grams = set(bench)
+    for i in good & set(links):
+        w = words(docs[i])
+        if links[i][1] == 0 and not any(tuple(w[j:j + 10]) in grams for j in range(len(w) - 9)):
+            assert i in out
+    assert out <= set(docs)
+    for i in out:
+        assert not brute_measures(docs[i])[-1]
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_queries_return_every_row(spark, name):
+    rows = queries.queries()[name](spark, SF)
+    if name.startswith("op1_"):
+        n = queries.table(spark, SF, "conversations").select("conv_id").distinct().count() + 1
+    else:
+        n = queries.table(spark, SF, "documents").count()
+    assert rows.count() == n
