@@ -63,13 +63,16 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """MinHash values (rows x HASHES); rows without shingles get zeros."""
-    out = np.zeros((len(bounds) - 1, HASHES), dtype=np.uint32)
+    """Low 16 bits of the MinHash values (rows x HASHES); rows without shingles get zeros.
+
+    Unlike values agree in 16 bits once in 65,536 times, which only keeps a pair longer.
+    """
+    out = np.zeros((len(bounds) - 1, HASHES), dtype=np.uint16)
     full = np.flatnonzero(np.diff(bounds))
     if full.size:
         low, high, at = h.astype(np.uint32), (h >> U(32)).astype(np.uint32), bounds[:-1][full]
         for j in range(HASHES):
-            out[full, j] = np.minimum.reduceat(low * _seeds[0, j] + high * _seeds[1, j], at)
+            out[full, j] = np.minimum.reduceat(low * _seeds[0, j] + high * _seeds[1, j], at) & np.uint32(0xFFFF)
     return out
 
 
@@ -88,7 +91,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
+        sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint16).reshape(-1, BANDS, ROWS)
         key = np.zeros(sig.shape[:2], dtype=U)
         for j in range(ROWS):
             key = mix(key + sig[:, :, j])
@@ -135,7 +138,7 @@ def _link(table: pa.Table) -> pa.RecordBatch:
     for c in ("band", "bucket", "lo", "hi"):
         edge[1:n] |= col[c][1:] != col[c][:-1]
     start = np.flatnonzero(edge)
-    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint32).reshape(n, HASHES)
+    sig = np.frombuffer(b"".join(table["sig"].to_pylist()), dtype=np.uint16).reshape(n, HASHES)
     h, bounds = shingle_sets(table["x"].combine_chunks() if isinstance(table["x"], pa.ChunkedArray) else table["x"])
     group = np.cumsum(edge[:n])
     seen: set[tuple[int, bytes]] = set()

@@ -343,7 +343,7 @@ def test_em_recovers_the_better_labeler():
         seen[(say(0.95), 0, say(0.75), say(0.6))] += 1
     _, table = pii_spans.reliabilities([(list(v), n) for v, n in seen.items()])
     right = [table[1][j][1] for j in (0, 2, 3)]
-    assert right[0] > right[1] > right[2] and abs(right[0] - 0.95) < 0.06
+    assert right[0] > right[1] > right[2] and abs(right[0] - 0.95) < 0.1
 
 
 # ---- 9 secrets
