@@ -96,14 +96,18 @@ def _checked(norm: Column) -> Column:
     return F.when(norm.rlike(PLAIN_RE), norm.cast("double"))
 
 
+#: Decimals kept before rounding once: beyond those a double of up to 10 digits has.
+EXACT = "decimal(38,12)"
+
+
 def round_half_up(x, digits: int = 2) -> Column:
     """Decimal rounding (half away from zero) of a double, returned as double."""
-    return F.round(_c(x).cast("decimal(38,6)"), digits).cast("double")
+    return F.round(_c(x).cast(EXACT), digits).cast("double")
 
 
 def format_answer(x, digits: int = 2) -> Column:
     """A number as text with exactly ``digits`` decimals (decimal rounding)."""
-    return F.round(_c(x).cast("decimal(38,6)"), digits).cast(f"decimal(38,{digits})").cast("string")
+    return F.round(_c(x).cast(EXACT), digits).cast(f"decimal(38,{digits})").cast("string")
 
 
 def format_list(arr, sep: str = ", ") -> Column:

@@ -65,11 +65,12 @@ def chunk_id(*cols) -> Column:
 def strip_markdown(text) -> Column:
     """Remove code fences, inline code, bold, italic, quote marks, 'python'."""
     t = _c(text)
-    t = F.regexp_replace(t, r"```[^\n]*\n([\s\S]*?)```", "$1")
+    # A fence of several lines loses its first line and its end, one on a single line only its end.
+    t = F.regexp_replace(t, r"(```(?:(?!```)[^\n])*+)```|```(?:(?!```)[^\n])*+\n((?:(?!```)[\s\S])*+)```", "$1$2")
     t = F.regexp_replace(t, r"`([^`]*)`", "$1")
-    t = F.regexp_replace(t, r"\*\*(.*?)\*\*", "$1")
-    t = F.regexp_replace(t, r"\*(.*?)\*", "$1")
-    t = F.regexp_replace(t, r"(?m)^>\s?", "")
+    t = F.regexp_replace(t, r"\*\*([^\n]*?)\*\*", "$1")
+    t = F.regexp_replace(t, r"\*([^\n]*?)\*", "$1")
+    t = F.regexp_replace(t, r"(?md)^>\s?", "")
     t = F.replace(t, F.lit("python"), F.lit(""))
     return F.regexp_replace(t, r"^\s+|\s+$", "")
 
@@ -92,5 +93,8 @@ def company_label(name) -> Column:
 
 
 def url_quote(text) -> Column:
-    """Percent-encode like a path quote: spaces as %20, not '+'."""
-    return F.replace(F.url_encode(_c(text)), F.lit("+"), F.lit("%20"))
+    """Percent-encode a path: letters, digits and ``_.-~/`` stay, a space is %20."""
+    t = F.url_encode(_c(text))
+    for form, path in (("+", "%20"), ("%2F", "/"), ("%7E", "~"), ("*", "%2A")):
+        t = F.replace(t, F.lit(form), F.lit(path))
+    return t

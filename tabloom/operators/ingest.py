@@ -67,8 +67,7 @@ def with_store_bucket(chunks: DataFrame, n: int = STORE_BUCKETS) -> DataFrame:
     return chunks.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(n)).cast("int"))
 
 
-def split_new(batch: DataFrame, store: DataFrame, keys=("chunk_id",),
-              max_broadcast_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+def split_new(batch: DataFrame, store: DataFrame, keys=("chunk_id",)) -> tuple[DataFrame, DataFrame]:
     """(new chunks, skipped (source, page)) of a batch against a store.
 
     Duplicates inside the batch are removed too (quirk Q2 of the reference).
@@ -77,12 +76,12 @@ def split_new(batch: DataFrame, store: DataFrame, keys=("chunk_id",),
     the whole store.  With ``keys=("bucket", "chunk_id")`` and a store
     partitioned by ``bucket``, dynamic partition pruning limits the scan to
     the buckets the batch touches.  The batch keys are broadcast only when
-    their count is proven small.
+    their size is proven small.
     """
-    from tabloom.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+    from tabloom.plans.sizing import broadcast_if_bounded
     keys = list(keys)
     dedup = batch.dropDuplicates(["chunk_id"])
-    batch_keys = broadcast_if_bounded(dedup.select(*keys), max_broadcast_rows or DEFAULT_MAX_BROADCAST_ROWS)
+    batch_keys = broadcast_if_bounded(dedup.select(*keys))
     existing = store.select(*keys).join(batch_keys, keys, "left_semi")
     new = dedup.join(existing, keys, "left_anti")
     skipped = dedup.join(existing, keys, "left_semi").select("source", "page").distinct()

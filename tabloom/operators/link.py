@@ -77,8 +77,7 @@ def page_text_with_placeholders(elements: DataFrame) -> DataFrame:
 def html_elements(pages: DataFrame, key_cols=("source", "page"), html_col: str = "html",
                   table_tags=("ul", "table"), text_tags=("h1", "h2", "h3", "p")) -> DataFrame:
     """Page elements in reading order from HTML: tables/lists are 'Table', the rest 'Text'."""
-    tags = "|".join([*table_tags, *text_tags])
-    pat = rf"(?s)<(?:{tags})\b[^>]*>.*?</(?:{tags})>"
+    pat = "(?s)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in (*table_tags, *text_tags))
     kk = list(key_cols)
     e = pages.select(*kk, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(pat), 0)).alias("elem_idx", "_el"))
     tag = F.regexp_extract("_el", r"^<([a-z0-9]+)", 1)
@@ -222,8 +221,11 @@ def group_hits(hits: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def qa_tables(qa: DataFrame, tables: DataFrame) -> DataFrame:
-    """Explode each question's refs and attach the table; missing ones flagged."""
-    r = qa.select("qid", F.posexplode("refs").alias("ref_no", "r")).select(
+    """Explode each question's refs and attach the table; missing ones flagged.
+
+    A question without refs keeps one row (ref_no null, missing).
+    """
+    r = qa.select("qid", F.posexplode_outer("refs").alias("ref_no", "r")).select(
         "qid", "ref_no", F.col("r.source").alias("source"), F.col("r.page").alias("page"),
         F.col("r.table_no").alias("table_no"))
     t = tables.select(*TABLE_KEY).distinct().withColumn("_found", F.lit(True))

@@ -18,9 +18,15 @@ from tabloom.functions.numbers import format_answer, format_bool, format_list
 
 
 def _pair(f: DataFrame, by, sel_a: Column, sel_b: Column) -> DataFrame:
-    """(by..., a, b): the value selected by ``sel_a`` and by ``sel_b`` per group."""
-    return f.groupBy(*by).agg(F.max(F.when(sel_a, F.col("value"))).alias("a"),
-                              F.max(F.when(sel_b, F.col("value"))).alias("b"))
+    """(by..., a, b): the value selected by ``sel_a`` and by ``sel_b`` per group.
+
+    Raises when a selection holds two different values: neither would be the answer.
+    """
+    def only(sel: Column) -> Column:
+        low, high = F.min(F.when(sel, F.col("value"))), F.max(F.when(sel, F.col("value")))
+        return F.when(low == high, low).when(low < high, F.raise_error(F.lit("several values match one selection")).cast("double"))
+
+    return f.groupBy(*by).agg(only(sel_a).alias("a"), only(sel_b).alias("b"))
 
 
 def q_sum(f: DataFrame, by) -> DataFrame:

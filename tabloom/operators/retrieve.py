@@ -24,8 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import tokenize
-from tabloom.functions.vectors import dot, l2_normalize
-from tabloom.plans.sizing import DEFAULT_MAX_BROADCAST_ROWS, broadcast_if_bounded
+from tabloom.plans.sizing import broadcast_if_bounded
 
 # Fixed values that must equal the reference's behaviour.
 DEFAULT_K = 5          # hits per retriever and after fusion
@@ -35,6 +34,17 @@ DEFAULT_LAMBDA = 0.3   # weight of the sparse score in fusion
 # reorder equal documents; ties then fall back to the key columns.
 RANK_DIGITS = 9
 
+# Query matrix shipped at once, and scores a task holds at once.
+QUERY_BLOCK_BYTES = 64 << 20
+SCORE_CELLS = 4 << 20
+
+
+def chunk_keys(df: DataFrame, key_cols=None) -> list:
+    """The key columns of a chunk within its group: given ones, else page and, where there is one, chunk_no."""
+    if key_cols is not None:
+        return list(key_cols)
+    return ["page", "chunk_no"] if "chunk_no" in df.columns else ["page"]
+
 
 @dataclass
 class TfidfModel:
@@ -78,17 +88,20 @@ class TfidfModel:
                           spark.read.parquet(f"{path}/docs"), list(group_cols), list(key_cols))
 
 
-def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=("page",),
+def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=None,
               text_col: str = "content") -> TfidfModel:
     """R2: raw tf, smooth idf ``ln((1+N)/(1+df)) + 1``, L2-normalised doc vectors.
 
-    ``N`` counts every document of the group, also those without tokens.
+    ``N`` counts every document of the group, also those without tokens.  A
+    key that several chunks share raises: their terms could not be told apart.
     """
-    g, kk = list(group_cols), list(key_cols)
+    g, kk = list(group_cols), chunk_keys(chunks, key_cols)
     docs = chunks.select(*g, *kk, F.col(text_col).alias("_text"))
     terms = docs.select(*g, *kk, F.explode(tokenize("_text")).alias("term"))
     tf = terms.groupBy(*g, *kk, "term").agg(F.count(F.lit(1)).alias("tf"))
-    n_docs = docs.groupBy(*g).agg(F.count(F.lit(1)).alias("n_docs"))
+    per_key = docs.groupBy(*g, *kk).agg(F.count(F.lit(1)).alias("_n"))
+    n_docs = per_key.groupBy(*g).agg(F.when(F.max("_n") > 1, F.raise_error(F.lit("several chunks share one key")).cast("long"))
+                                     .otherwise(F.count(F.lit(1))).alias("n_docs"))
     # Counting through the tf value (always > 0) keeps the tf aggregate
     # identical in both branches, so its shuffle is computed once and reused.
     dfreq = tf.groupBy(*g, "term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
@@ -117,45 +130,28 @@ def _rank(df: DataFrame, part_cols, order_cols, k: int) -> DataFrame:
 
 
 def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
-                query_col: str = "query_id", text_col: str = "text",
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                min_idf: float | None = None, engine: str = "arrow") -> DataFrame:
+                query_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """cosine(query, doc) top-k per (query, group).
 
     Every query is scored against every group of the model (J1).  Documents
     sharing no term score 0; they only fill the lists of queries that have
     fewer than k positive hits in a group, taken in key order.
 
-    ``engine='arrow'`` (default) scores each batch of documents against all
-    queries with vectorised numpy (``_sparse_raw_arrow``); ``engine='jvm'``
-    is the SQL-only plan (broadcast join on terms + aggregate).  Both give
-    the same lists; at sf0.1 with 1,000 queries on a fixed fit the Arrow
-    engine takes 3.9 s against 8.4 s, since it avoids one Spark row per
-    (document term, query) pair.
-
-    ``min_idf`` (off by default, changes scores): terms whose idf is below
-    it, i.e. present in almost every document of a group, are skipped in the
-    scoring join; document and query norms still use every term.  It bounds
-    the query x document pairs that hot terms create on very large groups.
+    One plan for any size: join the index and the query terms on the term,
+    sum per (query, document).  The query side is broadcast when a probe
+    proves its size, and shuffled otherwise.
     """
     g, kk = model.group_cols, model.key_cols
-    qtf = broadcast_if_bounded(query_terms(queries, query_col, text_col), max_broadcast_rows)
-    weights = model.weights if min_idf is None else model.weights.where(F.col("idf") >= F.lit(min_idf))
-
-    if engine not in ("arrow", "jvm"):
-        raise ValueError("engine must be 'arrow' or 'jvm'")
-    raw = (_sparse_raw_arrow(weights, queries, query_col, text_col, g, kk, 2 * k, max_broadcast_rows)
-           if engine == "arrow" else None)
-    if raw is None:  # SQL-only scoring (also the fallback beyond the broadcast bound)
-        raw = (weights.join(qtf, "term")
-               .groupBy("query_id", *g, *kk)
-               .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
+    qtf = broadcast_if_bounded(query_terms(queries, query_col, text_col))
+    raw = (model.weights.join(qtf, "term")
+           .groupBy("query_id", *g, *kk)
+           .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
     # Zero-score candidates: documents sharing no term score 0 and only fill
     # lists shorter than k, in key order.  At most (k - 1) of a group's first
     # 2k documents can be positive hits of a short list, so those 2k are
     # enough; they are unioned with the scored pairs so the scorer output is
     # consumed once.
-    qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")), max_broadcast_rows)
+    qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")))
     first = _rank(model.docs, g, [F.col(c).asc() for c in kk], 2 * k).drop("rank")
     cand = first.crossJoin(qids).select("query_id", *g, *kk, F.lit(0.0).alias("raw"))
     # The query norm is constant within a (query, group), so ranking on the
@@ -178,211 +174,81 @@ def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
     return out.select("query_id", *g, *kk, score.alias("score"), "rank")
 
 
-def _sparse_raw_arrow(weights: DataFrame, queries: DataFrame, query_col: str, text_col: str,
-                      g, kk, keep: int, max_rows: int) -> DataFrame:
-    """Raw dot products (query, group, doc) by vectorised numpy per Arrow batch.
-
-    The query postings (term -> queries, counts) are small and shipped once
-    (bounded probe, like a broadcast).  Each document's weights for query
-    terms are gathered into one row (shuffle-free: the index is partitioned
-    by document), every batch of documents is scored against all queries
-    at once, and only the best ``keep`` per (query, group) of the batch
-    leave Python; the exact global top-k follows in Spark.
-    """
-    import numpy as np
-    import pandas as pd
-
-    qt = query_terms(queries, query_col, text_col)
-    if qt.limit(max_rows + 1).count() > max_rows:
-        return None  # beyond the bound: the caller scores with the SQL-only plan
-    qp = qt.toPandas()
-    vocab = {t: i for i, t in enumerate(sorted(qp["term"].unique()))}
-    qids = np.array(sorted(qp["query_id"].unique()))
-    qpos = {q: i for i, q in enumerate(qids)}
-    qp = qp.assign(t=qp["term"].map(vocab), q=qp["query_id"].map(qpos)).sort_values(["t", "q"])
-    ptr = np.zeros(len(vocab) + 1, dtype=np.int64)
-    np.add.at(ptr, qp["t"].to_numpy() + 1, 1)
-    ptr = np.cumsum(ptr)
-    post_q = qp["q"].to_numpy(dtype=np.int64)
-    post_w = qp["qtf"].to_numpy(dtype=np.float64)
-    sc = weights.sparkSession.sparkContext
-    bc = sc.broadcast((qids, ptr, post_q, post_w))
-    voc = weights.sparkSession.createDataFrame(list(vocab.items()), "term string, t int")
-
-    docs = (weights.join(F.broadcast(voc), "term")
-            .groupBy(*g, *kk)
-            .agg(F.collect_list("t").alias("_t"), F.collect_list(F.col("wn") * F.col("idf")).alias("_v")))
-    fields = weights.select(*g, *kk).schema.fields
-    out_schema = ("query_id " + queries.schema[query_col].dataType.simpleString() + ", "
-                  + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", raw double")
-
-    def score(batches):
-        ids, p, pq, pw = bc.value
-        nq = len(ids)
-        for pdf in batches:
-            if not len(pdf) or not nq:
-                continue
-            lens = pdf["_t"].map(len).to_numpy()
-            t = np.concatenate(pdf["_t"].to_numpy()).astype(np.int64) if lens.sum() else np.zeros(0, np.int64)
-            v = np.concatenate(pdf["_v"].to_numpy()).astype(np.float64) if lens.sum() else np.zeros(0)
-            doc = np.repeat(np.arange(len(pdf)), lens)
-            cnt = p[t + 1] - p[t]
-            total = int(cnt.sum())
-            if not total:
-                continue
-            start = np.repeat(p[t], cnt)
-            off = np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt)
-            pos = start + off
-            cell = np.repeat(doc, cnt) * nq + pq[pos]
-            s = np.bincount(cell, weights=np.repeat(v, cnt) * pw[pos], minlength=len(pdf) * nq)
-            nz = np.nonzero(s)[0]
-            long = pd.DataFrame({c: pdf[c].to_numpy()[nz // nq] for c in g + kk})
-            long["query_id"] = ids[nz % nq]
-            long["raw"] = s[nz]
-            long["_r"] = long["raw"].round(RANK_DIGITS)
-            long = long.sort_values(["_r", *kk], ascending=[False, *([True] * len(kk))], kind="mergesort")
-            yield long.groupby(["query_id", *g], sort=False).head(keep)[["query_id", *g, *kk, "raw"]]
-
-    return docs.mapInPandas(score, out_schema)
-
-
 def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
-               group_cols=("source",), key_cols=("page",),
+               group_cols=("source",), key_cols=None,
                query_col: str = "query_id", qvec_col: str = "embedding",
-               vec_col: str = "embedding", score: str = "distance", engine: str = "arrow") -> DataFrame:
+               vec_col: str = "embedding", score: str = "distance") -> DataFrame:
     """Exact cosine top-k per (query, group).
 
-    ``engine='arrow'`` (default) scores with block matrix products on Arrow
-    batches (``dense_topk_arrow``); ``engine='jvm'`` uses higher-order SQL
-    functions only.  Measured at sf0.1: 1.0 s vs 3.4 s at 64 dimensions and
-    1.0 s vs 161 s at 768 dimensions (Spark evaluates the lambda of
-    ``zip_with``/``aggregate`` per element, BLAS does the matmul in blocks).
-    """
-    if engine == "arrow":
-        return dense_topk_arrow(queries, vecs, k, group_cols, key_cols, query_col, qvec_col, vec_col, score)
-    if engine != "jvm":
-        raise ValueError("engine must be 'arrow' or 'jvm'")
-    return dense_topk_jvm(queries, vecs, k, group_cols, key_cols, query_col, qvec_col, vec_col, score)
-
-
-def dense_topk_jvm(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
-                   group_cols=("source",), key_cols=("page",),
-                   query_col: str = "query_id", qvec_col: str = "embedding",
-                   vec_col: str = "embedding", score: str = "distance",
-                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """R5/R6 with SQL functions only: exact cosine top-k per (query, group).
-
     ``score='distance'`` returns ``1 - cos`` ascending (dense store default),
     ``score='similarity'`` returns ``cos`` descending.  Rows with a null
     embedding are dropped (S14); equality filters go on ``vecs`` beforehand.
-    """
-    if score not in ("distance", "similarity"):
-        raise ValueError("score must be 'distance' or 'similarity'")
-    g, kk = list(group_cols), list(key_cols)
-    qv = queries.select(F.col(query_col).alias("query_id"), l2_normalize(qvec_col).alias("_qv"))
-    qv = broadcast_if_bounded(qv.where(F.col("_qv").isNotNull()), max_broadcast_rows)
-    dv = (vecs.where(F.col(vec_col).isNotNull())
-          .select(*g, *kk, l2_normalize(vec_col).alias("_dv"))
-          .where(F.col("_dv").isNotNull()))
-    # Clamp float noise so a self-match has distance exactly 0, never -0.0.
-    sim = F.least(F.greatest(dot("_dv", "_qv"), F.lit(-1.0)), F.lit(1.0))
-    val = (F.lit(1.0) - sim) if score == "distance" else sim
-    scored = dv.crossJoin(qv).select("query_id", *g, *kk, val.alias("score"))
-    order = F.round("score", RANK_DIGITS)
-    order = order.asc() if score == "distance" else order.desc()
-    return _rank(scored, ["query_id", *g], [order, *[F.col(c).asc() for c in kk]], k)
-
-
-def dense_topk_arrow(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
-                     group_cols=("source",), key_cols=("page",),
-                     query_col: str = "query_id", qvec_col: str = "embedding",
-                     vec_col: str = "embedding", score: str = "distance",
-                     max_query_rows: int | None = None, max_query_bytes: int = 256 << 20) -> DataFrame:
-    """R5/R6 fast path for wide vectors: block matrix products on Arrow batches.
-
-    The (bounded, probed) query matrix is shipped to executors once as a
-    broadcast variable, exactly what a broadcast join would do with it.  The
-    bound is ``max_query_bytes`` of float64 matrix (256 MB: 43k queries at
-    768 dimensions); larger query sets are split into hash blocks.
-    Every Arrow batch of document vectors is scored against all queries with
-    one BLAS matmul and reduced to its own top-k per (query, group) before
-    Spark sees it; the global top-k then runs with a partial limit before the
-    shuffle.  Same results as ``dense_topk`` (scores agree to float rounding).
+
+    The queries go to the executors in blocks of at most ``QUERY_BLOCK_BYTES``
+    of float64 matrix.  A task multiplies a block of its documents with a
+    block of queries (never more than ``SCORE_CELLS`` scores at once) and keeps
+    the best k of each query and group before Spark sees a row.  The global
+    top-k then runs with a partial limit before the shuffle.
     """
     import numpy as np
     import pandas as pd
 
     if score not in ("distance", "similarity"):
         raise ValueError("score must be 'distance' or 'similarity'")
-    g, kk = list(group_cols), list(key_cols)
-    q = queries.select(F.col(query_col).alias("query_id"), F.col(qvec_col).alias("v")).where(F.col("v").isNotNull())
-    if max_query_rows is None:
-        # The bound is in bytes of the shipped float64 matrix: rows x width x 8.
-        first = q.select(F.size("v").alias("d")).first()
-        width = max(int(first["d"]), 1) if first else 1
-        max_query_rows = max(1, max_query_bytes // (8 * width))
-    if q.limit(max_query_rows + 1).count() > max_query_rows:
-        # Beyond the bound the query side is split into hash blocks that each
-        # fit it; every block is scored like a small query set and the
-        # per-block top-k lists are disjoint by query, so a union is exact.
-        n = q.count()
-        blocks = -(-n * 5 // (4 * max_query_rows))  # about 80% of the bound per block
-        while True:
-            b = q.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-            biggest = b.groupBy("_b").count().agg(F.max("count")).first()[0]
-            if biggest <= max_query_rows:
-                break
-            blocks *= 2
-        parts = [dense_topk_arrow(b.where(F.col("_b") == i).select(F.col("query_id").alias(query_col),
-                                                                   F.col("v").alias(qvec_col)),
-                                  vecs, k, g, kk, query_col, qvec_col, vec_col, score, max_query_rows,
-                                  max_query_bytes)
-                 for i in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    qp = q.toPandas()
-    qm = np.array(qp["v"].tolist(), dtype=np.float64).reshape(len(qp), -1) if len(qp) else np.zeros((0, 0))
-    qn = np.linalg.norm(qm, axis=1) if len(qp) else np.zeros(0)
-    keep = qn > 0
-    qids = qp["query_id"].to_numpy()[keep]
-    qm = qm[keep] / qn[keep][:, None] if keep.any() else qm[:0]
-    bc = vecs.sparkSession.sparkContext.broadcast((qids, qm))
+    g, kk = list(group_cols), chunk_keys(vecs, key_cols)
     desc = score == "similarity"
+    q = queries.select(F.col(query_col).alias("query_id"), F.col(qvec_col).alias("v")).where(F.col("v").isNotNull())
+    size = q.agg(F.sum(8 * F.size("v"))).first()[0] or 0
+    n_blocks = int(size // QUERY_BLOCK_BYTES) + 1
     fields = vecs.select(*g, *kk).schema.fields
     out_schema = ("query_id " + queries.schema[query_col].dataType.simpleString() + ", "
                   + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
 
-    def score_batches(batches):
-        ids, m = bc.value
-        for pdf in batches:
-            if not len(pdf) or not len(ids):
-                continue
-            d = np.array(pdf["_v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-            dn = np.linalg.norm(d, axis=1)
-            ok = dn > 0
-            if not ok.any():
-                continue
-            pdf, d = pdf[ok].reset_index(drop=True), d[ok] / dn[ok][:, None]
-            sim = np.clip(d @ m.T, -1.0, 1.0)
-            val = sim if desc else 1.0 - sim
-            long = pd.DataFrame({c: np.repeat(pdf[c].to_numpy(), len(ids)) for c in g + kk})
-            long["query_id"] = np.tile(ids, len(pdf))
-            long["score"] = val.ravel()
-            long["_r"] = long["score"].round(RANK_DIGITS)
-            long = long.sort_values(["_r", *kk], ascending=[not desc, *([True] * len(kk))], kind="mergesort")
-            yield long.groupby(["query_id", *g], sort=False).head(k)[["query_id", *g, *kk, "score"]]
-
-    pairs = (vecs.where(F.col(vec_col).isNotNull()).select(*g, *kk, F.col(vec_col).alias("_v"))
-             .mapInPandas(score_batches, out_schema))
+    def scorer(sent):
+        def score_batches(batches):
+            ids, m = sent.value
+            step_q = max(1, min(len(ids), 1024))
+            step_d = max(1, SCORE_CELLS // step_q)
+            for pdf in batches:
+                if not len(pdf) or not len(ids):
+                    continue
+                d = np.array(pdf["_v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
+                norm = np.linalg.norm(d, axis=1)
+                pdf, d = pdf[norm > 0], d[norm > 0] / norm[norm > 0][:, None]
+                order = pdf.reset_index(drop=True).sort_values([*g, *kk]).index.to_numpy()  # ties by key
+                pdf, d = pdf.iloc[order].reset_index(drop=True), d[order]
+                for at in pdf.groupby(g, sort=False, dropna=False).indices.values():
+                    for i in range(0, len(at), step_d):
+                        rows = at[i: i + step_d]
+                        for j in range(0, len(ids), step_q):
+                            sim = np.clip(d[rows] @ m[j: j + step_q].T, -1.0, 1.0)
+                            val = sim if desc else 1.0 - sim
+                            r = np.round(val, RANK_DIGITS)
+                            best = np.argsort(-r if desc else r, axis=0, kind="stable")[:k]
+                            cols = np.tile(np.arange(best.shape[1]), (best.shape[0], 1))
+                            out = pdf.iloc[rows[best.ravel()]][[*g, *kk]].reset_index(drop=True)
+                            out.insert(0, "query_id", ids[j: j + step_q][cols.ravel()])
+                            out["score"] = val[best, cols].ravel()
+                            yield out
+
+        return score_batches
+
+    docs = vecs.where(F.col(vec_col).isNotNull()).select(*g, *kk, F.col(vec_col).alias("_v"))
+    pairs = None
+    for b in range(n_blocks):
+        part = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else q).toPandas()
+        m = np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1) if len(part) else np.zeros((0, 0))
+        norm = np.linalg.norm(m, axis=1) if len(part) else np.zeros(0)
+        sent = vecs.sparkSession.sparkContext.broadcast(
+            (part["query_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None] if (norm > 0).any() else m[:0]))
+        one = docs.mapInPandas(scorer(sent), out_schema)
+        pairs = one if pairs is None else pairs.unionByName(one)
     order = F.round("score", RANK_DIGITS)
-    order = order.desc() if desc else order.asc()
-    return _rank(pairs, ["query_id", *g], [order, *[F.col(c).asc() for c in kk]], k)
+    return _rank(pairs, ["query_id", *g], [order.desc() if desc else order.asc(), *[F.col(c).asc() for c in kk]], k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = DEFAULT_K, lmbd: float = DEFAULT_LAMBDA,
-         part_cols=("source",), key_cols=("page",), dense_score: str = "distance") -> DataFrame:
+         part_cols=("source",), key_cols=None, dense_score: str = "distance") -> DataFrame:
     """Weighted fusion of two ranked lists.
 
     fused = -dense_distance + lmbd * sparse_score, summed per chunk identity;
@@ -390,7 +256,7 @@ def fuse(dense: DataFrame, sparse: DataFrame, k: int = DEFAULT_K, lmbd: float =
     side in its own rank order.  A similarity list is turned into a distance
     first (quirk Q4 of the reference).
     """
-    p, kk = list(part_cols), list(key_cols)
+    p, kk = list(part_cols), chunk_keys(dense, key_cols)
     dscore = F.col("score") if dense_score == "distance" else (F.lit(1.0) - F.col("score"))
     d = dense.select("query_id", *p, *kk, (-dscore).alias("s"), F.lit(0).alias("side"), "rank")
     s = sparse.select("query_id", *p, *kk, (F.col("score") * F.lit(lmbd)).alias("s"),
@@ -410,7 +276,7 @@ def head_k(ranked: DataFrame, k: int) -> DataFrame:
 
 def hybrid_topk(queries_text: DataFrame, queries_vec: DataFrame, chunks: DataFrame, vecs: DataFrame,
                 k: int = DEFAULT_K, lmbd: float = DEFAULT_LAMBDA, group_cols=("source",),
-                key_cols=("page",), dense_score: str = "distance") -> DataFrame:
+                key_cols=None, dense_score: str = "distance") -> DataFrame:
     """Dense top-k and sparse top-k per group, then fusion."""
     model = tfidf_fit(chunks, group_cols, key_cols)
     sparse = sparse_topk(queries_text, model, k)

@@ -63,10 +63,9 @@ def html_tables_to_cells(df: DataFrame, html_col: str = "html", key_cols=("sourc
     return c.select(*kk, "table_no", "row_idx", "col_idx", strip_tags(F.col("_cell")).alias("cell"))
 
 
-def table_widths(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True) -> DataFrame:
-    """Width per table: header columns (cells with a header) or the widest row."""
-    kk = _key(key_cols)
-    return _table_summaries(_row_summaries(cells, kk), kk, from_header).select(*kk, "width")
+def table_widths(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
+    """Width per table: the most fields of any row, the header row included."""
+    return cells.groupBy(*_key(key_cols)).agg((F.max("col_idx") + 1).alias("width"))
 
 
 def _row_summaries(cells: DataFrame, kk) -> DataFrame:
@@ -78,7 +77,6 @@ def _row_summaries(cells: DataFrame, kk) -> DataFrame:
     return cells.groupBy(*kk, "row_idx").agg(
         F.map_from_entries(F.collect_list(F.struct("col_idx", "cell"))).alias("_m"),
         F.collect_list(F.when(has_h, F.struct("col_idx", "header"))).alias("_h"),
-        F.max(F.when(has_h, F.col("col_idx"))).alias("_hw"),
         F.max("col_idx").alias("_rw"))
 
 
@@ -94,24 +92,24 @@ def _header_pairs(rows: DataFrame, kk) -> DataFrame:
     return per_col.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("_hp"))
 
 
-def _table_summaries(rows: DataFrame, kk, from_header: bool = True) -> DataFrame:
-    """Per table: width and the header of every column (combinable aggregates only)."""
-    width = (F.max("_hw") if from_header else F.max("_rw")) + 1
-    w = rows.groupBy(*kk).agg(width.alias("width"))
+def _table_summaries(rows: DataFrame, kk) -> DataFrame:
+    """Per table: width of the widest row and the header of every column (combinable aggregates only)."""
+    w = rows.groupBy(*kk).agg((F.max("_rw") + 1).alias("width"))
     h = _header_pairs(rows, kk)
     return w.join(h, kk, "left").select(*kk, "width", F.map_from_entries("_hp").alias("_hmap"))
 
 
-def repair_table(cells: DataFrame, key_cols=TABLE_KEY, from_header: bool = True) -> DataFrame:
-    """T5: pad short rows with 'NaN' and cut cells beyond the table width.
+def repair_table(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
+    """T5: every row gets as many cells as the widest row has; missing ones are 'NaN'.
 
-    One aggregation per row (a map col_idx -> cell, bounded by the row's own
-    width), one per table over those row summaries (width, headers), joined
-    back and expanded; the cells are read once.
+    Cells right of the header and tables without any header are kept (header
+    null).  One aggregation per row (a map col_idx -> cell, bounded by the
+    row's own width), one per table over those row summaries (width,
+    headers), joined back and expanded.
     """
     kk = _key(key_cols)
     rows = _row_summaries(cells, kk)
-    tabs = _table_summaries(rows, kk, from_header)
+    tabs = _table_summaries(rows, kk)
     grid = rows.join(tabs, kk).select(
         *kk, "row_idx", "_m", "_hmap",
         F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
@@ -137,17 +135,30 @@ def drop_empty_rows(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
 
 
 def unique_headers(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
-    """Trimmed headers; blanks -> col_<i>; repeats -> name_1, name_2, ..."""
+    """Trimmed headers; blanks -> col_<i>; repeats -> the first free of name_1, name_2, ..."""
     kk = _key(key_cols)
     h = (cells.where(F.col("header").isNotNull())
          .groupBy(*kk, "col_idx").agg(F.max("header").alias("_h")))
     base = F.trim("_h")
     named = h.withColumn("_b", F.when(base == "", F.concat(F.lit(BLANK_HEADER_PREFIX),
                                                             F.col("col_idx").cast("string"))).otherwise(base))
-    w = Window.partitionBy(*kk, F.lower("_b")).orderBy("col_idx")
-    named = named.withColumn("_n", F.row_number().over(w) - 1)
-    named = named.select(*kk, "col_idx", F.when(F.col("_n") == 0, F.col("_b"))
-                         .otherwise(F.concat_ws("_", F.col("_b"), F.col("_n").cast("string"))).alias("_u"))
+    # Names in column order, bounded by the table's width: a repeat takes the first
+    # suffix that no header of the table, original or made, has.
+    heads = named.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "_b"))).alias("_hs"))
+    given = F.transform("_hs", lambda x: F.lower(x["_b"]))
+
+    def place(acc, x):
+        low = F.lower(x["_b"])
+        used = F.transform(acc["out"], lambda y: F.lower(y["_u"]))
+        taken = lambda name: F.array_contains(used, name) | F.array_contains(acc["all"], name)
+        tries = F.transform(F.sequence(F.lit(1), F.size(acc["all"]) * 2), lambda n: F.concat_ws("_", x["_b"], n.cast("string")))
+        free = F.element_at(F.filter(tries, lambda t: ~taken(F.lower(t))), 1)
+        name = F.when(F.array_contains(used, low), free).otherwise(x["_b"])
+        return F.struct(F.concat(acc["out"], F.array(F.struct(x["col_idx"].alias("col_idx"), name.alias("_u")))).alias("out"),
+                        acc["all"].alias("all"))
+
+    start = F.struct(F.array().cast("array<struct<col_idx:int,_u:string>>").alias("out"), given.alias("all"))
+    named = heads.select(*kk, F.explode(F.aggregate("_hs", start, place)["out"]).alias("_e")).select(*kk, "_e.*")
     return (cells.join(named, [*kk, "col_idx"], "left")
             .withColumn("header", F.col("_u")).drop("_u"))
 

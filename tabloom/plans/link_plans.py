@@ -14,10 +14,11 @@ from tabloom.plans import sql_frags as S
 from tabloom.plans.registry import register
 from tabloom.plans.retrieval_plans import (HYBRID_SECTORS_CTES, HYBRID_SOURCE_CTES, SECTOR_SELECTION,
                                            dense_by_source, hybrid_by_sectors, hybrid_by_source)
+from tabloom.session import checkpoint_dir
 from tabloom.sources import driver
 
 KEY = ["source", "page", "table_no"]
-DESCRIBED_MIN_CHARS = 150   # dictionary entries kept for the description lookup
+RETIRED = "old-"            # prefix of codes that the dictionary does not have
 REPLACED_MIN_CHARS = 200    # questions re-asked (their entries get replaced)
 
 
@@ -30,8 +31,10 @@ def tables(spark, sf_dir):
 
 
 def refs_before(spark, sf_dir, hits=None):
+    """Table references of every code, computed once: a reliable checkpoint that all branches of a query read."""
+    checkpoint_dir(spark)
     hits = _as_code(hits if hits is not None else hybrid_by_source(spark, sf_dir))
-    return L.link_codes(driver.codes(spark, sf_dir), hits, tables(spark, sf_dir))
+    return L.link_codes(driver.codes(spark, sf_dir), hits, tables(spark, sf_dir)).checkpoint()
 
 
 def verdicts(spark, sf_dir, refs):
@@ -42,8 +45,8 @@ def verdicts(spark, sf_dir, refs):
     return refs.join(t, KEY).select("source", "code", "page", "table_no", v.alias("verdict"))
 
 
-def refs_after(spark, sf_dir):
-    before = refs_before(spark, sf_dir)
+def refs_after(spark, sf_dir, hits=None):
+    before = refs_before(spark, sf_dir, hits)
     return L.prune_refs(before, verdicts(spark, sf_dir, before), tables(spark, sf_dir))
 
 
@@ -110,19 +113,23 @@ SELECT code, source, page, rank FROM hits h
 WHERE EXISTS (SELECT 1 FROM chunks c WHERE c.source = h.source AND c.page = h.page)
   AND EXISTS (SELECT 1 FROM kept k WHERE k.source = h.source AND k.page = h.page)""")
 def q_hits_with_tables(spark, sf_dir):
-    hits = _as_code(hybrid_by_source(spark, sf_dir)).select("code", "source", "page", F.col("rank").cast("long"))
+    checkpoint_dir(spark)
+    found = hybrid_by_source(spark, sf_dir).checkpoint()
+    hits = _as_code(found).select("code", "source", "page", F.col("rank").cast("long"))
     pages = driver.chunks(spark, sf_dir).select("source", "page")
-    return L.hits_with_tables(hits, pages, refs_after(spark, sf_dir))
+    return L.hits_with_tables(hits, pages, refs_after(spark, sf_dir, found))
 
 
 @register("with_description", "WITH " + SQL_REFS + f"""
 SELECT k.source, k.code, k.page, k.table_no, coalesce(b.text, 'Description not found') AS description
-FROM kept k LEFT JOIN (SELECT * FROM benchmark WHERE length(text) >= {DESCRIBED_MIN_CHARS}) b
-  ON 'B' || b.item_id::VARCHAR = k.code""")
+FROM (SELECT source, code, page, table_no FROM kept
+      UNION ALL SELECT source, '{RETIRED}' || code, page, table_no FROM kept) k
+LEFT JOIN benchmark b ON 'B' || b.item_id::VARCHAR = k.code""")
 def q_with_description(spark, sf_dir):
-    codes = driver.codes(spark, sf_dir).where(F.length("description") >= DESCRIBED_MIN_CHARS)
     kept = refs_after(spark, sf_dir).select("source", "code", F.col("page").cast("long"), "table_no")
-    return L.with_description(kept, codes).select("source", "code", "page", "table_no", "description")
+    retired = kept.withColumn("code", F.concat(F.lit(RETIRED), F.col("code")))
+    return L.with_description(kept.unionByName(retired), driver.codes(spark, sf_dir)).select(
+        "source", "code", "page", "table_no", "description")
 
 
 SQL_DENSE_REFS = """,
@@ -202,7 +209,8 @@ def q_group_hits(spark, sf_dir):
     return L.group_hits(hs, tables(spark, sf_dir))
 
 
-_ELEM_RE = r"(?s)<(?:ul|table|h1|h2|h3|p)\b[^>]*>.*?</(?:ul|table|h1|h2|h3|p)>"
+_ELEM_RE = (r"(?s)<ul\b[^>]*>.*?</ul>|<table\b[^>]*>.*?</table>|<h1\b[^>]*>.*?</h1>|<h2\b[^>]*>.*?</h2>"
+            r"|<h3\b[^>]*>.*?</h3>|<p\b[^>]*>.*?</p>")
 _STRIP = r"""trim(replace(replace(replace(replace(replace(replace(
     regexp_replace({x}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
     '&#39;', ''''), '&amp;', '&'))"""

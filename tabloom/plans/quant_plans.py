@@ -28,7 +28,7 @@ FACTS_SQL = """facts AS (
 
 
 def fmt(x: str) -> str:
-    return f"CAST(round(({x})::DECIMAL(38,6), 2) AS DECIMAL(38,2))::VARCHAR"
+    return f"CAST(round(({x})::DECIMAL(38,12), 2) AS DECIMAL(38,2))::VARCHAR"
 
 
 def _sql(body: str) -> str:

@@ -1,28 +1,39 @@
 """Size probes that decide whether a side may be broadcast.
 
-A broadcast side must have a proven bound.  The probe counts at most
-``max_rows + 1`` rows of a frame that depends only on the *small* input
-(queries, codes, selections), so it never scans the corpus.  Beyond the
-bound the caller gets the frame back unchanged and Spark plans a shuffle
-join (with AQE free to re-plan at runtime from real stage sizes).
+A broadcast side must have a proven bound in bytes.  The probe reads a frame
+that depends only on the *small* input (queries, codes, selections), up to the
+number of rows that could fit the bound, and sums what their columns hold.
+Beyond the bound the caller gets the frame back unchanged and Spark plans a
+shuffle join (with AQE free to re-plan at runtime from real stage sizes).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType
 
-# Rows of a query-side frame that are still broadcast.  Query-term rows are
-# ~40 bytes, query vectors ~4 bytes per dimension; 2M rows stays well under
-# the 8 GB broadcast limit and typical executor memory.
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
+#: Bytes of a side that is still broadcast, and of one row or value besides its contents.
+MAX_BROADCAST_BYTES = 128 << 20
+ROW_BYTES = 16
 
 
-def has_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows+1)."""
-    return df.limit(max_rows + 1).count() <= max_rows
+def _bytes(col: Column, kind: DataType) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(col), F.lit(0)) + ROW_BYTES
+    if isinstance(kind, ArrayType):
+        inner = F.aggregate(col, F.lit(0), lambda a, x: a + _bytes(x, kind.elementType)) if isinstance(
+            kind.elementType, (StringType, BinaryType, ArrayType)) else F.size(col) * 8
+        return F.greatest(F.coalesce(inner, F.lit(0)), F.lit(0)) + ROW_BYTES
+    return F.lit(8)
 
 
-def broadcast_if_bounded(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` when its row count is proven <= ``max_rows``, else ``df``."""
-    return F.broadcast(df) if has_at_most(df, max_rows) else df
+def has_at_most(df: DataFrame, max_bytes: int) -> bool:
+    """True when the rows of ``df`` hold at most ``max_bytes`` (reads at most max_bytes / ROW_BYTES + 1 rows)."""
+    row = sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema), F.lit(ROW_BYTES)).cast("long")
+    return (df.limit(max_bytes // ROW_BYTES + 1).select(row.alias("b")).agg(F.sum("b")).first()[0] or 0) <= max_bytes
+
+
+def broadcast_if_bounded(df: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` when its size is proven to be at most ``max_bytes``, else ``df``."""
+    return F.broadcast(df) if has_at_most(df, max_bytes) else df

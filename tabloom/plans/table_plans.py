@@ -11,7 +11,7 @@ from tabloom.plans.registry import register
 from tabloom.sources import driver
 
 KEY = ["source", "page", "table_no"]
-PREVIEW_N = 4
+PREVIEW_N = 30
 SLICE_ROWS = (0, 2)
 SLICE_COLS = (0, 3)
 EDIT_TEXT = "returned"
@@ -26,8 +26,7 @@ def q_clean_cells(spark, sf_dir):
 
 
 _SQL_REPAIRED = S.CELLS + """,
-widths AS (SELECT source, page, table_no, max(col_idx) + 1 AS width FROM cells
-           WHERE header IS NOT NULL GROUP BY ALL),
+widths AS (SELECT source, page, table_no, max(col_idx) + 1 AS width FROM cells GROUP BY ALL),
 hdr AS (SELECT source, page, table_no, col_idx, max(header) AS header FROM cells
         WHERE header IS NOT NULL GROUP BY ALL),
 rowsx AS (SELECT DISTINCT source, page, table_no, row_idx FROM cells),
@@ -47,14 +46,24 @@ def q_repair_tables(spark, sf_dir):
     return T.repair_table(driver.cells(spark, sf_dir))
 
 
-@register("drop_empty_rows", "WITH " + _SQL_REPAIRED + """,
-tax AS (SELECT * FROM repaired WHERE col_idx = 5)
-SELECT * FROM tax t WHERE EXISTS (
-  SELECT 1 FROM tax u WHERE u.source = t.source AND u.page = t.page AND u.table_no = t.table_no
-    AND u.row_idx = t.row_idx AND NOT (u.cell IS NULL OR trim(u.cell) = '' OR lower(trim(u.cell)) = 'nan'))""")
+# One more row per table with nothing but a blank or NaN in it.
+_SQL_DIRTY = _SQL_REPAIRED.replace("FROM cells", "FROM dirty").replace("JOIN cells", "JOIN dirty").replace(
+    "widths AS", """dirty AS (SELECT source, page, table_no, row_idx, col_idx, header, cell FROM cells UNION ALL
+SELECT source, page, table_no, max(row_idx) + 1, 0, NULL, CASE WHEN page % 2 = 0 THEN 'NaN' ELSE ' ' END FROM cells
+GROUP BY source, page, table_no),
+widths AS""", 1)
+
+
+@register("drop_empty_rows", "WITH " + _SQL_DIRTY + """,
+kept AS (SELECT *, max(CASE WHEN cell IS NULL OR trim(cell) = '' OR lower(trim(cell)) = 'nan' THEN 0 ELSE 1 END)
+                   OVER (PARTITION BY source, page, table_no, row_idx) AS filled FROM repaired)
+SELECT source, page, table_no, row_idx, col_idx, header, cell FROM kept WHERE filled = 1""")
 def q_drop_empty_rows(spark, sf_dir):
-    tax = T.repair_table(driver.cells(spark, sf_dir)).where(F.col("col_idx") == 5)
-    return T.drop_empty_rows(tax)
+    c = driver.cells(spark, sf_dir)
+    blank = c.groupBy(*KEY).agg((F.max("row_idx") + 1).alias("row_idx")).select(
+        *KEY, "row_idx", F.lit(0).alias("col_idx"), F.lit(None).cast("string").alias("header"),
+        F.when(F.col("page") % 2 == 0, "NaN").otherwise(" ").alias("cell"))
+    return T.drop_empty_rows(T.repair_table(c.select(*blank.columns).unionByName(blank)))
 
 
 @register("unique_headers", "WITH " + S.CELLS + """,
@@ -71,12 +80,11 @@ def q_unique_headers(spark, sf_dir):
             .select(*KEY, F.array_join(F.transform("_h", lambda x: x["header"]), "|").alias("headers")))
 
 
-@register("parse_cells", "WITH " + S.CELLS + ", src AS (SELECT * FROM cells WHERE col_idx BETWEEN 2 AND 5),"
+@register("parse_cells", "WITH " + S.CELLS + ", src AS (SELECT * FROM cells),"
           + parse_number_sql_ctes("src", "cell") + """
 SELECT source, page, table_no, row_idx, col_idx, cell, lo, hi, op, is_pct FROM pn6""")
 def q_parse_cells(spark, sf_dir):
-    c = driver.cells(spark, sf_dir).where(F.col("col_idx").between(2, 5))
-    return T.parse_cells(c).select(*KEY, "row_idx", "col_idx", "cell", "lo", "hi", "op", "is_pct")
+    return T.parse_cells(driver.cells(spark, sf_dir)).select(*KEY, "row_idx", "col_idx", "cell", "lo", "hi", "op", "is_pct")
 
 
 # Number texts in every shape the parser knows, derived from each order.

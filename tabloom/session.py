@@ -65,6 +65,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         ctx_dir = spark.sparkContext.getCheckpointDir()
         current = ctx_dir.rsplit("/", 1)[0] if ctx_dir else None
     if not current:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="tabloom-ckpt-")
         try:
             spark.conf.set("spark.checkpoint.dir", current)

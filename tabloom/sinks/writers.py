@@ -69,8 +69,8 @@ def append_vectors(new: DataFrame, store_path: str) -> None:
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K7: predictions or metrics as CSV with a header (small outputs, one file)."""
-    df.coalesce(1).write.mode(mode).option("header", True).csv(path)
+    """K7: predictions or metrics as CSV with a header, in as many files as the relation has partitions."""
+    df.write.mode(mode).option("header", True).csv(path)
 
 
 def export_sector(pages: DataFrame, cells: DataFrame, hits: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -107,7 +107,7 @@ def delete_from_store(spark, store_path: str, ids: DataFrame, staging_path: str)
         return 0
     keep = store.where(F.col("bucket").isin(touched)).join(keys, "chunk_id", "left_anti")
     keep.write.mode("overwrite").partitionBy("bucket").parquet(staging_path)
-    staged = spark.read.parquet(staging_path)
+    staged = spark.read.schema(keep.schema).parquet(staging_path)
     (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("bucket").parquet(store_path))
     present = {r["bucket"] for r in staged.select("bucket").distinct().collect()}

@@ -18,12 +18,22 @@ PDF_GLOB = "*.[pP][dD][fF]"
 # after it can never be chosen.
 DEFAULT_ENCODINGS = ("utf-8", "utf-8-sig", "iso-8859-1", "cp1252", "latin1")
 
-_RECORD_RE = r'(?:"(?:[^"]|"")*"|[^"\r\n])+'
+def _field(sep: str) -> str:
+    """One field: quoted when a quote opens it (then it may hold separators and newlines), else plain."""
+    s = "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
+    return rf'(?:"(?:[^"]++|"")*+"[^{s}\r\n]*+|[^{s}\r\n]*+)'
+
+
+def _record_re(sep: str) -> str:
+    """A non-blank record: fields up to a line end that no quoted field holds."""
+    s = "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
+    return rf"(?=[^\r\n]){_field(sep)}(?:{s}{_field(sep)})*+"
 
 
-def _field_re(sep: str) -> str:
+def _fields(rec, sep: str):
+    """All fields of a record, blank ones included: each is matched behind a separator."""
     s = "\\" + sep if sep in ".^$|?*+()[]{}\\" else sep
-    return rf'(?:^|{s})("(?:[^"]|"")*"|[^{s}]*)'
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(sep), rec), F.lit(f"{s}({_field(sep)})"), F.lit(1)), _unquote)
 
 
 def _unquote(c):
@@ -73,9 +83,9 @@ def read_tables(spark: SparkSession, path: str, sep: str = ";", header: bool = T
              .option("recursiveFileLookup", "true").load(path))
     text = files.select(*_table_key(F.col("path")), decode_text("content", encodings).alias("_t"))
     recs = text.select("source", "page", "table_no",
-                       F.posexplode(F.regexp_extract_all("_t", F.lit(_RECORD_RE), 0)).alias("_line", "_rec"))
+                       F.posexplode(F.regexp_extract_all("_t", F.lit(_record_re(sep)), 0)).alias("_line", "_rec"))
     fields = recs.select("source", "page", "table_no", "_line",
-                         F.transform(F.regexp_extract_all("_rec", F.lit(_field_re(sep)), 1), _unquote).alias("_f"))
+                         _fields(F.col("_rec"), sep).alias("_f"))
     key = ["source", "page", "table_no"]
     if header:
         heads = fields.where(F.col("_line") == 0).select(*key, F.col("_f").alias("_h"))
@@ -163,9 +173,22 @@ def read_question_refs(spark: SparkSession, path: str, form: str = "document") -
     raise ValueError("form must be 'document' or 'sector'")
 
 
+_PY_ITEM = r"""\s*(?:'((?:[^'\\]|\\.)*+)'|"((?:[^"\\]|\\.)*+)"|(-?[0-9.]+|None))\s*"""
+
+
 def _py_list(col):
-    """Python list literal of strings/ints -> array<string> (quotes normalised)."""
-    return F.from_json(F.regexp_replace(F.col(col), "'", '"'), "array<string>")
+    """Python list literal of strings (either quote kind) or numbers -> array<string>; null if it is not one."""
+    body = F.regexp_extract(F.col(col), r"(?s)^\s*\[(.*)\]\s*$", 1)
+    is_list = F.col(col).rlike(rf"(?s)^\s*\[(?:{_PY_ITEM}(?:,{_PY_ITEM})*+,?)?\s*\]\s*$")
+    raw = F.regexp_extract_all(body, F.lit(_PY_ITEM), F.lit(0))
+
+    def value(x):
+        t = F.trim(x)
+        quoted = t.rlike("""^['"]""")
+        inner = F.regexp_replace(F.substring(t, F.lit(2), F.length(t) - 2), r"\\(.)", "$1")
+        return F.when(t == "None", F.lit(None)).when(quoted, inner).otherwise(t)
+
+    return F.when(is_list, F.transform(F.filter(raw, lambda x: F.trim(x) != ""), value))
 
 
 def read_qa(spark: SparkSession, path: str) -> DataFrame:

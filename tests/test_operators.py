@@ -154,7 +154,9 @@ def test_read_tables_quotes_ragged_encodings(spark):
     dropped = files.read_tables(spark, root, on_bad="drop").where("source = 'vivendi'")
     assert dropped.select("row_idx").distinct().count() == 1
     fixed = T.repair_table(cells.where("source = 'vivendi'").drop("n_fields", "width"))
-    assert fixed.where("row_idx = 1").count() == 3
+    # the widest row sets the width: nothing is cut, shorter rows are padded
+    assert [r.cell for r in fixed.where("row_idx = 1").orderBy("col_idx").collect()] == ["4", "5", "6", "7"]
+    assert [r.cell for r in fixed.where("row_idx = 0").orderBy("col_idx").collect()] == ["1", "2", "3", "NaN"]
 
 
 def test_read_pages_codes_refs_questions(spark):
@@ -283,13 +285,28 @@ def test_sparse_topk_matches_brute_force(spark):
     chunks = spark.createDataFrame([("s", p, c) for p, c in docs.items()], "source string, page int, content string")
     queries = spark.createDataFrame([(0, "energy use of water"), (1, "nothing matches zz")],
                                     "query_id int, text string")
-    for engine in ("arrow", "jvm"):
-        got = R.sparse_topk(queries, R.tfidf_fit(chunks), k=5, engine=engine).orderBy("query_id", "rank").collect()
-        for qid, qtext in ((0, "energy use of water"), (1, "nothing matches zz")):
-            exp = _brute_tfidf(docs, qtext, 5)
-            mine = [(r.page, r.score) for r in got if r.query_id == qid]
-            assert [p for p, _ in mine] == [p for p, _ in exp]
-            assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, exp))
+    got = R.sparse_topk(queries, R.tfidf_fit(chunks), k=5).orderBy("query_id", "rank").collect()
+    for qid, qtext in ((0, "energy use of water"), (1, "nothing matches zz")):
+        exp = _brute_tfidf(docs, qtext, 5)
+        mine = [(r.page, r.score) for r in got if r.query_id == qid]
+        assert [p for p, _ in mine] == [p for p, _ in exp]
+        assert all(abs(a - b) < 1e-9 for (_, a), (_, b) in zip(mine, exp))
+
+
+def test_chunks_of_one_page_are_kept_apart(spark):
+    import math
+    chunks = spark.createDataFrame([("s", 1, 0, "energy use"), ("s", 1, 1, "water use"), ("s", 2, 0, "waste")],
+                                   "source string, page int, chunk_no int, content string")
+    model = R.tfidf_fit(chunks)
+    idf = {r.term: r.idf for r in model.idf.collect()}
+    assert abs(idf["use"] - (math.log(4 / 3) + 1)) < 1e-12
+    q = spark.createDataFrame([(0, "water use")], "query_id int, text string")
+    sparse = R.sparse_topk(q, model, 3)
+    assert [(r.page, r.chunk_no) for r in sparse.orderBy("rank").collect()] == [(1, 1), (1, 0), (2, 0)]
+    dense = sparse.withColumn("score", F.lit(0.5))
+    assert R.fuse(dense, sparse, 5).count() == 3
+    with pytest.raises(Exception, match="share one key"):
+        R.tfidf_fit(chunks, ["source"], ["page"]).idf.collect()
 
 
 def test_fuse_lambda_zero_ranks_like_dense(spark):
@@ -308,11 +325,10 @@ def test_dense_topk_exact(spark):
     vecs = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 1.0]), ("s", 3, [1.0, 1.0]),
                                   ("s", 4, None)], "source string, page int, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id int, embedding array<float>")
-    for engine in ("arrow", "jvm"):
-        out = R.dense_topk(q, vecs, k=2, engine=engine).orderBy("rank").collect()
-        assert [r.page for r in out] == [1, 3]
-        sim = R.dense_topk(q, vecs, k=1, score="similarity", engine=engine).collect()[0]
-        assert sim.page == 1 and sim.score > 0.99
+    out = R.dense_topk(q, vecs, k=2).orderBy("rank").collect()
+    assert [r.page for r in out] == [1, 3]
+    sim = R.dense_topk(q, vecs, k=1, score="similarity").collect()[0]
+    assert sim.page == 1 and sim.score > 0.99
 
 
 # ------------------------------------------------------------- linking / context
@@ -450,15 +466,17 @@ def test_tfidf_model_checkpoint_and_store(spark):
     assert base == ck == st and ("s", 2, 1) in [x[:3] for x in base]
 
 
-def test_dense_query_blocks_match_single_block(spark):
+def test_dense_query_blocks_match_single_block(spark, monkeypatch):
     import random
     rnd = random.Random(7)
     vecs = spark.createDataFrame([("s" if i % 2 else "t", i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(60)],
                                  "source string, page int, embedding array<float>")
     q = spark.createDataFrame([(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(25)],
                               "query_id int, embedding array<float>")
-    one = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3).collect())
-    many = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk_arrow(q, vecs, 3, max_query_rows=4).collect())
+    one = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk(q, vecs, 3).collect())
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 300)
+    monkeypatch.setattr(R, "SCORE_CELLS", 40)
+    many = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk(q, vecs, 3).collect())
     assert one == many and len(one) == 25 * 2 * 3
 
 
@@ -471,17 +489,6 @@ def test_golden_ratio_ranking_low_desc(spark):
     assert r.answer == "102.70, 81.38"
 
 
-def test_min_idf_cut_is_off_by_default_and_only_drops_common_terms(spark):
-    docs = spark.createDataFrame([("s", i, "the energy" if i < 3 else "the water") for i in range(6)],
-                                 "source string, page int, content string")
-    q = spark.createDataFrame([(0, "the water")], "query_id int, text string")
-    model = R.tfidf_fit(docs)
-    full = {r.page: r.score for r in R.sparse_topk(q, model, 6).collect()}
-    cut = {r.page: r.score for r in R.sparse_topk(q, model, 6, min_idf=1.01).collect()}
-    assert full[0] > 0 and cut[0] == 0.0          # 'the' (idf 1.0) no longer scores
-    assert [p for p, v in sorted(cut.items()) if v > 0] == [3, 4, 5]
-
-
 def test_delete_from_bucketed_store(spark):
     import glob
     rows = [(f"id{i}", f"s{i % 7}", i) for i in range(70)]
@@ -548,3 +555,73 @@ def test_stored_index_reused_and_rebuilt_on_change(spark):
     m3 = stored_tfidf(spark, "t", [f"{root}/docs"], build, ["source"], ["page"])
     assert len(calls) == 2
     assert [r.page for r in R.sparse_topk(q, m3, 2).orderBy("rank").collect()] == [1, 2]
+
+
+# ------------------------------------------------------------- shapes that used to lose data
+
+def test_read_tables_keeps_blank_fields_and_lone_quotes(spark):
+    import os
+    root = _tmp()
+    os.makedirs(f"{root}/doc")
+    with open(f"{root}/doc/3_0.csv", "w", encoding="utf-8") as f:
+        f.write(';2023;2022\nCO2;1;2\n;7;\n\n5" pipe;;3\n"a;b";"x ""y""";"two\nlines"\n"open;8;9\n')
+    got = {}
+    for r in files.read_tables(spark, root).collect():
+        got.setdefault(r.row_idx, {})[r.col_idx] = (r.header, r.cell)
+    rows = [[got[i][c][1] for c in sorted(got[i])] for i in sorted(got)]
+    assert rows == [["CO2", "1", "2"], ["", "7", ""], ['5" pipe', "", "3"], ["a;b", 'x "y"', "two\nlines"], ['"open', "8", "9"]]
+    assert [got[0][c][0] for c in range(3)] == ["", "2023", "2022"]
+    bare = files.read_tables(spark, root, header=False)
+    assert bare.where("row_idx = 0").orderBy("col_idx").select("cell").first().cell == ""
+
+
+def test_repair_keeps_cells_beyond_the_header_and_headerless_tables(spark):
+    rows = [("s", 1, 0, 0, 0, "h", "a"), ("s", 1, 0, 0, 1, None, "note"), ("s", 1, 0, 1, 0, "h", "b"),
+            ("s", 1, 1, 0, 0, None, "x"), ("s", 1, 1, 0, 2, None, "z")]
+    cells = spark.createDataFrame(rows, "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
+    got = {(r.table_no, r.row_idx, r.col_idx): r.cell for r in T.repair_table(cells).collect()}
+    assert got == {(0, 0, 0): "a", (0, 0, 1): "note", (0, 1, 0): "b", (0, 1, 1): "NaN",
+                   (1, 0, 0): "x", (1, 0, 1): "NaN", (1, 0, 2): "z"}
+
+
+def test_unique_headers_avoid_names_that_exist(spark):
+    rows = [("s", 1, 0, 0, i, h, "v") for i, h in enumerate(["a", "a", "a_1", " ", "A"])]
+    cells = spark.createDataFrame(rows, "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
+    got = [r.header for r in T.unique_headers(cells).orderBy("col_idx").collect()]
+    assert got == ["a", "a_2", "a_1", "col_3", "A_3"]
+
+
+def test_qa_lists_of_either_quote_kind(spark):
+    import os
+    root = _tmp()
+    os.makedirs(root, exist_ok=True)
+    with open(f"{root}/qa.csv", "w", encoding="utf-8") as f:
+        f.write('index,pdf name,page nbr,table nbr,question,value\n')
+        f.write('0,"[""L\'Oreal.pdf"", \'b.pdf\']","[1, 2]","[0, 3]",q,1\n1,not a list,[1],[0],q2,2\n')
+    got = {r.qid: r.refs for r in files.read_qa(spark, f"{root}/qa.csv").collect()}
+    assert [(r.source, r.page, r.table_no) for r in got[0]] == [("L'Oreal", 1, 0), ("b", 2, 3)]
+    qa = spark.createDataFrame([(1, None), (2, [("s", 1, 0)])], "qid int, refs array<struct<source:string,page:int,table_no:int>>")
+    tables = spark.createDataFrame([("s", 1, 0)], "source string, page int, table_no int")
+    assert sorted((r.qid, r.missing) for r in L.qa_tables(qa, tables).collect()) == [(1, True), (2, False)]
+
+
+def test_small_wrong_answers(spark):
+    from tabloom.functions import numbers as N, text as X
+    one = lambda c: spark.range(1).select(c.alias("v")).first().v
+    assert one(N.format_answer(F.lit(1.0049999996))) == "1.00" and one(N.format_answer(F.lit(1.005))) == "1.01"
+    assert one(X.url_quote(F.lit("a b/~*+é"))) == "a%20b/~%2A%2B%C3%A9"
+    assert one(X.strip_markdown(F.lit("```x\ncode\n``` **b** ```one```"))) == "code\n b `one"
+    html = spark.createDataFrame([("s", 1, "<ul><li><p>x</p></li><li>y</li></ul><p>t</p>")], "source string, page int, html string")
+    assert [(r.category, r.text.replace(" ", "")) for r in L.html_elements(html).orderBy("elem_idx").collect()] == [("Table", "xy"), ("Text", "t")]
+    f = spark.createDataFrame([("c", "m", 1, 2.0), ("c", "m", 1, 3.0), ("c", "m", 2, 5.0)], "company string, metric string, year int, value double")
+    with pytest.raises(Exception, match="several values"):
+        Q.q_ratio(f, ["company"], F.col("year") == 1, F.col("year") == 2).collect()
+
+
+def test_delete_every_row_of_a_bucket(spark):
+    rows = [(f"id{i}", "s", i) for i in range(5)]
+    chunks = ingest.with_store_bucket(spark.createDataFrame(rows, "chunk_id string, source string, page int"), n=4)
+    root = _tmp()
+    chunks.write.partitionBy("bucket").parquet(f"{root}/store")
+    assert writers.delete_from_store(spark, f"{root}/store", chunks.select("chunk_id"), f"{root}/stage") == 1
+    assert spark.read.schema(chunks.schema).parquet(f"{root}/store").count() == 0
