@@ -171,6 +171,16 @@ def q_merge_question_refs(spark, sf_dir):
     return L.merge_question_refs(old, new, "replace")
 
 
+@register("extend_question_refs", "WITH " + SQL_REFS + SQL_DENSE_REFS + """
+SELECT code AS question, source, page, table_no FROM refs
+UNION ALL SELECT code, source, page, table_no FROM dfound""")
+def q_extend_question_refs(spark, sf_dir):
+    """K6, sector form: the references of a later answer are added to the stored ones."""
+    named = lambda r: r.select(F.col("code").alias("question"), "source", F.col("page").cast("long"), "table_no")
+    new = refs_before(spark, sf_dir, dense_by_source(spark, sf_dir)).where(F.col("page").isNotNull())
+    return L.merge_question_refs(named(refs_before(spark, sf_dir)), named(new), "extend")
+
+
 @register("pending_tables", "WITH " + SQL_REFS + """
 SELECT source, page, table_no FROM ti EXCEPT SELECT source, page, table_no FROM kept""")
 def q_pending_tables(spark, sf_dir):

@@ -93,10 +93,8 @@ def q_comparative(spark, sf_dir):
 @register("q_superlative_value", _sql(f"""
 SELECT metric, year, {fmt('max(value)')} AS max_answer, {fmt('min(value)')} AS min_answer FROM facts GROUP BY ALL"""))
 def q_superlative_value(spark, sf_dir):
-    f = F_(spark, sf_dir)
-    hi = Q.q_best(f, BY_MY, "max").select(*BY_MY, format_answer("value").alias("max_answer"))
-    lo = Q.q_best(f, BY_MY, "min").select(*BY_MY, format_answer("value").alias("min_answer"))
-    return hi.join(lo, BY_MY)
+    return F_(spark, sf_dir).groupBy(*BY_MY).agg(format_answer(F.max("value")).alias("max_answer"),
+                                                 format_answer(F.min("value")).alias("min_answer"))
 
 
 @register("q_superlative_company", _sql(f"""
@@ -165,6 +163,46 @@ def q_sum_sup(spark, sf_dir):
     return Q.answer(Q.two_step(inner, ["metric"], "sup"))
 
 
+def _extreme_sql(inner: str, by: str, direction: str) -> str:
+    return f"""SELECT {by}, company, {fmt('value')} AS answer FROM {inner} WHERE value IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY value {direction}, company) = 1"""
+
+
+@register("q_average_sup", _sql(_extreme_sql(_MEANS, "metric", "DESC")))
+def q_average_sup(spark, sf_dir):
+    return Q.answer(Q.two_step(Q.q_mean(F_(spark, sf_dir), ["metric", "company"]), ["metric"], "sup"))
+
+
+@register("q_sum_inf", _sql(_extreme_sql(_SUMS, "metric", "ASC")))
+def q_sum_inf(spark, sf_dir):
+    return Q.answer(Q.two_step(Q.q_sum(F_(spark, sf_dir), ["metric", "company"]), ["metric"], "inf"))
+
+
+@register("q_ratio_sup", _sql(_extreme_sql(_RATIO, "year", "DESC")))
+def q_ratio_sup(spark, sf_dir):
+    inner = _ratio(spark, sf_dir).where(F.col("value").isNotNull())
+    return Q.answer(Q.two_step(inner, ["year"], "sup"))
+
+
+def _ranking_sql(inner: str, by: str, pick: str, show: str) -> str:
+    return f"""SELECT {by}, string_agg({show}, ', ' ORDER BY value DESC, company) AS answer FROM (
+  SELECT * FROM {inner} WHERE value IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY value {pick}, company) <= {TOP_N}) GROUP BY ALL"""
+
+
+@register("q_average_ranking", _sql(_ranking_sql(_MEANS, "metric", "ASC", "company")))
+def q_average_ranking(spark, sf_dir):
+    """Low form with company answers: the lowest averages, printed from high to low."""
+    inner = Q.q_mean(F_(spark, sf_dir), ["metric", "company"])
+    return Q.q_rank(inner, ["metric"], TOP_N, "company", pick="low", order="desc", show="company")
+
+
+@register("q_ratio_ranking", _sql(_ranking_sql(_RATIO, "year", "DESC", fmt("value"))))
+def q_ratio_ranking(spark, sf_dir):
+    inner = _ratio(spark, sf_dir).where(F.col("value").isNotNull())
+    return Q.two_step(inner, ["year"], "rank", n=TOP_N, pick="high", order="desc")
+
+
 @register("q_sum_ranking", _sql(f"""
 SELECT metric, string_agg({fmt('value')}, ', ' ORDER BY value DESC, company) AS answer FROM (
   SELECT * FROM {_SUMS} QUALIFY row_number() OVER (PARTITION BY metric ORDER BY value DESC, company) <= {TOP_N})

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tabloom.functions.numbers import parse_number_sql_ctes, with_parsed_number
+from tabloom.functions.numbers import format_answer, parse_number_sql_ctes, with_parsed_number
+from tabloom.operators import quant as Q
 from tabloom.operators import tables as T
 from tabloom.plans import sql_frags as S
 from tabloom.plans.registry import register
@@ -227,7 +228,7 @@ def q_html_list_cells(spark, sf_dir):
     return T.html_tables_to_cells(p, "html", ["page_id"], table_tag="ul", row_tag="li", cell_tags=("a",))
 
 
-@register("table_facts", "WITH " + S.CELLS + """,
+_SQL_FACTS = ("WITH " + S.CELLS + """,
 lbl AS (SELECT source, page, table_no, row_idx, cell AS row_label FROM cells WHERE col_idx = 0),
 dat AS (SELECT * FROM cells WHERE col_idx <> 0 AND NOT regexp_matches(coalesce(header, ''), '(?i)^units?$')),"""
           + parse_number_sql_ctes("dat", "cell") + r"""
@@ -237,6 +238,32 @@ SELECT p.source, p.page, p.table_no, p.row_idx, p.col_idx, l.row_label, p.header
             THEN regexp_extract(coalesce(p.header, ''), '\b((?:19|20)[0-9]{2})\b', 1)::INTEGER END AS year,
        p.lo AS value, p.is_pct
 FROM pn6 p LEFT JOIN lbl l USING (source, page, table_no, row_idx)""")
+
+
+@register("table_facts", _SQL_FACTS)
 def q_table_facts(spark, sf_dir):
     """Every lineitem table unpivoted to facts (row label, column label, unit, year, value)."""
     return T.to_facts(driver.cells(spark, sf_dir))
+
+
+# Money is reported in cents: the columns that hold it, and the rule that brings it to whole units.
+MONEY_COLUMN = "value"
+
+
+@register("facts_to_answers", f"""
+WITH tf AS ({_SQL_FACTS}),
+f AS (SELECT source AS company, column_label AS metric, value / 100 AS value FROM tf
+      WHERE column_label = '{MONEY_COLUMN}' AND value IS NOT NULL)
+SELECT company, metric, CAST(round(sum(value)::DECIMAL(38,6), 2) AS DECIMAL(38,2))::VARCHAR AS total,
+       CAST(round(max(value)::DECIMAL(38,12), 2) AS DECIMAL(38,2))::VARCHAR AS highest
+FROM f GROUP BY ALL""")
+def q_facts_to_answers(spark, sf_dir):
+    """T10 -> A20 -> A1 and A8: facts read from the tables, brought to one unit, then answered."""
+    facts = T.to_facts(driver.cells(spark, sf_dir)).where((F.col("column_label") == MONEY_COLUMN) & F.col("value").isNotNull())
+    reported = facts.select(F.col("source").alias("company"), F.col("column_label").alias("metric"),
+                            F.lit("cent").alias("unit"), "value")
+    rules = spark.createDataFrame([("cent", "unit", 0.01)], "unit string, target string, factor double")
+    same = Q.normalize_units(reported, rules, "unit").where("status = 'ok'")
+    by = ["company", "metric"]
+    total = Q.q_sum(same, by).select(*by, F.round(F.col("value").cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string").alias("total"))
+    return total.join(Q.q_best(same, by, "max").select(*by, format_answer("value").alias("highest")), by)
