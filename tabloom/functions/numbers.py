@@ -100,10 +100,6 @@ def _checked(norm: Column) -> Column:
 EXACT = "decimal(38,12)"
 
 
-def round_half_up(x, digits: int = 2) -> Column:
-    """Decimal rounding (half away from zero) of a double, returned as double."""
-    return F.round(_c(x).cast(EXACT), digits).cast("double")
-
 
 def format_answer(x, digits: int = 2) -> Column:
     """A number as text with exactly ``digits`` decimals (decimal rounding)."""

@@ -19,10 +19,6 @@ def parse_embedding(text) -> Column:
     return F.from_json(_c(text), "array<float>")
 
 
-def dot(a, b) -> Column:
-    prods = F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double"))
-    return F.aggregate(prods, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-
 
 def norm(a) -> Column:
     return F.sqrt(F.aggregate(_c(a), F.lit(0.0).cast("double"),
@@ -33,13 +29,3 @@ def l2_normalize(a) -> Column:
     """V / |v|; a zero vector gives null (the reference yields NaN)."""
     n = norm(a)
     return F.when(n > 0, F.transform(_c(a), lambda x: x.cast("double") / n))
-
-
-def cosine_similarity(a, b) -> Column:
-    na, nb = norm(a), norm(b)
-    return F.when((na > 0) & (nb > 0), dot(a, b) / (na * nb))
-
-
-def cosine_distance(a, b) -> Column:
-    """1 - cosine similarity (the dense store's default distance)."""
-    return F.lit(1.0) - cosine_similarity(a, b)

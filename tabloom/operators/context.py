@@ -16,14 +16,6 @@ from tabloom.functions.text import url_quote
 PLACEHOLDER_RE = r"\[TABLEPLACEHOLDER\s*(\d+)]"
 PLACEHOLDER_SPLIT_RE = r"\[TABLEPLACEHOLDER\s*\d+]"
 TABLE_CAPTION = "\n[Table from page {page}, num {num}]\n"
-SECTOR_TABLE_CAPTION = "\n[Table from {source} - page {page}, num {num}]\n"
-PAGE_BLOCK = "\n---\n# Page {page}\n{text}\n"
-SECTOR_PAGE_BLOCK = "\n---\n# Source: {source}\n# Page {page}\n{text}\n"
-DOC_HEADER = "Company name: {name}\n"
-SECTOR_HEADER = "Sector: {name}\n"
-NO_REFS_MESSAGE = "⚠️ No references found for query '{query}' in {name}\n"
-COMPANY_HEADER = "Company: {name}\n"
-SECTOR_LISTING = "The company below are inside the following sector: {sector}\n\n"
 TABLE_MARKER_RE = r"<Table(\d+)>"
 # Findings report lines (document header, code line, one link line per table):
 #   "📁**{doc}** -- company name **{company}** \n "

@@ -30,10 +30,6 @@ def any_sector(df: DataFrame, sectors, col: str = "company_sectors") -> DataFram
     return df.where(F.col(col).isNotNull() & sectors_overlap(col, sectors))
 
 
-def in_set(df: DataFrame, col: str, values_col: Column) -> DataFrame:
-    """keep rows whose ``col`` is in an array column (e.g. selected row ids)."""
-    return df.where(F.array_contains(values_col, F.col(col)))
-
 
 def validate_retrieval(filters, use_dense: bool, use_sparse: bool, use_ensemble: bool) -> None:
     """refuse a retrieval call that cannot be planned.

@@ -160,15 +160,6 @@ def lookup_sectors(companies: DataFrame, dim: DataFrame, company_col: str = "com
                     .alias("company_sectors")))
 
 
-def company_key(name_col: str = "company_name") -> Column:
-    """I4 exposed for ingest: a file-name-safe key for a company name."""
-    return clean_key(name_col)
-
-
-def number_rows(df: DataFrame, part_cols, order_cols, name: str = "ordinal") -> DataFrame:
-    """Stable 0-based ordinal within a partition (used for list positions, W6)."""
-    w = Window.partitionBy(*part_cols).orderBy(*order_cols)
-    return df.withColumn(name, F.row_number().over(w) - 1)
 
 
 # Separators of the recursive splitter, tried in order (fixed values).

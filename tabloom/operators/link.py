@@ -20,10 +20,6 @@ MAX_NOISE_TABLES = 2           # distractor tables per target
 TABLE_KEY = ["source", "page", "table_no"]
 
 
-def hits_to_tables(hits: DataFrame, tables: DataFrame) -> DataFrame:
-    """Every table on every hit page, (source, page) equi join."""
-    return hits.join(tables.select(*TABLE_KEY), ["source", "page"])
-
 
 def link_codes(codes: DataFrame, hits: DataFrame, tables: DataFrame) -> DataFrame:
     """L1: code x document -> tables on its top-k pages.
@@ -137,10 +133,6 @@ def orphan_pages(pages: DataFrame, tables: DataFrame) -> DataFrame:
     return pages.join(tables.select("source", "page").distinct(), ["source", "page"], "left_anti")
 
 
-def pages_with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
-    """J4 complement: text pages that keep at least one table."""
-    return pages.join(tables.select("source", "page"), ["source", "page"], "left_semi")
-
 
 def orphan_tables(checked: DataFrame, kept: DataFrame) -> DataFrame:
     """Tables that were checked but are referenced by no kept code."""

@@ -7,11 +7,10 @@ queries  : query_id, text            (sparse)   /  query_id, embedding (dense)
 result   : query_id, <group cols>, <key cols>, rank (int, 1..k), score (double)
 
 Plan shape (see README "Retrieval at scale"):
-* the query side (query terms, or query vectors) is the only thing broadcast,
-  and only after a bounded row-count probe on that small side;
-* the inverted index streams through a broadcast hash join and the vector
-  table through Arrow batches scored against the shipped query matrix, so
-  neither is shuffled for scoring;
+* the query side (query terms, or blocks of the query matrix) is the only thing
+  broadcast, and only within a proven number of bytes;
+* the inverted index streams through a join with the query terms, the vector
+  table through Arrow batches scored in bounded blocks;
 * ``row_number() <= k`` lets Catalyst insert a partial ``WindowGroupLimit``
   before the exchange, so only k rows per (query, group, partition) move.
 """
@@ -24,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import tokenize
+from tabloom.operators.filters import apply_filters, validate_retrieval
 from tabloom.plans.sizing import broadcast_if_bounded
 
 # Fixed values that must equal the reference's behaviour.
@@ -284,6 +284,21 @@ def hybrid_topk(queries_text: DataFrame, queries_vec: DataFrame, chunks: DataFra
     return fuse(dense, sparse, k, lmbd, group_cols, key_cols, dense_score=dense_score)
 
 
+def retrieve(chunks: DataFrame, vecs: DataFrame, queries_text: DataFrame, queries_vec: DataFrame, filters=(),
+             use_dense: bool = False, use_sparse: bool = False, use_ensemble: bool = False, k: int = DEFAULT_K,
+             lmbd: float = DEFAULT_LAMBDA, with_scores: bool = True) -> DataFrame:
+    """The retrieval call: checks its arguments (F3), filters both stores (F1) and runs one mode."""
+    validate_retrieval(filters, use_dense, use_sparse, use_ensemble)
+    chunks, vecs = apply_filters(chunks, filters), apply_filters(vecs, filters)
+    if use_dense:
+        found = dense_topk(queries_vec, vecs, k)
+    elif use_sparse:
+        found = sparse_topk(queries_text, tfidf_fit(chunks), k)
+    else:
+        found = hybrid_topk(queries_text, queries_vec, chunks, vecs, k, lmbd)
+    return head_k(found, k) if with_scores else without_scores(head_k(found, k))
+
+
 def without_scores(hits: DataFrame) -> DataFrame:
     """Drop the score column."""
     return hits.drop("score")

@@ -63,10 +63,6 @@ def html_tables_to_cells(df: DataFrame, html_col: str = "html", key_cols=("sourc
     return c.select(*kk, "table_no", "row_idx", "col_idx", strip_tags(F.col("_cell")).alias("cell"))
 
 
-def table_widths(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
-    """Width per table: the most fields of any row, the header row included."""
-    return cells.groupBy(*_key(key_cols)).agg((F.max("col_idx") + 1).alias("width"))
-
 
 def _row_summaries(cells: DataFrame, kk) -> DataFrame:
     """One row per (table, row): its cells as a map, its header pairs, its widths.

@@ -625,3 +625,23 @@ def test_delete_every_row_of_a_bucket(spark):
     chunks.write.partitionBy("bucket").parquet(f"{root}/store")
     assert writers.delete_from_store(spark, f"{root}/store", chunks.select("chunk_id"), f"{root}/stage") == 1
     assert spark.read.schema(chunks.schema).parquet(f"{root}/store").count() == 0
+
+
+def test_retrieval_call_checks_filters_and_modes(spark):
+    chunks = spark.createDataFrame([("s", 1, "energy use"), ("s", 2, "water"), ("t", 1, "energy")], "source string, page int, content string")
+    vecs = spark.createDataFrame([("s", 1, [1.0, 0.0]), ("s", 2, [0.0, 1.0]), ("t", 1, [1.0, 0.0])], "source string, page int, embedding array<float>")
+    qt = spark.createDataFrame([(0, "energy")], "query_id int, text string")
+    qv = spark.createDataFrame([(0, [1.0, 0.1])], "query_id int, embedding array<float>")
+    for mode in ("use_dense", "use_sparse", "use_ensemble"):
+        out = R.retrieve(chunks, vecs, qt, qv, [("source", "s")], k=1, with_scores=False, **{mode: True})
+        assert "score" not in out.columns and [(r.source, r.page) for r in out.collect()] == [("s", 1)]
+    with pytest.raises(ValueError):
+        R.retrieve(chunks, vecs, qt, qv, [], use_sparse=True)
+
+
+def test_vectors_are_appended(spark):
+    root = _tmp() + "/vectors"
+    vecs = spark.createDataFrame([("s", 1, [1.0])], "source string, page int, embedding array<float>")
+    writers.append_vectors(vecs, root)
+    writers.append_vectors(vecs, root)
+    assert spark.read.parquet(root).count() == 2
