@@ -329,18 +329,44 @@ def apply_edits(cells: DataFrame, edits: DataFrame, key_cols=TABLE_KEY) -> DataF
             .withColumn("cell", F.coalesce("_new", "cell")).drop("_new"))
 
 
+def merge_header_rows(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0) -> DataFrame:
+    """Leading rows without label and number are further header lines; their texts join the headers.
+
+    Both decisions are aggregates per row and per table; the texts gathered
+    per column are those of the header lines only.
+    """
+    kk = _key(key_cols)
+    label = F.max(F.when((F.col("col_idx") == label_col) & ~is_blank(F.col("cell")), 1).otherwise(0))
+    number = F.max(F.when((F.col("col_idx") != label_col) & F.col("cell").rlike("[0-9]"), 1).otherwise(0))
+    rows = cells.groupBy(*kk, "row_idx").agg((label + number).alias("_data"))
+    first = rows.where(F.col("_data") > 0).groupBy(*kk).agg(F.min("row_idx").alias("_first"))
+    marked = cells.join(first, kk, "left").withColumn("_lead", F.col("row_idx") < F.col("_first"))
+    more = marked.where(F.col("_lead") & ~is_blank(F.col("cell"))).groupBy(*kk, "col_idx").agg(
+        F.array_sort(F.collect_list(F.struct("row_idx", F.trim("cell").alias("t")))).alias("_l"))
+    more = more.select(*kk, "col_idx", F.array_join(F.transform("_l", lambda x: x["t"]), " ").alias("_more"))
+    joined = marked.where(~F.coalesce("_lead", F.lit(False))).join(more, [*kk, "col_idx"], "left")
+    full = F.trim(F.concat_ws(" ", F.trim("header"), F.col("_more")))
+    return joined.withColumn("header", F.when(F.col("_more").isNull(), F.col("header")).otherwise(full)).select(*cells.columns)
+
+
 def to_facts(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0,
              unit_header_re: str = r"(?i)^units?$") -> DataFrame:
     """Unpivot to facts (row_label, column_label, unit, year, value).
 
-    The row label is the cell of column ``label_col``; a column whose header
-    matches ``unit_header_re`` gives the unit of its row; the year is the
-    first 19xx/20xx in the header; value = parsed lower bound.
+    The row label is the cell of column ``label_col``.  The unit of a row is
+    the cell of the column whose header matches ``unit_header_re``, else the
+    bracketed cell of a column without header, else what brackets hold at the
+    end of the label.  The year is the first 19xx/20xx in the header; value =
+    parsed lower bound.
     """
     kk = _key(key_cols)
     labels = cells.where(F.col("col_idx") == label_col).select(*kk, "row_idx", F.col("cell").alias("row_label"))
-    units = (cells.where(F.coalesce(F.col("header"), F.lit("")).rlike(unit_header_re))
-             .groupBy(*kk, "row_idx").agg(F.max("cell").alias("unit")))
+    no_header, bracketed = F.trim(F.coalesce("header", F.lit(""))) == "", r"^\s*\(([^()]+)\)\s*$"
+    named = F.coalesce("header", F.lit("")).rlike(unit_header_re)
+    units = (cells.where(named | (no_header & (F.col("col_idx") != label_col) & F.col("cell").rlike(bracketed)))
+             .groupBy(*kk, "row_idx").agg(F.coalesce(F.max(F.when(named, F.col("cell"))),
+                                                     F.max(F.when(F.col("cell").rlike(bracketed), F.regexp_extract("cell", bracketed, 1)))).alias("unit")))
+    of_label = F.when(F.col("row_label").rlike(r"\([^()]+\)\s*$"), F.regexp_extract("row_label", r"\(([^()]+)\)\s*$", 1))
     data = cells.where((F.col("col_idx") != label_col)
                        & ~F.coalesce(F.col("header"), F.lit("")).rlike(unit_header_re))
     year = F.regexp_extract(F.coalesce(F.col("header"), F.lit("")), YEAR_RE, 1)
@@ -348,7 +374,8 @@ def to_facts(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0,
         *kk, "row_idx", "col_idx", F.col("header").alias("column_label"),
         F.when(year != "", year.cast("int")).alias("year"), F.col("lo").alias("value"), "is_pct")
     return (facts.join(labels, [*kk, "row_idx"], "left").join(units, [*kk, "row_idx"], "left")
-            .select(*kk, "row_idx", "col_idx", "row_label", "column_label", "unit", "year", "value", "is_pct"))
+            .select(*kk, "row_idx", "col_idx", "row_label", "column_label", F.coalesce("unit", of_label).alias("unit"),
+                    "year", "value", "is_pct"))
 
 
 def table_preview(cells: DataFrame, key_cols=TABLE_KEY, n: int = PREVIEW_LINES) -> DataFrame:

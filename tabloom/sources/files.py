@@ -194,7 +194,8 @@ def _py_list(col):
 def read_qa(spark: SparkSession, path: str) -> DataFrame:
     """QA corpus CSV; list-literal columns zipped into refs; '.pdf' stripped.
 
-    Output: qid, question, qtype, gri, value, hierarchical, refs array<struct<source,page,table_no>>.
+    Output: qid, question, qtype, gri, value, hierarchical, refs array<struct<source,page,table_no>>, and the
+    multi-table corpus' unit, years, answer_value, answer_companies (null where the file has no such column).
     A list literal that does not parse yields null refs (surfaced, not guessed).
     """
     df = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
@@ -208,8 +209,12 @@ def read_qa(spark: SparkSession, path: str) -> DataFrame:
     hier = F.col("hierarchical").cast("int") if "hierarchical" in df.columns else F.lit(None).cast("int")
     qtype = F.col("question_type_ext") if "question_type_ext" in df.columns else F.lit(None).cast("string")
     gri = F.col("gri") if "gri" in df.columns else F.lit(None).cast("string")
+    text = lambda c: F.col(c) if c in df.columns else F.lit(None).cast("string")
+    items = lambda c: _py_list(c) if c in df.columns else F.lit(None).cast("array<string>")
     return df.select(qid.alias("qid"), F.col("question"), qtype.alias("qtype"), gri.alias("gri"),
-                     F.col("value"), hier.alias("hierarchical"), zipped.alias("refs"))
+                     F.col("value"), hier.alias("hierarchical"), zipped.alias("refs"), text("unit").alias("unit"),
+                     F.transform(items("years"), lambda y: y.cast("int")).alias("years"),
+                     text("answer_value").alias("answer_value"), items("answer_company").alias("answer_companies"))
 
 
 def list_documents(spark: SparkSession, path: str, glob: str = PDF_GLOB) -> DataFrame:

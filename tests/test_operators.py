@@ -645,3 +645,22 @@ def test_vectors_are_appended(spark):
     writers.append_vectors(vecs, root)
     writers.append_vectors(vecs, root)
     assert spark.read.parquet(root).count() == 2
+
+
+def test_header_lines_and_row_units(spark):
+    grid = [["", "", "2023", "2022"], ["", " ", "Group", "Group"], ["Energy use", "(TJ)", "14334", "16665"], ["Water (m3)", "", "7", "8"]]
+    rows = [("s", 1, 0, i, j, h, c) for i, line in enumerate(grid[1:]) for j, (h, c) in enumerate(zip(grid[0], line))]
+    cells = spark.createDataFrame(rows, "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
+    facts = T.to_facts(T.merge_header_rows(cells)).where("value is not null").collect()
+    got = {(r.row_label, r.year): (r.column_label, r.unit, r.value) for r in facts}
+    assert got == {("Energy use", 2023): ("2023 Group", "TJ", 14334.0), ("Energy use", 2022): ("2022 Group", "TJ", 16665.0),
+                   ("Water (m3)", 2023): ("2023 Group", "m3", 7.0), ("Water (m3)", 2022): ("2022 Group", "m3", 8.0)}
+
+
+def test_qa_reads_the_multi_table_columns(spark):
+    root = _tmp()
+    _write(f"{root}/multi.csv", "Unnamed: 0,pdf name,page nbr,table nbr,answer_value,answer_company,unit,years,question,question_type_ext,gri,value\n"
+           "4,\"['a', 'b']\",\"['310', '47']\",\"['1', '1']\",28,\"['a']\",MWh,\"[2023, 2022]\",q,sum,302,28\n")
+    r = files.read_qa(spark, f"{root}/multi.csv").collect()[0]
+    assert (r.unit, r.years, r.answer_value, r.answer_companies) == ("MWh", [2023, 2022], "28", ["a"])
+    assert [(x.source, x.page, x.table_no) for x in r.refs] == [("a", 310, 1), ("b", 47, 1)]
