@@ -1,17 +1,20 @@
-"""Stored TF-IDF indexes: fit once per corpus version, reuse from shared storage.
-
-The reference refits TF-IDF for every question.  Here the fit is a table
-written below ``spark.checkpoint.dir`` (shared storage on a cluster), keyed by
-the input files it was built from (path, size, modification time), the
-grouping and the version of the fitting code, so it is rebuilt exactly when
-the corpus or the fit changes.  It is written to
-a temporary folder and renamed into place, so a reader never sees a partial
-index and a lost executor during the build only repeats the build.
+"""Derived tables stored once per corpus version below the shared checkpoint folder.
+
+The reference refits TF-IDF for every question.  Here the fit, like the cells
+that production would extract at ingest, is a table keyed by the input files it
+was built from (path, size, modification time) and by the source of the code
+that builds it, so it is built again exactly when either changes.
+
+A build writes into a folder of its own below the key and is complete once
+Spark's writer has committed its last table (``_SUCCESS``).  Readers take the
+first complete build; nothing is renamed, so object stores are safe, a lost
+build is never read, and two jobs that race only write the same rows twice.
 """
 
 from __future__ import annotations
 
 import hashlib
+import inspect
 import uuid
 from collections.abc import Callable
 
@@ -22,71 +25,56 @@ from tabloom.operators.retrieve import TfidfModel, tfidf_fit
 from tabloom.session import checkpoint_dir
 
 
-def _code_version() -> str:
-    """Changes whenever the fitting code or the token rule changes (no stale index)."""
-    import inspect
-    return hashlib.sha256((inspect.getsource(tfidf_fit) + TOKEN_PATTERN).encode()).hexdigest()[:12]
+def code_version(*functions) -> str:
+    """Changes whenever the source of one of the functions does."""
+    return hashlib.sha256("\n".join(inspect.getsource(f) for f in functions).encode()).hexdigest()[:12]
 
 
 def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _publish(spark: SparkSession, tmp: str, base: str) -> None:
-    """Move a finished build into place; if another job won the race, keep theirs.
+def fingerprint(spark: SparkSession, paths) -> str:
+    """Hash of (path, size, modification time) of every file below the inputs."""
+    seen = []
+    for path in paths:
+        p, fs = _fs(spark, path)
+        files = fs.listFiles(p, True)
+        while files.hasNext():
+            st = files.next()
+            seen.append(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}")
+    return hashlib.sha256("\n".join(sorted(seen)).encode()).hexdigest()[:24]
 
-    A rename onto a folder created meanwhile would nest the build inside it,
-    so that case is detected and the nested copy removed.
-    """
-    src, fs = _fs(spark, tmp)
-    dst, _ = _fs(spark, base)
-    if fs.exists(dst) or not fs.rename(src, dst):
-        fs.delete(src, True)
-    nested, _ = _fs(spark, f"{base}/{tmp.rsplit('/', 1)[1]}")
-    if fs.exists(nested):
-        fs.delete(nested, True)
 
+def _stored(spark: SparkSession, kind: str, name: str, inputs, version: str, last: str,
+            write: Callable[[str], None]) -> str:
+    """Folder of a complete build; ``write(folder)`` makes one, its table ``last`` at the end."""
+    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{version}".encode()).hexdigest()[:24]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/{kind}/{name}-{key}"
 
-def fingerprint(spark: SparkSession, paths) -> str:
-    """Hash of (path, size, modification time) of every input file."""
-    h = hashlib.sha256()
-    for path in sorted(paths):
-        p, fs = _fs(spark, path)
-        for st in sorted(fs.listStatus(p), key=lambda s: s.getPath().toString()):
-            h.update(f"{st.getPath().toString()}|{st.getLen()}|{st.getModificationTime()}\n".encode())
-    return h.hexdigest()[:24]
+    def complete() -> list[str]:
+        p, fs = _fs(spark, f"{base}/*/{last}/_SUCCESS")
+        return sorted(st.getPath().getParent().getParent().toString() for st in fs.globStatus(p) or ())
+
+    if not complete():
+        write(f"{base}/{uuid.uuid4().hex}")
+    return complete()[0]
 
 
 def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[[], DataFrame],
-                 group_cols, key_cols, text_col: str = "content") -> TfidfModel:
-    """Load the index for (name, inputs, grouping) or fit and store it first."""
-    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{list(group_cols)}|{list(key_cols)}|"
-                         f"{text_col}|{_code_version()}".encode()).hexdigest()[:24]
-    base = f"{checkpoint_dir(spark).rstrip('/')}/indexes/{name}-{key}"
-    p, fs = _fs(spark, f"{base}/_COMPLETE")
-    if not fs.exists(p):
-        tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
-        tfidf_fit(build_chunks(), group_cols, key_cols, text_col).save(tmp)
-        fs.create(_fs(spark, f"{tmp}/_COMPLETE")[0]).close()
-        _publish(spark, tmp, base)
-    return TfidfModel.load(spark, base, group_cols, key_cols)
+                 group_cols, key_cols, text_col: str = "content", version: str = "") -> TfidfModel:
+    """Load the index for (name, inputs, grouping) or fit and store it first.
 
+    ``version`` covers the code behind ``build_chunks`` (see :func:`code_version`).
+    """
+    full = f"{list(group_cols)}|{list(key_cols)}|{text_col}|{code_version(tfidf_fit)}|{TOKEN_PATTERN}|{version}"
+    path = _stored(spark, "indexes", name, inputs, full, "docs",
+                   lambda at: tfidf_fit(build_chunks(), group_cols, key_cols, text_col).save(at))
+    return TfidfModel.load(spark, path, group_cols, key_cols)
 
-def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame], version: str) -> DataFrame:
-    """A derived table stored once per (inputs, version) below the shared folder.
 
-    Used for relations that production would store at ingest time (e.g. the
-    extracted table cells); the same temporary-folder-then-rename protocol
-    as the indexes.
-    """
-    key = hashlib.sha256(f"{name}|{fingerprint(spark, inputs)}|{version}".encode()).hexdigest()[:24]
-    base = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{key}"
-    p, fs = _fs(spark, f"{base}/_COMPLETE")
-    if not fs.exists(p):
-        tmp = f"{base}.tmp-{uuid.uuid4().hex[:8]}"
-        build().write.parquet(tmp)
-        fs.create(_fs(spark, f"{tmp}/_COMPLETE")[0]).close()
-        _publish(spark, tmp, base)
-    return spark.read.parquet(base)
+def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame], version: str) -> DataFrame:
+    """A derived table stored once per (inputs, version)."""
+    path = _stored(spark, "tables", name, inputs, version, "rows", lambda at: build().write.parquet(f"{at}/rows"))
+    return spark.read.parquet(f"{path}/rows")

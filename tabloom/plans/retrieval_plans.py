@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tabloom.operators.filters import any_sector
 from tabloom.operators.retrieve import DEFAULT_K, DEFAULT_LAMBDA, dense_topk, fuse, round_score, sparse_topk
 from tabloom.plans import sql_frags as S
-from tabloom.plans.index_store import stored_tfidf
+from tabloom.plans.index_store import code_version, stored_tfidf
 from tabloom.plans.registry import register
 from tabloom.sources import driver
 
@@ -44,14 +44,14 @@ def _corpus_files(sf_dir):
 def source_index(spark, sf_dir):
     """The per-document TF-IDF index, fitted once per corpus version and stored."""
     return stored_tfidf(spark, "by-source", _corpus_files(sf_dir), lambda: driver.chunks(spark, sf_dir),
-                        ["source"], ["page"])
+                        ["source"], ["page"], version=code_version(driver.chunks))
 
 
 def sector_index(spark, sf_dir):
     """The TF-IDF index of the sector selection (fitted on its union), stored likewise."""
     name = "sectors-" + "-".join(SECTOR_SELECTION)
     return stored_tfidf(spark, name, _corpus_files(sf_dir), lambda: _sector_chunks(spark, sf_dir),
-                        ["selection"], ["source", "page"])
+                        ["selection"], ["source", "page"], version=code_version(driver.chunks, _sector_chunks))
 
 
 def sparse_by_source(spark, sf_dir, k=DEFAULT_K):
