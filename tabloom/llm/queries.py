@@ -101,5 +101,51 @@ def queries() -> dict[str, Query]:
         op7_ordinal_quality, op8_pii, op9_secret_scan, op10_decontaminate)}
 
 
+_WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_MARKED = r"regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g')"
+_LINE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
+
+ORACLES = {
+    "op1_chat_format": f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '{CONTROL}' UNION ALL SELECT -1, 1, 'assistant', '{CONTROL}')
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + length({_MARKED.format(x=_LINE)}) + length({_MARKED.format(x='text')}))::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id""",
+    "op2_ngram_jaccard_join": f"""
+WITH RECURSIVE w AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[s:s + n - 1], ' ') AS g FROM (
+         SELECT rid, ws, least(5, len(ws)) AS n, unnest(range(1, len(ws) - least(5, len(ws)) + 2)) AS s FROM w WHERE len(ws) > 0)),
+sz AS (SELECT rid, count(*) AS c FROM sh GROUP BY rid),
+p AS (SELECT a.rid AS a, b.rid AS b, count(*) AS i FROM sh a JOIN sh b ON a.g = b.g AND a.rid < b.rid GROUP BY a.rid, b.rid),
+near AS (SELECT a, b FROM p JOIN sz x ON x.rid = a JOIN sz y ON y.rid = b WHERE 5 * i >= 4 * (x.c + y.c - i)),
+e AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach(a, b) AS (SELECT rid, rid FROM w UNION SELECT r.a, e.b FROM reach r JOIN e ON e.a = r.b),
+class AS (SELECT r.a AS rid, min(w.doc_id) AS class_id FROM reach r JOIN w ON w.rid = r.b GROUP BY r.a),
+n AS (SELECT a AS rid, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links FROM w JOIN class USING (rid) LEFT JOIN n USING (rid)""",
+    "op10_decontaminate": f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS ws FROM documents),
+items AS (SELECT item_id::VARCHAR AS item, {_WORDS} AS ws FROM benchmark),
+win AS (SELECT DISTINCT item, n, array_to_string(ws[s:s + n - 1], ' ') AS g FROM (
+          SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS s FROM items WHERE len(ws) > 0)),
+lens AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT rid, n, s, array_to_string(ws[s:s + n - 1], ' ') AS g FROM (
+         SELECT rid, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM w, lens WHERE len(ws) >= n)),
+h AS (SELECT rid, s, n, item FROM dw JOIN win USING (n, g)),
+hw AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(s, s + n)) AS pos FROM h) GROUP BY rid),
+hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+       FROM (SELECT DISTINCT rid, item FROM h WHERE item IS NOT NULL) GROUP BY rid)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the result: tokenizers, models and hash functions cannot be."""
+    return dict(ORACLES)
