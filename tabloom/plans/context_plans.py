@@ -184,13 +184,32 @@ def q_context_status(spark, sf_dir):
 
 
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
-_MD = _TITLE
-for _pat, _rep in ((r"```[^\n]*\n([\s\S]*?)```", r"\1"), (r"`([^`]*)`", r"\1"), (r"\*\*(.*?)\*\*", r"\1"),
-                   (r"\*(.*?)\*", r"\1"), (r"(?m)^>\s?", "")):
-    _MD = f"regexp_replace({_MD}, '{_pat}', '{_rep}', 'g')"
-_MD = f"regexp_replace(replace({_MD}, 'python', ''), '^\\s+|\\s+$', '', 'g')"
-_TAIL = (f"CASE WHEN strpos(lower({_TITLE}), '{TAIL_MARKER}') = 0 THEN {_TITLE} ELSE regexp_replace(right({_TITLE}, "
-         f"length(string_split(lower({_TITLE}), '{TAIL_MARKER}')[-1])), '^\\s+|\\s+$', '', 'g') END")
+
+
+def _md_sql(x: str) -> str:
+    for pat, rep in ((r"```[^\n]*\n([\s\S]*?)```", r"\1"), (r"`([^`]*)`", r"\1"), (r"\*\*(.*?)\*\*", r"\1"),
+                     (r"\*(.*?)\*", r"\1"), (r"(?m)^>\s?", "")):
+        x = f"regexp_replace({x}, '{pat}', '{rep}', 'g')"
+    return f"regexp_replace(replace({x}, 'python', ''), '^\\s+|\\s+$', '', 'g')"
+
+
+def _tail_sql(x: str) -> str:
+    return (f"CASE WHEN strpos(lower({x}), '{TAIL_MARKER}') = 0 THEN {x} ELSE regexp_replace(right({x}, "
+            f"length(string_split(lower({x}), '{TAIL_MARKER}')[-1])), '^\\s+|\\s+$', '', 'g') END")
+
+
+_MD, _TAIL = _md_sql(_TITLE), _tail_sql(_TITLE)
+# Whole documents as an answer would hold them: fenced, quoted and with inline marks.
+_ANSWER = ("('```python' || chr(10) || coalesce(text, '') || chr(10) || '```' || chr(10) || '> **' || source || '** `' "
+           "|| lang || '`')")
+
+
+@register("strip_markdown_texts", f"SELECT doc_id, {_md_sql(_ANSWER)} AS plain, {_tail_sql('coalesce(text, chr(32))')} AS tail FROM documents")
+def q_strip_markdown_texts(spark, sf_dir):
+    d = driver.table(spark, sf_dir, "documents")
+    text = F.coalesce("text", F.lit(""))
+    answer = F.concat(F.lit("```python\n"), text, F.lit("\n```\n> **"), F.col("source"), F.lit("** `"), F.col("lang"), F.lit("`"))
+    return d.select("doc_id", strip_markdown(answer).alias("plain"), after_last(F.coalesce("text", F.lit(" ")), TAIL_MARKER).alias("tail"))
 
 
 @register("strip_markdown_titles", f"SELECT page_id, {_MD} AS plain, {_TAIL} AS tail FROM pages")
