@@ -5,12 +5,13 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from tabloom.plans import registry
 from tools.oracle_check import compare, duck
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+QUERIES = registry.queries()
+SQL = registry.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver tables missing")
 
