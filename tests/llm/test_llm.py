@@ -23,6 +23,7 @@ from tabloom.llm import (
 )
 from tabloom.session import checkpoint_dir
 from tokenizers import Tokenizer
+from tools.oracle_check import compare, duck
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -420,6 +421,12 @@ def test_pipeline_keeps_clean_documents(spark):
         assert not brute_measures(docs[i])[-1]
 
 
+@pytest.mark.parametrize("name", list(queries.oracle_sql()))
+def test_queries_match_their_sql(spark, name):
+    message = compare(spark, duck(SF), name, queries.queries()[name], queries.oracle_sql()[name], SF)
+    assert " OK " in message, message
+
+
 @pytest.mark.parametrize("name", list(queries.queries()))
 def test_queries_return_every_row(spark, name):
     rows = queries.queries()[name](spark, SF)
