@@ -251,6 +251,28 @@ def test_quality_measures_and_ratio(spark):
     assert quality_llr.rate(empty(spark), good).count() == 0
 
 
+def test_quality_cells_grow_with_the_corpus(spark):
+    """More distinct n-grams than the least cells, and slots that most n-grams miss: exact counts, poor text goes."""
+    rng = random.Random(15)
+    texts = [" ".join(rng.choices([f"{'g' if i % 3 else 'p'}{j}" for j in range(3000)], k=400)) for i in range(300)]
+    texts += [texts[0], texts[1]]
+    good = [i for i in range(150) if i % 3]
+    d, own = docs_of(spark, texts), spark.createDataFrame([(i,) for i in good], "doc_id long")
+    grams = [Counter([(a,) for a in w] + list(zip(w, w[1:]))) for w in map(str.split, texts)]
+    raw, target = sum(grams, Counter()), sum((grams[i] for i in good), Counter())
+    assert len(raw) > quality_llr.BUCKETS
+    cells, r, t = 1 << (len(raw) - 1).bit_length(), sum(raw.values()), sum(target.values())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(quality_llr, "HOT", 1 << 10)
+        got = {x.doc_id: x for x in quality_llr.rate(d, own, threshold=None).select("doc.doc_id", "rating.*").collect()}
+    score = lambda g, drop, n: sum(c * (np.log((target[k] - drop * c + 1) / (t - n + cells)) - np.log((raw[k] + 1) / (r + cells))) for k, c in g.items()) / sum(g.values())
+    for i, g in enumerate(grams):
+        assert abs(got[i].llr_per_ngram - score(g, 0, 0)) < 1e-6
+    alone = sorted(score(grams[i], 1, sum(grams[i].values())) for i in good)
+    assert {i for i in got if got[i].kept} == {i for i in got if not got[i].base_failed and got[i].llr_per_ngram >= alone[1]}
+    assert all(got[i].kept for i in good) and not any(got[i].kept for i in got if i < 300 and i % 3 == 0)
+
+
 # ---- 6 licenses
 
 def test_license_lines_and_inheritance(spark):
