@@ -5,8 +5,8 @@ method adds strings that a sensitive word precedes and that do not compress: a c
 marginal cost is the size of its zstandard frame primed with a raw-content dictionary made of
 common identifiers and the text around it, less the size of an empty frame.  Identifiers,
 paths and repeated names cost few bytes there; random material costs about its own length.
-A candidate whose cost per character reaches ``NOVELTY`` and that mixes letters and digits is
-reported as ``novel``.
+A candidate is reported as ``novel`` when it costs ``NOVELTY`` of what random text of its own
+alphabet and length costs (zstandard codes long random hex at half a byte a character).
 
 One narrow pass over whole texts, no shuffle; work per candidate is bounded by ``AROUND``.
 
@@ -16,8 +16,11 @@ repeats; extra columns are ignored; offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import zstandard
@@ -36,7 +39,7 @@ WORDS = ("passw", "secret", "token", "api")
 SENSITIVE = re.compile(r"(?ai:passw|pwd|secret|token|api[_\x20-]?key|apikey|credential|bearer|authorization|private[_\x20-]?key|access[_\x20-]?key|signature)")
 REACH = 48
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Bytes per character from which a string is novel, and context characters on each side.
+#: Share of the cost of random text from which a string is novel, and context characters on each side.
 NOVELTY, AROUND = 0.85, 400
 IDENTIFIERS = (
     "access account address algorithm api application argument array auth authorization backend base64 bearer boolean branch "
@@ -55,6 +58,27 @@ _writer = {"level": 3, "write_content_size": False, "write_checksum": False, "wr
 _empty = len(zstandard.ZstdCompressor(**_writer).compress(b""))
 
 
+#: The usual encodings, the smallest first; a string's own alphabet is the first that has all its characters.
+ALPHABETS = tuple(sorted({"".join(sorted(set(x))) for x in (
+    string.digits, string.digits + "abcdef", string.digits + "ABCDEF", string.ascii_lowercase, string.ascii_uppercase,
+    string.ascii_uppercase + "234567", string.digits + string.ascii_lowercase, string.digits + string.ascii_uppercase,
+    string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/",
+    string.ascii_letters + string.digits + "-_", string.ascii_letters + string.digits + "+/_-")}, key=lambda x: (len(x), x)))
+
+
+@lru_cache(maxsize=1 << 16)
+def _random_cost(alphabet: str, length: int) -> float:
+    return novelty("".join(random.Random(length).choices(alphabet, k=length)), "")
+
+
+def random_cost(text: str) -> float:
+    """What :func:`novelty` gives random text of the same alphabet and length, 1.0 at most."""
+    own = set(text) - {"="}
+    alphabet = next(x for x in ALPHABETS if own.issubset(x))
+    step = 1 << max(0, len(text).bit_length() - 8)  # the cost a byte hardly changes within a 128th of the length
+    return min(1.0, _random_cost(alphabet, len(text) // step * step))
+
+
 def novelty(candidate: str, around: str) -> float:
     """Marginal compressed bytes per byte of a string against identifiers and its surroundings."""
     primed = zstandard.ZstdCompressionDict((IDENTIFIERS + " " + around).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -91,7 +115,7 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
             if 1 in taken[m.start(): m.end()]:
                 continue
             if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and novelty(
-                    value, text[max(0, m.start() - AROUND): m.start()] + text[m.end(): m.end() + AROUND]) >= NOVELTY:
+                    value, text[max(0, m.start() - AROUND): m.start()] + text[m.end(): m.end() + AROUND]) >= NOVELTY * random_cost(value):
                 out.append((m.start(), 3, m.end()))
     return out
 

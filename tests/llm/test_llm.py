@@ -389,6 +389,21 @@ def test_secret_base_spans_and_novelty(spark):
     assert secret_scan.scan(empty(spark)).count() == 0
 
 
+def test_long_random_strings_are_novel():
+    rng = random.Random(17)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    missed = []
+    for alphabet in (digits + "ABCDEF", upper + "234567", digits + lower, digits + lower + upper, digits + lower + upper + "+/"):
+        for n in (64, 128, 200, 400, 512):
+            for _ in range(20):
+                value = "".join(rng.choices(alphabet, k=n))
+                if [value] != [f"bearer {value}\n"[s:e] for s, k, e in secret_scan.novel_spans(f"bearer {value}\n", [])]:
+                    missed.append((len(alphabet), n))
+    assert not missed
+    name = "user_database_connection_1_" * 20
+    assert not secret_scan.novel_spans(f"private_key {name}\n", [])
+
+
 # ---- 10 decontamination
 
 @pytest.mark.parametrize("block", [40, 16 << 20])
