@@ -8,7 +8,12 @@ paths and repeated names cost few bytes there; random material costs about its o
 A candidate is reported as ``novel`` when it costs ``NOVELTY`` of what random text of its own
 alphabet and length costs (zstandard codes long random hex at half a byte a character).
 
-One narrow pass over whole texts, no shuffle; work per candidate is bounded by ``AROUND``.
+Candidates end where the string ends, whatever its length.  A sensitive word reaches on from a
+candidate to the next one that only a full stop or a line end parts from it, so that all lines
+of a key block and all segments of a signed token are looked at.  Strings of letters alone or
+without any letter are judged like others, but letters must also be as unlike identifiers as random ones.
+
+One narrow pass over whole texts, no shuffle; work is linear in the text.
 
 Defined cases: null and empty texts have no spans; each row gets its result, whatever
 repeats; extra columns are ignored; offsets are code points, end exclusive.
@@ -16,9 +21,12 @@ repeats; extra columns are ignored; offsets are code points, end exclusive.
 
 from __future__ import annotations
 
+import math
 import random
 import re
 import string
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +47,10 @@ WORDS = ("passw", "secret", "token", "api")
 SENSITIVE = re.compile(r"(?ai:passw|pwd|secret|token|api[_\x20-]?key|apikey|credential|bearer|authorization|private[_\x20-]?key|access[_\x20-]?key|signature)")
 REACH = 48
 STRING = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+LEAST = 16
+#: What parts a candidate from the next in the same context, and the short last line of a key block.
+ADJACENT = re.compile(r"""\.|(?:\\[rn]?)+|["'\\,;+\x20\t]*\r?\n[\x20\t"'>#*+]*""")
+TAIL = re.compile(r"""(?:\\[rn]|["'\\,;+\x20\t]*\r?\n[\x20\t"'>#*+]*)([A-Za-z0-9+/]{1,15}={0,2})(?:\\[rn]|["'\\,;+\x20\t]*\r?\n[\x20\t"'>#*+]*)-----END""")
 #: Share of the cost of random text from which a string is novel, and context characters on each side.
 NOVELTY, AROUND = 0.85, 400
 IDENTIFIERS = (
@@ -98,6 +110,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def _letters() -> dict[str, float]:
+    """Bits of a letter after another in identifiers, by pair."""
+    pairs, first = Counter(), Counter()
+    for word in IDENTIFIERS.split():
+        pairs.update(map("".join, zip(word, word[1:])))
+        first.update(word[:-1])
+    return {a + b: -math.log2((pairs[a + b] + 0.5) / (first[a] + 13)) for a in string.ascii_lowercase for b in string.ascii_lowercase}
+
+
+_bits = _letters()
+
+
+def unlike_names(value: str) -> bool:
+    """Whether letters follow each other as in random text rather than as in identifiers."""
+    low = value.lower()
+    known = [_bits[pair] for pair in map("".join, zip(low, low[1:])) if pair in _bits]
+    return bool(known) and sum(known) / len(known) >= math.log2(26)
+
+
+def is_novel(value: str, around: str) -> bool:
+    if not re.search("[A-Za-z0-9]", value) or not re.search("[0-9]", value) and not unlike_names(value):
+        return False
+    return novelty(value, around) >= NOVELTY * random_cost(value)
+
+
 def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Incompressible strings after sensitive words, outside the known spans."""
     out, until = [], 0
@@ -106,17 +143,25 @@ def novel_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int,
     taken = bytearray(len(text))
     for s, _, e in known:
         taken[s:e] = b"\1" * (e - s)
+    runs = [m.span() for m in STRING.finditer(text)]
+    ends = [e for _, e in runs]
     for word in SENSITIVE.finditer(text):
-        for m in STRING.finditer(text, max(word.end(), until), word.end() + REACH + 512):
-            if m.start() > word.end() + REACH:
+        at, reach = max(word.end(), until), word.end() + REACH
+        for i in range(bisect_right(ends, at), len(runs)):
+            s, e = runs[i]
+            s = max(s, at)
+            s += text[s - 1] == "\\" and text[s] in "rn"  # an escaped line end, as in JSON
+            if s > reach and not ADJACENT.fullmatch(text, at, s):
                 break
-            until = m.end()
-            value = m[0]
-            if 1 in taken[m.start(): m.end()]:
+            if e - s < LEAST:
+                continue
+            at = until = e
+            if taken.find(1, s, e) >= 0:
                 continue
-            if re.search("[0-9]", value) and re.search("[A-Za-z]", value) and novelty(
-                    value, text[max(0, m.start() - AROUND): m.start()] + text[m.end(): m.end() + AROUND]) >= NOVELTY * random_cost(value):
-                out.append((m.start(), 3, m.end()))
+            if is_novel(text[s:e], text[max(0, s - AROUND): s] + text[e: e + AROUND]):
+                out.append((s, 3, e))
+                if (tail := TAIL.match(text, e)) and taken.find(1, *tail.span(1)) < 0:
+                    out.append((tail.start(1), 3, tail.end(1)))
     return out
 
 

@@ -394,7 +394,7 @@ def test_long_random_strings_are_novel():
     lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     missed = []
     for alphabet in (digits + "ABCDEF", upper + "234567", digits + lower, digits + lower + upper, digits + lower + upper + "+/"):
-        for n in (64, 128, 200, 400, 512):
+        for n in (64, 128, 200, 400, 512, 1600, 2000):
             for _ in range(20):
                 value = "".join(rng.choices(alphabet, k=n))
                 if [value] != [f"bearer {value}\n"[s:e] for s, k, e in secret_scan.novel_spans(f"bearer {value}\n", [])]:
@@ -404,6 +404,25 @@ def test_long_random_strings_are_novel():
     assert not secret_scan.novel_spans(f"private_key {name}\n", [])
 
 
+def test_sensitive_context_runs_on():
+    rng = random.Random(18)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    base64 = letters + "0123456789+/"
+    draw = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    found = lambda t: [t[s:e] for s, k, e in sorted(secret_scan.novel_spans(t, []))]
+    lines = [draw(base64, 64) for _ in range(25)] + [draw(base64, 10) + "=="]
+    for end in ("\n", "\r\n", "\\n"):
+        block = f"-----BEGIN RSA PRIVATE KEY-----{end}{end.join(lines)}{end}-----END RSA PRIVATE KEY-----{end}"
+        assert found(block) == lines, end
+    segments = [draw(letters + "0123456789-_", n) for n in (36, 150, 43)]
+    assert found(f"Bearer {'.'.join(segments)}\n") == segments
+    assert found(f"Bearer {segments[0]}\nplain words, and then {segments[1]} far behind, which no sensitive word is near to\n" + "x " * 40 + segments[2]) == segments[:1]
+    for alphabet in (letters, letters[:26], letters[26:], "0123456789"):
+        value = draw(alphabet, 32)
+        assert found(f"password is {value} here") == [value]
+    assert found("token\n" + "=" * 40 + "\nsecret well-established-configuration-management\napi key getAuthenticationHandlerFromRequestContext\n") == []
+
+
 # ---- 10 decontamination
 
 @pytest.mark.parametrize("block", [40, 16 << 20])
