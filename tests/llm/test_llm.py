@@ -288,6 +288,21 @@ def test_license_lines_and_inheritance(spark):
     assert license_scan.scan(empty(spark), F.col("source")).count() == 0
 
 
+def test_license_texts_headers_and_spdx(spark):
+    full = {name: body for form, _, name, body in license_scan.templates() if form == "text" and name not in ("AGPL-3.0",)}
+    notice = dict(license_scan.NOTICES)
+    star = lambda t: "/*\n * Copyright 2021 The Example Authors\n" + "".join(f" * {x}\n" for x in t.split("\n")) + " */\n"
+    rows = [(f"{name}/LICENSE", "Copyright (c) 2020 Someone\n\n" + body, name) for name, body in full.items()]
+    rows += [(f"h/{name}.c", star(body) + "int main() { return 0; }\n" * 40, name) for name, body in notice.items()]
+    rows += [(f"s/{i}.c", f"// SPDX-License-Identifier: {x}\nint x;\n", want) for i, (x, want) in enumerate([
+        ("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-only", "GPL-2.0"), ("GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"),
+        ("(MIT OR Apache-2.0)", "Apache-2.0"), ("Zlib", None)])]
+    rows += [("MIT/x/y.c", "no words of that kind", "MIT"), ("z/prose.txt", "The copyright of the book is held by the author, and the use of it is subject to the terms of the publisher. " * 30, None)]
+    df = spark.createDataFrame([(i, p, t) for i, (p, t, _) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df, F.col("path")).collect()}
+    assert [(rows[i][0], got[i].license) for i in range(len(rows))] == [(p, want) for p, _, want in rows]
+
+
 # ---- 7 classifier
 
 def test_ordinal_classifier_orders_held_out_grades(spark):
