@@ -2,9 +2,10 @@
 
 Grades come from the labels: 0 for poor quality, 1 for good but toxic, 2 for good and clean.
 A text's features are its distinct words and the distinct gaps between them (punctuation and
-blanks), hashed to ``CELLS``.  Cells that at least ``LEAST`` sampled texts hold and whose mean
-grade lies ``SCREEN`` standard errors or more off the sample's carry weights; the others have
-weight zero, so that long texts do not sum noise.  One weight vector is shared by all grades, with ordered thresholds: P(grade <= k) = sigmoid(theta_k - w.x).  The model gives
+blanks), hashed to ``CELLS``.  Cells that at least ``LEAST`` sampled texts hold carry weights,
+regularised by how far the grades of their texts lie off the sample's: with the deviance G^2
+of these grades, a cell counts 1 / (1 + (``SHRINK`` / G^2)^``POWER``).  So long texts do not sum
+noise, and a rare word that one grade alone holds counts as much as a common one.  One weight vector is shared by all grades, with ordered thresholds: P(grade <= k) = sigmoid(theta_k - w.x).  The model gives
 each document its expected grade and the tail probability P(grade >= 2), which selects.
 
 The fit uses at most ``SAMPLE`` labelled rows, those with the least hash of their key (the
@@ -30,7 +31,7 @@ from .words import U, Words, _power_tables, chunks, mix
 
 CELLS, GRADES = 1 << 18, 3
 SAMPLE, STEPS, RATE, RIDGE = 8_000, 80_000, 0.1, 1e-6
-LEAST, SCREEN = 3, 5.0
+LEAST, SHRINK, POWER = 3, 25.0, 4
 SELECT = 0.5
 
 
@@ -65,16 +66,18 @@ class CumulativeLink:
         w, square = np.zeros(CELLS), np.full(CELLS, 1e-8)
         share = np.cumsum(np.bincount(grades, minlength=GRADES) + 1.0)[:-1] / (len(grades) + GRADES)
         theta, theta_square = np.log(share / (1 - share)), np.full(GRADES - 1, 1e-8)
-        rows = self._screened(rows, grades)
+        scale = self._scale(rows, grades)
+        rows = [r[scale[r] > 0] for r in rows]
         order = np.random.default_rng(7)
         for _ in range(-(-STEPS // len(rows))):
             for i in order.permutation(len(rows)):
                 cells, k = rows[i], grades[i]
-                upper = _sigmoid(theta - w[cells].sum())
+                x = scale[cells]
+                upper = _sigmoid(theta - w[cells] @ x)
                 above, below = (upper[k] if k < GRADES - 1 else 1.0), (upper[k - 1] if k else 0.0)
                 slope_a, slope_b = above * (1 - above), below * (1 - below)
                 p = max(above - below, 1e-9)
-                grad = (slope_a - slope_b) / p + RIDGE * w[cells]  # of -log P(grade = k)
+                grad = (slope_a - slope_b) / p * x + RIDGE * w[cells]  # of -log P(grade = k)
                 square[cells] += grad * grad
                 w[cells] -= RATE * grad / np.sqrt(square[cells])
                 g = np.zeros(GRADES - 1)
@@ -84,16 +87,18 @@ class CumulativeLink:
                     g[k - 1] += slope_b / p
                 theta_square += g * g
                 theta = np.maximum.accumulate(theta - 0.1 * RATE * g / np.sqrt(theta_square) + np.arange(GRADES - 1) * 1e-6)
-        self.weights, self.thresholds = w.astype(np.float32), theta
+        self.weights, self.thresholds = (w * scale).astype(np.float32), theta
         return self
 
     @staticmethod
-    def _screened(rows: list[np.ndarray], grades: np.ndarray) -> list[np.ndarray]:
+    def _scale(rows: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
+        """What a cell counts, 0 to 1; 0 below LEAST texts alone (or where every grade has just its share)."""
         cells, own = np.concatenate(rows), np.repeat(grades, [len(r) for r in rows])
-        df, total = np.bincount(cells, minlength=CELLS), np.bincount(cells, own, CELLS)
-        error = max(float(grades.std()), 1e-9) * np.sqrt(np.maximum(df, 1))
-        keep = (df >= LEAST) & (np.abs(total - df * grades.mean()) >= SCREEN * error)
-        return [r[keep[r]] for r in rows]
+        df, deviance = np.bincount(cells, minlength=CELLS), np.zeros(CELLS)
+        for k, share in enumerate(np.bincount(grades, minlength=GRADES) / len(grades)):
+            n = np.bincount(cells[own == k], minlength=CELLS)
+            deviance += 2 * n * np.log(np.maximum(n, 1) / np.maximum(df * share, 1e-9))
+        return np.where(df >= LEAST, 1 / (1 + (SHRINK / np.maximum(deviance, 1e-9)) ** POWER), 0.0)
 
     def score(self, cells: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(expected grade, P(grade is the highest)) of each row."""

@@ -330,6 +330,27 @@ def test_ordinal_classifier_orders_held_out_grades(spark):
     assert ordinal_quality.score(empty(spark), model).count() == 0
 
 
+def test_rare_words_of_one_grade_carry_weight(spark):
+    rng = random.Random(19)
+    common, rare = [f"w{i}" for i in range(300)], [f"nasty{i}" for i in range(10)]
+    texts, grade = [], []
+    for i in range(400):
+        g = 1 if i % 10 == 0 else 0 if i % 7 == 0 else 2
+        # each rare word in 12 of the 40 texts of grade 1
+        extra = [rare[(i // 10 + j) % 10] for j in (0, 3, 7)] if g == 1 else ["a***"] * 3 if g == 0 else []
+        w = rng.choices(common, k=80) + extra
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        grade.append(g)
+    d = docs_of(spark, texts)
+    model = ordinal_quality.fit(d, spark.createDataFrame([(i, g) for i, g in enumerate(grade)], "doc_id long, grade int"))
+    weights = [model.weights[ordinal_quality.features(pa.array([x]))[0]].sum() for x in rare]
+    assert max(weights) < -0.1, weights
+    clean = [" ".join(rng.choices(common, k=80)) for _ in range(50)]
+    expected = lambda t: model.score(*ordinal_quality.features(pa.array(t)))[1].mean()
+    assert expected([f"{t} {rare[1]} {rare[4]} {rare[8]}" for t in clean]) < 0.5 < expected(clean)
+
+
 # ---- 8 personal data
 
 def brute_pii(text):
