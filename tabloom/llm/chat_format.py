@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 The nested field paths of a record (``messages[].role``, ``instruction``, ...) that any layout
-knows are sorted and hashed.  The hash selects a declarative layout, which says where the
-turns are and how its role names map to the canonical ones.  Tables have one fingerprint,
+knows are its fingerprint, collected over all elements of an array.  It selects the first
+declarative layout of ``BY_FIT`` whose paths are all in it; the layout says where the turns are
+and how its role names map to the canonical ones.  Tables have one fingerprint,
 from their schema; JSON records have one each, computed row by row in the plan, so one
 column may mix layouts.  All layouts end in canonical turns: (conv_id, turn, role, text).
 
@@ -16,7 +17,8 @@ whose memory does not grow with the conversation.
 Defined cases: null role and text are empty; turns are ordered by turn (null first), role and
 text, so repeated turns stay, in a fixed order; a record whose fingerprint no layout has, or
 that is not JSON, yields one turn with role null and the record as text, which callers can
-filter; extra fields do not change a fingerprint.
+filter; fields beyond those of its layout do not matter; an empty list of turns fits its layout
+and yields one row with turn, role and text null.
 """
 
 from __future__ import annotations
@@ -68,11 +70,6 @@ KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths})
 TURN_ROWS = ("role", "turn")
 
 
-def fingerprint(paths) -> str:
-    """Hash of the known ones among nested field paths."""
-    return hashlib.sha256("\n".join(sorted(set(paths) & {*KNOWN, *TURN_ROWS})).encode()).hexdigest()
-
-
 def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
     """Nested field paths of a table; ``[]`` marks array elements."""
     out = []
@@ -84,7 +81,8 @@ def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
     return out
 
 
-BY_HASH = {fingerprint(layout.paths): layout for layout in LAYOUTS}
+#: Lists of turns first, then the layouts with the most fields.
+BY_FIT = sorted(LAYOUTS, key=lambda layout: (not layout.array, -len(layout.paths)))
 
 
 def _turns(layout: Layout, get) -> Column:
@@ -104,29 +102,31 @@ def _exploded(rows: DataFrame, turns: Column) -> DataFrame:
 
 def from_table(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Canonical turns of a typed table, by the fingerprint of its schema."""
-    mark = fingerprint(schema_paths(df.schema))
-    if mark == fingerprint(TURN_ROWS):
+    paths = set(schema_paths(df.schema))
+    if paths.issuperset(TURN_ROWS):
         return df.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    if mark not in BY_HASH:
+    layout = next((x for x in BY_FIT if paths.issuperset(x.paths)), None)
+    if layout is None:
         raise ValueError(f"no layout for the fields {schema_paths(df.schema)}")
     rows = df.withColumn("conv_id", F.col(conv_id))
-    return _exploded(rows, _turns(BY_HASH[mark], lambda path, kind: F.col(path).cast(kind)))
+    return _exploded(rows, _turns(layout, lambda path, kind: F.col(path).cast(kind)))
 
 
 def from_json(df: DataFrame, record: str, conv_id: str = "conv_id") -> DataFrame:
     """Canonical turns of a column of JSON records of any mix of layouts."""
-    def probe(path: str) -> str:
-        return "$." + path.replace("[]", "[0]")
-
-    def present(v: Column) -> Column:
-        return F.array_join(F.filter(F.array(*(F.when(F.try_variant_get(v, probe(p), "variant").isNotNull(), F.lit(p)) for p in KNOWN)),
-                                     lambda p: p.isNotNull()), "\n")
+    def present(path: str) -> Column:
+        array, inside, name = path.partition("[].")
+        if not inside:
+            return F.try_variant_get("v", f"$.{path}", "variant").isNotNull()
+        return let(F.try_variant_get("v", f"$.{array}", "array<variant>"), lambda items: F.coalesce(
+            (F.size(items) == 0) | F.exists(items, lambda m: F.try_variant_get(m, f"$.{name}", "variant").isNotNull()), F.lit(False)))
 
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("raw"), F.try_parse_json(F.col(record)).alias("v"))
-    rows = rows.withColumn("mark", F.sha2(present(F.col("v")).cast("binary"), 256))
+    rows = rows.withColumn("paths", F.array_compact(F.array(*(F.when(present(p), F.lit(p)) for p in KNOWN))))
     turns = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.col("raw").alias("text")))
-    for mark, layout in BY_HASH.items():
-        turns = F.when(F.col("mark") == mark, _turns(layout, lambda path, kind: F.try_variant_get("v", f"$.{path}", kind))).otherwise(turns)
+    for layout in reversed(BY_FIT):
+        fits = F.size(F.array_except(F.array(*map(F.lit, layout.paths)), "paths")) == 0
+        turns = F.when(fits, _turns(layout, lambda path, kind: F.try_variant_get("v", f"$.{path}", kind))).otherwise(turns)
     return _exploded(rows, turns)
 
 

@@ -107,6 +107,26 @@ def test_chat_layouts_by_fingerprint(spark):
         chat_format.from_table(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
 
 
+def test_chat_layouts_fit_incomplete_and_extra_fields(spark):
+    turns = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    records = {
+        "first": ({"messages": [{"role": "system"}] + turns}, [("system", None), ("user", "q"), ("assistant", "a")]),
+        "late": ({"messages": [{"content": "x"}, {"role": "user"}, turns[1]]}, [(None, "x"), ("user", None), ("assistant", "a")]),
+        "beside": ({"messages": turns, "prompt": "p"}, [("user", "q"), ("assistant", "a")]),
+        "both": ({"prompt": "p", "response": "r", "messages": turns}, [("user", "q"), ("assistant", "a")]),
+        "most": ({"instruction": "i", "input": "n", "output": "o", "prompt": "p"}, [("system", "i"), ("user", "n"), ("assistant", "o")]),
+        "empty": ({"messages": []}, [(None, None)]),
+        "part": ({"messages": [{"role": "user"}]}, [(None, '{"messages": [{"role": "user"}]}')]),
+    }
+    df = spark.createDataFrame([(n, json.dumps(r)) for n, (r, _) in records.items()], "conv_id string, record string")
+    got = defaultdict(list)
+    for r in chat_format.from_json(df, "record").orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert dict(got) == {n: want for n, (_, want) in records.items()}
+    typed = spark.createDataFrame([(7, "p", [("user", "q")])], "conv_id long, prompt string, messages array<struct<role:string,content:string>>")
+    assert [(r.role, r.text) for r in chat_format.from_table(typed).collect()] == [("user", "q")]
+
+
 # ---- 2 similarity join
 
 def brute_links(rows):
