@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
 from . import (
-    chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, secret_scan, token_count)
+    chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, secret_scan, token_count,
+    trie_codec, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -95,10 +96,20 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_codec.encode(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_ngram_jaccard_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_license_scan,
-        op7_ordinal_quality, op8_pii, op9_secret_scan, op10_decontaminate)}
+        op7_ordinal_quality, op8_pii, op9_secret_scan, op10_decontaminate,
+        op12_trie_bpe, op13_whitening)}
 
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "

@@ -41,15 +41,15 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in slices of about CHUNK_BYTES of text."""
+def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of about ``size`` bytes of text."""
     for batch in batches:
         texts = batch.column(batch.schema.get_field_index(column))
         ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), dtype=np.int64)
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + CHUNK_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, base + size, side="right")))
             yield batch.slice(at, to - at)
             at = to
 
