@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
 from . import (
-    chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, secret_scan, token_count,
-    trie_codec, whitening)
+    chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, secret_scan, shared_search,
+    token_count, trie_codec, whitening)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -96,6 +96,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_shared_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie_codec.encode(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ("n_tokens", "ids_sha256", "decoded_sha256"))
@@ -109,11 +113,12 @@ def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_chat_format, op2_ngram_jaccard_join, op3_token_counts, op4_sentencepiece, op5_quality_rules, op6_license_scan,
         op7_ordinal_quality, op8_pii, op9_secret_scan, op10_decontaminate,
-        op12_trie_bpe, op13_whitening)}
+        op11_shared_search, op12_trie_bpe, op13_whitening)}
 
 
 _WORDS = ("regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
           r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+_TERMS = _WORDS.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
 _MARKED = r"regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g')"
 _LINE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
 
@@ -154,6 +159,17 @@ hi AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS i
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN hw USING (rid) LEFT JOIN hi USING (rid)""",
+    "op11_shared_search": f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, {_TERMS} AS ws FROM documents),
+d AS (SELECT rid, doc_id, len(ws)::BIGINT AS n, ws FROM w WHERE len(ws) > 0),
+s AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS nt FROM d),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS t FROM benchmark),
+p AS (SELECT rid, t, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ws) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY rid, t),
+f AS (SELECT t, floor(1000 * ln((2 * max(nd) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS wt FROM p, s GROUP BY t),
+r AS (SELECT q.item_id, d.doc_id, p.rid, sum(wt * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nd) // nt))))::BIGINT AS score
+      FROM q JOIN p USING (t) JOIN f USING (t) JOIN d USING (rid), s GROUP BY q.item_id, d.doc_id, p.rid),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM o WHERE rank <= 50""",
 }
 
 

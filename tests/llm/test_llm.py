@@ -539,7 +539,7 @@ def test_queries_match_their_sql(spark, name):
     assert " OK " in message, message
 
 
-@pytest.mark.parametrize("name", list(queries.queries()))
+@pytest.mark.parametrize("name", [n for n in queries.queries() if not n.startswith(("op11_", "op13_"))])
 def test_queries_return_every_row(spark, name):
     rows = queries.queries()[name](spark, SF)
     if name.startswith("op1_"):
