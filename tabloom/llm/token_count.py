@@ -5,10 +5,10 @@ heap; the lowest rank (leftmost on ties) is popped again and again, its two symb
 joined in a linked list, and the new neighbours' pairs are pushed.  A popped entry whose
 symbols have changed is stale and skipped.  The count is symbols minus merges.
 
-Texts are cut at spaces and line ends, which no token of the vocabulary crosses; normalising
-and pre-tokenising one piece is the tokenizer file's own.  Each distinct piece is counted
-once per Python worker; the table is emptied beyond ``TABLE_ROWS`` pieces.  One narrow pass,
-no shuffle.
+Texts are cut at spaces and line ends, which no token of the vocabulary crosses.  The distinct
+pieces of a batch that the worker's bounded table lacks are normalised together by the tokenizer file's
+normalizer and cut by its pattern, and each of their distinct words is merged once.  One
+narrow pass, no shuffle.
 
 Defined cases: null and empty texts have no tokens; the file's added tokens inside a text
 count as one each, as in the library's default; texts and words of any length are counted
@@ -23,113 +23,174 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .piece_table import TABLE_CHARS, TABLE_ROWS, PieceTable
 from .words import chunks
 
-#: Distinct pieces a worker keeps, and the longest it keeps.
-TABLE_ROWS, TABLE_CHARS = 400_000, 64
+#: Text bytes whose new pieces are computed together.
+BATCH_BYTES = 4 << 20
 #: Documents with more tokens are over the limit.
 LIMIT = 2048
+#: Below this code point all Unicode versions agree on letters and numbers.
+_OLD = "\u0250"
+
+
+def byte_characters() -> list[str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
 
 
 class Merges:
-    """The merge ranks of a byte-pair vocabulary."""
+    """The merge ranks of a byte-pair vocabulary, by symbol numbers."""
 
     def __init__(self, model: dict):
-        self.ranks = {tuple(m if isinstance(m, list) else m.split(" ")): r for r, m in enumerate(model["merges"])}
-        self.vocab, self.suffix = model["vocab"], model.get("end_of_word_suffix") or ""
-        self.unknown = model.get("unk_token") is not None
-
-    def count(self, word: str) -> int:
-        """Tokens of one mapped word."""
-        symbols = [*word[:-1], word[-1] + self.suffix]
-        if not self.unknown:  # the library leaves out symbols without an entry
-            symbols = [s for s in symbols if s in self.vocab]
+        pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        suffix, vocab = model.get("end_of_word_suffix") or "", model["vocab"]
+        number: dict[str, int] = {}
+        self._number = lambda s: number.setdefault(s, len(number))
+        kept = model.get("unk_token") is not None  # else the library leaves out symbols without an entry
+        edge = lambda s: self._number(s) if kept or s in vocab else -1
+        self.inner = [edge(c) for c in byte_characters()]
+        self.last = [edge(c + suffix) for c in byte_characters()]
+        triples = [(self._number(a), self._number(b), self._number(a + b)) for a, b in pairs]
+        self.step = len(number)
+        self.rank = {a * self.step + b: r for r, (a, b, _) in enumerate(triples)}
+        self.merged = [c for _, _, c in triples]
+
+    def count(self, word: bytes) -> int:
+        """Tokens of one word."""
+        inner, rank, step, merged = self.inner, self.rank.get, self.step, self.merged
+        symbols = [inner[b] for b in word]
+        symbols[-1] = self.last[word[-1]]
+        if -1 in symbols:
+            symbols = [s for s in symbols if s >= 0]
         n = len(symbols)
         if n < 2:
             return n
-        ranks, after, before = self.ranks, [*range(1, n), -1], [*range(-1, n - 1)]
-        heap = [(r, i, symbols[i], symbols[i + 1]) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+        # the rank of the pair that begins at each symbol; -1 where no merge joins it
+        ranks = [rank(a * step + b, -1) for a, b in zip(symbols, symbols[1:])]
+        ranks.append(-1)
+        heap = [r * n + i for i, r in enumerate(ranks) if r >= 0]
+        if not heap:
+            return n
         heapify(heap)
-        merges = 0
+        after, before, left = [*range(1, n + 1)], [*range(-1, n - 1)], n
         while heap:
-            _, i, left, right = heappop(heap)
-            j = after[i]
-            if symbols[i] != left or j < 0 or symbols[j] != right:
+            r, i = divmod(heappop(heap), n)
+            if ranks[i] != r:
                 continue  # stale
-            merges += 1
-            symbols[i], symbols[j] = left + right, ""
+            j = after[i]
+            symbols[i] = s = merged[r]
+            ranks[j] = -1
+            left -= 1
             k = after[i] = after[j]
-            if k >= 0:
+            if k < n:
                 before[k] = i
-                if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                    heappush(heap, (r, i, symbols[i], symbols[k]))
-            if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-                heappush(heap, (r, h, symbols[h], symbols[i]))
-        return n - merges
-
-
-class Counts(dict):
-    """piece of text between blanks -> tokens, filled on first use."""
-
-    def __init__(self, path: str):
-        super().__init__({"": 0})
-        spec = json.load(open(path, encoding="utf-8"))
-        library = Tokenizer.from_file(path)
+                ranks[i] = r = rank(s * step + symbols[k], -1)
+                if r >= 0:
+                    heappush(heap, r * n + i)
+            else:
+                ranks[i] = -1
+            h = before[i]
+            if h >= 0:
+                ranks[h] = r = rank(symbols[h] * step + s, -1)
+                if r >= 0:
+                    heappush(heap, r * n + h)
+        return left
+
+
+class Counts:
+    """Tokens of pieces of text between blanks."""
+
+    def __init__(self, path: str, rows: int = TABLE_ROWS):
+        spec, library = json.load(open(path, encoding="utf-8")), Tokenizer.from_file(path)
+        parts = spec["pre_tokenizer"].get("pretokenizers", [])
+        if [p["type"] for p in parts] != ["Split", "ByteLevel"] or parts[0]["behavior"] != "Removed" or not parts[0]["invert"] or (
+                parts[1]["use_regex"] or parts[1]["add_prefix_space"]):
+            raise ValueError(f"{path}: words are not the matches of a pattern, as bytes")
+        self.pattern = regex.compile(parts[0]["pattern"]["Regex"])
         self.normal, self.pre = library.normalizer, library.pre_tokenizer
-        self.merges, self.words = Merges(spec["model"]), {}
+        self.byte = {c: b for b, c in enumerate(byte_characters())}
+        self.merges = Merges(spec["model"])
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
-        self.added = re.compile("|".join(f"({re.escape(a)})" for a in added)) if added else None
+        self.added = re.compile("|".join(f"(?:{re.escape(a)})" for a in added)) if added else None
         if any(re.search(r"\s", a) for a in added) or any(t["normalized"] for t in spec["added_tokens"]):
             raise ValueError(f"{path}: added tokens with blanks, or matched after normalising")
-
-    def __missing__(self, piece: str) -> int:
-        n, at = 0, 0
-        for m in self.added.finditer(piece) if self.added else ():
-            n += 1 + self._plain(piece[at: m.start()])
-            at = m.end()
-        n += self._plain(piece[at:])
-        if len(piece) <= TABLE_CHARS:
-            self[piece] = n
-        return n
-
-    def _plain(self, piece: str) -> int:
-        n = 0
-        for word, _ in self.pre.pre_tokenize_str(self.normal.normalize_str(piece) if self.normal else piece) if piece else ():
-            known = self.words.get(word)
-            if known is None:
-                known = self.merges.count(word)
+        self.words: dict[bytes, int] = {}
+        self.table = PieceTable(self.fill, rows)
+
+    def fill(self, pieces: list[str]) -> list[int]:
+        """Tokens of distinct pieces."""
+        marked = {p for p in pieces if self.added and self.added.search(p)}
+        whole = [p for p in pieces if p not in marked]
+        inside = [x for p in marked for x in self.added.split(p)]
+        tokens = dict(zip(whole + inside, map(self._tokens, self.words_of(whole + inside))))
+        if len(self.words) > self.table.rows:
+            self.words = {}
+        return [tokens[p] if p not in marked else
+                len(self.added.findall(p)) + sum(tokens[x] for x in self.added.split(p)) for p in pieces]
+
+    def words_of(self, texts: list[str]) -> list[list[bytes]]:
+        """The words of every text, as bytes."""
+        plain = [x for x in texts if len(x.split()) == 1 and not x[0].isspace() and not x[-1].isspace()]
+        normal = self.normal.normalize_str(" ".join(plain)).split(" ") if self.normal else plain
+        if len(normal) != len(plain):  # a normalizer that makes blanks: one by one
+            plain, normal = [], []
+        known, found = dict(zip(plain, normal)), {}
+        easy = [x for x in dict.fromkeys(normal) if x and max(x) < _OLD]
+        made = iter(self.pattern.findall(" ".join(easy)))
+        for text in easy:
+            words, need = [], len(text)
+            while need:
+                words.append(next(made))
+                need -= len(words[-1])
+            found[text] = [w.encode() for w in words]
+
+        def one(text: str) -> list[bytes]:
+            own = known.get(text)
+            if own is None:
+                own = self.normal.normalize_str(text) if self.normal else text
+            if own not in found:
+                found[own] = [bytes(map(self.byte.__getitem__, w)) for w, _ in self.pre.pre_tokenize_str(own)] if own else []
+            return found[own]
+
+        return [one(x) for x in texts]
+
+    def _tokens(self, words: list[bytes]) -> int:
+        n, known = 0, self.words
+        for word in words:
+            tokens = known.get(word)
+            if tokens is None:
+                tokens = self.merges.count(word)
                 if len(word) <= TABLE_CHARS:
-                    self.words[word] = known
-            n += known
+                    known[word] = tokens
+            n += tokens
         return n
 
-    def trim(self) -> None:
-        if len(self) + len(self.words) > TABLE_ROWS:
-            self.clear()
-            self.words.clear()
-            self[""] = 0
+    def count(self, texts: list[str | None]) -> list[int]:
+        """Tokens of every text."""
+        rows = [(x or "").replace("\n", " ").split(" ") for x in texts]
+        value = self.table.look_up(set().union(*rows)).__getitem__
+        return [sum(map(value, parts)) for parts in rows]
 
 
-_tables: dict[str, Counts] = {}
+_counts: dict[str, Counts] = {}
 
 
 def _counter(path: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _tables:
-            _tables[path] = Counts(path)
-        table = _tables[path]
-        for batch in chunks(batches, "x"):
-            n_bytes, n_tokens = [], []
-            for text in batch.column(1).to_pylist():
-                text = text or ""
-                n_bytes.append(len(text.encode()))
-                n_tokens.append(sum(map(table.__getitem__, text.replace("\n", " ").split(" "))))
-            table.trim()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n_bytes, type=pa.int64()), pa.array(n_tokens, type=pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        if path not in _counts:
+            _counts[path] = Counts(path)
+        for batch in chunks(batches, "x", BATCH_BYTES):
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            tokens = pa.array(_counts[path].count(batch.column(1).to_pylist()), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), size, tokens], names=["doc_id", "n_bytes", "n_tokens"])
 
     return count
 

@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
 from .piece_table import TABLE_CHARS, TABLE_ROWS, PieceTable
+from .token_count import byte_characters
 from .words import chunks
 
 #: Text bytes whose new words form one trie.
@@ -192,7 +193,7 @@ class Codec:
         if spec.get("normalizer") or pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True) or any(
                 t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path}: not a plain byte-level tokenizer")
-        self.byte = {c: b for b, c in enumerate(_shown())}
+        self.byte = {c: b for b, c in enumerate(byte_characters())}
         self.tokens, self.pre = Tokens(spec["model"], self._raw), library.pre_tokenizer
         self.trie = Trie(self.tokens)
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -260,13 +261,6 @@ class Codec:
             yield b"".join([ids[p] for p in parts]), text
 
 
-def _shown() -> list[str]:
-    """The printable character that stands for each byte in a byte-level vocabulary."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    others = [b for b in range(256) if b not in plain]
-    return [chr(b) if b in plain else chr(256 + others.index(b)) for b in range(256)]
-
-
 _codecs: dict[str, Codec] = {}
 
 
