@@ -1,47 +1,45 @@
 """Quality rules: n-gram log-likelihood ratio of trusted-target against raw-corpus text.
 
-Two multinomials over hashed word n-grams are counted over every text: one from the trusted
-documents, one from all documents.  The cells grow with the corpus: up to ``BUCKETS`` distinct
-n-grams share that many cells, beyond each 64-bit hash is a cell of its own and smoothing
-counts a power of two above the distinct n-grams.  A document's score is the mean over its
-n-grams of ``ln p_target - ln p_raw``; it is kept when the score reaches ``threshold`` and the
-base rules pass.  DataFrame functions only.
+Two multinomials over ``CELLS`` hash cells of one- and two-word n-grams are counted over every
+text: one from the trusted documents, one from all documents.  The cells are as many at every
+corpus size, so a task hands on at most that many counts and the weights are a broadcast of known size.
+A document's score is the mean over its n-grams of ``ln p_target - ln p_raw``; it is kept when
+the score reaches the threshold and the base rules pass.  DataFrame functions only.
 
-The weights of the ``HOT`` commonest cells go out as a constant; the other n-grams of a text
-move as (text hash, n-gram hash) and join their counts.  One that is not found among the counts
-of two and more occurs once, here.  Texts move only where the verdicts do not fit a broadcast.
+The threshold follows the corpus: trusted texts are dealt into ``FOLDS`` parts by a hash, so
+that copies share a part; each trusted document that passes the base rules is scored with the
+target counts of the other parts, and the ``QUANTILE`` of these scores over all of them is the threshold.
 
-:func:`derive_threshold` scores each trusted document without its own counts (those of all its
-copies) and takes the ``QUANTILE`` of these scores, so that it follows the corpus.
+Two scans of the texts: one counts cells (combined in the task, then by cell), the other
+measures, explodes each text's n-grams, looks up their weights and sums them in the task again,
+so that one small row per document moves.
 
 Defined cases: a null or empty text has no words, fails the base rules and scores 0.  Without
-trusted text every score is 0, so that only the base rules decide.  Repeated rows count as
-often as they occur and each gets its own result row.  Extra columns are carried or ignored.
+trusted text every score is 0 and, as when all trusted text is in one part, only the base
+rules decide.  Repeated rows count as often as they occur and each gets its own result row.  Null
+keys are kept and never trusted.  Extra columns are carried or ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import checkpoint_dir
 from .exprs import let, neighbours, words_of
 
-#: Least cells of each multinomial (a power of two) and the count added to every cell.
-BUCKETS, SMOOTHING = 1 << 16, 1.0
+#: Cells of each multinomial (a power of two) and the count added to every cell.
+CELLS, SMOOTHING = 1 << 18, 1.0
 #: Words of an n-gram.
 ORDERS = (1, 2)
-#: Mean log-likelihood ratio per n-gram below which a document is rejected.
-THRESHOLD = -0.25
-#: Share of the trusted documents that a derived threshold may reject.
+#: Parts of the trusted texts; each is scored without its own.
+FOLDS = 4
+#: Share of the trusted documents that the threshold may reject.
 QUANTILE = 0.02
-#: Slots of the constant with the commonest cells (a power of two).
-HOT = 1 << 17
 #: The base rules: words of a window, least words, largest share of repeated words in percent.
 WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
-#: Trusted keys are broadcast up to this many bytes (16 a row); beyond, Spark's planner decides.
+#: Trusted keys and rejected texts are broadcast up to this many bytes (16 a row); beyond, Spark's planner decides.
 BROADCAST_BYTES = 32 << 20
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def _mix(a: Column, b: Column, by: int) -> Column:
@@ -49,7 +47,7 @@ def _mix(a: Column, b: Column, by: int) -> Column:
 
 
 def _cell(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1))
+    return h.bitwiseAND(F.lit(CELLS - 1)).cast("int")
 
 
 def repeated_words(hashes: Column, two: Column) -> Column:
@@ -74,177 +72,101 @@ def repeated_words(hashes: Column, two: Column) -> Column:
         neighbours(two, 2, lambda a, b: _mix(a, b, 2)), lambda h4: F.when(distinct(h4), 0).otherwise(eight(h4))))
 
 
-def marked(docs: DataFrame, trusted: DataFrame, text: str, key: str) -> DataFrame:
-    """(t, x): the texts, t = 1 for those of trusted documents."""
-    ids = trusted.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).distinct().withColumn("t", F.lit(1))
-    if ids.limit(BROADCAST_BYTES // 16 + 1).count() * 16 <= BROADCAST_BYTES:
-        ids = F.broadcast(ids)
-    return docs.select(F.col(key).alias("k"), F.col(text).alias("x")).where(F.col("x").isNotNull()).join(ids, "k", "left").select("t", "x")
+def _small(rows: DataFrame) -> DataFrame:
+    """Broadcast when the rows, of two longs, are few."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_BYTES // 16 + 1).count() * 16 <= BROADCAST_BYTES else rows
 
 
-def count_grams(texts: DataFrame) -> DataFrame:
-    """(h, raw, tgt): n-grams of all and of the trusted texts per 64-bit hash; combinable."""
-    words = texts.select("t", words_of(F.col("x")).alias("w"))
-    if 2 in ORDERS:
-        after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
-        grams = words.select("t", F.inline(F.arrays_zip(F.col("w").alias("a"), after.alias("b")))).select(
-            "t", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
-        both = [F.col("a")] * (1 in ORDERS) + [_mix(F.col("a"), F.col("b"), 1)]
-        cells = grams.select("t", F.explode(F.array(*both)).alias("h")).where(F.col("h").isNotNull())
-    else:
-        cells = words.select("t", F.explode("w").alias("w")).select("t", F.xxhash64("w").alias("h"))
-    return cells.groupBy("h").agg(F.count(F.lit(1)).alias("raw"), F.count("t").alias("tgt"))
+def marked(docs: DataFrame, trusted: DataFrame, text: str, key: str) -> DataFrame:
+    """(k, x, h, fold): keys and texts, their hash, and the part of those of trusted documents (else null)."""
+    ids = _small(trusted.select(F.col(key).alias("k")).where(F.col("k").isNotNull()).distinct().withColumn("t", F.lit(1)))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x"), F.xxhash64(F.col(text)).alias("h")).join(ids, "k", "left")
+    return rows.select("k", "x", "h", F.when(F.col("t").isNotNull(), F.pmod("h", F.lit(FOLDS)).cast("int")).alias("fold"))
 
 
-def _hashes(words: Column) -> Column:
-    """Hashes of all n-grams of an array of words."""
-    return let(F.transform(words, lambda a: F.xxhash64(a)), _grams)
+def count_cells(texts: DataFrame) -> DataFrame:
+    """(b, raw, tgt_0 ... ): n-grams per cell of all texts and of every part of the trusted ones; combinable."""
+    words = texts.select("fold", words_of(F.col("x")).alias("w"))
+    after = F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = words.select("fold", F.inline(F.arrays_zip(F.col("w").alias("a"), after.alias("b")))).select(
+        "fold", F.xxhash64("a").alias("a"), F.when(F.col("b").isNotNull(), F.xxhash64("b")).alias("b"))
+    grams = [F.col("a")] * (1 in ORDERS) + [_mix(F.col("a"), F.col("b"), 1)] * (2 in ORDERS)
+    cells = pairs.select("fold", F.explode(F.array(*map(_cell, grams))).alias("b")).where(F.col("b").isNotNull())
+    return cells.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), *[F.count_if(F.col("fold") == f).alias(f"tgt_{f}") for f in range(FOLDS)])
 
 
-def _grams(h: Column) -> Column:
-    parts = [h] * (1 in ORDERS) + [neighbours(h, 1, lambda a, b: _mix(a, b, 1))] * (2 in ORDERS)
-    return parts[0] if len(parts) == 1 else F.concat(*parts)
+def weights_of(counts: DataFrame) -> tuple[DataFrame, list[float | None]]:
+    """Per cell its weight ``w`` and the weights ``w_0 ...`` without one part; and those of a cell without counts.
 
+    A weight whose target is empty is null; the first is 0 then.
+    """
+    total = counts.agg(F.sum("raw").alias("raw"), *[F.sum(f"tgt_{f}").alias(f"tgt_{f}") for f in range(FOLDS)]).first()
+    parts = [total[f"tgt_{f}"] or 0 for f in range(FOLDS)]
+    target = sum(parts)
 
-class Model:
-    """Counts of every n-gram in a stored table, and the weights made of them.
+    def ratio(n: Column, raw: Column, of: int) -> Column:
+        if not of:
+            return F.lit(None).cast("double")
+        p = lambda c, size: F.log((c + F.lit(SMOOTHING)) / F.lit(size + SMOOTHING * CELLS))
+        return p(n, of) - p(raw, total.raw)
 
-    Fitting writes the counts below the shared checkpoint folder, and :meth:`cold` the means.
-    """
+    def weights(rows: DataFrame) -> DataFrame:
+        own = [F.col(f"tgt_{f}") for f in range(FOLDS)]
+        every = sum(own[1:], own[0])
+        return rows.select("b", F.coalesce(ratio(every, F.col("raw"), target), F.lit(0.0)).alias("w"),
+                           *[ratio(every - own[f], F.col("raw"), target - parts[f]).alias(f"w_{f}") for f in range(FOLDS)])
 
-    def __init__(self, docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id"):
-        self.spark = docs.sparkSession
-        self.base = f"{checkpoint_dir(self.spark).rstrip('/')}/quality-{uuid.uuid4().hex}"
-        self.texts = marked(docs, trusted, text, key)
-        count_grams(self.texts).write.parquet(f"{self.base}/counts")
-        self.counts = self.spark.read.parquet(f"{self.base}/counts")
-        n = self.counts.agg(F.count(F.lit(1)).alias("d"), F.sum("raw").alias("r"), F.sum("tgt").alias("t")).first()
-        self.distinct, self.raw, self.tgt = n.d, n.r or 0, n.t or 0
-        self.cells = max(BUCKETS, 1 << (self.distinct - 1).bit_length() if self.distinct else 1)
-        self.folded = self.distinct <= BUCKETS or not self.tgt  # few n-grams, or all weights zero
-        self._constant()
-
-    def weight(self, raw: Column, tgt: Column) -> Column:
-        ratio = lambda n, total: F.log((n + F.lit(SMOOTHING)) / F.lit(total + SMOOTHING * self.cells))
-        return ratio(tgt, self.tgt) - ratio(raw, self.raw) if self.tgt else F.lit(0.0)
-
-    def _constant(self) -> None:
-        """Per slot: the weight, and when not folded the hash of the n-gram that has it."""
-        if self.folded:
-            slots = BUCKETS
-            rows = self.counts.groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("b")).agg(F.sum("raw").alias("raw"), F.sum("tgt").alias("tgt"))
-            zero = self.spark.range(1).select(self.weight(F.lit(0), F.lit(0)).alias("w")).first().w
-            got = rows.select("b", F.lit(0).alias("h"), self.weight(F.col("raw"), F.col("tgt")).alias("w")).toArrow().to_pydict()
-        else:
-            slots, zero = HOT, 0.0
-            most = self.counts.where("raw > 1").groupBy(F.col("h").bitwiseAND(F.lit(slots - 1)).alias("b")).agg(F.max(F.struct("raw", "tgt", "h")).alias("m"))
-            got = most.select("b", F.col("m.h").alias("h"), self.weight(F.col("m.raw"), F.col("m.tgt")).alias("w")).toArrow().to_pydict()
-        # the hash of an empty slot belongs to another slot, so that no n-gram finds it
-        hashes, weights = [b ^ 1 for b in range(slots)], [zero] * slots
-        for b, h, w in zip(got["b"], got["h"], got["w"]):
-            hashes[b], weights[b] = h, w
-        numbers = lambda values, to: F.split(F.lit(",".join(values)), ",").cast(f"array<{to}>")
-        self.slots, self.weights = slots, numbers((f"{w:.9g}" for w in weights), "double")
-        self.hashes = None if self.folded else numbers(map(str, hashes), "bigint")
-
-    def _slot(self, h: Column) -> Column:
-        return h.bitwiseAND(F.lit(self.slots - 1)).cast("int")
-
-    def others(self, grams: Column) -> Column:
-        """The n-grams that the constant does not have."""
-        return let(self.hashes, lambda own: F.filter(grams, lambda h: own[self._slot(h)] != h))
-
-    def known(self, grams: Column) -> Column:
-        """Struct of the weights' sum over the n-grams of the constant, and the number of others."""
-        add = lambda s, h, w: s + w[self._slot(h)]
-        if self.folded:
-            return let(self.weights, lambda w: F.struct(F.aggregate(grams, F.lit(0.0), lambda s, h: add(s, h, w)).alias("sum"), F.lit(0).alias("others")))
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("others"))
-        # each constant is named once, or the plan would hold a copy for each use
-        return let(self.hashes, lambda own: let(self.weights, lambda w: F.aggregate(grams, start, lambda s, h: F.when(
-            own[self._slot(h)] == h, F.struct(add(s["sum"], h, w).alias("sum"), s["others"].alias("others"))).otherwise(
-            F.struct(s["sum"].alias("sum"), (s["others"] + 1).alias("others"))))))
-
-    def cold(self) -> DataFrame | None:
-        """(text_hash, mean): mean weight of a text's n-grams outside the constant; copies have the same."""
-        if self.folded:
-            return None
-        grams = self.texts.select("t", F.xxhash64("x").alias("text_hash"), F.explode(let(_hashes(words_of(F.col("x"))), self.others)).alias("h"))
-        weights = self.counts.where("raw > 1").select("h", self.weight(F.col("raw"), F.col("tgt")).alias("w")).hint("shuffle_hash")
-        once = F.when(F.col("t") == 1, self.weight(F.lit(1), F.lit(1))).otherwise(self.weight(F.lit(1), F.lit(0)))
-        grams.join(weights, "h", "left").groupBy("text_hash").agg(F.avg(F.coalesce("w", once)).alias("mean")).write.parquet(f"{self.base}/cold")
-        means = self.spark.read.parquet(f"{self.base}/cold")
-        return F.broadcast(means) if means.count() * 16 <= BROADCAST_BYTES else means
-
-    def derive_threshold(self, quantile: float = QUANTILE) -> float:
-        """The quantile of the scores that trusted texts get without their own counts; -inf if none passes the base rules."""
-        def parts(w: Column) -> Column:
-            return let(F.transform(w, lambda a: F.xxhash64(a)), lambda h: F.when(
-                ~base_failed(F.size(h).cast("long"), repeated_words(h, neighbours(h, 1, lambda a, b: _mix(a, b, 1))).cast("long")), _grams(h)))
-
-        grams = self.texts.where("t = 1").select(F.xxhash64("x").alias("text_hash"), F.explode(let(words_of(F.col("x")), parts)).alias("h"))
-        own = grams.groupBy("text_hash", "h").agg(F.count(F.lit(1)).alias("c"))
-        # one that occurs once has no count left: ln 1 - ln 2
-        left = F.log(F.coalesce(F.col("tgt") - F.col("c"), F.lit(0)) + SMOOTHING) - F.log(F.coalesce("raw", F.lit(1)) + SMOOTHING)
-        sums = own.join(self.counts.where("raw > 1").hint("shuffle_hash"), "h", "left").groupBy("text_hash").agg(F.sum("c").alias("n"), F.sum(F.col("c") * left).alias("s"))
-        every = F.lit(SMOOTHING * self.cells)
-        score = F.col("s") / F.col("n") + F.log(self.raw + every) - F.log(self.tgt - F.col("n") + every)
-        found = sums.agg(F.percentile_approx(score, quantile, 100_000).alias("q")).first().q
-        return float("-inf") if found is None else found
+    none = counts.sparkSession.range(1).select(F.lit(0).alias("b"), F.lit(0).alias("raw"), *[F.lit(0).alias(f"tgt_{f}") for f in range(FOLDS)])
+    return weights(counts), list(weights(none).first())[1:]
 
 
 def base_failed(n: Column, repeated: Column) -> Column:
     return (n < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PCT * n)
 
 
-def measures(text: Column, model: Model) -> Column:
-    """Struct of all measures of one text, ``known`` for those n-grams that the constant has."""
+def measures(text: Column) -> Column:
+    """Struct of all measures of one text and the cells of its n-grams."""
     x = F.coalesce(text, F.lit(""))
 
     def hashed(w: Column) -> Column:
         return let(F.transform(w, lambda a: F.xxhash64(a)), lambda h: let(neighbours(h, 1, lambda a, b: _mix(a, b, 1)), lambda h2: measured(w, h, h2)))
 
     def measured(w: Column, h: Column, h2: Column) -> Column:
-        n = F.size(h).cast("long")
-        own = [g for k, g in ((1, h), (2, h2)) if k in ORDERS]
+        grams = [g for k, g in ((1, h), (2, h2)) if k in ORDERS]
         lines = F.filter(F.split(x, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
         return F.struct(
-            n.alias("n_words"),
+            F.size(h).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             F.regexp_count(x, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             let(lines, lambda v: F.size(v) - F.size(F.array_distinct(v))).cast("long").alias("n_dup_lines"),
             repeated_words(h, h2).cast("long").alias("n_repeat_words"),
-            sum(F.greatest(n - (k - 1), F.lit(0)) for k in ORDERS).alias("grams"),
-            let(own[0] if len(own) == 1 else F.concat(*own), model.known).alias("known"))
+            F.transform(grams[0] if len(grams) == 1 else F.concat(*grams), _cell).alias("cells"))
 
     return let(words_of(x), hashed)
 
 
-def verdict(measured: Column, mean: Column, threshold: float) -> Column:
-    """Struct of all measures and verdicts from :func:`measures` and the mean weight of the other n-grams."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+def rate(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float | None = None) -> DataFrame:
+    """The key (under its name), text_hash, the measures, base_failed, kept and llr_per_ngram of every row.
 
-    def ratio(m: Column) -> Column:
-        total = m["known"]["sum"] + m["known"]["others"] * F.coalesce(mean, F.lit(0.0))
-        return let(F.struct(base_failed(m["n_words"], m["n_repeat_words"]).alias("failed"),
-                            F.when(m["grams"] > 0, total / m["grams"]).otherwise(0.0).alias("llr")), lambda v: F.struct(
-            *[m[c].alias(c) for c in names], v["failed"].alias("base_failed"),
-            (~v["failed"] & (v["llr"] >= threshold)).alias("kept"), v["llr"].alias("llr_per_ngram")))
-
-    return let(measured, ratio)
-
-
-def rate(docs: DataFrame, trusted: DataFrame, text: str = "text", key: str = "doc_id", threshold: float | None = THRESHOLD) -> DataFrame:
-    """``docs`` as struct ``doc`` plus struct ``rating``; a threshold of None is derived.  Runs the fitting jobs when called."""
-    model = Model(docs, trusted, text, key)
+    A threshold of None is derived.  Runs the fitting jobs when called.
+    """
+    checkpoint_dir(docs.sparkSession)
+    texts = marked(docs, trusted, text, key)
+    weights, none = weights_of(count_cells(texts).checkpoint())
+    rows = texts.select(F.monotonically_increasing_id().alias("row"), "k", "h", "fold", measures(F.col("x")).alias("m"))
+    grams = rows.select("row", "k", "h", "fold", *[f"m.{c}" for c in MEASURES], F.explode_outer("m.cells").alias("b"))
+    held = F.coalesce(*[F.when(F.col("fold") == f, F.coalesce(f"w_{f}", F.lit(none[f + 1]))) for f in range(FOLDS)])
+    found = F.when(F.col("b").isNotNull(), F.coalesce("w", F.lit(none[0])))
+    scored = grams.join(F.broadcast(weights), "b", "left").groupBy("row", "k", "h", "fold", *MEASURES).agg(
+        F.coalesce(F.avg(found), F.lit(0.0)).alias("llr_per_ngram"), F.avg(F.when(F.col("b").isNotNull(), held)).alias("held"))
+    scored = scored.withColumn("base_failed", base_failed(F.col("n_words"), F.col("n_repeat_words"))).checkpoint()
     if threshold is None:
-        threshold = model.derive_threshold() if model.tgt else float("-inf")
-    means = model.cold()
-    rows = docs.select(F.struct("*").alias("doc"), F.xxhash64(F.col(text)).alias("text_hash"), measures(F.col(text), model).alias("m"))
-    rows = rows.withColumn("mean", F.lit(None).cast("double")) if means is None else rows.join(means, "text_hash", "left")
-    return rows.select("doc", verdict(F.col("m"), F.col("mean"), threshold).alias("rating"))
+        threshold = scored.where(~F.col("base_failed")).agg(F.percentile_approx("held", QUANTILE, 100_000)).first()[0]
+    kept = ~F.col("base_failed") & (F.col("llr_per_ngram") >= F.lit(float("-inf") if threshold is None else threshold))
+    return scored.select(F.col("k").alias(key), F.col("h").alias("text_hash"), *MEASURES, "base_failed", kept.alias("kept"), "llr_per_ngram")
 
 
-def apply_rules(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, **params) -> DataFrame:
-    """The documents that the rules keep, with their own columns."""
-    return rate(docs, trusted, threshold=threshold, **params).where("rating.kept").select("doc.*")
+def apply_rules(docs: DataFrame, trusted: DataFrame, text: str = "text", **params) -> DataFrame:
+    """The documents that the rules keep, with their own columns; equal texts share a verdict."""
+    good = _small(rate(docs, trusted, text, **params).where("kept").select(F.col("text_hash").alias("_kept_hash")).distinct())
+    return docs.join(good, F.xxhash64(docs[text]) == F.col("_kept_hash"), "left_semi")

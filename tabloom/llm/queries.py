@@ -54,8 +54,7 @@ def encoded(docs: DataFrame) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = quality_llr.rate(table(spark, sf_dir, "documents"), trusted(spark, sf_dir), threshold=None)
-    return rated.select("doc.doc_id", "rating.*")
+    return quality_llr.rate(table(spark, sf_dir, "documents"), trusted(spark, sf_dir)).drop("text_hash")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
