@@ -76,6 +76,14 @@ def signatures(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row key once per task, so that a row repeated any number of times moves its text once per task."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = [k not in seen and not seen.add(k) for k in batch.column(0).to_pylist()]
+        yield batch if all(new) else batch.filter(pa.array(new, type=pa.bool_()))
+
+
 def _digests(h: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
     return [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -248,7 +256,7 @@ def link(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     kept = shared.groupBy("n", "members").agg(F.min(F.struct("band", "bucket")).alias("b")).select("b.band", "b.bucket", "n")
     members = bands.join(kept, ["band", "bucket"]).checkpoint()
     masks = members.groupBy("id").agg(F.bit_or(F.expr("shiftleft(1L, band)")).alias("mask"))
-    texts = rows.select("row_key", "x").join(classes.join(masks, "id").select("id", "row_key", "copies", "sig", "mask"), "row_key").drop("row_key")
+    texts = rows.select("row_key", "x").mapInArrow(_once, "row_key bigint, x string").join(classes.join(masks, "id").select("id", "row_key", "copies", "sig", "mask"), "row_key").drop("row_key")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("id", "bucket"), blocks).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import U, Words, _power_tables, chunks, mix
+from .words import U, Words, chunks, mix, range_sums
 
 CELLS, GRADES = 1 << 18, 3
 SAMPLE, STEPS, RATE, RIDGE = 8_000, 80_000, 0.1, 1e-6
@@ -38,10 +38,8 @@ SELECT = 0.5
 def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(cells, bounds): the distinct hash cells of row i at bounds[i]:bounds[i + 1]."""
     w = Words(texts)
-    powers, inverse = _power_tables(len(w.data) + 1)
-    sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((w.data.astype(U) + U(1)) * powers[: len(w.data)], dtype=U)))
     same = np.flatnonzero(w.row[1:] == w.row[:-1])
-    gap = mix((sums[w.start[same + 1]] - sums[w.end[same]]) * inverse[w.end[same]] + U(0x5851F42D4C957F2D))
+    gap = mix(range_sums(w.data, w.end[same], w.start[same + 1]) + U(0x5851F42D4C957F2D))
     rows = np.concatenate((w.row, w.row[same]))
     cells = np.concatenate((w.hash, gap)) >> U(64 - CELLS.bit_length() + 1)
     both = np.unique(rows.astype(np.int64) * CELLS + cells.astype(np.int64))

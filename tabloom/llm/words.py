@@ -22,7 +22,10 @@ _LOWER[65:91] += 32
 _WORD = np.zeros(256, dtype=bool)
 for _a, _b in ((48, 58), (97, 123), (128, 256)):
     _WORD[_a:_b] = True
-_powers: list[np.ndarray] = []
+#: Bytes whose power sums are held at once (a longer range is summed piece by piece).
+WINDOW = 1 << 18
+_INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS, _INVERSES = (np.cumprod(np.concatenate((np.ones(1, dtype=U), np.full(WINDOW, b, dtype=U))), dtype=U) for b in (_BASE, _INVERSE))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -32,13 +35,28 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, CHUNK_BYTES)
-        inverse = pow(_BASE, -1, 1 << 64)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.cumprod(np.concatenate((np.ones(1, dtype=U), np.full(n, b, dtype=U))), dtype=U) for b in (_BASE, inverse)]
-    return _powers
+def range_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Per range of bytes (ascending, apart): the sum of (byte + 1) times a power of its place in the range."""
+    out = np.zeros(len(start), dtype=U)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = int(np.searchsorted(end, base + WINDOW, side="right"))  # ranges that end within the window
+        if j > i:
+            part = data[base: int(end[j - 1])]
+            sums = np.zeros(len(part) + 1, dtype=U)
+            np.cumsum((part.astype(U) + U(1)) * _POWERS[: len(part)], dtype=U, out=sums[1:])
+            out[i:j] = (sums[end[i:j] - base] - sums[start[i:j] - base]) * _INVERSES[start[i:j] - base]
+            i = j
+        else:
+            total, power = 0, 1
+            for at in range(base, int(end[i]), WINDOW):
+                part = data[at: min(at + WINDOW, int(end[i]))]
+                total += power * int(((part.astype(U) + U(1)) * _POWERS[: len(part)]).sum(dtype=U))
+                power = power * pow(_BASE, len(part), 1 << 64) % (1 << 64)
+            out[i] = total % (1 << 64)
+            i += 1
+    return out
 
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
@@ -76,9 +94,7 @@ class Words:
         at = np.searchsorted(self.start, offsets)
         self.first, self.count = at[:-1], np.diff(at)  # by row
         self.row = np.repeat(np.arange(self.rows), self.count)
-        powers, inverse = _power_tables(len(self.data) + 1)
-        sums = np.concatenate((np.zeros(1, dtype=U), np.cumsum((self.data.astype(U) + U(1)) * powers[: len(self.data)], dtype=U)))
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+        self.hash = mix(range_sums(self.data, self.start, self.end) + (self.end - self.start).astype(U))
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash, first word) of every run of ``k`` words within one text."""

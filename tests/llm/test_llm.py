@@ -19,7 +19,7 @@ import sentencepiece
 import xxhash
 from tabloom.llm import (
     chat_format, decontaminate, license_scan, ngram_join, ordinal_quality, pii_spans, piece_codec, quality_llr, queries,
-    secret_scan, token_count,
+    secret_scan, token_count, words as words_module,
 )
 from tabloom.session import checkpoint_dir
 from tokenizers import Tokenizer
@@ -224,6 +224,16 @@ def test_pieces_match_the_library(spark, monkeypatch):
     assert piece_codec.encode(empty(spark), path).count() == 0
 
 
+# ---- words
+
+def test_word_hashes_do_not_depend_on_windows(monkeypatch):
+    texts = pa.array(["a bb " * 500 + "z" * 900 + " end", None, "", "Ünï z" * 40])
+    whole = words_module.Words(texts)
+    monkeypatch.setattr(words_module, "WINDOW", 64)
+    cut = words_module.Words(texts)
+    assert (whole.hash == cut.hash).all() and len(set(whole.hash.tolist())) == len({bytes(whole.data[a:b]) for a, b in zip(whole.start, whole.end)})
+
+
 # ---- 5 quality rules
 
 def brute_measures(text):
@@ -302,6 +312,19 @@ def test_quality_poor_text_goes_and_copies_share_a_part(spark, monkeypatch):
     assert len([i for i in range(150, 300) if i % 3 and i in kept]) >= 85
 
 
+def test_one_row_repeated_many_times_moves_its_text_once_per_task(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in rng.sample(range(1000), 80)]
+    near = base[:40] + ["changed"] + base[41:]
+    d = docs_of(spark, [" ".join(base), " ".join(near), "alone " * 3])
+    many = d.unionByName(d.where("doc_id = 0").crossJoin(spark.range(100_000).drop("id").limit(100_000)))
+    out = {r.doc_id: r for r in ngram_join.link(many).select("doc_id", "class_id", "n_links").distinct().collect()}
+    assert (out[0].class_id, out[1].class_id, out[2].class_id) == (0, 0, 2)
+    assert (out[0].n_links, out[1].n_links, out[2].n_links) == (100_001, 100_001, 0)
+    batch = pa.record_batch([pa.array([5] * 1000 + [6]), pa.array(["x"] * 1001)], names=["row_key", "x"])
+    assert sum(b.num_rows for b in ngram_join._once(iter([batch, batch]))) == 2
+
+
 # ---- 6 licenses
 
 def test_license_lines_and_inheritance(spark):
