@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.maps import map_of_greatest
 from tabloom.functions.text import url_quote
 
 # Fixed values that must equal the reference's behaviour.
@@ -32,14 +33,15 @@ def fill_placeholders(pages: DataFrame, table_texts: DataFrame, key_cols=("sourc
                       caption: str = TABLE_CAPTION) -> DataFrame:
     """Replace ``[TABLEPLACEHOLDER n]`` by the caption + table text; missing -> ''.
 
-    ``table_texts(<key>, table_no, table_text)``.  The tables of a page are
+    ``table_texts(<key>, table_no, table_text)``; of several texts of one
+    number the greatest stays.  The tables of a page are
     gathered into one map (bounded by the page's table count) and joined to
     the page, then the text is re-assembled from its split parts in order.
     """
     kk = list(key_cols)
     cap = F.concat(*_caption_parts(caption))
     tt = table_texts.select(*kk, "table_no", F.concat(cap, F.col("table_text")).alias("_tt"))
-    maps = tt.groupBy(*kk).agg(F.map_from_entries(F.collect_list(F.struct("table_no", "_tt"))).alias("_m"))
+    maps = tt.groupBy(*kk).agg(map_of_greatest(F.collect_list(F.struct("table_no", "_tt"))).alias("_m"))
     p = pages.join(maps, kk, "left")
     parts = F.split(F.col("text"), PLACEHOLDER_SPLIT_RE, -1)
     nums = F.regexp_extract_all(F.col("text"), F.lit(PLACEHOLDER_RE), 1)
@@ -73,19 +75,21 @@ def build_context(pages: DataFrame, order: DataFrame, group_cols=("query_id", "s
     ``pages(source, page, text)``; ``order(<group>, source, page, ordinal)``.
     ``form='document'`` writes '# Page p' blocks under 'Company name: ...';
     ``form='sector'`` writes '# Source'/'# Page' blocks under 'Sector: ...'.
-    Pages are de-duplicated on (source, page) inside the group (G5).
+    Pages are de-duplicated on (source, page) inside the group (G5); a page
+    with null text is an empty block.
     """
     g = list(group_cols)
     first = (order.groupBy(*g, *[c for c in ("source", "page") if c not in g])
              .agg(F.min("ordinal").alias("ordinal")))
     j = first.join(pages.select("source", "page", "text"), ["source", "page"])
+    text = F.coalesce("text", F.lit(""))
     if form == "document":
         block = F.concat(F.lit("\n---\n# Page "), F.col("page").cast("string"), F.lit("\n"),
-                         F.col("text"), F.lit("\n"))
+                         text, F.lit("\n"))
         header = F.concat(F.lit("Company name: "), F.col(header_col), F.lit("\n"))
     else:
         block = F.concat(F.lit("\n---\n# Source: "), F.col("source"), F.lit("\n# Page "),
-                         F.col("page").cast("string"), F.lit("\n"), F.col("text"), F.lit("\n"))
+                         F.col("page").cast("string"), F.lit("\n"), text, F.lit("\n"))
         header = F.concat(F.lit("Sector: "), F.col(header_col), F.lit("\n"))
     agg = j.groupBy(*g).agg(
         _ordered_join(F.collect_list(F.struct("ordinal", "source", "page", block.alias("x"))), "").alias("_body"),
@@ -96,11 +100,11 @@ def build_context(pages: DataFrame, order: DataFrame, group_cols=("query_id", "s
 def insert_tables(texts: DataFrame, tables: DataFrame, key_cols=("source",)) -> DataFrame:
     """Replace ``<Tablej>`` (1-based) by the j-th table's HTML; unmatched markers stay.
 
-    ``texts(<key>, text)``, ``tables(<key>, j, html)``.  Texts without tables
-    pass through unchanged.
+    ``texts(<key>, text)``, ``tables(<key>, j, html)``; of several tables of one
+    number the greatest text stays.  Texts without tables pass through unchanged.
     """
     kk = list(key_cols)
-    maps = tables.groupBy(*kk).agg(F.map_from_entries(F.collect_list(F.struct("j", "html"))).alias("_m"))
+    maps = tables.groupBy(*kk).agg(map_of_greatest(F.collect_list(F.struct("j", "html"))).alias("_m"))
     t = texts.join(maps, kk, "left")
     parts = F.split(F.col("text"), r"<Table\d+>", -1)
     marks = F.regexp_extract_all(F.col("text"), F.lit(TABLE_MARKER_RE), 1)
@@ -185,6 +189,7 @@ def append_turns(conv: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def render_conversation(conv: DataFrame) -> DataFrame:
-    """X11: a conversation as 'role: text' lines in turn order."""
-    items = F.collect_list(F.struct("turn", F.concat(F.col("role"), F.lit(": "), F.col("text")).alias("x")))
+    """X11: a conversation as 'role: text' lines in turn order; a null role or text is empty."""
+    items = F.collect_list(F.struct("turn", F.concat(
+        F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("x")))
     return conv.groupBy("conv_id").agg(_ordered_join(items, "\n").alias("transcript"))

@@ -129,9 +129,12 @@ def normalize_units(f: DataFrame, rules: DataFrame, target: str) -> DataFrame:
     """Value x factor into ``target``; units without a rule get status 'no_rule'.
 
     ``rules(unit, target, factor)`` is a small dimension (joined, AQE
-    broadcasts it); the target unit itself needs no rule.
+    broadcasts it); the target unit itself needs no rule.  Repeated equal
+    rules count once, different factors for one unit raise.
     """
-    r = rules.where(F.col("target") == target).select("unit", F.col("factor").alias("_f"))
+    r = rules.where(F.col("target") == target).groupBy("unit").agg(
+        F.when(F.min("factor") != F.max("factor"), F.raise_error(F.concat(F.lit("several factors for unit "), F.col("unit"))).cast("double"))
+        .otherwise(F.min("factor")).alias("_f"))
     j = f.join(r, "unit", "left")
     same = F.col("unit") == F.lit(target)
     factor = F.when(same, F.lit(1.0)).otherwise(F.col("_f"))

@@ -7,12 +7,13 @@ queries  : query_id, text            (sparse)   /  query_id, embedding (dense)
 result   : query_id, <group cols>, <key cols>, rank (int, 1..k), score (double)
 
 Plan shape (see README "Retrieval at scale"):
-* the query side (query terms, or blocks of the query matrix) is the only thing
-  broadcast, and only within a proven number of bytes;
-* the inverted index streams through a join with the query terms, the vector
-  table through Arrow batches scored in bounded blocks;
-* ``row_number() <= k`` lets Catalyst insert a partial ``WindowGroupLimit``
-  before the exchange, so only k rows per (query, group, partition) move.
+* documents are dealt into cells of bounded size (large groups over several
+  cells, small groups together), queries into blocks of bounded size; every
+  (block, cell) pair meets in one task, nothing passes the driver;
+* a task scores its documents in key order and returns the best k of each
+  (query, group), so rows out do not grow with the documents;
+* sparse scoring skips document blocks, and terms within a block, that cannot
+  reach the k-th score found so far (see ``scoring``).
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import tokenize
+from tabloom.operators import scoring
 from tabloom.operators.filters import apply_filters, validate_retrieval
-from tabloom.plans.sizing import broadcast_if_bounded
+from tabloom.plans.sizing import MAX_BROADCAST_BYTES
 
 # Fixed values that must equal the reference's behaviour.
 DEFAULT_K = 5          # hits per retriever and after fusion
@@ -34,9 +36,9 @@ DEFAULT_LAMBDA = 0.3   # weight of the sparse score in fusion
 # reorder equal documents; ties then fall back to the key columns.
 RANK_DIGITS = 9
 
-# Query matrix shipped at once, and scores a task holds at once.
-QUERY_BLOCK_BYTES = 64 << 20
-SCORE_CELLS = 4 << 20
+# Bytes of a block of queries, and documents and bytes of vectors of a cell.
+QUERY_BLOCK_BYTES = 4 << 20
+CELL_DOCS, CELL_BYTES = 1 << 11, 32 << 20
 
 
 def chunk_keys(df: DataFrame, key_cols=None) -> list:
@@ -129,6 +131,38 @@ def _rank(df: DataFrame, part_cols, order_cols, k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _dealt(docs: DataFrame, keys: DataFrame, n_docs: int, group_cols, key_cols, cell_docs: int) -> tuple[DataFrame, int]:
+    """``docs`` with a cell number, and the number of cells.
+
+    ``keys`` has one row for each of ``n_docs`` documents.  A group of n documents spreads
+    over ``ceil(n / cell_docs)`` parts by a hash of the key; parts are hashed to cells.
+    """
+    g, kk = list(group_cols), list(key_cols)
+    if n_docs <= cell_docs:
+        return docs.withColumn("_cell", F.lit(0)), 1
+    # every document in group (hash) order; groups are matched null-safe through the hash
+    group = F.xxhash64(*g) if g else F.lit(0).cast("long")
+    sizes = keys.groupBy(group.alias("_g")).agg(F.ceil(F.count(F.lit(1)) / F.lit(cell_docs)).cast("int").alias("_parts"))
+    n = -(-n_docs // cell_docs)
+    part = F.pmod(F.xxhash64(*kk), F.col("_parts"))
+    cell = F.pmod(F.xxhash64("_g", part), F.lit(n)).cast("int")
+    return docs.withColumn("_g", group).join(sizes, "_g").withColumn("_cell", cell).drop("_g", "_parts"), n
+
+
+def _meet(queries: DataFrame, docs: DataFrame, cells: int, query_bytes: int, score, schema: str) -> DataFrame:
+    """``score(documents, queries)`` (Arrow tables) for every (query block, cell)."""
+    blocks = -(-max(query_bytes, 1) // QUERY_BLOCK_BYTES)
+    q = (queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+         .withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))))
+    d = docs.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else docs.withColumn("_block", F.lit(0))
+    return d.groupBy("_block", "_cell").cogroup(q.groupBy("_block", "_cell")).applyInArrow(score, schema)
+
+
+def _schema(queries: DataFrame, query_col: str, rows: DataFrame, score: str) -> str:
+    kinds = [f"query_id {queries.schema[query_col].dataType.simpleString()}"]
+    return ", ".join(kinds + [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields] + [f"{score} double"])
+
+
 def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
                 query_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """cosine(query, doc) top-k per (query, group).
@@ -137,34 +171,28 @@ def sparse_topk(queries: DataFrame, model: TfidfModel, k: int = DEFAULT_K,
     sharing no term score 0; they only fill the lists of queries that have
     fewer than k positive hits in a group, taken in key order.
 
-    One plan for any size: join the index and the query terms on the term,
-    sum per (query, document).  The query side is broadcast when a probe
-    proves its size, and shuffled otherwise.
+    The index rows of query terms are dealt by document, so a task holds all
+    of a document's and sums its scores itself; exact block-max pruning (see
+    ``scoring.sparse_cell``) leaves the best k of each (query, group) and cell.
     """
     g, kk = model.group_cols, model.key_cols
-    qtf = broadcast_if_bounded(query_terms(queries, query_col, text_col))
-    raw = (model.weights.join(qtf, "term")
-           .groupBy("query_id", *g, *kk)
-           .agg(F.sum(F.col("wn") * F.col("qtf") * F.col("idf")).alias("raw")))
-    # Zero-score candidates: documents sharing no term score 0 and only fill
-    # lists shorter than k, in key order.  At most (k - 1) of a group's first
-    # 2k documents can be positive hits of a short list, so those 2k are
-    # enough; they are unioned with the scored pairs so the scorer output is
-    # consumed once.
-    qids = broadcast_if_bounded(queries.select(F.col(query_col).alias("query_id")))
-    first = _rank(model.docs, g, [F.col(c).asc() for c in kk], 2 * k).drop("rank")
-    cand = first.crossJoin(qids).select("query_id", *g, *kk, F.lit(0.0).alias("raw"))
+    qtf = query_terms(queries, query_col, text_col)
+    every = queries.select(F.col(query_col).alias("query_id"))
+    size = queries.agg(F.sum(F.octet_length(text_col) + 64)).first()[0] or 0
+    if size * 16 <= MAX_BROADCAST_BYTES:  # a term of n bytes, with its row, takes less than 16 n
+        qtf = F.broadcast(qtf)
+        words = F.broadcast(qtf.select("term").distinct())
+    else:
+        words = qtf.select("term").distinct()
+    postings = model.weights.join(words, "term", "left_semi").select(*g, *kk, "term", (F.col("wn") * F.col("idf")).alias("w"))
+    none = (F.lit(None).cast("string").alias("term"), F.lit(None).cast("double"))
+    docs, cells = _dealt(postings.unionByName(model.docs.select(*g, *kk, none[0], none[1].alias("w"))), model.docs, model.docs.count(), g, kk, CELL_DOCS)
+    asked = qtf.unionByName(every.select("query_id", none[0], none[1].alias("qtf")))
+    found = _meet(asked, docs, cells, size, scoring.sparse_cell(g, kk, k, RANK_DIGITS), _schema(queries, query_col, model.docs.select(*g, *kk), "raw"))
     # The query norm is constant within a (query, group), so ranking on the
-    # raw dot product gives the cosine order; the top-k runs straight on the
-    # scorer output and Catalyst places a partial WindowGroupLimit before the
-    # shuffle (only a few rows per query, group and map partition move).
+    # raw dot product gives the cosine order.
     order = [F.round("raw", RANK_DIGITS).desc(), *[F.col(c).asc() for c in kk]]
-    top2 = _rank(raw.unionByName(cand), ["query_id", *g], order, 2 * k).drop("rank")
-    # A document that is both a hit and a zero candidate keeps its hit row
-    # (same partitioning: no further shuffle).
-    dup = Window.partitionBy("query_id", *g, *kk).orderBy(F.col("raw").desc())
-    top2 = top2.withColumn("_d", F.row_number().over(dup)).where(F.col("_d") == 1).drop("_d")
-    ranked = _rank(top2, ["query_id", *g], order, k)
+    ranked = _rank(found, ["query_id", *g], order, k)
     # The query vector is normalised over the terms known to the group only.
     qnorm = (model.idf.join(qtf, "term")
              .groupBy("query_id", *g)
@@ -182,69 +210,24 @@ def dense_topk(queries: DataFrame, vecs: DataFrame, k: int = DEFAULT_K,
 
     ``score='distance'`` returns ``1 - cos`` ascending (dense store default),
     ``score='similarity'`` returns ``cos`` descending.  Rows with a null
-    embedding are dropped (S14); equality filters go on ``vecs`` beforehand.
+    embedding are dropped (S14), as are vectors without direction; equality
+    filters go on ``vecs`` beforehand.
 
-    The queries go to the executors in blocks of at most ``QUERY_BLOCK_BYTES``
-    of float64 matrix.  A task multiplies a block of its documents with a
-    block of queries (never more than ``SCORE_CELLS`` scores at once) and keeps
-    the best k of each query and group before Spark sees a row.  The global
-    top-k then runs with a partial limit before the shuffle.
+    Query blocks and vector cells of bounded bytes meet in tasks; a task
+    multiplies them and returns the best k of each (query, group) of its cell.
     """
-    import numpy as np
-    import pandas as pd
-
     if score not in ("distance", "similarity"):
         raise ValueError("score must be 'distance' or 'similarity'")
     g, kk = list(group_cols), chunk_keys(vecs, key_cols)
     desc = score == "similarity"
     q = queries.select(F.col(query_col).alias("query_id"), F.col(qvec_col).alias("v")).where(F.col("v").isNotNull())
-    size = q.agg(F.sum(8 * F.size("v"))).first()[0] or 0
-    n_blocks = int(size // QUERY_BLOCK_BYTES) + 1
-    fields = vecs.select(*g, *kk).schema.fields
-    out_schema = ("query_id " + queries.schema[query_col].dataType.simpleString() + ", "
-                  + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double")
-
-    def scorer(sent):
-        def score_batches(batches):
-            ids, m = sent.value
-            step_q = max(1, min(len(ids), 1024))
-            step_d = max(1, SCORE_CELLS // step_q)
-            for pdf in batches:
-                if not len(pdf) or not len(ids):
-                    continue
-                d = np.array(pdf["_v"].tolist(), dtype=np.float64).reshape(len(pdf), -1)
-                norm = np.linalg.norm(d, axis=1)
-                pdf, d = pdf[norm > 0], d[norm > 0] / norm[norm > 0][:, None]
-                order = pdf.reset_index(drop=True).sort_values([*g, *kk]).index.to_numpy()  # ties by key
-                pdf, d = pdf.iloc[order].reset_index(drop=True), d[order]
-                for at in pdf.groupby(g, sort=False, dropna=False).indices.values():
-                    for i in range(0, len(at), step_d):
-                        rows = at[i: i + step_d]
-                        for j in range(0, len(ids), step_q):
-                            sim = np.clip(d[rows] @ m[j: j + step_q].T, -1.0, 1.0)
-                            val = sim if desc else 1.0 - sim
-                            r = np.round(val, RANK_DIGITS)
-                            best = np.argsort(-r if desc else r, axis=0, kind="stable")[:k]
-                            cols = np.tile(np.arange(best.shape[1]), (best.shape[0], 1))
-                            out = pdf.iloc[rows[best.ravel()]][[*g, *kk]].reset_index(drop=True)
-                            out.insert(0, "query_id", ids[j: j + step_q][cols.ravel()])
-                            out["score"] = val[best, cols].ravel()
-                            yield out
-
-        return score_batches
-
-    docs = vecs.where(F.col(vec_col).isNotNull()).select(*g, *kk, F.col(vec_col).alias("_v"))
-    pairs = None
-    for b in range(n_blocks):
-        part = (q.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == b) if n_blocks > 1 else q).toPandas()
-        m = np.array(part["v"].tolist(), dtype=np.float64).reshape(len(part), -1) if len(part) else np.zeros((0, 0))
-        norm = np.linalg.norm(m, axis=1) if len(part) else np.zeros(0)
-        sent = vecs.sparkSession.sparkContext.broadcast(
-            (part["query_id"].to_numpy()[norm > 0], m[norm > 0] / norm[norm > 0][:, None] if (norm > 0).any() else m[:0]))
-        one = docs.mapInPandas(scorer(sent), out_schema)
-        pairs = one if pairs is None else pairs.unionByName(one)
+    rows = vecs.where(F.col(vec_col).isNotNull()).select(*g, *kk, F.col(vec_col).alias("v"))
+    size = q.agg(F.sum(8 * F.size("v") + 64)).first()[0] or 0
+    n_docs, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    docs, cells = _dealt(rows, rows, n_docs, g, kk, max(1, min(CELL_DOCS, CELL_BYTES // (8 * max(width or 1, 1)))))
+    found = _meet(q, docs, cells, size, scoring.dense_cell(g, kk, k, RANK_DIGITS, desc), _schema(queries, query_col, rows.select(*g, *kk), "score"))
     order = F.round("score", RANK_DIGITS)
-    return _rank(pairs, ["query_id", *g], [order.desc() if desc else order.asc(), *[F.col(c).asc() for c in kk]], k)
+    return _rank(found, ["query_id", *g], [order.desc() if desc else order.asc(), *[F.col(c).asc() for c in kk]], k)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, k: int = DEFAULT_K, lmbd: float = DEFAULT_LAMBDA,

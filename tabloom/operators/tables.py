@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.maps import map_of_greatest
 from tabloom.functions.numbers import with_parsed_number
 from tabloom.functions.text import tokenize
 
@@ -67,11 +68,12 @@ def html_tables_to_cells(df: DataFrame, html_col: str = "html", key_cols=("sourc
 def _row_summaries(cells: DataFrame, kk) -> DataFrame:
     """One row per (table, row): its cells as a map, its header pairs, its widths.
 
-    The single pass over the cells every table operator starts from.
+    The single pass over the cells every table operator starts from.  Of a
+    repeated cell position the greatest text stays.
     """
     has_h = F.col("header").isNotNull()
     return cells.groupBy(*kk, "row_idx").agg(
-        F.map_from_entries(F.collect_list(F.struct("col_idx", "cell"))).alias("_m"),
+        map_of_greatest(F.collect_list(F.struct("col_idx", "cell"))).alias("_m"),
         F.collect_list(F.when(has_h, F.struct("col_idx", "header"))).alias("_h"),
         F.max("col_idx").alias("_rw"))
 

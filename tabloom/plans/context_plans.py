@@ -83,7 +83,7 @@ def q_insert_tables(spark, sf_dir):
 
 @register("build_context", "WITH " + HYBRID_SOURCE_CTES + """
 SELECT h.query_id, h.source, 'Company name: ' || h.source || chr(10) || chr(10)
-       || string_agg(chr(10) || '---' || chr(10) || '# Page ' || h.page::VARCHAR || chr(10) || c.content || chr(10), ''
+       || string_agg(chr(10) || '---' || chr(10) || '# Page ' || h.page::VARCHAR || chr(10) || coalesce(c.content, '') || chr(10), ''
                      ORDER BY h.rank, h.source, h.page) || chr(10) || '---' || chr(10) AS context
 FROM hy_top h JOIN chunks c USING (source, page) GROUP BY h.query_id, h.source""")
 def q_build_context(spark, sf_dir):
@@ -95,7 +95,7 @@ def q_build_context(spark, sf_dir):
 @register("build_sector_context", "WITH " + HYBRID_SECTORS_CTES + f"""
 SELECT h.query_id, 'Sector: {SELECTION_NAME}' || chr(10) || chr(10)
        || string_agg(chr(10) || '---' || chr(10) || '# Source: ' || h.source || chr(10) || '# Page '
-                     || h.page::VARCHAR || chr(10) || c.content || chr(10), '' ORDER BY h.rank, h.source, h.page)
+                     || h.page::VARCHAR || chr(10) || coalesce(c.content, '') || chr(10), '' ORDER BY h.rank, h.source, h.page)
        || chr(10) || '---' || chr(10) AS context
 FROM hy_top h JOIN chunks c USING (source, page) GROUP BY h.query_id""")
 def q_build_sector_context(spark, sf_dir):
@@ -257,7 +257,7 @@ def q_append_turns(spark, sf_dir):
 
 
 @register("render_conversation", "WITH " + _APPEND_SQL + """
-SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS transcript FROM appended GROUP BY conv_id""")
+SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript FROM appended GROUP BY conv_id""")
 def q_render_conversation(spark, sf_dir):
     conv = driver.table(spark, sf_dir, "conversations")
     return X.render_conversation(X.append_turns(conv, _new_turns(conv)))

@@ -7,13 +7,17 @@ query_id, source, page, rank, score (rounded to 6 dp).
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tabloom.operators import hits
 from tabloom.operators.filters import any_sector
 from tabloom.operators.retrieve import DEFAULT_K, DEFAULT_LAMBDA, dense_topk, fuse, round_score, sparse_topk
 from tabloom.plans import sql_frags as S
 from tabloom.plans.index_store import code_version, stored_tfidf
 from tabloom.plans.registry import register
+from tabloom.session import checkpoint_dir
 from tabloom.sources import driver
 
 # Sector selection used by the sector-form queries (two languages).
@@ -141,3 +145,14 @@ def q_hybrid_topk_by_source(spark, sf_dir):
 @register("hybrid_topk_by_sectors", SQL_HYBRID_SECTORS)
 def q_hybrid_topk_by_sectors(spark, sf_dir):
     return _out(hybrid_by_sectors(spark, sf_dir))
+
+
+@register("stored_dense_hits", SQL_DENSE_SOURCE)
+def q_stored_dense_hits(spark, sf_dir):
+    """Every question asked over the documents of a sector selection, then again once all are loaded."""
+    asked = driver.vector_queries(spark, sf_dir)
+    _, store = hits.ask(asked, _sector_vecs(spark, sf_dir).drop("selection"), None, DEFAULT_K, ["source"], ["page"])
+    path = f"{checkpoint_dir(spark).rstrip('/')}/hits-{uuid.uuid4().hex}"
+    store.save(path)
+    again, _ = hits.ask(asked, driver.vectors(spark, sf_dir), hits.Hits.load(spark, path), DEFAULT_K, ["source"], ["page"])
+    return _out(again)

@@ -98,9 +98,8 @@ def read_tables(spark: SparkSession, path: str, sep: str = ";", header: bool = T
     if on_bad == "drop":
         body = body.where(F.col("n_fields") <= F.col("width"))
     elif on_bad == "error":
-        body = body.withColumn("_chk", F.when(F.col("n_fields") > F.col("width"),
-                                              F.raise_error(F.lit("malformed table row"))))
-        body = body.drop("_chk")
+        body = body.where(F.when(F.col("n_fields") > F.col("width"),
+                                 F.raise_error(F.lit("malformed table row")).cast("boolean")).otherwise(True))
     cells = body.select(*key, "row_idx", "n_fields", "width", "_h",
                         F.posexplode("_f").alias("col_idx", "cell"))
     return cells.select(*key, "row_idx", "col_idx", F.try_element_at("_h", F.col("col_idx") + 1).alias("header"),

@@ -475,7 +475,8 @@ def test_dense_query_blocks_match_single_block(spark, monkeypatch):
                               "query_id int, embedding array<float>")
     one = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk(q, vecs, 3).collect())
     monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 300)
-    monkeypatch.setattr(R, "SCORE_CELLS", 40)
+    monkeypatch.setattr(R, "CELL_DOCS", 7)
+    monkeypatch.setattr(R.scoring, "SCORE_CELLS", 40)
     many = sorted((r.query_id, r.source, r.rank, r.page) for r in R.dense_topk(q, vecs, 3).collect())
     assert one == many and len(one) == 25 * 2 * 3
 
