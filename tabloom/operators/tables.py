@@ -25,6 +25,9 @@ PREVIEW_LINES = 30            # lines of a table shown for relevance checks
 BLANK_HEADER_PREFIX = "col_"  # name of a blank header: col_<position>
 # OCR noise removed from cells (symbols only, never letters or digits).
 NOISE_CHARS = r"[*#§¤•■□▪►|]"
+#: A header cell that is a year, and a row label that only names the period.
+HEADER_YEAR_RE = r"^(?i:fy ?)?(?:19|20)[0-9]{2}$"
+PERIOD_LABEL_RE = r"(?i)^(?:(?:fiscal|financial|reporting) )?(?:year|years|period)$"
 YEAR_RE = r"\b((?:19|20)[0-9]{2})\b"
 
 _ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
@@ -332,23 +335,44 @@ def apply_edits(cells: DataFrame, edits: DataFrame, key_cols=TABLE_KEY) -> DataF
 
 
 def merge_header_rows(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0) -> DataFrame:
-    """Leading rows without label and number are further header lines; their texts join the headers.
+    """Leading rows that are further header lines; their texts join the headers.
 
-    Both decisions are aggregates per row and per table; the texts gathered
-    per column are those of the header lines only.
+    A leading row is a header line when it has no label (or one that only
+    names the period) and no number; years count as header texts as long as
+    the body has other numbers to tell them from.  A name that spans columns
+    is carried to the right, into blank cells of its line whose column has a
+    text in a lower header line; the label column spans nothing.
+
+    Decisions are aggregates per row and per table, and the windows run over
+    header lines only.
     """
     kk = _key(key_cols)
-    label = F.max(F.when((F.col("col_idx") == label_col) & ~is_blank(F.col("cell")), 1).otherwise(0))
-    number = F.max(F.when((F.col("col_idx") != label_col) & F.col("cell").rlike("[0-9]"), 1).otherwise(0))
-    rows = cells.groupBy(*kk, "row_idx").agg((label + number).alias("_data"))
-    first = rows.where(F.col("_data") > 0).groupBy(*kk).agg(F.min("row_idx").alias("_first"))
-    marked = cells.join(first, kk, "left").withColumn("_lead", F.col("row_idx") < F.col("_first"))
-    more = marked.where(F.col("_lead") & ~is_blank(F.col("cell"))).groupBy(*kk, "col_idx").agg(
-        F.array_sort(F.collect_list(F.struct("row_idx", F.trim("cell").alias("t")))).alias("_l"))
-    more = more.select(*kk, "col_idx", F.array_join(F.transform("_l", lambda x: x["t"]), " ").alias("_more"))
-    joined = marked.where(~F.coalesce("_lead", F.lit(False))).join(more, [*kk, "col_idx"], "left")
-    full = F.trim(F.concat_ws(" ", F.trim("header"), F.col("_more")))
-    return joined.withColumn("header", F.when(F.col("_more").isNull(), F.col("header")).otherwise(full)).select(*cells.columns)
+    text = F.trim("cell")
+    value = (F.col("col_idx") != label_col) & ~is_blank(F.col("cell"))
+    year = text.rlike(HEADER_YEAR_RE)
+    any_of = lambda c: F.max(F.when(c, 1).otherwise(0))
+    rows = cells.groupBy(*kk, "row_idx").agg(
+        any_of((F.col("col_idx") == label_col) & ~is_blank(F.col("cell")) & ~text.rlike(PERIOD_LABEL_RE)).alias("_label"),
+        any_of(value & ~year & text.rlike("[0-9]")).alias("_number"), any_of(value & year).alias("_year"))
+    body = rows.groupBy(*kk).agg(F.max("_number").alias("_numbers"))
+    data = (F.col("_label") + F.col("_number") > 0) | ((F.col("_year") > 0) & (F.col("_numbers") == 0))
+    first = rows.join(body, kk).where(data).groupBy(*kk).agg(F.min("row_idx").alias("_first"))
+    marked = cells.join(first, kk, "left").withColumn("_lead", F.coalesce(F.col("row_idx") < F.col("_first"), F.lit(False)))
+    lead = marked.where("_lead").select(*kk, "row_idx", "col_idx", F.when(~is_blank(F.col("cell")), text).alias("t"))
+    top = (cells.join(lead.select(*kk).distinct(), kk, "left_semi").groupBy(*kk, "col_idx")
+           .agg(F.max("header").alias("_h")).select(*kk, F.lit(-1).alias("row_idx"), "col_idx", F.when(~is_blank(F.col("_h")), F.trim("_h")).alias("t")))
+    left = Window.partitionBy(*kk, "row_idx").orderBy("col_idx")
+    column = Window.partitionBy(*kk, "col_idx")
+    lines = (lead.unionByName(top)
+             .withColumn("_span", F.last(F.when(F.col("col_idx") != label_col, F.col("t")), ignorenulls=True).over(left))
+             .withColumn("_deep", F.max(F.when(F.col("t").isNotNull(), F.col("row_idx"))).over(column))
+             .withColumn("t", F.when(F.col("t").isNull() & (F.col("row_idx") < F.col("_deep")) & (F.col("col_idx") != label_col), F.col("_span"))
+                         .otherwise(F.col("t"))))
+    full = (lines.where(F.col("t").isNotNull()).groupBy(*kk, "col_idx")
+            .agg(F.array_sort(F.collect_list(F.struct("row_idx", "t"))).alias("_l"), F.max("row_idx").alias("_deep"))
+            .where(F.col("_deep") >= 0).select(*kk, "col_idx", F.array_join(F.transform("_l", lambda x: x["t"]), " ").alias("_full")))
+    joined = marked.where(~F.col("_lead")).join(full, [*kk, "col_idx"], "left")
+    return joined.withColumn("header", F.coalesce("_full", "header")).select(*cells.columns)
 
 
 def to_facts(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0,
