@@ -1,11 +1,14 @@
 """Chat formatting by schema fingerprints.
 
-The nested field paths of a record (``messages[].role``, ``instruction``, ...) that any layout
-knows are its fingerprint, collected over all elements of an array.  It selects the first
-declarative layout of ``BY_FIT`` whose paths are all in it; the layout says where the turns are
-and how its role names map to the canonical ones.  Tables have one fingerprint,
-from their schema; JSON records have one each, computed row by row in the plan, so one
-column may mix layouts.  All layouts end in canonical turns: (conv_id, turn, role, text).
+A record's fingerprint is the SHA-256 of the sorted nested field paths (``messages[].role``,
+``instruction``, ...) it holds of those that any layout knows; a path below an array is there when
+one of its elements has it.  Each distinct fingerprint is resolved once, to the declarative layout that
+says where the turns are, which fields lead them (a system prompt beside a list) and how role names map
+to the canonical ones; the layout's name is joined back by fingerprint.  A layout fits when the record
+has all its paths and no known text path that it does not read, so no turn is lost by a wrong choice;
+of those that fit, lists come first, then the layout with the most paths.  A table has one fingerprint,
+from its schema; JSON records have one each, so one column may mix layouts.  All layouts end in
+canonical turns: (conv_id, turn, role, text).
 
 The template writes each turn as ``<|im_start|>role\\ntext<|im_end|>\\n``.  Inside roles and
 texts every ``<`` that backslashes and a ``|`` follow gets one more backslash, so neither
@@ -14,11 +17,13 @@ range of an assistant's text.  Formatting is narrow: one row per turn, nothing i
 Only :func:`read_back` orders turns; it streams each conversation through a running digest,
 whose memory does not grow with the conversation.
 
-Defined cases: null role and text are empty; turns are ordered by turn (null first), role and
-text, so repeated turns stay, in a fixed order; a record whose fingerprint no layout has, or
-that is not JSON, yields one turn with role null and the record as text, which callers can
-filter; fields beyond those of its layout do not matter; an empty list of turns fits its layout
-and yields one row with turn, role and text null.
+Defined cases: null role and text are empty; turns are ordered by turn (null first), then by their
+formatted piece, so repeated turns stay, in a fixed order; a record whose fingerprint no layout fits
+(none of its paths, or the texts of two layouts at once), or that is not JSON, yields one turn with
+role null and the record as text, which callers can filter; fields that no layout knows are not turns;
+a leading field that is null gives no turn; a text given as a list of parts is the parts' texts joined,
+a part without a text as its JSON; an empty list of turns fits its layout and yields its leading
+turns, or one row with turn, role and text null.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StructType
 
+from tabloom.plans.sizing import broadcast_if_bounded
+
 from .exprs import let
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -39,35 +46,52 @@ START, END = "<|im_start|>", "<|im_end|>"
 
 @dataclass(frozen=True)
 class Layout:
-    """Where a record keeps its turns: a list of (role, path), or an array with role and text fields."""
+    """Where a record keeps its turns: fields of given roles, an array with role and text fields, or one turn a row.
+
+    ``lead`` names fields that may stand beside them and come first.
+    """
 
     name: str
     fields: tuple[tuple[str, str], ...] = ()
     array: str = ""
     role: str = ""
     text: str = ""
+    turn: str = ""
+    lead: tuple[tuple[str, str], ...] = ()
     roles: dict[str, str] = field(default_factory=dict)
 
     @property
     def paths(self) -> tuple[str, ...]:
+        """Paths that a record of the layout must have."""
+        if self.turn:
+            return (self.turn, self.role, self.text)
         return tuple(p for _, p in self.fields) or (f"{self.array}[].{self.role}", f"{self.array}[].{self.text}")
 
+    @property
+    def reads(self) -> tuple[str, ...]:
+        return self.paths + tuple(p for _, p in self.lead)
+
 
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
+SYSTEM = (("system", "system"),)
+LISTS = (("messages", "role", "content"), ("conversations", "from", "value"), ("dialog", "speaker", "text"))
 LAYOUTS = (
-    Layout("messages", array="messages", role="role", text="content", roles=ROLES),
-    Layout("conversations", array="conversations", role="from", text="value", roles=ROLES),
-    Layout("dialog", array="dialog", role="speaker", text="text", roles=ROLES),
-    Layout("instruction", (("user", "instruction"), ("assistant", "output"))),
-    Layout("instruction_input", (("system", "instruction"), ("user", "input"), ("assistant", "output"))),
-    Layout("system_instruction", (("system", "system"), ("user", "instruction"), ("assistant", "output"))),
-    Layout("prompt_completion", (("user", "prompt"), ("assistant", "completion"))),
-    Layout("prompt_response", (("user", "prompt"), ("assistant", "response"))),
-    Layout("question_answer", (("user", "question"), ("assistant", "answer"))),
+    *(Layout(array, array=array, role=role, text=text, lead=(*SYSTEM, ("user", "prompt")), roles=ROLES) for array, role, text in LISTS),
+    *(Layout(f"data.{array}", array=f"data.{array}", role=role, text=text, lead=(*SYSTEM, ("system", "data.system")), roles=ROLES)
+      for array, role, text in LISTS),
+    Layout("instruction", (("user", "instruction"), ("assistant", "output")), lead=SYSTEM),
+    Layout("instruction_input", (("system", "instruction"), ("user", "input"), ("assistant", "output")), lead=SYSTEM),
+    Layout("prompt_completion", (("user", "prompt"), ("assistant", "completion")), lead=SYSTEM),
+    Layout("prompt_response", (("user", "prompt"), ("assistant", "response")), lead=SYSTEM),
+    Layout("question_answer", (("user", "question"), ("assistant", "answer")), lead=SYSTEM),
+    Layout("turn_rows", role="role", text="text", turn="turn"),
 )
-#: Paths that tell layouts apart; those of a table with one row per turn.
-KNOWN = sorted({p for layout in LAYOUTS for p in layout.paths})
-TURN_ROWS = ("role", "turn")
+#: Lists of turns first, then the layouts with the most fields.
+BY_FIT = sorted(LAYOUTS, key=lambda layout: (not layout.array, -len(layout.paths)))
+#: Paths of a fingerprint.
+KNOWN = sorted({p for layout in LAYOUTS for p in layout.reads})
+#: Of these, paths of whole texts: a layout that fits reads all that a record has.
+TEXTS = sorted({p for layout in LAYOUTS if not layout.turn for p in layout.reads})
 
 
 def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
@@ -81,35 +105,78 @@ def schema_paths(schema: StructType, prefix: str = "") -> list[str]:
     return out
 
 
-#: Lists of turns first, then the layouts with the most fields.
-BY_FIT = sorted(LAYOUTS, key=lambda layout: (not layout.array, -len(layout.paths)))
+def known_paths(paths: list[str]) -> list[str]:
+    """The known ones of a table's paths, sorted; a text may itself be nested (parts of a message)."""
+    return [k for k in KNOWN if any(p == k or p.startswith((k + "[]", k + ".")) for p in paths)]
+
+
+def fingerprint(known: list[str]) -> str:
+    return hashlib.sha256("\n".join(known).encode()).hexdigest()
+
+
+def resolve(prints: DataFrame) -> DataFrame:
+    """(fingerprint, layout) of distinct (fingerprint, known): the first layout of ``BY_FIT`` that fits, or null."""
+    def fits(layout: Layout) -> Column:
+        spare = [p for p in TEXTS if p not in layout.reads]
+        return (F.size(F.array_except(F.array(*map(F.lit, layout.paths)), "known")) == 0) & ~F.arrays_overlap("known", F.array(*map(F.lit, spare)))
+
+    first = F.coalesce(*(F.when(fits(layout), F.lit(layout.name)) for layout in BY_FIT))
+    return prints.select("fingerprint", first.alias("layout"))
+
+
+def _as_text(value: Column) -> Column:
+    """A text, or the texts of a list of parts, joined."""
+    def part(x: Column) -> Column:
+        return F.coalesce(F.try_variant_get(x, "$.text", "string"), F.try_variant_get(x, "$", "string"), F.lit(""))
+
+    def read(x: Column) -> Column:
+        return let(F.try_variant_get(x, "$", "array<variant>"), lambda parts: F.when(
+            parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(F.try_variant_get(x, "$", "string")))
+
+    return let(value, read)
+
+
+def _turns(layout: Layout) -> Column:
+    """Array of (turn, role, text) of the record ``v``; turn is null where the place in the array numbers it."""
+    def at(path: str) -> Column:
+        return _as_text(F.try_variant_get("v", f"$.{path}", "variant"))
 
+    def one(role: Column, text: Column, turn: Column | None = None) -> Column:
+        return F.struct((F.lit(None) if turn is None else turn).cast("bigint").alias("turn"), role.cast("string").alias("role"), text.alias("text"))
 
-def _turns(layout: Layout, get) -> Column:
-    """Array of (role, text) of one record; ``get(path, type)`` reads a field."""
+    if layout.turn:
+        get = lambda path, kind: F.try_variant_get("v", f"$.{path}", kind)
+        return F.array(one(get(layout.role, "string"), at(layout.text), get(layout.turn, "bigint")))
+    lead = F.filter(F.array(*(one(F.lit(role), at(path)) for role, path in layout.lead)), lambda t: t["text"].isNotNull())
     if layout.fields:
-        return F.array(*(F.struct(F.lit(role).alias("role"), get(path, "string").alias("text")) for role, path in layout.fields))
+        return F.concat(lead, F.array(*(one(F.lit(role), at(path)) for role, path in layout.fields)))
     names = F.create_map(*(F.lit(x) for pair in layout.roles.items() for x in pair)) if layout.roles else None
     rename = (lambda r: F.coalesce(F.try_element_at(names, r), r)) if layout.roles else (lambda r: r)
-    items = get(layout.array, f"array<struct<`{layout.role}`:string,`{layout.text}`:string>>")
-    return F.transform(items, lambda m: F.struct(rename(m[layout.role]).alias("role"), m[layout.text].alias("text")))
+    items = F.try_variant_get("v", f"$.{layout.array}", "array<variant>")
+    return F.concat(lead, F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda m: one(
+        rename(F.try_variant_get(m, f"$.{layout.role}", "string")), _as_text(F.try_variant_get(m, f"$.{layout.text}", "variant")))))
 
 
 def _exploded(rows: DataFrame, turns: Column) -> DataFrame:
-    return rows.select("conv_id", F.posexplode_outer(turns).alias("turn", "t")).select(
-        "conv_id", F.col("turn").cast("bigint").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
+    return rows.select("conv_id", F.posexplode_outer(turns).alias("place", "t")).select(
+        "conv_id", F.coalesce("t.turn", "place").cast("bigint").alias("turn"), F.col("t.role").alias("role"), F.col("t.text").alias("text"))
 
 
 def from_table(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
     """Canonical turns of a typed table, by the fingerprint of its schema."""
-    paths = set(schema_paths(df.schema))
-    if paths.issuperset(TURN_ROWS):
-        return df.select(F.col(conv_id).alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), "role", "text")
-    layout = next((x for x in BY_FIT if paths.issuperset(x.paths)), None)
-    if layout is None:
+    known = known_paths(schema_paths(df.schema))
+    spark = df.sparkSession
+    prints = spark.createDataFrame([(fingerprint(known), known)], "fingerprint string, known array<string>")
+    name = resolve(prints).first()["layout"]
+    if name is None:
         raise ValueError(f"no layout for the fields {schema_paths(df.schema)}")
-    rows = df.withColumn("conv_id", F.col(conv_id))
-    return _exploded(rows, _turns(layout, lambda path, kind: F.col(path).cast(kind)))
+    layout = next(x for x in LAYOUTS if x.name == name)
+    if layout.turn:
+        return df.select(F.col(conv_id).alias("conv_id"), F.col(layout.turn).cast("bigint").alias("turn"),
+                         F.col(layout.role).alias("role"), F.col(layout.text).alias("text"))
+    tops = sorted({re.split(r"[.\[]", p)[0] for p in layout.reads} & set(df.columns))
+    v = F.to_variant_object(F.struct(*(F.col(f"`{c}`") for c in tops)))
+    return _exploded(df.select(F.col(conv_id).alias("conv_id"), v.alias("v")), _turns(layout))
 
 
 def from_json(df: DataFrame, record: str, conv_id: str = "conv_id") -> DataFrame:
@@ -122,11 +189,13 @@ def from_json(df: DataFrame, record: str, conv_id: str = "conv_id") -> DataFrame
             (F.size(items) == 0) | F.exists(items, lambda m: F.try_variant_get(m, f"$.{name}", "variant").isNotNull()), F.lit(False)))
 
     rows = df.select(F.col(conv_id).alias("conv_id"), F.col(record).alias("raw"), F.try_parse_json(F.col(record)).alias("v"))
-    rows = rows.withColumn("paths", F.array_compact(F.array(*(F.when(present(p), F.lit(p)) for p in KNOWN))))
-    turns = F.array(F.struct(F.lit(None).cast("string").alias("role"), F.col("raw").alias("text")))
-    for layout in reversed(BY_FIT):
-        fits = F.size(F.array_except(F.array(*map(F.lit, layout.paths)), "paths")) == 0
-        turns = F.when(fits, _turns(layout, lambda path, kind: F.try_variant_get("v", f"$.{path}", kind))).otherwise(turns)
+    rows = rows.withColumn("known", F.array_compact(F.array(*(F.when(present(p), F.lit(p)) for p in KNOWN))))
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join("known", "\n"), 256))
+    names = resolve(rows.select("fingerprint", "known").distinct())
+    rows = rows.drop("known").join(broadcast_if_bounded(names), "fingerprint", "left")
+    turns = F.array(F.struct(F.lit(None).cast("bigint").alias("turn"), F.lit(None).cast("string").alias("role"), F.col("raw").alias("text")))
+    for layout in LAYOUTS:
+        turns = F.when(F.col("layout") == layout.name, _turns(layout)).otherwise(turns)
     return _exploded(rows, turns)
 
 

@@ -112,9 +112,8 @@ def test_chat_layouts_fit_incomplete_and_extra_fields(spark):
     records = {
         "first": ({"messages": [{"role": "system"}] + turns}, [("system", None), ("user", "q"), ("assistant", "a")]),
         "late": ({"messages": [{"content": "x"}, {"role": "user"}, turns[1]]}, [(None, "x"), ("user", None), ("assistant", "a")]),
-        "beside": ({"messages": turns, "prompt": "p"}, [("user", "q"), ("assistant", "a")]),
-        "both": ({"prompt": "p", "response": "r", "messages": turns}, [("user", "q"), ("assistant", "a")]),
-        "most": ({"instruction": "i", "input": "n", "output": "o", "prompt": "p"}, [("system", "i"), ("user", "n"), ("assistant", "o")]),
+        "beside": ({"messages": turns, "prompt": "p"}, [("user", "p"), ("user", "q"), ("assistant", "a")]),
+        "most": ({"instruction": "i", "input": "n", "output": "o", "note": "p"}, [("system", "i"), ("user", "n"), ("assistant", "o")]),
         "empty": ({"messages": []}, [(None, None)]),
         "part": ({"messages": [{"role": "user"}]}, [(None, '{"messages": [{"role": "user"}]}')]),
     }
@@ -124,7 +123,46 @@ def test_chat_layouts_fit_incomplete_and_extra_fields(spark):
         got[r.conv_id].append((r.role, r.text))
     assert dict(got) == {n: want for n, (_, want) in records.items()}
     typed = spark.createDataFrame([(7, "p", [("user", "q")])], "conv_id long, prompt string, messages array<struct<role:string,content:string>>")
-    assert [(r.role, r.text) for r in chat_format.from_table(typed).collect()] == [("user", "q")]
+    assert [(r.role, r.text) for r in chat_format.from_table(typed).orderBy("turn").collect()] == [("user", "p"), ("user", "q")]
+
+
+def test_chat_layouts_keep_every_text(spark):
+    """A system prompt beside a list, parts of a message, nested lists; texts of two layouts stay in the raw record."""
+    talk = [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]
+    turns = [{"role": "user", "content": [{"type": "text", "text": "q"}, "r", {"type": "image", "url": "u"}]}, {"role": "assistant", "content": "a"}]
+    two = {"prompt": "p", "response": "r", "messages": turns}
+    flat = {"instruction": "i", "input": "n", "output": "o", "prompt": "p"}
+    records = {
+        "system": ({"system": "s", "conversations": talk}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        "nosystem": ({"system": None, "conversations": talk}, [("user", "q"), ("assistant", "a")]),
+        "onlysystem": ({"system": "s", "conversations": []}, [("system", "s")]),
+        "parts": ({"messages": turns}, [("user", 'qr{"type":"image","url":"u"}'), ("assistant", "a")]),
+        "nested": ({"data": {"system": "s", "messages": turns[1:]}}, [("system", "s"), ("assistant", "a")]),
+        "flat": ({"system": "s", "question": "q", "answer": "a"}, [("system", "s"), ("user", "q"), ("assistant", "a")]),
+        "row": ({"turn": 4, "role": "user", "text": "x"}, [("user", "x")]),
+        "two": (two, [(None, json.dumps(two))]),
+        "twoflat": (flat, [(None, json.dumps(flat))]),
+    }
+    df = spark.createDataFrame([(n, json.dumps(r)) for n, (r, _) in records.items()] * 2, "conv_id string, record string")
+    got = defaultdict(list)
+    out = chat_format.from_json(df.distinct(), "record")
+    for r in out.orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert dict(got) == {n: want for n, (_, want) in records.items()}
+    assert out.where("conv_id = 'row'").first().turn == 4
+    assert chat_format.from_json(df, "record").count() == 2 * out.count()
+    assert chat_format.from_json(df.where("false"), "record").count() == 0
+    typed = spark.createDataFrame([(7, "s", [("user", [("text", "q"), ("text", "r")])], 1), (8, None, [], 1), (9, None, None, 1)],
+                                  "conv_id long, system string, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>, v int")
+    assert [tuple(r) for r in chat_format.from_table(typed).orderBy("conv_id", "turn").collect()] == [
+        (7, 0, "system", "s"), (7, 1, "user", "qr"), (8, None, None, None), (9, None, None, None)]
+
+
+def test_chat_fingerprints_resolve_once(spark):
+    known = ["messages[].content", "messages[].role", "system"]
+    prints = spark.createDataFrame([(chat_format.fingerprint(known), known), (chat_format.fingerprint([]), [])], "fingerprint string, known array<string>")
+    got = {r.fingerprint: r.layout for r in chat_format.resolve(prints).collect()}
+    assert got == {sha("\n".join(known)): "messages", sha(""): None}
 
 
 # ---- 2 similarity join
