@@ -1,7 +1,7 @@
 """Sinks (K1-K8): set-based writes of tables, pages, reference maps, stores, metrics.
 
 Writers never loop over rows on the driver: every output is one DataFrame
-write, partitioned by the keys the reference uses as folder names.
+write.  Tables and pages get the file names that the readers expect.
 """
 
 from __future__ import annotations
@@ -9,27 +9,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabloom.operators.tables import csv_lines, render_csv
+from tabloom.operators.tables import csv_lines
+from tabloom.sinks.named_files import folder_name, number_name, write_named
+
+
+def _table_rows(cells: DataFrame, sep: str) -> DataFrame:
+    name = F.concat(folder_name(F.col("source")), F.lit("/"), number_name(F.col("page")), F.lit("_"), number_name(F.col("table_no")), F.lit(".csv"))
+    return csv_lines(cells, sep=sep).select("source", "page", name.alias("file"), F.concat("line", F.lit("\n")).alias("piece"), "line_no")
+
+
+def _page_rows(pages: DataFrame) -> DataFrame:
+    name = F.concat(folder_name(F.col("source")), F.lit("/"), number_name(F.col("page")), F.lit(".txt"))
+    return pages.select("source", "page", name.alias("file"), F.col("text").alias("piece"), F.lit(0).alias("line_no"))
 
 
 def write_tables(cells: DataFrame, path: str, sep: str = ";", mode: str = "overwrite") -> None:
-    """K1: one CSV text per (source, page, table_no) partition folder.
+    """K1: one ``{source}/{page}_{table_no}.csv`` per table, as ``read_tables`` reads it.
 
     Lines are streamed in order (header first) by a sort within partitions,
     never collected into one value, so a table of any size is written by
     the task that holds it without building it in memory.
     """
-    lines = csv_lines(cells, sep=sep)
-    (lines.repartition("source", "page", "table_no")
-     .sortWithinPartitions("source", "page", "table_no", "line_no")
-     .select("source", "page", "table_no", "line")
-     .write.mode(mode).partitionBy("source", "page", "table_no").text(path))
+    write_named(_table_rows(cells, sep), path, ["line_no"], mode)
 
 
 def write_pages(pages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K2: page texts, one folder per (source, page)."""
-    (pages.select("source", "page", "text").repartition("source", "page")
-     .write.mode(mode).partitionBy("source", "page").text(path))
+    """K2: one ``{source}/{page}.txt`` per page, as ``read_pages`` reads it; texts of a repeated page are joined in text order."""
+    write_named(_page_rows(pages), path, ["line_no", "piece"], mode)
 
 
 def refs_json(refs: DataFrame) -> DataFrame:
@@ -54,10 +60,14 @@ def append_chunks(new: DataFrame, store_path: str, partition_by=None) -> None:
 
     Rows are clustered by source inside files so scans by source skip row
     groups through Parquet statistics; ``partition_by`` adds folder pruning
-    when the key has modest cardinality.
+    when the key has modest cardinality.  Rows are dealt by that key first, so
+    a folder gets a file or few and not one of every task; a rebalance, so a
+    folder that holds much of the load is split over several tasks.
     """
     out = new.withColumn("created_at", F.current_timestamp())
-    w = out.sortWithinPartitions("source", "page").write.mode("append")
+    if partition_by:
+        out = out.hint("rebalance", *partition_by)
+    w = out.sortWithinPartitions(*(partition_by or []), "source", "page").write.mode("append")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(store_path)
@@ -74,18 +84,18 @@ def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def export_sector(pages: DataFrame, cells: DataFrame, hits: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K8: copy the hit pages and their tables into one folder per sector.
+    """K8: the hit pages and their tables below one folder per sector: ``{sector}/{source}/{page}.txt`` and
+    ``{sector}/{source}/{page}_{n}.csv``.
 
-    ``hits(sector, source, page)``; pages/tables outside the hits are not copied.
+    ``hits(sector, source, page)``; pages/tables outside the hits are not copied, nor are hit pages
+    that lack a text or a table.
     """
-    h = hits.select("sector", "source", "page").distinct()
-    p = pages.join(h, ["source", "page"])
-    t = render_csv(cells.join(h.select("source", "page").distinct(), ["source", "page"], "left_semi"))
-    t = t.join(h, ["source", "page"])
-    p.select("sector", "source", "page", "text").write.mode(mode).partitionBy("sector", "source", "page").text(
-        f"{path}/pages")
-    t.select("sector", "source", "page", "table_no", "csv").write.mode(mode).partitionBy(
-        "sector", "source", "page", "table_no").text(f"{path}/tables")
+    key = ["source", "page"]
+    h = hits.select("sector", *key).distinct().join(pages, key, "left_semi").join(cells, key, "left_semi")
+    t = _table_rows(cells.join(h, key, "left_semi"), ";")
+    rows = _page_rows(pages).unionByName(t).join(h, key)
+    file = F.concat(folder_name(F.col("sector")), F.lit("/"), F.col("file"))
+    write_named(rows.withColumn("file", file), path, ["line_no", "piece"], mode)
 
 
 def delete_from_store(spark, store_path: str, ids: DataFrame, staging_path: str) -> int:

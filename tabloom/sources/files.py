@@ -110,7 +110,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Every ``{page}.txt`` below ``path`` -> (source, page, text)."""
     df = (spark.read.format("text").option("wholetext", "true").option("pathGlobFilter", "*.txt")
           .option("recursiveFileLookup", "true").load(path))
-    p = F.col("_metadata.file_path")
+    # The path is a URI: blanks and other characters of folder names are escaped in it.
+    p = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
     return df.select(F.regexp_extract(p, r"([^/]+)/[^/]+$", 1).alias("source"),
                      F.regexp_extract(p, PAGE_FILE_RE, 1).cast("int").alias("page"),
                      F.col("value").alias("text"))

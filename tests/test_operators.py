@@ -211,8 +211,10 @@ def test_write_and_read_tables_roundtrip(spark):
         "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
     out = _tmp() + "/t"
     writers.write_tables(cells, out)
-    text = spark.read.text(out, wholetext=True).collect()[0].value
-    assert text.splitlines() == ["k;v", '"a;b";1', "c;2"]
+    with open(f"{out}/d/1_0.csv") as f:
+        assert f.read().splitlines() == ["k;v", '"a;b";1', "c;2"]
+    back = files.read_tables(spark, out).select(cells.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, cells.collect()))
     js = writers.refs_json(spark.createDataFrame([("E", "302-1", 60, 0, 0), ("E", "302-1", 61, 2, 1)],
                                                  "source string, code string, page int, table_no int, ordinal int"))
     assert js.collect()[0].json == '{"302-1":[[60,0],[61,2]]}'
@@ -440,8 +442,8 @@ def test_sinks_pages_metrics_sector(spark):
                                   "source string, page int, table_no int, row_idx int, col_idx int, header string, cell string")
     hits = spark.createDataFrame([("energy", "d", 1)], "sector string, source string, page int")
     writers.export_sector(pages, cells, hits, f"{root}/sec")
-    assert spark.read.text(f"{root}/sec/pages").count() == 1
-    assert spark.read.text(f"{root}/sec/tables", wholetext=True).collect()[0].value.splitlines() == ["k", "x"]
+    assert [tuple(r) for r in files.read_pages(spark, f"{root}/sec/energy").collect()] == [("d", 1, "text one")]
+    assert [(r.source, r.page, r.header, r.cell) for r in files.read_tables(spark, f"{root}/sec").collect()] == [("d", 1, "k", "x")]
 
 
 def test_index_table(spark):
