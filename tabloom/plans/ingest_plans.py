@@ -224,6 +224,52 @@ def q_ingest_stream_store(spark, sf_dir):
     return spark.read.parquet(store).select("chunk_id", "source", "page")
 
 
+@register("ingest_both_stores", "WITH " + SQL_CHUNK_ROWS + """
+SELECT DISTINCT 'chunks' AS store, chunk_id, source, page FROM hashed
+UNION ALL
+SELECT DISTINCT 'vectors', chunk_id, source, page FROM hashed JOIN embeddings ON vec_id = page WHERE embedding IS NOT NULL""")
+def q_ingest_both_stores(spark, sf_dir):
+    """The documents file streamed into fresh sparse and dense stores, twice (second run = replay)."""
+    import uuid
+
+    from tabloom.session import scratch_path
+    from tabloom.streaming.ingest_stream import ingest_both_stream
+
+    run = uuid.uuid4().hex[:12]
+    stores = {name: scratch_path(spark, f"{name}-{run}") for name in ("chunks", "vectors")}
+    emb = driver.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("page"), "embedding")
+
+    def to_chunks(batch):
+        return enriched_chunks(spark, sf_dir, batch).select("chunk_id", "title", "source", "page", "content",
+                                                           "model_name", "company_name", "company_sectors")
+
+    def to_vectors(batch):
+        return enriched_chunks(spark, sf_dir, batch).join(emb, "page").select(
+            "chunk_id", "source", "page", "content", "company_name", "company_sectors", "embedding")
+
+    for attempt in ("a", "b"):
+        q = ingest_both_stream(spark, sf_dir, driver.table(spark, sf_dir, "documents").schema, stores["chunks"], stores["vectors"],
+                               scratch_path(spark, f"ckpt-both-{run}-{attempt}"), to_chunks, to_vectors, glob="documents.parquet")
+        q.awaitTermination()
+    out = [spark.read.parquet(path).select(F.lit(name).alias("store"), "chunk_id", "source", "page") for name, path in stores.items()]
+    return out[0].unionByName(out[1])
+
+
+@register("store_gaps", "WITH " + SQL_CHUNK_ROWS + """,
+vecs AS (SELECT chunk_id, source, page FROM hashed JOIN embeddings ON vec_id = page WHERE embedding IS NOT NULL),
+held AS (SELECT DISTINCT 'chunks' AS store, chunk_id, source, page FROM hashed WHERE lang <> 'fr'
+         UNION ALL SELECT DISTINCT 'vectors', chunk_id, source, page FROM vecs)
+SELECT chunk_id, source, page, CASE WHEN min(store) = 'chunks' THEN 'vectors' ELSE 'chunks' END AS missing
+FROM held GROUP BY chunk_id, source, page HAVING count(*) = 1""")
+def q_store_gaps(spark, sf_dir):
+    """Ids that one store lacks, between a sparse store without the French chunks and the full dense store."""
+    from tabloom.streaming.ingest_stream import store_gaps
+
+    c = enriched_chunks(spark, sf_dir)
+    emb = driver.table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("page"))
+    return store_gaps(c.where("lang <> 'fr'"), c.join(emb, "page"))
+
+
 @register("chunk_packed_windows")
 def q_chunk_packed_windows(spark, sf_dir):
     """I10 over every document (rows-only check; fixture test against a direct implementation)."""

@@ -23,7 +23,7 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterComm
 FORMAT = "tabloom_named_files"
 
 
-def _filesystem(path: str):
+def filesystem(path: str):
     """The file system of a path or URI, and the path inside it."""
     import os
 
@@ -43,11 +43,11 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool):
         self.path = path.rstrip("/")
         if overwrite:
-            system, root = _filesystem(self.path)
+            system, root = filesystem(self.path)
             system.delete_dir_contents(root, missing_dir_ok=True)
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
-        system, root = _filesystem(self.path)
+        system, root = filesystem(self.path)
         attempt, count = uuid.uuid4().hex, 0
         name, hidden, out = None, None, None
 
@@ -77,7 +77,7 @@ class _Writer(DataSourceArrowWriter):
         return _Written(count)
 
     def commit(self, messages: list) -> None:
-        system, root = _filesystem(self.path)
+        system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
         with system.open_output_stream(f"{root}/_SUCCESS"):
             pass

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabloom.operators.tables import csv_lines
-from tabloom.sinks.named_files import folder_name, number_name, write_named
+from tabloom.sinks.named_files import filesystem, folder_name, number_name, write_named
 
 
 def _table_rows(cells: DataFrame, sep: str) -> DataFrame:
@@ -55,6 +55,15 @@ def write_refs(refs: DataFrame, path: str, mode: str = "overwrite") -> None:
     refs_json(refs).write.mode(mode).partitionBy("source").text(path)
 
 
+def _append(rows: DataFrame, store_path: str, partition_by) -> None:
+    if partition_by:
+        rows = rows.hint("rebalance", *partition_by)
+    w = rows.sortWithinPartitions(*(partition_by or []), "source", "page").write.mode("append")
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.parquet(store_path)
+
+
 def append_chunks(new: DataFrame, store_path: str, partition_by=None) -> None:
     """K4: append new chunks to the sparse store with a load timestamp.
 
@@ -64,18 +73,12 @@ def append_chunks(new: DataFrame, store_path: str, partition_by=None) -> None:
     a folder gets a file or few and not one of every task; a rebalance, so a
     folder that holds much of the load is split over several tasks.
     """
-    out = new.withColumn("created_at", F.current_timestamp())
-    if partition_by:
-        out = out.hint("rebalance", *partition_by)
-    w = out.sortWithinPartitions(*(partition_by or []), "source", "page").write.mode("append")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(store_path)
+    _append(new.withColumn("created_at", F.current_timestamp()), store_path, partition_by)
 
 
-def append_vectors(new: DataFrame, store_path: str) -> None:
-    """K5: append vectors to the dense store."""
-    new.sortWithinPartitions("source", "page").write.mode("append").parquet(store_path)
+def append_vectors(new: DataFrame, store_path: str, partition_by=None) -> None:
+    """K5: append vectors to the dense store, dealt as :func:`append_chunks` deals chunks."""
+    _append(new, store_path, partition_by)
 
 
 def write_metrics(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -104,25 +107,46 @@ def delete_from_store(spark, store_path: str, ids: DataFrame, staging_path: str)
     The surviving rows of the touched buckets are staged under
     ``staging_path`` (shared storage, e.g. below ``spark.checkpoint.dir``) and
     written back with dynamic partition overwrite, so untouched buckets keep
-    their files; buckets left empty are removed.  Returns the number of
-    buckets rewritten.  The driver only sees bucket numbers (at most the
-    store's bucket count).
+    their files; buckets left empty are removed, the staged rows last.  A
+    delete that was interrupted once its rows were staged is finished by the
+    next call with the same ``staging_path``, before that call's own work.
+    Returns the number of buckets rewritten for ``ids``.  The driver only sees
+    bucket numbers (at most the store's bucket count).
     """
+    from pyarrow.fs import FileSelector
+
     from tabloom.plans.sizing import broadcast_if_bounded
 
+    system, staging = filesystem(staging_path)
+    if system.get_file_info(f"{staging}/touched/_SUCCESS").is_file:
+        _write_back(spark, store_path, staging_path)
+        if not any(i.base_name.startswith("bucket=") for i in system.get_file_info(FileSelector(filesystem(store_path)[1]))):
+            return 0
     store = spark.read.parquet(store_path)
     keys = broadcast_if_bounded(ids.select("chunk_id").distinct())
     touched = [r["bucket"] for r in store.join(keys, "chunk_id", "left_semi").select("bucket").distinct().collect()]
     if not touched:
         return 0
     keep = store.where(F.col("bucket").isin(touched)).join(keys, "chunk_id", "left_anti")
-    keep.write.mode("overwrite").partitionBy("bucket").parquet(staging_path)
-    staged = spark.read.schema(keep.schema).parquet(staging_path)
-    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(store_path))
-    present = {r["bucket"] for r in staged.select("bucket").distinct().collect()}
-    jvm = spark.sparkContext._jvm
-    for b in set(touched) - present:
-        p = jvm.org.apache.hadoop.fs.Path(f"{store_path.rstrip('/')}/bucket={b}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    keep.write.mode("overwrite").partitionBy("bucket").parquet(f"{staging_path}/rows")
+    # Written last: from here on the staged rows are complete.
+    spark.createDataFrame([(b,) for b in touched], "bucket int").coalesce(1).write.mode("overwrite").parquet(f"{staging_path}/touched")
+    _write_back(spark, store_path, staging_path)
     return len(touched)
+
+
+def _write_back(spark, store_path: str, staging_path: str) -> None:
+    """Replace the touched buckets by the staged rows; repeating it gives the same store."""
+    from pyarrow.fs import FileSelector, FileType
+
+    system, store = filesystem(store_path)
+    _, staging = filesystem(staging_path)
+    touched = {r["bucket"] for r in spark.read.parquet(f"{staging_path}/touched").collect()}
+    kept = {int(i.base_name.partition("=")[2]) for i in system.get_file_info(FileSelector(f"{staging}/rows")) if i.base_name.startswith("bucket=")}
+    if kept:
+        staged = spark.read.parquet(f"{staging_path}/rows")
+        (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(store_path))
+    for b in touched - kept:
+        if system.get_file_info(f"{store}/bucket={b}").type != FileType.NotFound:
+            system.delete_dir(f"{store}/bucket={b}")
+    system.delete_dir(staging)
