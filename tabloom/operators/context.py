@@ -17,6 +17,7 @@ from tabloom.functions.text import url_quote
 PLACEHOLDER_RE = r"\[TABLEPLACEHOLDER\s*(\d+)]"
 PLACEHOLDER_SPLIT_RE = r"\[TABLEPLACEHOLDER\s*\d+]"
 TABLE_CAPTION = "\n[Table from page {page}, num {num}]\n"
+SOURCE_CAPTION = "\n[Table from {source} - page {page}, num {num}]\n"
 TABLE_MARKER_RE = r"<Table(\d+)>"
 # Findings report lines (document header, code line, one link line per table):
 #   "📁**{doc}** -- company name **{company}** \n "
@@ -24,7 +25,7 @@ TABLE_MARKER_RE = r"<Table(\d+)>"
 #   "        [pag.{page+1}](http://{host}:8080/viewer.html?file={doc}.pdf#page={page+1})   -> {page}_{num}.csv  "
 
 
-def _ordered_join(items: Column, sep: str) -> Column:
+def ordered_join(items: Column, sep: str) -> Column:
     """Join the ``x`` fields of an array of (k..., x) structs sorted by k."""
     return F.array_join(F.transform(F.array_sort(items), lambda s: s["x"]), sep)
 
@@ -92,7 +93,7 @@ def build_context(pages: DataFrame, order: DataFrame, group_cols=("query_id", "s
                          F.col("page").cast("string"), F.lit("\n"), text, F.lit("\n"))
         header = F.concat(F.lit("Sector: "), F.col(header_col), F.lit("\n"))
     agg = j.groupBy(*g).agg(
-        _ordered_join(F.collect_list(F.struct("ordinal", "source", "page", block.alias("x"))), "").alias("_body"),
+        ordered_join(F.collect_list(F.struct("ordinal", "source", "page", block.alias("x"))), "").alias("_body"),
         F.first(header).alias("_h"))
     return agg.select(*g, F.concat("_h", F.lit("\n"), "_body", F.lit("\n---\n")).alias("context"))
 
@@ -121,7 +122,7 @@ def company_context(table_csv: DataFrame, name_col: str = "source") -> DataFrame
         "page", "table_no",
         F.concat(F.lit("# Page "), F.col("page").cast("string"), F.lit(", Table "),
                  F.col("table_no").cast("string"), F.lit("\n\n\n"), F.col("csv")).alias("x")))
-    agg = table_csv.groupBy(name_col).agg(_ordered_join(items, "\n\n").alias("_t"))
+    agg = table_csv.groupBy(name_col).agg(ordered_join(items, "\n\n").alias("_t"))
     return agg.select(name_col, F.concat(F.lit("Company: "), F.col(name_col), F.lit("\n\n\n"), F.col("_t"),
                                          F.lit("\n---\n")).alias("context"))
 
@@ -130,7 +131,7 @@ def table_listing(table_html: DataFrame, group_cols=("code", "source"), sector_c
     """Prompt body listing a company's tables as HTML (optionally under a sector line)."""
     g = list(group_cols)
     items = F.collect_list(F.struct("page", "table_no", F.concat(F.col("html"), F.lit("\n\n")).alias("x")))
-    agg = table_html.groupBy(*g).agg(_ordered_join(items, "").alias("_t"))
+    agg = table_html.groupBy(*g).agg(ordered_join(items, "").alias("_t"))
     head = F.concat(F.lit("Company name: "), F.col("source"), F.lit("\n\n"))
     if sector_col:
         head = F.concat(F.lit("The company below are inside the following sector: "), F.col(sector_col),
@@ -151,13 +152,13 @@ def findings_report(codes: DataFrame, refs: DataFrame, docs: DataFrame, host: st
         url_quote(F.col("source")), F.lit(".pdf#page="), (F.col("page") + 1).cast("string"), F.lit(")   -> "),
         F.col("page").cast("string"), F.lit("_"), F.col("table_no").cast("string"), F.lit(".csv  "))
     per_code = (r.select("source", "code", "ordinal", link.alias("x"))
-                .groupBy("source", "code").agg(_ordered_join(F.collect_list(F.struct("ordinal", "x")), "\n")
+                .groupBy("source", "code").agg(ordered_join(F.collect_list(F.struct("ordinal", "x")), "\n")
                                                .alias("_links")))
     c = codes.select("code", F.col("description"), F.col("ordinal").alias("_co"))
     per_code = per_code.join(c, "code").select(
         "source", "_co", F.concat(F.lit("   🔹**GRI "), F.col("code"), F.lit("**: "), F.col("description"),
                                   F.lit("  \n"), F.col("_links")).alias("x"))
-    body = per_code.groupBy("source").agg(_ordered_join(F.collect_list(F.struct("_co", "x")), "\n").alias("_b"))
+    body = per_code.groupBy("source").agg(ordered_join(F.collect_list(F.struct("_co", "x")), "\n").alias("_b"))
     d = docs.select("source", "company_name")
     return body.join(d, "source", "left").select("source", F.concat(
         F.lit("📁**"), F.col("source"), F.lit("** -- company name **"), F.coalesce("company_name", F.lit("")),
@@ -192,4 +193,4 @@ def render_conversation(conv: DataFrame) -> DataFrame:
     """X11: a conversation as 'role: text' lines in turn order; a null role or text is empty."""
     items = F.collect_list(F.struct("turn", F.concat(
         F.coalesce("role", F.lit("")), F.lit(": "), F.coalesce("text", F.lit(""))).alias("x")))
-    return conv.groupBy("conv_id").agg(_ordered_join(items, "\n").alias("transcript"))
+    return conv.groupBy("conv_id").agg(ordered_join(items, "\n").alias("transcript"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tabloom.functions.text import after_last, company_label, strip_markdown
+from tabloom.operators import assembly as A
 from tabloom.operators import context as X
 from tabloom.operators import link as L
 from tabloom.operators import tables as T
@@ -183,6 +184,108 @@ def q_context_status(spark, sf_dir):
     return X.context_status(codes.crossJoin(sources), refs_after(spark, sf_dir))
 
 
+def _caption_sql(place: str, num: int) -> str:
+    return (f"coalesce((SELECT chr(10) || '[Table from ' || {place} || 'page ' || c.page::VARCHAR || ', num {num}]' || chr(10) || 'order' || chr(10) "
+            f"|| ti.o_orderkey::VARCHAR || chr(10) FROM ti WHERE ti.source = c.source AND ti.page = c.page AND ti.table_no = {num}), '')")
+
+
+def _filled_sql(place: str) -> str:
+    return f"coalesce(c.content, '') || chr(10) || {_caption_sql(place, 0)} || chr(10) || {_caption_sql(place, 1)} || chr(10)"
+
+
+def _assembly_inputs(spark, sf_dir):
+    pages = driver.chunks(spark, sf_dir).select("source", "page", F.concat(
+        F.coalesce("content", F.lit("")), F.lit("\n[TABLEPLACEHOLDER 0]\n[TABLEPLACEHOLDER 1]\n[TABLEPLACEHOLDER 99]")).alias("text"))
+    tables = driver.table_index(spark, sf_dir).select("source", "page", "table_no", F.concat(
+        F.lit("order\n"), F.col("o_orderkey").cast("string"), F.lit("\n")).alias("table_text"))
+    return pages, tables
+
+
+@register("assembled_context", "WITH " + SQL_REFS + """,
+req AS (SELECT 'B' || b.item_id::VARCHAR AS code, b.text AS question, c.source AS name
+        FROM benchmark b CROSS JOIN (SELECT DISTINCT source FROM chunks) c),
+first AS (SELECT code, source, page, min(ordinal) AS ordinal FROM kept WHERE page IS NOT NULL GROUP BY ALL),
+body AS (SELECT f.code, f.source AS name, string_agg(chr(10) || '---' || chr(10) || '# Page ' || f.page::VARCHAR || chr(10) || """
+          + _filled_sql("''") + """ || chr(10), '' ORDER BY f.ordinal, f.page) AS body
+         FROM first f JOIN chunks c USING (source, page) GROUP BY ALL),
+parts AS (SELECT r.code, r.name, CASE WHEN b.name IS NULL
+                 THEN '⚠️ No references found for query ''' || r.question || ''' in ' || r.name || chr(10)
+                 ELSE 'Company name: ' || r.name || chr(10) || chr(10) || b.body || chr(10) || '---' || chr(10) END AS part,
+                 r.name NOT IN (SELECT source FROM ti) AS unknown
+          FROM req r LEFT JOIN body b USING (code, name))
+SELECT code AS query_id, CASE WHEN NOT bool_or(unknown) THEN string_agg(part, '' ORDER BY name) END AS context,
+       '⚠️ No metadata.json found for ' || min(name) FILTER (WHERE unknown) AS reply
+FROM parts GROUP BY code""")
+def q_assembled_context(spark, sf_dir):
+    """X1, X2, X9 (document form): every question to every file, filled pages and messages in one text."""
+    refs = refs_after(spark, sf_dir).select(F.col("code").alias("query_id"), F.col("source").alias("name"), "source",
+                                            F.col("page").cast("long").alias("page"), "ordinal")
+    ti = driver.table_index(spark, sf_dir)
+    codes = driver.codes(spark, sf_dir).select(F.col("code").alias("query_id"), F.col("description").alias("question"))
+    sources = driver.chunks(spark, sf_dir).select(F.col("source").alias("name"), F.lit(0).alias("ordinal")).distinct()
+    return A.assemble_context(codes.crossJoin(sources), ti.select(F.col("source").alias("name")), refs,
+                              *_assembly_inputs(spark, sf_dir), form="document")
+
+
+@register("assembled_sector_context", "WITH " + HYBRID_SECTORS_CTES + ",\n" + S.TABLE_INDEX + """,
+body AS (SELECT h.query_id, string_agg(chr(10) || '---' || chr(10) || '# Source: ' || h.source || chr(10) || '# Page '
+                || h.page::VARCHAR || chr(10) || """ + _filled_sql("c.source || ' - '") + """ || chr(10), '' ORDER BY h.rank, h.source, h.page) AS body
+         FROM hy_top h JOIN chunks c USING (source, page) GROUP BY h.query_id)
+SELECT b.item_id AS query_id, CASE WHEN y.query_id IS NULL
+         THEN '⚠️  No reference found for query “' || b.text || '” in sector '''""" + f""" || '{SELECTION_NAME}' || '''' || chr(10)
+         ELSE 'Sector: {SELECTION_NAME}' || chr(10) || chr(10) || y.body || chr(10) || '---' || chr(10) END
+       || '⚠️No metadata found for the sector ''unlisted''' || chr(10)
+       || '⚠️  No reference found for query “' || b.text || '” in sector ''unread''' || chr(10) AS context,
+       NULL::VARCHAR AS reply
+FROM benchmark b LEFT JOIN body y ON y.query_id = b.item_id""")
+def q_assembled_sector_context(spark, sf_dir):
+    """X1, X2, X9 (sector form): every question to a sector with references, one unknown and one without references."""
+    refs = hybrid_by_sectors(spark, sf_dir).select("query_id", F.col("selection").alias("name"), "source", "page", F.col("rank").alias("ordinal"))
+    asked = spark.createDataFrame([(SELECTION_NAME, 0), ("unlisted", 1), ("unread", 2)], "name string, ordinal int")
+    items = driver.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    return A.assemble_context(items.crossJoin(asked), asked.where("name <> 'unlisted'").select("name"), refs,
+                              *_assembly_inputs(spark, sf_dir), form="sector")
+
+
+_KEPT_HTML = SQL_REFS + ",\n" + _CELLS_NO_TI + """,
+kt AS (SELECT DISTINCT source, page, table_no FROM kept),
+kc AS (SELECT c.* FROM cells c JOIN kt USING (source, page, table_no)),
+hl AS (SELECT source, page, table_no, -1 AS row_idx, '<tr>' || string_agg('<th>' ||
+          replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</th>', '' ORDER BY col_idx) || '</tr>' AS line
+       FROM (SELECT source, page, table_no, col_idx, max(header) AS h FROM kc WHERE header IS NOT NULL GROUP BY ALL) GROUP BY ALL),
+bl AS (SELECT source, page, table_no, row_idx, '<tr>' || string_agg('<td>' ||
+          replace(replace(replace(coalesce(cell, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td>', '' ORDER BY col_idx) || '</tr>' AS line
+       FROM kc GROUP BY ALL),
+th AS (SELECT source, page, table_no, '<table>' || string_agg(line, '' ORDER BY row_idx) || '</table>' AS html
+       FROM (SELECT * FROM hl UNION ALL SELECT * FROM bl) GROUP BY ALL)"""
+
+
+def _kept_html(spark, sf_dir):
+    return T.render_html(_kept_cells(spark, sf_dir))
+
+
+@register("file_table_prompts", "WITH " + _KEPT_HTML + """
+SELECT source AS name, 'File: ' || source || chr(10) || 'Consider the data shown in the following tables'
+       || string_agg(html, ' e ' ORDER BY page, table_no) || '. Analyse the main values to answer the question.' AS text
+FROM th GROUP BY source""")
+def q_file_table_prompts(spark, sf_dir):
+    """X3 (document form): marker texts of every file with kept tables, each marker replaced by its table."""
+    return A.table_prompts(_kept_html(spark, sf_dir).withColumn("name", F.col("source")))
+
+
+@register("sector_table_prompts", "WITH " + _KEPT_HTML + """,
+st AS (SELECT d.lang AS name, th.* FROM th JOIN documents d ON d.doc_id = th.page)
+SELECT name, 'Sector: ' || name || chr(10) || 'The following reports were analysed: '
+       || (SELECT string_agg(s.source, ', ' ORDER BY s.source) FROM (SELECT DISTINCT name, source FROM st) s WHERE s.name = st.name)
+       || '.' || chr(10) || 'Consider the data shown in the following tables: '
+       || string_agg(html, ' e ' ORDER BY source, page, table_no) || '. Analyse the main values to answer the question.' AS text
+FROM st GROUP BY name""")
+def q_sector_table_prompts(spark, sf_dir):
+    """X3 (sector form): marker numbers run over all files of a sector (here a language)."""
+    lang = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("name"))
+    return A.table_prompts(_kept_html(spark, sf_dir).join(lang, "page"), form="sector")
+
+
 _TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
 
 
