@@ -70,16 +70,31 @@ def page_text_with_placeholders(elements: DataFrame) -> DataFrame:
     return agg.select("source", "page", F.array_join(F.transform("_p", lambda x: x["part"]), "\n").alias("text"))
 
 
+# Parts of an HTML page that show no text.
+UNSHOWN_RE = r"(?is)<!--.*?-->|<head\b[^>]*>.*?</head>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
+
+
 def html_elements(pages: DataFrame, key_cols=("source", "page"), html_col: str = "html",
                   table_tags=("ul", "table"), text_tags=("h1", "h2", "h3", "p")) -> DataFrame:
-    """Page elements in reading order from HTML: tables/lists are 'Table', the rest 'Text'."""
+    """Page elements in reading order from HTML: tables/lists are 'Table', the rest 'Text'.
+
+    Text between the named elements is an element of its own where it is not
+    blank, so no shown text of the page is lost; what a page does not show
+    (head, scripts, styles, comments) is left out first.
+    """
     pat = "(?s)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in (*table_tags, *text_tags))
     kk = list(key_cols)
-    e = pages.select(*kk, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(pat), 0)).alias("elem_idx", "_el"))
-    tag = F.regexp_extract("_el", r"^<([a-z0-9]+)", 1)
+    shown = pages.select(*kk, F.regexp_replace(F.col(html_col), UNSHOWN_RE, "").alias("_h"))
+    named = shown.select(*kk, F.split("_h", pat, -1).alias("_gaps"), F.regexp_extract_all("_h", F.lit(pat), 0).alias("_els"))
+    # A gap stands before each element and after the last one.
+    items = F.flatten(F.transform("_gaps", lambda gap, i: F.array(
+        F.struct(F.lit(False).alias("named"), gap.alias("x")), F.struct(F.lit(True).alias("named"), F.try_element_at("_els", i + 1).alias("x")))))
+    items = F.filter(items, lambda e: F.when(e["named"], e["x"].isNotNull()).otherwise(strip_tags(e["x"]).rlike(r"\S")))
+    e = named.select(*kk, F.posexplode(items).alias("elem_idx", "_e"))
+    tag = F.regexp_extract("_e.x", r"^<([a-z0-9]+)", 1)
     return e.select(*kk, "elem_idx",
-                    F.when(tag.isin(*table_tags), F.lit(TABLE_CATEGORY)).otherwise(F.lit("Text")).alias("category"),
-                    strip_tags(F.col("_el")).alias("text"), F.col("_el").alias("html"))
+                    F.when(F.col("_e.named") & tag.isin(*table_tags), F.lit(TABLE_CATEGORY)).otherwise(F.lit("Text")).alias("category"),
+                    F.regexp_replace(strip_tags(F.col("_e.x")), r"^\s+|\s+$", "").alias("text"), F.col("_e.x").alias("html"))
 
 
 def normalize_verdict(v: Column) -> Column:

@@ -19,7 +19,6 @@ from tabloom.sources import driver
 
 KEY = ["source", "page", "table_no"]
 RETIRED = "old-"            # prefix of codes that the dictionary does not have
-REPLACED_MIN_CHARS = 200    # questions re-asked (their entries get replaced)
 
 
 def _as_code(df):
@@ -157,18 +156,18 @@ def q_dedupe_pages(spark, sf_dir):
 
 
 @register("merge_question_refs", "WITH " + SQL_REFS + SQL_DENSE_REFS + f""",
-new AS (SELECT f.code AS question, f.source, f.page, f.table_no FROM dfound f
-        JOIN benchmark b ON 'B' || b.item_id::VARCHAR = f.code WHERE length(b.text) > {REPLACED_MIN_CHARS})
-SELECT code AS question, source, page, table_no FROM refs WHERE code NOT IN (SELECT question FROM new)
+new AS (SELECT code AS question, source, page, table_no FROM dfound),
+old AS (SELECT code AS question, source, page, table_no FROM refs
+        UNION ALL SELECT '{RETIRED}' || code, source, page, table_no FROM refs)
+SELECT * FROM old WHERE question NOT IN (SELECT question FROM new)
 UNION ALL SELECT * FROM new""")
 def q_merge_question_refs(spark, sf_dir):
-    old = refs_before(spark, sf_dir).select(F.col("code").alias("question"), "source",
-                                            F.col("page").cast("long"), "table_no")
-    asked = driver.codes(spark, sf_dir).where(F.length("description") > REPLACED_MIN_CHARS).select("code")
-    new = (refs_before(spark, sf_dir, dense_by_source(spark, sf_dir)).join(asked, "code", "left_semi")
-           .where(F.col("page").isNotNull())
-           .select(F.col("code").alias("question"), "source", F.col("page").cast("long"), "table_no"))
-    return L.merge_question_refs(old, new, "replace")
+    """K6, document form: a later answer replaces a question's stored references; questions that were not asked again keep theirs."""
+    named = lambda r: r.select(F.col("code").alias("question"), "source", F.col("page").cast("long"), "table_no")
+    asked = named(refs_before(spark, sf_dir))
+    kept = asked.withColumn("question", F.concat(F.lit(RETIRED), F.col("question")))
+    new = refs_before(spark, sf_dir, dense_by_source(spark, sf_dir)).where(F.col("page").isNotNull())
+    return L.merge_question_refs(asked.unionByName(kept), named(new), "replace")
 
 
 @register("extend_question_refs", "WITH " + SQL_REFS + SQL_DENSE_REFS + """
@@ -224,12 +223,18 @@ _ELEM_RE = (r"(?s)<ul\b[^>]*>.*?</ul>|<table\b[^>]*>.*?</table>|<h1\b[^>]*>.*?</
 _STRIP = r"""trim(replace(replace(replace(replace(replace(replace(
     regexp_replace({x}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'),
     '&#39;', ''''), '&amp;', '&'))"""
-SQL_ELEMENTS = f"""el AS (
-  SELECT page_id, unnest(regexp_extract_all(html, '{_ELEM_RE}')) AS h,
-         unnest(range(0, len(regexp_extract_all(html, '{_ELEM_RE}')))) AS elem_idx FROM pages),
-elements AS (SELECT page_id, elem_idx::INTEGER AS elem_idx,
-                    CASE WHEN regexp_extract(h, '^<([a-z0-9]+)', 1) IN ('ul', 'table') THEN 'Table' ELSE 'Text' END
-                      AS category, {_STRIP.format(x="h")} AS text FROM el)"""
+_UNSHOWN = r"(?is)<!--.*?-->|<head\b[^>]*>.*?</head>|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>"
+SQL_ELEMENTS = f"""shown AS (SELECT page_id, regexp_replace(html, '{_UNSHOWN}', '', 'g') AS html FROM pages),
+el AS (
+  SELECT page_id, TRUE AS named, unnest(regexp_extract_all(html, '{_ELEM_RE}')) AS h,
+         2 * unnest(range(0, len(regexp_extract_all(html, '{_ELEM_RE}')))) + 1 AS place FROM shown
+  UNION ALL
+  SELECT page_id, FALSE, unnest(regexp_split_to_array(html, '{_ELEM_RE}')),
+         2 * unnest(range(0, len(regexp_split_to_array(html, '{_ELEM_RE}')))) FROM shown),
+elements AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY place) - 1)::INTEGER AS elem_idx,
+                    CASE WHEN named AND regexp_extract(h, '^<([a-z0-9]+)', 1) IN ('ul', 'table') THEN 'Table' ELSE 'Text' END
+                      AS category, regexp_replace({_STRIP.format(x="h")}, '^\\s+|\\s+$', '', 'g') AS text FROM el
+             WHERE named OR regexp_matches({_STRIP.format(x="h")}, '\\S'))"""
 
 
 def elements(spark, sf_dir):

@@ -2,6 +2,7 @@
 
 import pytest
 
+from tabloom.operators import link as L
 from tabloom.operators import assembly as A
 
 REQ = "query_id int, question string, name string, ordinal int"
@@ -63,3 +64,15 @@ def test_markers_run_over_all_files(spark):
     got = {r.name: r.text for r in A.table_prompts(t).collect()}
     assert got["s"] == "File: s\nConsider the data shown in the following tables<a21> e <a100> e <b10>" + end
     assert A.table_prompts(t.where("false"), "sector").count() == 0
+
+
+def test_all_shown_text_of_a_page_is_an_element(spark):
+    html = ("<html><head><title>no</title></head><body>lead <b>in</b><script>no()</script><ul><li>x</li></ul>\n <!-- no -->"
+            "<div>free &amp; open<p>para</p></div>tail<table><tr><td>1</td></tr></table></body></html>")
+    pages = spark.createDataFrame([("s", 1, html), ("s", 2, "plain"), ("s", 3, ""), ("s", 4, None), ("s", 5, "a <ul> b")],
+                                  "source string, page int, html string")
+    got = sorted((r.page, r.elem_idx, r.category, r.text) for r in L.html_elements(pages).collect())
+    assert got == [(1, 0, "Text", "lead in"), (1, 1, "Table", "x"), (1, 2, "Text", "free & open"), (1, 3, "Text", "para"),
+                   (1, 4, "Text", "tail"), (1, 5, "Table", "1"), (2, 0, "Text", "plain"), (5, 0, "Text", "a  b")]
+    text = {r.page: r.text for r in L.page_text_with_placeholders(L.html_elements(pages)).collect()}
+    assert text[1] == "lead in\n[TABLEPLACEHOLDER 0]\nfree & open\npara\ntail\n[TABLEPLACEHOLDER 1]"
