@@ -128,15 +128,24 @@ def company_context(table_csv: DataFrame, name_col: str = "source") -> DataFrame
 
 
 def table_listing(table_html: DataFrame, group_cols=("code", "source"), sector_col: str | None = None) -> DataFrame:
-    """Prompt body listing a company's tables as HTML (optionally under a sector line)."""
+    """Prompt body listing companies' tables as HTML, each company under its name.
+
+    ``table_html(<group>, source, page, table_no, html)``.  With ``sector_col`` (not of the group) companies
+    stand below their sector, which is named once above them; sectors and companies follow their names.
+    """
     g = list(group_cols)
+    outer = [sector_col] if sector_col else []
+    company = [*dict.fromkeys([*g, *outer, "source"])]
     items = F.collect_list(F.struct("page", "table_no", F.concat(F.col("html"), F.lit("\n\n")).alias("x")))
-    agg = table_html.groupBy(*g).agg(ordered_join(items, "").alias("_t"))
-    head = F.concat(F.lit("Company name: "), F.col("source"), F.lit("\n\n"))
+    text = table_html.groupBy(*company).agg(ordered_join(items, "").alias("_t")).withColumn(
+        "_t", F.concat(F.lit("Company name: "), F.col("source"), F.lit("\n\n"), F.col("_t")))
     if sector_col:
-        head = F.concat(F.lit("The company below are inside the following sector: "), F.col(sector_col),
-                        F.lit("\n\n"), head)
-    return agg.select(*g, F.regexp_replace(F.concat(head, F.col("_t")), r"^\s+|\s+$", "").alias("listing"))
+        text = text.groupBy(*g, sector_col).agg(ordered_join(F.collect_list(F.struct("source", F.col("_t").alias("x"))), "").alias("_t"))
+        text = text.withColumn("_t", F.concat(
+            F.lit("The company below are inside the following sector: "), F.col(sector_col), F.lit("\n\n"), F.col("_t")))
+    inner = F.struct(sector_col or "source", F.col("_t").alias("x"))
+    agg = text.groupBy(*g).agg(ordered_join(F.collect_list(inner), "").alias("_t"))
+    return agg.select(*g, F.regexp_replace("_t", r"^\s+|\s+$", "").alias("listing"))
 
 
 def findings_report(codes: DataFrame, refs: DataFrame, docs: DataFrame, host: str = "localhost") -> DataFrame:

@@ -150,7 +150,7 @@ def q_findings_report(spark, sf_dir):
     return X.findings_report(driver.codes(spark, sf_dir), refs_after(spark, sf_dir), docs)
 
 
-@register("table_listing", "WITH " + SQL_REFS + ",\n" + _CELLS_NO_TI + """,
+_LISTED = SQL_REFS + ",\n" + _CELLS_NO_TI + """,
 kc AS (SELECT DISTINCT k.code, c.* FROM kept k JOIN cells c USING (source, page, table_no)),
 hr AS (SELECT code, source, page, table_no, '<tr>' || string_agg('<th>' ||
           replace(replace(replace(h, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</th>', '' ORDER BY col_idx)
@@ -161,7 +161,10 @@ br AS (SELECT code, source, page, table_no, '<tr>' || string_agg('<td>' ||
           replace(replace(replace(coalesce(cell, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td>', ''
           ORDER BY col_idx) || '</tr>' AS line, row_idx FROM kc GROUP BY code, source, page, table_no, row_idx),
 th AS (SELECT code, source, page, table_no, '<table>' || string_agg(line, '' ORDER BY row_idx) || '</table>' AS html
-       FROM (SELECT * FROM hr UNION ALL SELECT * FROM br) GROUP BY ALL)
+       FROM (SELECT * FROM hr UNION ALL SELECT * FROM br) GROUP BY ALL)"""
+
+
+@register("table_listing", "WITH " + _LISTED + """
 SELECT code, source, regexp_replace('Company name: ' || source || chr(10) || chr(10)
        || string_agg(html || chr(10) || chr(10), '' ORDER BY page, table_no), '^\\s+|\\s+$', '', 'g') AS listing
 FROM th GROUP BY code, source""")
@@ -171,6 +174,21 @@ def q_table_listing(spark, sf_dir):
     return X.table_listing(kept.join(html, KEY), ["code", "source"])
 
 
+@register("sector_table_listing", "WITH " + _LISTED + """,
+cs AS (SELECT th.code, d.lang, th.source, 'Company name: ' || th.source || chr(10) || chr(10)
+              || string_agg(html || chr(10) || chr(10), '' ORDER BY page, table_no) AS t
+       FROM th JOIN documents d ON d.doc_id = th.page GROUP BY th.code, d.lang, th.source),
+ss AS (SELECT code, lang, 'The company below are inside the following sector: ' || lang || chr(10) || chr(10)
+              || string_agg(t, '' ORDER BY source) AS t FROM cs GROUP BY code, lang)
+SELECT code, regexp_replace(string_agg(t, '' ORDER BY lang), '^\\s+|\\s+$', '', 'g') AS listing FROM ss GROUP BY code""")
+def q_sector_table_listing(spark, sf_dir):
+    """X5 (sector form): per code the kept tables of each company below its sector (here a language)."""
+    kept = refs_after(spark, sf_dir).select("code", *KEY).distinct()
+    html = T.render_html(driver.cells(spark, sf_dir, only=kept))
+    lang = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("sector"))
+    return X.table_listing(kept.join(html, KEY).join(lang, "page"), ["code"], "sector")
+
+
 @register("context_status", "WITH " + SQL_REFS + """,
 req AS (SELECT DISTINCT 'B' || b.item_id::VARCHAR AS code, c.source FROM benchmark b CROSS JOIN
         (SELECT DISTINCT source FROM chunks) c),

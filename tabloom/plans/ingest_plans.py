@@ -305,14 +305,15 @@ def q_list_table_sets(spark, sf_dir):
 
 
 @register("company_summaries", "WITH " + S.CHUNKS + """,
-comp AS (SELECT DISTINCT source AS company_name FROM chunks),
-summ AS (SELECT source AS company_name, arg_min(content, page) AS summary FROM chunks WHERE lang = 'en' GROUP BY source)
+comp AS (SELECT source AS company_name FROM chunks UNION SELECT n_name FROM nation),
+summ AS (SELECT source AS company_name, arg_min(content, page) AS summary FROM chunks GROUP BY source)
 SELECT c.company_name, coalesce(s.summary, '') AS summary FROM comp c LEFT JOIN summ s USING (company_name)""")
 def q_company_summaries(spark, sf_dir):
-    """Every company with its summary text, '' when it has none."""
+    """Every company (sources, and nations, which have no text) with its summary text, '' when it has none."""
     ch = driver.chunks(spark, sf_dir)
-    companies = ch.select(F.col("source").alias("company_name")).distinct()
-    summaries = (ch.where(F.col("lang") == "en").groupBy(F.col("source").alias("company_name"))
+    companies = (ch.select(F.col("source").alias("company_name"))
+                 .union(driver.table(spark, sf_dir, "nation").select("n_name")).distinct())
+    summaries = (ch.groupBy(F.col("source").alias("company_name"))
                  .agg(F.min_by("content", "page").alias("summary")))
     return catalog.with_summaries(companies, summaries)
 
