@@ -5,9 +5,11 @@ Spark's own text sink names its files itself; report folders need
 ``(file, piece)``: a path below the target folder and text to append to it.
 Rows of one file must be neighbours of one partition (:func:`write_named`
 sees to that).  A task streams each file under a hidden name and moves it to
-its own when it is whole, so a lost task leaves no half file that a reader
-finds, and its retry replaces what it had finished with the same contents.
-The job writes ``_SUCCESS`` last.  Nothing but row counts returns to the driver.
+its own once the next file begins, which shows that it is whole.  The last file of a
+task has no such sign (a failed input can look like its end to the writer), so the job
+moves these, one a task, when every task has succeeded.  A lost task thus leaves no half
+file that a reader finds, and its retry replaces what it had finished with the same
+contents.  The job writes ``_SUCCESS`` last.  One file name a task returns to the driver.
 """
 
 from __future__ import annotations
@@ -36,7 +38,8 @@ def filesystem(path: str):
 
 @dataclass
 class _Written(WriterCommitMessage):
-    files: int
+    hidden: str
+    name: str
 
 
 class _Writer(DataSourceArrowWriter):
@@ -48,7 +51,7 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator) -> WriterCommitMessage:
         system, root = filesystem(self.path)
-        attempt, count = uuid.uuid4().hex, 0
+        attempt = uuid.uuid4().hex
         name, hidden, out = None, None, None
 
         def publish() -> None:
@@ -61,27 +64,36 @@ class _Writer(DataSourceArrowWriter):
                     if file != name:
                         if out is not None:
                             publish()
-                        name, count = file, count + 1
+                        name = file
                         folder, _, base = file.rpartition("/")
                         system.create_dir(f"{root}/{folder}", recursive=True)
                         hidden = f"{root}/{folder}/.{base}.{attempt}"
                         out = system.open_output_stream(hidden)
                     out.write(piece.encode())
             if out is not None:
-                publish()
+                out.close()
         except BaseException:
             if out is not None and not out.closed:
                 out.close()
                 system.delete_file(hidden)
             raise
-        return _Written(count)
+        return _Written(hidden or "", name or "")
 
     def commit(self, messages: list) -> None:
         system, root = filesystem(self.path)
         system.create_dir(root, recursive=True)
+        for m in messages:
+            if m is not None and m.hidden:
+                system.move(m.hidden, f"{root}/{m.name}")
         with system.open_output_stream(f"{root}/_SUCCESS"):
             pass
 
+    def abort(self, messages: list) -> None:
+        system, _ = filesystem(self.path)
+        for m in messages:
+            if m is not None and m.hidden:
+                system.delete_file(m.hidden)
+
 
 class NamedFiles(DataSource):
     @classmethod
