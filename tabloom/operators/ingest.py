@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabloom.functions.packing import packed_chunks
 from tabloom.functions.text import chunk_id, clean_key, company_from_source, title_from_source
 
 # Fixed values that must equal the reference's behaviour.
@@ -160,84 +161,14 @@ def lookup_sectors(companies: DataFrame, dim: DataFrame, company_col: str = "com
                     .alias("company_sectors")))
 
 
-
-
-# Separators of the recursive splitter, tried in order (fixed values).
-RECURSIVE_SEPARATORS = ("\n\n", "\n", " ", "")
-
-
-def _merge_pieces(pieces, size: int, overlap: int):
-    """Greedy packing of pieces into chunks of at most ``size`` with ~``overlap`` carried over."""
-    out, cur, total = [], [], 0
-    for piece in pieces:
-        n = len(piece)
-        if total + n > size and cur:
-            doc = "".join(cur).strip()
-            if doc:
-                out.append(doc)
-            while total > overlap or (total + n > size and total > 0):
-                total -= len(cur[0])
-                cur = cur[1:]
-        cur.append(piece)
-        total += n
-    doc = "".join(cur).strip()
-    if doc:
-        out.append(doc)
-    return out
-
-
-def recursive_split(text: str, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
-                    separators=RECURSIVE_SEPARATORS):
-    """I10 for one text: split on the first separator present (kept at the start of the
-    following piece), recurse into pieces that are still too long, pack greedily."""
-    if not text:
-        return []
-    sep, rest = separators[-1], ()
-    for i, s in enumerate(separators):
-        if s == "" or s in text:
-            sep, rest = s, separators[i + 1:]
-            break
-    if sep:
-        parts = text.split(sep)
-        pieces = [parts[0]] + [sep + p for p in parts[1:]]
-        pieces = [p for p in pieces if p]
-    else:
-        pieces = list(text)
-    out, good = [], []
-    for p in pieces:
-        if len(p) < size:
-            good.append(p)
-            continue
-        if good:
-            out.extend(_merge_pieces(good, size, overlap))
-            good = []
-        out.extend(recursive_split(p, size, overlap, rest) if rest else [p])
-    if good:
-        out.extend(_merge_pieces(good, size, overlap))
-    return out
-
-
 def chunk_packed(pages: DataFrame, size: int = DEFAULT_CHUNK_SIZE, overlap: int = DEFAULT_CHUNK_OVERLAP,
                  text_col: str = "text", key_cols=("source", "page")) -> DataFrame:
-    """Recursive separator splitting with greedy packing, per document.
+    """Recursive separator splitting with greedy packing, per document (see ``functions.packing``).
 
-    The packing is a sequential fold over each document's pieces, which SQL
-    functions cannot express without quadratic array copies, so it runs as an
-    Arrow-batched pandas UDF (one vectorised call per batch of documents,
-    no shuffle); the documents stay distributed by their input partitions.
+    Built-in functions only, no shuffle; a null or blank text has no chunk.
     """
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    def _split(texts):
-        return texts.map(lambda t: recursive_split(t, size, overlap) if isinstance(t, str) else [])
-
-    # Real (not postponed) annotations tell Spark this is a Series -> Series UDF.
-    _split.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    _split = pandas_udf(_split, "array<string>")
-
     kk = list(key_cols)
-    return pages.select(*kk, F.posexplode(_split(F.col(text_col))).alias("chunk_no", "content"))
+    return pages.select(*kk, F.posexplode(packed_chunks(F.col(text_col), size, overlap)).alias("chunk_no", "content"))
 
 
 def chunk_with_errors(pages: DataFrame, text_col: str = "text", key_cols=("source", "page"),

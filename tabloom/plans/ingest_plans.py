@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tabloom.functions.packing import WHITE
 from tabloom.functions.text import clean_key, company_from_source, title_from_source
 from tabloom.operators import catalog, ingest
 from tabloom.operators.filters import apply_filters
@@ -270,9 +271,50 @@ def q_store_gaps(spark, sf_dir):
     return store_gaps(c.where("lang <> 'fr'"), c.join(emb, "page"))
 
 
-@register("chunk_packed_windows")
+def _sql_level(n: int, sep: str) -> str:
+    """Pieces of the texts of ``lvl{n}`` at one separator, and the longer ones as ``lvl{n + 1}``."""
+    return f"""
+cut{n} AS (SELECT page, pos, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i
+           FROM (SELECT page, pos, string_split(x, {sep}) AS ps FROM lvl{n})),
+piece{n} AS (SELECT page, {n} AS lvl, pos AS parent, x,
+                    pos + sum(length(x)) OVER up - length(x) AS s, pos + sum(length(x)) OVER up AS e,
+                    sum((length(x) >= {ingest.DEFAULT_CHUNK_SIZE})::INT) OVER up AS run
+             FROM (SELECT page, pos, i, CASE WHEN i > 1 THEN {sep} || p ELSE p END AS x FROM cut{n}) WHERE x <> ''
+             WINDOW up AS (PARTITION BY page, pos ORDER BY i)),
+lvl{n + 1} AS (SELECT page, s AS pos, x FROM piece{n} WHERE length(x) >= {ingest.DEFAULT_CHUNK_SIZE})"""
+
+
+#: Every piece knows where a chunk that starts with it ends, and where the chunk behind one that ends before it starts;
+#: chunks are a chain of such hops.
+SQL_PACKED = """
+WITH RECURSIVE lvl0 AS (SELECT doc_id AS page, 0::HUGEINT AS pos, text AS x FROM documents WHERE text IS NOT NULL),""" + ",".join(
+    _sql_level(n, sep) for n, sep in enumerate(("chr(10) || chr(10)", "chr(10)", "' '"))) + f""",
+letters AS (SELECT page, 3 AS lvl, pos AS parent, pos + unnest(range(0, length(x))) AS s FROM lvl3),
+good AS (SELECT page, lvl, parent, run, s, e FROM piece0 WHERE e - s < {{size}}
+         UNION ALL SELECT page, lvl, parent, run, s, e FROM piece1 WHERE e - s < {{size}}
+         UNION ALL SELECT page, lvl, parent, run, s, e FROM piece2 WHERE e - s < {{size}}
+         UNION ALL SELECT page, lvl, parent, 0, s, s + 1 FROM letters),
+hop AS MATERIALIZED (SELECT page, lvl, parent, run, s::BIGINT AS s, s = min(s) OVER (PARTITION BY page, lvl, parent, run) AS is_first,
+               max(e::BIGINT) OVER (PARTITION BY page, lvl, parent, run ORDER BY e::BIGINT
+                            RANGE BETWEEN CURRENT ROW AND ({{size}} - (e - s))::BIGINT FOLLOWING) AS stop,
+               min(s::BIGINT) OVER (PARTITION BY page, lvl, parent, run ORDER BY s::BIGINT
+                            RANGE BETWEEN least({{overlap}}, {{size}} - (e - s))::BIGINT PRECEDING AND CURRENT ROW) AS back
+        FROM good),
+chain AS (SELECT page, lvl, parent, run, s, stop FROM hop WHERE is_first
+          UNION ALL
+          SELECT c.page, c.lvl, c.parent, c.run, b.s, b.stop FROM chain c
+          JOIN hop n ON n.page = c.page AND n.lvl = c.lvl AND n.parent = c.parent AND n.run = c.run AND n.s = c.stop
+          JOIN hop b ON b.page = c.page AND b.lvl = c.lvl AND b.parent = c.parent AND b.run = c.run AND b.s = n.back),
+texts AS (SELECT d.source, c.page, c.s, trim(substring(d.text, c.s + 1, c.stop - c.s), {{white}}) AS content
+          FROM chain c JOIN documents d ON d.doc_id = c.page)
+SELECT source, page, (row_number() OVER (PARTITION BY page ORDER BY s) - 1)::INTEGER AS chunk_no, content
+FROM texts WHERE content <> ''""".format(
+    size=ingest.DEFAULT_CHUNK_SIZE, overlap=ingest.DEFAULT_CHUNK_OVERLAP, white=" || ".join(f"chr({ord(x)})" for x in WHITE))
+
+
+@register("chunk_packed_windows", SQL_PACKED)
 def q_chunk_packed_windows(spark, sf_dir):
-    """I10 over every document (rows-only check; fixture test against a direct implementation)."""
+    """I10 over every whole document."""
     docs = driver.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("page"), "text")
     return ingest.chunk_packed(docs)
 

@@ -412,8 +412,6 @@ def test_evaluate_cascade(spark):
 # ------------------------------------------------------------- added coverage
 
 def test_recursive_split_example(spark):
-    assert ingest.recursive_split("aaaa bbbb cccc dddd", 10, 3) == ["aaaa bbbb", "cccc dddd"]
-    assert ingest.recursive_split("p1 line\n\np2 is here", 12, 0) == ["p1 line", "p2 is here"]
     pages = spark.createDataFrame([("s", 1, "aaaa bbbb cccc dddd"), ("s", 2, None)], "source string, page int, text string")
     out = ingest.chunk_packed(pages, 10, 3).orderBy("chunk_no").collect()
     assert [r.content for r in out] == ["aaaa bbbb", "cccc dddd"]
