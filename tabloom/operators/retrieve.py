@@ -107,6 +107,11 @@ def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=None,
     # Counting through the tf value (always > 0) keeps the tf aggregate
     # identical in both branches, so its shuffle is computed once and reused.
     dfreq = tf.groupBy(*g, "term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
+    return tfidf_weights(tf, dfreq, n_docs, docs.select(*g, *kk), g, kk)
+
+
+def tfidf_weights(tf: DataFrame, dfreq: DataFrame, n_docs: DataFrame, docs: DataFrame, g: list, kk: list) -> TfidfModel:
+    """The model of term counts (``tf`` per document and term, ``df`` per term, ``n_docs`` per group)."""
     idf = dfreq.join(n_docs, g).select(
         *g, "term",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
@@ -117,7 +122,7 @@ def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=None,
     doc_win = Window.partitionBy(*g, *kk)
     weights = w.select(*g, *kk, "term", "idf",
                        (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc_win))).alias("wn"))
-    return TfidfModel(weights, idf, docs.select(*g, *kk), g, kk)
+    return TfidfModel(weights, idf, docs, g, kk)
 
 
 def query_terms(queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tabloom.operators import hits
 from tabloom.operators.filters import any_sector
 from tabloom.operators.retrieve import DEFAULT_K, DEFAULT_LAMBDA, dense_topk, fuse, round_score, sparse_topk
+from tabloom.operators.term_index import TermIndex
 from tabloom.plans import sql_frags as S
 from tabloom.plans.index_store import code_version, stored_tfidf
 from tabloom.plans.registry import register
@@ -23,6 +24,8 @@ from tabloom.sources import driver
 # Sector selection used by the sector-form queries (two languages).
 SECTOR_SELECTION = ("de", "es")
 SELECTION_NAME = "de|es"
+# Documents that the kept index loses and gets back.
+REMOVED_SECTOR = ("fr",)
 
 
 def _out(df, group="source"):
@@ -156,3 +159,16 @@ def q_stored_dense_hits(spark, sf_dir):
     store.save(path)
     again, _ = hits.ask(asked, driver.vectors(spark, sf_dir), hits.Hits.load(spark, path), DEFAULT_K, ["source"], ["page"])
     return _out(again)
+
+
+@register("sparse_topk_grown_index", SQL_SPARSE_SOURCE)
+def q_sparse_topk_grown_index(spark, sf_dir):
+    """R2 with I7: an index that starts with one sector selection, takes in all documents, loses those of a language
+    and takes in all again, asked like a full fit."""
+    chunks = driver.chunks(spark, sf_dir)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/terms-{uuid.uuid4().hex}"
+    index = TermIndex.create(any_sector(chunks, SECTOR_SELECTION), path)
+    index.add(chunks, 1)
+    index.remove(any_sector(chunks, REMOVED_SECTOR).select("source", "page"), 2)
+    index.add(chunks, 3)
+    return _out(sparse_topk(driver.text_queries(spark, sf_dir), index.model().checkpoint(), DEFAULT_K))
