@@ -8,13 +8,14 @@ of these grades, a cell counts 1 / (1 + (``SHRINK`` / G^2)^``POWER``).  So long
 noise, and a rare word that one grade alone holds counts as much as a common one.  One weight vector is shared by all grades, with ordered thresholds: P(grade <= k) = sigmoid(theta_k - w.x).  The model gives
 each document its expected grade and the tail probability P(grade >= 2), which selects.
 
-The fit uses at most ``SAMPLE`` labelled rows, those with the least hash of their key (the
-bound is this parameter); their hashed features go to the driver, which runs adaptive
-gradient steps in a fixed order.  Scoring is one narrow pass over all whole texts with the
+The fit uses at most ``SAMPLE`` labelled keys, those with the least hash, as far as their hashed
+features fit in ``SAMPLE_BYTES`` (the bounds are these parameters; four bytes a feature); these
+features go to the driver, which runs adaptive gradient steps in a fixed order.  Scoring is one narrow pass over all whole texts with the
 weights (CELLS numbers) as a broadcast.
 
 Defined cases: null, empty and word-free texts have no features, so the thresholds alone
-grade them; a key with several labels trains with each; without labels every grade is equally
+grade them; a key with several grades trains with each, and with one of its texts if several
+rows have the key (that of the least features in byte order); without labels every grade is equally
 likely and no document reaches the probability that selects.
 Each row gets its result, whatever repeats; extra columns are ignored.
 """
@@ -25,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .words import U, Words, chunks, mix, range_sums
 
 CELLS, GRADES = 1 << 18, 3
 SAMPLE, STEPS, RATE, RIDGE = 8_000, 80_000, 0.1, 1e-6
+SAMPLE_BYTES = 256 << 20
 LEAST, SHRINK, POWER = 3, 25.0, 4
 SELECT = 0.5
 
@@ -113,7 +115,7 @@ def grades(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def fit(docs: DataFrame, graded: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> CumulativeLink:
     """The model of a bounded, hash-ordered sample of the graded documents."""
-    picked = graded.select(F.col(key).alias("k"), "grade").where(F.col("k").isNotNull()).orderBy(F.xxhash64("k"), "k", "grade").limit(sample)
+    picked = graded.select(F.col(key).alias("k"), "grade").where(F.col("k").isNotNull()).distinct().orderBy(F.xxhash64("k"), "k", "grade").limit(sample)
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("x")).join(F.broadcast(picked), "k")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +124,10 @@ def fit(docs: DataFrame, graded: DataFrame, text: str = "text", key: str = "doc_
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([cells[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], type=pa.binary())], names=["k", "grade", "cells"])
 
-    got = rows.mapInArrow(extract, f"k {rows.schema['k'].dataType.simpleString()}, grade int, cells binary").collect()
+    found = rows.mapInArrow(extract, f"k {rows.schema['k'].dataType.simpleString()}, grade int, cells binary")
+    once = found.groupBy("k", "grade").agg(F.min("cells").alias("cells"))  # a repeated key trains with one of its texts
+    room = Window.orderBy(F.xxhash64("k"), "k", "grade").rowsBetween(Window.unboundedPreceding, 0)  # over at most ``sample`` rows
+    got = once.withColumn("used", F.sum(F.octet_length("cells")).over(room)).where(F.col("used") <= SAMPLE_BYTES).collect()
     got.sort(key=lambda r: (r["k"], r["grade"], r["cells"]))
     return CumulativeLink().fit([np.frombuffer(r["cells"], dtype=np.int32) for r in got], np.array([r["grade"] for r in got], dtype=np.int64))
 

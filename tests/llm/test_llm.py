@@ -420,6 +420,20 @@ def test_ordinal_classifier_orders_held_out_grades(spark):
     assert ordinal_quality.score(empty(spark), model).count() == 0
 
 
+def test_the_sample_bounds_what_the_driver_reads(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(ordinal_quality.CumulativeLink, "fit", lambda self, rows, grades: got.append((len(rows), list(grades))) or self)
+    d = spark.createDataFrame([(1 if i < 500 else i, f"word{i} and more") for i in range(520)], "doc_id long, text string")
+    graded = spark.createDataFrame([(1, 0), (1, 0), (1, 2), *((i, i % 3) for i in range(500, 520)), (None, 1)], "doc_id long, grade int")
+    ordinal_quality.fit(d, graded)
+    assert got[-1][0] == 22  # key 1 once with each of its grades
+    ordinal_quality.fit(d, graded.where("doc_id = 1"), sample=1)
+    assert got[-1] == (1, [0]) or got[-1] == (1, [2])
+    monkeypatch.setattr(ordinal_quality, "SAMPLE_BYTES", 60)
+    ordinal_quality.fit(d, graded)
+    assert 0 < got[-1][0] < 22
+
+
 def test_rare_words_of_one_grade_carry_weight(spark):
     rng = random.Random(19)
     common, rare = [f"w{i}" for i in range(300)], [f"nasty{i}" for i in range(10)]
