@@ -599,6 +599,30 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, block):
     assert decontaminate.clean(empty(spark), bench).count() == 0
 
 
+def test_decontamination_joins_a_large_benchmark(spark, monkeypatch):
+    docs, bench = queries.table(spark, SF, "documents"), queries.table(spark, SF, "benchmark")
+    get = lambda: sorted((r.doc_id, r.n_words, r.spans, r["items"]) for r in decontaminate.scan(docs, bench, carry=True).collect())
+    want = get()
+    assert any(spans for _, _, spans, _ in want)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
+    sent = []
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value))
+    assert get() == want and not sent
+    assert decontaminate.scan(empty(spark), bench).count() == 0
+    assert decontaminate.scan(awkward(spark), bench).count() == awkward(spark).count()
+
+
+@pytest.mark.parametrize("block", [40, 16 << 20])
+def test_hot_fingerprints_add_no_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    passage = " ".join(f"p{i}" for i in range(12))
+    bench = spark.createDataFrame([(i, f"i{i} {passage}") for i in range(3000)] + [(9000, "a " * 20_000)], "item_id long, text string")
+    texts = ["a " * 50_000, f"x {passage} y {passage}", "p0 p1 p2 p3 p4 p5 p6 p7 p8", passage]
+    got = {r.doc_id: (r.n_words, [(s.a, s.b) for s in r.spans], r["items"]) for r in decontaminate.scan(docs_of(spark, texts), bench).collect()}
+    every = sorted(str(i) for i in range(3000))
+    assert got == {0: (50_000, [(0, 50_000)], ["9000"]), 1: (26, [(1, 13), (14, 26)], every), 2: (9, [], []), 3: (12, [(0, 12)], every)}
+
+
 # ---- pipeline
 
 def test_pipeline_keeps_clean_documents(spark):
