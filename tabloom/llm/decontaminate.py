@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import checkpoint_dir
 from .words import U, Words, chunks, mix
 
 #: Words of a window; words of a gram; grams of a winnowing window (K + W - 1 = SPAN).
@@ -222,6 +223,7 @@ def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def joined_hits(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(t, spans, items) of the texts (t, x) with hits, for items (i, x) of any number; t is a digest of x."""
+    checkpoint_dir(texts.sparkSession)
     kind = "m int, h bigint, t string"
     prints = items.select(F.lit("").alias("t"), "x").mapInArrow(_print_rows(set(), True), kind).select("m", "h").distinct().checkpoint()
     lengths = {r["m"] for r in prints.select("m").distinct().collect()} - {0}  # at most SPAN numbers

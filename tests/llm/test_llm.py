@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -393,6 +394,62 @@ def test_license_texts_headers_and_spdx(spark):
     assert [(rows[i][0], got[i].license) for i in range(len(rows))] == [(p, want) for p, _, want in rows]
 
 
+def test_license_cosines_match_brute_force(spark):
+    rng = random.Random(23)
+    vocabulary = "the work of copyright license mit apache gnu version 2.0 3 public domain holder terms use under released cc0 1.0 code".split()
+    texts = ["\n".join(" ".join(rng.choices(vocabulary, k=rng.randrange(9))) for _ in range(rng.randrange(6))) for _ in range(60)]
+    texts += [x for name, x in license_scan.TEMPLATES.items()] + ["# " + x.replace(" the", " the very own") for x in license_scan.TEMPLATES.values()]
+    texts += ["// SPDX-License-Identifier: (MIT OR ISC) AND GPL-3.0-only\ncode", "# copyright\n# SPDX-License-Identifier:\n", "/* license */ x", *ODD]
+    rows = list(enumerate(texts)) + [(62, texts[62])] * 3  # copies of a row
+    docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, term int")
+
+    def bag(form, text):
+        tf = Counter(re.findall(license_scan.TERM, text.lower()))
+        return {t: math.log(n) + 1 if form == "text" else n for t, n in tf.items()}
+
+    def own_units(text):
+        lines = text.split("\n")
+        head = []
+        for x in lines:
+            if not re.search(license_scan.COMMENT, x):
+                break
+            head.append(x)
+        block = re.search(license_scan.BLOCK, text)
+        top = max("\n".join(head), block[1] if block else "", key=len)
+        out = [("line", 0, n, x) for n, x in enumerate(lines) if re.search(license_scan.UNIT, x)]
+        for _, _, n, x in list(out):
+            if m := re.search(license_scan.SPDX, x):
+                names = re.sub(r"(?i)\bWITH\s+\S+|\b(?:OR|AND)\b|[()]", " ", m[1]).strip(" ")
+                out += [("spdx", j, n, y) for j, y in enumerate(re.split(r"\s+", names))]
+        return [*out, ("text", 0, 0, text), ("text", 1, 0, top)]
+
+    units = {i: own_units(t) for i, t in rows if t and re.search(license_scan.UNIT, t)}
+    every = [(u, bag(u[0], u[3])) for us in units.values() for u in us]
+    templates = [(form, name, bag(form, body)) for form, _, name, body in license_scan.templates()]
+    df, known = Counter(t for _, b in every for t in b), {t for _, _, b in templates for t in b}
+    idf = {t: math.log((len(every) + 1) / (df[t] + 1)) + 1 for t in known}
+    norm = lambda b: math.sqrt(sum((w * idf.get(t, 1.0)) ** 2 for t, w in b.items()))
+    lengths = [norm(b) for _, _, b in templates]
+    want = {}
+    for i, us in units.items():
+        found = []
+        for form, part, n, x in us:
+            b = bag(form, x)
+            for (kind, name, t), size in zip(templates, lengths):
+                dot = sum(w * idf[y] * t[y] * idf[y] for y, w in b.items() if y in t) if kind == form else 0
+                if dot and (c := round(dot / size / norm(b), 6)) >= (license_scan.CLOSE_TEXT if (form, part) == ("text", 0) else license_scan.CLOSE):
+                    found.append((-c, name, n))
+        want[i] = min(found, default=None)
+    got = license_scan.scan(docs, F.lit("a/b")).collect()
+    assert len(got) == len(rows) and sum(x is not None for x in want.values()) > 20
+    for r in got:
+        best = want.get(r.doc_id)
+        if best is None:
+            assert r.license is None, texts[r.doc_id]
+        else:
+            assert (r.license, r.line_no) == best[1:] and abs(r.cosine + best[0]) < 2e-6, texts[r.doc_id]
+
+
 # ---- 7 classifier
 
 def test_ordinal_classifier_orders_held_out_grades(spark):
