@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpoint_dir
 from . import (
@@ -67,12 +67,16 @@ def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_quality.score(docs, ordinal_quality.fit(docs, ordinal_quality.grades(table(spark, sf_dir, "labels"))))
 
 
+def kind_counts(spans: Column, kinds: tuple[str, ...]) -> list[Column]:
+    """n_<kind> of each kind among ``spans`` (a second lambda parameter, defaulted or not, would be an element's place)."""
+    of = lambda k: lambda x: x["kind"] == k
+    return [F.size(F.filter(spans, of(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(kinds)]
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans.detect(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda c: c["base"])
-    counts = [F.size(F.filter("spans", lambda c, k=k: c["base"] & (c["kind"] == k))).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(pii_spans.KINDS)]
-    return found.select("doc.doc_id", *counts, F.sha2(pii_spans.joined(base).cast("binary"), 256).alias("base_sha256"),
+    return found.select("doc.doc_id", *kind_counts(base, pii_spans.KINDS), F.sha2(pii_spans.joined(base).cast("binary"), 256).alias("base_sha256"),
                         pii_spans.joined(F.col("spans")).alias("spans"))
 
 

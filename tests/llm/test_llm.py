@@ -554,6 +554,19 @@ def test_pii_base_spans_and_redaction(spark):
     assert pii_spans.mask(empty(spark)).count() == 0
 
 
+def test_pii_query_counts_each_kind_and_hashes_base_spans(spark, tmp_path):
+    rng = random.Random(81)
+    bits = ["a@b.c ", "x.y@d-e.org, ", "+1 (743) 555-3824;", "1.2.3.4 ", "256.1.1.1 ", "4111 1111 1111 1111;", "é😀", "call 555-123-4567 ", "jo (at) mail [dot] com "]
+    texts = [None, "", *bits, "".join(b * 2 for b in bits)] + ["".join(rng.choices(bits, k=rng.randint(1, 9))) for _ in range(60)]
+    docs_of(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op8_pii(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        want = brute_pii(texts[r.doc_id] or "")
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [want.count(f"{k}:") for k in pii_spans.KINDS], texts[r.doc_id]
+        assert r.base_sha256 == sha(want) and set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
 def test_em_recovers_the_better_labeler():
     rng = random.Random(9)
     seen = Counter()
