@@ -86,9 +86,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(
         ":", F.element_at(names, x["kind"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["kind"] < 3)
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{name}")
-              for k, name in enumerate(secret_scan.KINDS[:3])]
-    return found.select("doc_id", *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *kind_counts(base, secret_scan.KINDS[:3]), F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
