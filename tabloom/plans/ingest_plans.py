@@ -202,6 +202,11 @@ def q_source_names(spark, sf_dir):
                     company_from_source("url").alias("company"), clean_key(name).alias("company_key"))
 
 
+def documents_glob(sf_dir):
+    """Stream source of the documents, one file or a folder of files (a file stream takes a single file only as a pattern)."""
+    return f"{sf_dir.rstrip('/')}/documents.parque[t]"
+
+
 @register("ingest_stream_store", "WITH " + SQL_CHUNK_ROWS + " SELECT DISTINCT chunk_id, source, page FROM hashed")
 def q_ingest_stream_store(spark, sf_dir):
     """Stream the documents file into a fresh store twice (second run = replay)."""
@@ -219,8 +224,8 @@ def q_ingest_stream_store(spark, sf_dir):
                                                            "model_name", "company_name", "company_sectors")
 
     for attempt in ("a", "b"):
-        q = ingest_stream(spark, sf_dir, schema, store, scratch_path(spark, f"ckpt-{run}-{attempt}"),
-                          to_chunks, glob="documents.parquet")
+        q = ingest_stream(spark, documents_glob(sf_dir), schema, store, scratch_path(spark, f"ckpt-{run}-{attempt}"),
+                          to_chunks)
         q.awaitTermination()
     return spark.read.parquet(store).select("chunk_id", "source", "page")
 
