@@ -254,8 +254,8 @@ def q_ingest_both_stores(spark, sf_dir):
             "chunk_id", "source", "page", "content", "company_name", "company_sectors", "embedding")
 
     for attempt in ("a", "b"):
-        q = ingest_both_stream(spark, sf_dir, driver.table(spark, sf_dir, "documents").schema, stores["chunks"], stores["vectors"],
-                               scratch_path(spark, f"ckpt-both-{run}-{attempt}"), to_chunks, to_vectors, glob="documents.parquet")
+        q = ingest_both_stream(spark, documents_glob(sf_dir), driver.table(spark, sf_dir, "documents").schema, stores["chunks"], stores["vectors"],
+                               scratch_path(spark, f"ckpt-both-{run}-{attempt}"), to_chunks, to_vectors)
         q.awaitTermination()
     out = [spark.read.parquet(path).select(F.lit(name).alias("store"), "chunk_id", "source", "page") for name, path in stores.items()]
     return out[0].unionByName(out[1])
