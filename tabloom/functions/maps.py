@@ -17,3 +17,8 @@ def map_of_greatest(entries: Column) -> Column:
 
     named = F.transform(entries, lambda x: x.cast("struct<k:int,v:string>"))
     return F.element_at(F.transform(F.array(F.array_sort(F.filter(named, lambda x: x["k"].isNotNull()))), last_of_key), 1)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once per row (a lambda variable is never inlined)."""
+    return F.element_at(F.transform(F.array(value), body), 1)

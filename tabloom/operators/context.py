@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.maps import map_of_greatest
+from tabloom.functions.maps import let, map_of_greatest
 from tabloom.functions.text import url_quote
 
 # Fixed values that must equal the reference's behaviour.
@@ -105,15 +105,33 @@ def insert_tables(texts: DataFrame, tables: DataFrame, key_cols=("source",)) ->
     number the greatest text stays.  Texts without tables pass through unchanged.
     """
     kk = list(key_cols)
-    maps = tables.groupBy(*kk).agg(map_of_greatest(F.collect_list(F.struct("j", "html"))).alias("_m"))
-    t = texts.join(maps, kk, "left")
+    # A text may hold as many markers as a sector has tables: each number is looked up by halving the sorted ones.
+    found = tables.select(*kk, F.col("j").cast("int").alias("j"), "html").where("j IS NOT NULL").groupBy(*kk, "j").agg(F.max("html").alias("html")).groupBy(*kk).agg(
+        F.array_sort(F.collect_list(F.struct("j", "html"))).alias("_t"))
+    t = texts.join(found, kk, "left")
     parts = F.split(F.col("text"), r"<Table\d+>", -1)
     marks = F.regexp_extract_all(F.col("text"), F.lit(TABLE_MARKER_RE), 1)
-    rebuilt = F.array_join(F.transform(parts, lambda part, i: F.concat(part, F.coalesce(
-        F.try_element_at(F.col("_m"), F.try_element_at(marks, i + 1).cast("int")),
-        F.when(i < F.size(marks), F.concat(F.lit("<Table"), F.try_element_at(marks, i + 1), F.lit(">"))),
-        F.lit("")))), "")
-    return t.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(rebuilt)).drop("_m")
+
+    def html(x: Column, mark: Column) -> Column:
+        n = F.coalesce(F.size(x["t"]), F.lit(0))
+
+        def halve(at: Column, _: Column) -> Column:
+            mid = ((at["lo"] + at["hi"]) / 2).cast("int")
+            below = F.get(x["t"], mid)["j"] < mark
+            return F.when(at["lo"] >= at["hi"], at).when(below, F.struct((mid + 1).alias("lo"), at["hi"].alias("hi"))).otherwise(
+                F.struct(at["lo"].alias("lo"), mid.alias("hi")))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(n + 1)).cast("int"))
+        place = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), halve)["lo"]
+        hit = let(place, lambda at: F.get(x["t"], at))
+        return F.when(hit["j"] == mark, hit["html"])
+
+    def rebuild(x: Column) -> Column:
+        return F.array_join(F.transform(x["parts"], lambda part, i: let(F.get(x["marks"], i), lambda mark: F.concat(part, F.coalesce(
+            html(x, mark.cast("int")), F.concat(F.lit("<Table"), mark, F.lit(">")), F.lit(""))))), "")
+
+    rebuilt = let(F.struct(parts.alias("parts"), marks.alias("marks"), F.col("_t").alias("t")), rebuild)
+    return t.withColumn("text", F.when(F.col("text").isNull(), None).otherwise(rebuilt)).drop("_t")
 
 
 def company_context(table_csv: DataFrame, name_col: str = "source") -> DataFrame:

@@ -1,9 +1,13 @@
 """Context and prompts assembled in the order of their requests."""
 
+import time
+
 import pytest
+from pyspark.sql import functions as F
 
 from tabloom.operators import link as L
 from tabloom.operators import assembly as A
+from tabloom.operators import context as X
 
 REQ = "query_id int, question string, name string, ordinal int"
 REF = "query_id int, name string, source string, page int, ordinal int"
@@ -76,3 +80,21 @@ def test_all_shown_text_of_a_page_is_an_element(spark):
                    (1, 4, "Text", "tail"), (1, 5, "Table", "1"), (2, 0, "Text", "plain"), (5, 0, "Text", "a  b")]
     text = {r.page: r.text for r in L.page_text_with_placeholders(L.html_elements(pages)).collect()}
     assert text[1] == "lead in\n[TABLEPLACEHOLDER 0]\nfree & open\npara\ntail\n[TABLEPLACEHOLDER 1]"
+
+
+def test_markers_find_sparse_repeated_and_missing_numbers(spark):
+    texts = spark.createDataFrame([("a", "<Table1>x<Table900>y<Table2><Table7>"), ("a", None), ("b", "<Table1>"), (None, "<Table1>"), ("a", "plain")], "source string, text string")
+    tables = spark.createDataFrame([("a", 1, "one"), ("a", 2, "zwei"), ("a", 2, "two"), ("a", 900, "far"), ("a", 7, None), (None, 1, "none"), ("a", None, "void")],
+                                   "source string, j int, html string")
+    got = sorted((r.source or "", r.text or "") for r in X.insert_tables(texts, tables).collect())
+    assert got == [("", "<Table1>"), ("a", ""), ("a", "onexfaryzwei<Table7>"), ("a", "plain"), ("b", "<Table1>")]
+
+
+def test_prompt_of_many_tables(spark):
+    n = 20_000
+    tables = spark.range(n).select(F.lit("s").alias("name"), F.lit("f").alias("source"), F.col("id").alias("page"), F.lit(0).alias("table_no"),
+                                   F.concat(F.lit("t"), F.col("id").cast("string")).alias("html"))
+    start = time.monotonic()
+    text = A.table_prompts(tables).first().text
+    assert text.endswith(A.PROMPT_BETWEEN.join(f"t{i}" for i in range(n)) + A.PROMPT_END)
+    assert time.monotonic() - start < 45  # over 55 s where every marker walks through all tables
