@@ -39,6 +39,8 @@ RANK_DIGITS = 9
 # Bytes of a block of queries, and documents and bytes of vectors of a cell.
 QUERY_BLOCK_BYTES = 4 << 20
 CELL_DOCS, CELL_BYTES = 1 << 11, 32 << 20
+# Bytes of text whose terms one task of a fit counts.
+TEXT_BYTES = 8 << 20
 
 
 def chunk_keys(df: DataFrame, key_cols=None) -> list:
@@ -98,31 +100,58 @@ def tfidf_fit(chunks: DataFrame, group_cols=("source",), key_cols=None,
     key that several chunks share raises: their terms could not be told apart.
     """
     g, kk = list(group_cols), chunk_keys(chunks, key_cols)
+    return tfidf_weights(*tfidf_counts(chunks, g, kk, text_col), g, kk)
+
+
+def tfidf_counts(chunks: DataFrame, g: list, kk: list, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(tf per document and term, df per term, documents per group, document keys).
+
+    Texts move once, to the task of their key, where their term rows, which
+    are many times as long, are counted.
+    """
     docs = chunks.select(*g, *kk, F.col(text_col).alias("_text"))
-    terms = docs.select(*g, *kk, F.explode(tokenize("_text")).alias("term"))
+    size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+    terms = docs.repartition(size // TEXT_BYTES + 1, *g, *kk).select(*g, *kk, F.explode(tokenize("_text")).alias("term"))
     tf = terms.groupBy(*g, *kk, "term").agg(F.count(F.lit(1)).alias("tf"))
     per_key = docs.groupBy(*g, *kk).agg(F.count(F.lit(1)).alias("_n"))
     n_docs = per_key.groupBy(*g).agg(F.when(F.max("_n") > 1, F.raise_error(F.lit("several chunks share one key")).cast("long"))
                                      .otherwise(F.count(F.lit(1))).alias("n_docs"))
-    # Counting through the tf value (always > 0) keeps the tf aggregate
-    # identical in both branches, so its shuffle is computed once and reused.
-    dfreq = tf.groupBy(*g, "term").agg(F.count(F.when(F.col("tf") > 0, F.lit(1))).alias("df"))
-    return tfidf_weights(tf, dfreq, n_docs, docs.select(*g, *kk), g, kk)
+    # A key is one row, so its distinct terms are known without moving it.
+    dfreq = docs.select(*g, F.explode(F.array_distinct(tokenize("_text"))).alias("term")).groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
+    return tf, dfreq, n_docs, docs.select(*g, *kk)
 
 
-def tfidf_weights(tf: DataFrame, dfreq: DataFrame, n_docs: DataFrame, docs: DataFrame, g: list, kk: list) -> TfidfModel:
-    """The model of term counts (``tf`` per document and term, ``df`` per term, ``n_docs`` per group)."""
-    idf = dfreq.join(n_docs, g).select(
+def _idf(dfreq: DataFrame, n_docs: DataFrame, g: list) -> DataFrame:
+    return dfreq.join(n_docs, g).select(
         *g, "term",
         (F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0)).alias("idf"))
-    # Hash join building on idf (one row per group and term, far smaller than
-    # tf): no sort of the tf rows; AQE still splits a skewed hot-term partition.
-    w = (tf.join(idf.hint("shuffle_hash"), g + ["term"])
+
+
+def _weigh(tf: DataFrame, idf: DataFrame, g: list, kk: list) -> DataFrame:
+    # Moved by document before the products are made: these would move with them.
+    w = (tf.join(idf, g + ["term"]).select(*g, *kk, "term", "idf", "tf").repartition(*g, *kk)
          .select(*g, *kk, "term", "idf", (F.col("tf") * F.col("idf")).alias("w")))
     doc_win = Window.partitionBy(*g, *kk)
-    weights = w.select(*g, *kk, "term", "idf",
-                       (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc_win))).alias("wn"))
-    return TfidfModel(weights, idf, docs, g, kk)
+    return w.select(*g, *kk, "term", "idf",
+                    (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(doc_win))).alias("wn"))
+
+
+def tfidf_weights(tf: DataFrame, dfreq: DataFrame, n_docs: DataFrame, docs: DataFrame, g: list, kk: list) -> TfidfModel:
+    """The model of term counts (``tf`` per document and term, ``df`` per term, ``n_docs`` per group)."""
+    idf = _idf(dfreq, n_docs, g)
+    # Hash join building on idf (one row per group and term, far smaller than
+    # tf): no sort of the tf rows; AQE still splits a skewed hot-term partition.
+    return TfidfModel(_weigh(tf, idf.hint("shuffle_hash"), g, kk), idf, docs, g, kk)
+
+
+def tfidf_store(chunks: DataFrame, path: str, group_cols=("source",), key_cols=None, text_col: str = "content") -> None:
+    """:func:`tfidf_fit` stored as :meth:`TfidfModel.save` does, the idf first, so that the weights read it."""
+    g, kk = list(group_cols), chunk_keys(chunks, key_cols)
+    tf, dfreq, n_docs, docs = tfidf_counts(chunks, g, kk, text_col)
+    _idf(dfreq, n_docs, g).sortWithinPartitions(*g, "term").write.parquet(f"{path}/idf")
+    idf = chunks.sparkSession.read.parquet(f"{path}/idf")
+    _weigh(tf, idf.hint("shuffle_hash"), g, kk).sortWithinPartitions(*g, "term").write.parquet(f"{path}/weights")
+    docs.write.parquet(f"{path}/docs")
 
 
 def query_terms(queries: DataFrame, query_col: str = "query_id", text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tabloom.functions.text import TOKEN_PATTERN
-from tabloom.operators.retrieve import TfidfModel, tfidf_fit, tfidf_weights
+from tabloom.operators.retrieve import TfidfModel, _idf, _weigh, tfidf_counts, tfidf_store
 from tabloom.session import checkpoint_dir
 
 
@@ -68,9 +68,9 @@ def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[
 
     ``version`` covers the code behind ``build_chunks`` (see :func:`code_version`).
     """
-    full = f"{list(group_cols)}|{list(key_cols)}|{text_col}|{code_version(tfidf_fit, tfidf_weights)}|{TOKEN_PATTERN}|{version}"
+    full = f"{list(group_cols)}|{list(key_cols)}|{text_col}|{code_version(tfidf_counts, _idf, _weigh, tfidf_store)}|{TOKEN_PATTERN}|{version}"
     path = _stored(spark, "indexes", name, inputs, full, "docs",
-                   lambda at: tfidf_fit(build_chunks(), group_cols, key_cols, text_col).save(at))
+                   lambda at: tfidf_store(build_chunks(), at, group_cols, key_cols, text_col))
     return TfidfModel.load(spark, path, group_cols, key_cols)
 
 

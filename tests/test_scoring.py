@@ -104,3 +104,18 @@ def test_lists_shorter_than_k_and_ties_go_by_key(spark):
     qv = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "query_id int, embedding array<float>")
     assert [(r.query_id, r.page) for r in R.dense_topk(qv, vecs, 2).orderBy("rank").collect()] == [(1, 3), (1, 5)]
     assert R.dense_topk(qv.where("false"), vecs, 2).count() == 0 and R.dense_topk(qv, vecs.where("false"), 2).count() == 0
+
+
+def test_fit_moves_texts_not_uncounted_term_rows(spark, tmp_path):
+    import re
+
+    chunks = spark.createDataFrame([("s", 0, "one two two"), ("s", 1, "two three"), ("t", 0, None), ("t", 1, "one one four"), (None, 0, "five five")],
+                                   "source string, page long, content string")
+    model = R.tfidf_fit(chunks, ["source"], ["page"])
+    plan = model.weights._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(source#\d+, page#\d+L, term#", plan)
+    R.tfidf_store(chunks, f"{tmp_path}/fit", ["source"], ["page"])
+    stored = R.TfidfModel.load(spark, f"{tmp_path}/fit", ["source"], ["page"])
+    for a, b in ((model.weights, stored.weights), (model.idf, stored.idf), (model.docs, stored.docs)):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
+    assert {(r.source, r.term): round(r.idf, 4) for r in stored.idf.collect()}["s", "two"] == 1.0
