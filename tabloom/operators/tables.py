@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabloom.functions.maps import map_of_greatest
+from tabloom.functions.maps import let, map_of_greatest
 from tabloom.functions.numbers import with_parsed_number
 from tabloom.functions.text import tokenize
 
@@ -68,6 +68,14 @@ def html_tables_to_cells(df: DataFrame, html_col: str = "html", key_cols=("sourc
 
 
 
+def _whole_key(kk) -> Column:
+    """No key column is null: as in a join, a table whose key holds a null matches nothing of its own."""
+    whole = F.lit(True)
+    for k in kk:
+        whole = whole & F.col(k).isNotNull()
+    return whole
+
+
 def _row_summaries(cells: DataFrame, kk) -> DataFrame:
     """One row per (table, row): its cells as a map, its header pairs, its widths.
 
@@ -81,23 +89,21 @@ def _row_summaries(cells: DataFrame, kk) -> DataFrame:
         F.max("col_idx").alias("_rw"))
 
 
-def _header_pairs(rows: DataFrame, kk) -> DataFrame:
-    """Per table: sorted (col_idx, header) pairs, one per column (max label).
+def _made_once(rows: DataFrame, kk, name: str, make) -> DataFrame:
+    """Column ``name``, which is the same in all rows of a table, as ``make`` of it: worked out at one of the rows."""
+    table = Window.partitionBy(*kk)
+    first = F.row_number().over(table.orderBy(F.lit(0))) == 1
+    rows = rows.withColumn("_first", first).withColumn(name, F.when(F.col("_first"), let(F.col(name), make)))
+    return rows.withColumn(name, F.max(name).over(table)).drop("_first")
 
-    Built from the row summaries with a combinable per-(table, column)
-    aggregate, so the per-table list is bounded by the table's width, not
-    by its row count.
-    """
-    per_col = (rows.select(*kk, F.explode("_h").alias("_p"))
-               .groupBy(*kk, F.col("_p.col_idx").alias("col_idx")).agg(F.max("_p.header").alias("header")))
-    return per_col.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "header"))).alias("_hp"))
 
+def _headers(pairs: Column) -> Column:
+    """Of (col_idx, header) pairs the greatest header of each column, in column order."""
+    def last(p: Column) -> Column:
+        same = lambda x, i: (i + 1 < F.size(p)) & F.get(p, i + 1)["col_idx"].eqNullSafe(x["col_idx"])
+        return F.filter(p, lambda x, i: ~same(x, i))
 
-def _table_summaries(rows: DataFrame, kk) -> DataFrame:
-    """Per table: width of the widest row and the header of every column (combinable aggregates only)."""
-    w = rows.groupBy(*kk).agg((F.max("_rw") + 1).alias("width"))
-    h = _header_pairs(rows, kk)
-    return w.join(h, kk, "left").select(*kk, "width", F.map_from_entries("_hp").alias("_hmap"))
+    return let(F.array_sort(pairs), last)
 
 
 def repair_table(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
@@ -105,18 +111,20 @@ def repair_table(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
 
     Cells right of the header and tables without any header are kept (header
     null).  One aggregation per row (a map col_idx -> cell, bounded by the
-    row's own width), one per table over those row summaries (width,
-    headers), joined back and expanded.
+    row's own width), then a window over a table's row summaries (width, and
+    the distinct header lists of its rows, which may spill), expanded.  Cells
+    that are partitioned by table, or by part of its key, are not moved.
     """
     kk = _key(key_cols)
-    rows = _row_summaries(cells, kk)
-    tabs = _table_summaries(rows, kk)
-    grid = rows.join(tabs, kk).select(
-        *kk, "row_idx", "_m", "_hmap",
-        F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col_idx"))
-    return grid.select(*kk, "row_idx", "col_idx",
-                       F.try_element_at("_hmap", F.col("col_idx")).alias("header"),
-                       F.coalesce(F.try_element_at("_m", F.col("col_idx")), F.lit(MISSING_CELL)).alias("cell"))
+    table = Window.partitionBy(*kk)
+    rows = _row_summaries(cells, kk).where(_whole_key(kk))
+    rows = rows.withColumns({"_w": F.max("_rw").over(table), "_hs": F.collect_set("_h").over(table)})
+    rows = _made_once(rows, kk, "_hs", lambda hs: _headers(F.flatten(hs))).withColumn("_hm", F.map_from_entries("_hs"))
+    made = F.transform(F.sequence(F.lit(0), F.col("_w")), lambda i: F.struct(
+        i.alias("col_idx"), F.try_element_at("_hm", i).alias("header"),
+        F.coalesce(F.try_element_at("_m", i), F.lit(MISSING_CELL)).alias("cell")))
+    grid = rows.select(*kk, "row_idx", F.explode(made).alias("_c"))
+    return grid.select(*kk, "row_idx", "_c.col_idx", "_c.header", "_c.cell")
 
 
 def is_blank(cell: Column) -> Column:
@@ -248,25 +256,27 @@ def csv_quote(cell: Column, sep: str = ";") -> Column:
     return F.when(needs, F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
 
 
-def _rendered(cells: DataFrame, kk, cell_fmt, head_fmt, row_open="", row_close="", sep="") -> DataFrame:
+def _rendered(cells: DataFrame, kk, cell_fmt, head_fmt, row_open="", row_close="", sep="", before: int | None = None) -> DataFrame:
     """Per table: the header line and the body lines in row order, from one pass.
 
     Rows are aggregated first (cells in column order, plus their header
     pairs); the table aggregate then collects the row lines and the distinct
-    header pairs.  Returns (<key>, _head string or null, _lines array<string>).
+    header lists.  Only rows below ``before`` become lines.  Cells that are
+    partitioned by table, or by part of its key, are not moved.  Returns
+    (<key>, _head string or null, _lines array<string>).
     """
     has_h = F.col("header").isNotNull()
+    shown = F.lit(True) if before is None else F.col("row_idx") < before
     rows = cells.groupBy(*kk, "row_idx").agg(
-        F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c")))).alias("_cs"),
+        F.array_sort(F.collect_list(F.when(shown, F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("c"))))).alias("_cs"),
         F.collect_list(F.when(has_h, F.struct("col_idx", "header"))).alias("_h"))
     rows = rows.select(*kk, "row_idx", "_h", F.concat(
         F.lit(row_open), F.array_join(F.transform("_cs", lambda x: cell_fmt(x["c"])), sep), F.lit(row_close))
         .alias("line"))
-    t = rows.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("row_idx", "line"))).alias("_ls"))
-    t = t.join(_header_pairs(rows, kk), kk, "left")
-    hp = F.coalesce(F.col("_hp"), F.array().cast("array<struct<col_idx:int,header:string>>"))
-    head = F.when(F.size(hp) > 0, F.concat(
-        F.lit(row_open), F.array_join(F.transform(hp, lambda x: head_fmt(x["header"])), sep), F.lit(row_close)))
+    t = rows.groupBy(*kk).agg(F.array_sort(F.collect_list(F.when(shown, F.struct("row_idx", "line")))).alias("_ls"),
+                              _headers(F.flatten(F.collect_set("_h"))).alias("_hp"))
+    names = F.transform("_hp", lambda x: head_fmt(x["header"]))
+    head = F.when(F.size("_hp") > 0, F.concat(F.lit(row_open), F.array_join(names, sep), F.lit(row_close)))
     return t.select(*kk, head.alias("_head"), F.transform("_ls", lambda x: x["line"]).alias("_lines"))
 
 
@@ -278,22 +288,17 @@ def render_csv(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";", max_lines:
     """
     kk = _key(key_cols)
     q = lambda c: csv_quote(c, sep)
+    # Preview: only the rows that can appear become lines (at most max_lines - 1
+    # per table); the header comes from the whole table.
+    r = _rendered(cells, kk, q, q, sep=sep, before=None if max_lines is None else max_lines - 1)
+    head = F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array())
     if max_lines is None:
-        r = _rendered(cells, kk, q, q, sep=sep)
-        lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()),
-                         F.col("_lines"))
+        lines = F.concat(F.when(_whole_key(kk), head).otherwise(F.array()), F.col("_lines"))
         return r.select(*kk, F.array_join(lines, "\n").alias("csv"))
-    # Preview: only the rows that can appear are aggregated (at most
-    # max_lines - 1 per table); the header comes from a per-column aggregate
-    # over the whole table (bounded by its width).
-    body = _rendered(cells.where(F.col("row_idx") < max_lines - 1), kk, q, q, sep=sep).select(*kk, "_lines")
-    heads = (cells.where(F.col("header").isNotNull()).groupBy(*kk, "col_idx").agg(F.max("header").alias("h"))
-             .groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "h"))).alias("_hs")))
-    heads = heads.select(*kk, F.array_join(F.transform("_hs", lambda x: q(x["h"])), sep).alias("_head"))
-    r = heads.join(body, kk, "full")
-    lines = F.concat(F.when(F.col("_head").isNotNull(), F.array(F.col("_head"))).otherwise(F.array()),
-                     F.coalesce(F.col("_lines"), F.array().cast("array<string>")))
-    return r.select(*kk, F.array_join(F.slice(lines, 1, max_lines), "\n").alias("csv"))
+    # Of a table whose key holds a null, header and body are two rows.
+    parts = F.when(_whole_key(kk), F.array(F.concat(head, F.col("_lines")))).otherwise(F.array(head, F.col("_lines")))
+    r = r.select(*kk, F.explode(parts).alias("_ls")).where(F.size("_ls") > 0)
+    return r.select(*kk, F.array_join(F.slice("_ls", 1, max_lines), "\n").alias("csv"))
 
 
 def csv_lines(cells: DataFrame, key_cols=TABLE_KEY, sep: str = ";") -> DataFrame:
@@ -321,8 +326,8 @@ def render_html(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
     kk = _key(key_cols)
     r = _rendered(cells, kk, lambda c: F.concat(F.lit("<td>"), _esc(c), F.lit("</td>")),
                   lambda c: F.concat(F.lit("<th>"), _esc(c), F.lit("</th>")), "<tr>", "</tr>")
-    body = F.array_join(F.col("_lines"), "")
-    return r.select(*kk, F.concat(F.lit("<table>"), F.coalesce("_head", F.lit("")), body,
+    body, head = F.array_join(F.col("_lines"), ""), F.when(_whole_key(kk), F.col("_head"))
+    return r.select(*kk, F.concat(F.lit("<table>"), F.coalesce(head, F.lit("")), body,
                                   F.lit("</table>")).alias("html"))
 
 

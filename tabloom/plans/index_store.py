@@ -74,7 +74,26 @@ def stored_tfidf(spark: SparkSession, name: str, inputs, build_chunks: Callable[
     return TfidfModel.load(spark, path, group_cols, key_cols)
 
 
-def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame], version: str) -> DataFrame:
-    """A derived table stored once per (inputs, version)."""
-    path = _stored(spark, "tables", name, inputs, version, "rows", lambda at: build().write.parquet(f"{at}/rows"))
-    return spark.read.parquet(f"{path}/rows")
+def input_bytes(spark: SparkSession, paths) -> int:
+    """Size of the files below the inputs."""
+    return sum(fs.getContentSummary(p).getLength() for p, fs in (_fs(spark, path) for path in paths))
+
+
+def stored_frame(spark: SparkSession, name: str, inputs, build: Callable[[], DataFrame], version: str, by: list[str],
+                 buckets: int) -> DataFrame:
+    """A derived table stored once per (inputs, version), in buckets of the columns ``by``.
+
+    ``build()`` is best partitioned by them into as many parts.  Spark knows buckets by a table's
+    definition, so each session defines an external one, which has no data of its own, over the files.
+    """
+    def write(at: str) -> None:
+        made = f"{name}_{uuid.uuid4().hex}"
+        build().write.bucketBy(buckets, *by).option("compression", "zstd").option("path", f"{at}/rows").saveAsTable(made)
+        spark.sql(f"DROP TABLE {made}")
+
+    path = _stored(spark, "tables", name, inputs, f"{version}|{by}|{buckets}", "rows", write) + "/rows"
+    table = f"{name}_{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(path).schema)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet CLUSTERED BY ({', '.join(by)}) INTO {buckets} BUCKETS LOCATION '{path}'")
+    return spark.table(table)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tabloom.functions.numbers import format_answer, parse_number_sql_ctes, with_parsed_number
@@ -61,10 +62,13 @@ kept AS (SELECT *, max(CASE WHEN cell IS NULL OR trim(cell) = '' OR lower(trim(c
 SELECT source, page, table_no, row_idx, col_idx, header, cell FROM kept WHERE filled = 1""")
 def q_drop_empty_rows(spark, sf_dir):
     c = driver.cells(spark, sf_dir)
-    blank = c.groupBy(*KEY).agg((F.max("row_idx") + 1).alias("row_idx")).select(
-        *KEY, "row_idx", F.lit(0).alias("col_idx"), F.lit(None).cast("string").alias("header"),
-        F.when(F.col("page") % 2 == 0, "NaN").otherwise(" ").alias("cell"))
-    return T.drop_empty_rows(T.repair_table(c.select(*blank.columns).unionByName(blank)))
+    # The blank row follows a table's last cell, so that no cell is moved.
+    last = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("row_idx"))) == 1
+    own = F.struct("row_idx", "col_idx", "header", "cell")
+    blank = F.struct((F.col("row_idx") + 1).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit(None).cast("string").alias("header"),
+                     F.when(F.col("page") % 2 == 0, "NaN").otherwise(" ").alias("cell"))
+    dirty = c.withColumn("_last", last).select(*KEY, F.explode(F.when(F.col("_last"), F.array(own, blank)).otherwise(F.array(own))).alias("_c"))
+    return T.drop_empty_rows(T.repair_table(dirty.select(*KEY, "_c.*")))
 
 
 @register("unique_headers", "WITH " + S.CELLS + """,

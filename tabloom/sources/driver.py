@@ -90,8 +90,7 @@ def table_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), "source")
     t = o.select(F.col("o_orderkey"),
-                 F.floor(F.col("o_orderkey") / TABLES_PER_PAGE).cast("long").alias("page"),
-                 (F.col("o_orderkey") % TABLES_PER_PAGE).cast("int").alias("table_no"))
+                 _page("o_orderkey").alias("page"), _table_no("o_orderkey").alias("table_no"))
     return t.join(d, "page").select("source", "page", "table_no", "o_orderkey")
 
 
@@ -101,45 +100,80 @@ CELL_HEADERS = ("item", "flag", "value", "value", "discount", "tax", " ")
 NOTE_CELL = "** R"
 
 
+# Bytes of lineitem whose table rows make one bucket of the stored rows, and the least number of buckets.
+BUCKET_BYTES, MIN_BUCKETS = 4 << 20, 16
+
+
 def cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """Long cells of the lineitem tables, as a stored table.
+    """Long cells of the lineitem tables, read from stored table rows.
 
     Production extracts tables once and stores their cells; here the mapping
-    from lineitem (``derive_cells``) plays that role and is stored once per
-    version of its input files and code below the shared checkpoint folder.
+    from lineitem (``derive_rows``) plays that role and is stored once per
+    version of its input files and code below the shared checkpoint folder,
+    bucketed by table: what an operator groups by table or row is not moved.
     ``only(source, page, table_no)`` keeps just those tables.
     """
     import inspect
 
     from tabloom.plans.index_store import stored_frame
+    from tabloom.plans.sizing import broadcast_if_bounded
 
     d = sf_dir.rstrip("/")
-    version = hashlib.sha256((inspect.getsource(derive_cells) + inspect.getsource(table_index)
+    version = hashlib.sha256((inspect.getsource(derive_rows) + inspect.getsource(table_index)
                               + repr((CELL_HEADERS, NOTE_CELL, TABLES_PER_PAGE))).encode()).hexdigest()[:12]
-    c = stored_frame(spark, "cells", [f"{d}/lineitem.parquet", f"{d}/orders.parquet", f"{d}/documents.parquet"],
-                     lambda: derive_cells(spark, sf_dir), version)
+    rows = stored_frame(spark, "cells", [f"{d}/lineitem.parquet", f"{d}/orders.parquet", f"{d}/documents.parquet"],
+                        lambda: derive_rows(spark, sf_dir), version, ["page", "table_no"], _buckets(spark, sf_dir))
     if only is not None:
-        c = c.join(only.select("source", "page", "table_no").distinct(), ["source", "page", "table_no"], "left_semi")
-    return c
+        kept = only.select("source", "page", "table_no").distinct()
+        rows = rows.join(broadcast_if_bounded(kept), ["source", "page", "table_no"], "left_semi")
+    return _long(rows)
+
+
+def _long(rows: DataFrame) -> DataFrame:
+    x = rows.select("source", "page", "table_no", "row_idx", F.explode("entries").alias("_e")).where("_e is not null")
+    return x.select("source", "page", "table_no", "row_idx", "_e.col_idx", "_e.header", "_e.cell")
 
 
 def derive_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
-    """Long cells of the lineitem tables (one table per order).
+    """Long cells of the lineitem tables, not stored: ``derive_rows`` with one row per cell."""
+    return _long(derive_rows(spark, sf_dir, only))
+
+
+def _page(orderkey: str):
+    return F.floor(F.col(orderkey) / TABLES_PER_PAGE).cast("long")
+
+
+def _table_no(orderkey: str):
+    return (F.col(orderkey) % TABLES_PER_PAGE).cast("int")
+
+
+def _buckets(spark: SparkSession, sf_dir: str) -> int:
+    from tabloom.plans.index_store import input_bytes
+
+    return max(MIN_BUCKETS, input_bytes(spark, [f"{sf_dir.rstrip('/')}/lineitem.parquet"]) // BUCKET_BYTES)
+
+
+def derive_rows(spark: SparkSession, sf_dir: str, only: DataFrame | None = None) -> DataFrame:
+    """The rows of the lineitem tables (one table per order): source, page, table_no, row_idx, entries.
 
     ``only(source, page, table_no)`` restricts the tables before any line is
     read into cells (the semi join runs on the small table index, so the
-    filter reaches the lineitem join instead of trailing the explode).
+    filter reaches the lineitem join instead of trailing it).  Lines move
+    once, to the task of their table.
 
-    Columns: item label, return flag, quantity, price with thousands commas,
-    discount in percent, tax with a decimal comma (absent when 0, so rows are
+    Entries: item label, return flag, quantity, price with thousands commas,
+    discount in percent, tax with a decimal comma (null when 0, so rows are
     ragged), ship year, and an extra header-less note cell on returned lines.
     """
-    li = table(spark, sf_dir, "lineitem")
+    li = table(spark, sf_dir, "lineitem").where("l_orderkey is not null").withColumns(
+        {"page": _page("l_orderkey"), "table_no": _table_no("l_orderkey")})
     ti = table_index(spark, sf_dir)
     if only is not None:
         ti = ti.join(only.select("source", "page", "table_no").distinct(), ["source", "page", "table_no"],
                      "left_semi")
-    r = li.join(ti, li.l_orderkey == ti.o_orderkey)
+    # Page and number are one to one with the order key: the join, the numbering and the buckets share one move.
+    n, at = _buckets(spark, sf_dir), ["page", "table_no"]
+    r = li.drop("l_orderkey").repartition(n, *at).join(ti.drop("o_orderkey").repartition(n, *at), at)
     h = CELL_HEADERS
 
     def e(i, header, cell):
@@ -158,13 +192,10 @@ def derive_cells(spark: SparkSession, sf_dir: str, only: DataFrame | None = None
     )
     # Line numbers repeat inside an order, so rows are numbered by a full sort
     # of the line's values (ties are lines with identical cells).
-    order = Window.partitionBy("l_orderkey").orderBy(
+    order = Window.partitionBy(*at).orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
         "l_returnflag", "l_linestatus", "l_shipdate")
-    r = r.withColumn("row_idx", F.row_number().over(order) - 1)
-    x = r.select("source", "page", "table_no", "row_idx",
-                 F.explode(F.filter(entries, lambda s: s.isNotNull())).alias("_e"))
-    return x.select("source", "page", "table_no", "row_idx", "_e.col_idx", "_e.header", "_e.cell")
+    return r.withColumn("row_idx", F.row_number().over(order) - 1).select("source", *at, "row_idx", entries.alias("entries"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
