@@ -144,17 +144,14 @@ def drop_empty_rows(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
 
 
 def unique_headers(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
-    """Trimmed headers; blanks -> col_<i>; repeats -> the first free of name_1, name_2, ..."""
+    """Trimmed headers; blanks -> col_<i>; repeats -> the first free of name_1, name_2, ...
+
+    A table's names are made once, at one of its cells, and reach the others
+    by a window; cells that are partitioned by table are not moved.
+    """
     kk = _key(key_cols)
-    h = (cells.where(F.col("header").isNotNull())
-         .groupBy(*kk, "col_idx").agg(F.max("header").alias("_h")))
-    base = F.trim("_h")
-    named = h.withColumn("_b", F.when(base == "", F.concat(F.lit(BLANK_HEADER_PREFIX),
-                                                            F.col("col_idx").cast("string"))).otherwise(base))
-    # Names in column order, bounded by the table's width: a repeat takes the first
-    # suffix that no header of the table, original or made, has.
-    heads = named.groupBy(*kk).agg(F.array_sort(F.collect_list(F.struct("col_idx", "_b"))).alias("_hs"))
-    given = F.transform("_hs", lambda x: F.lower(x["_b"]))
+    table = Window.partitionBy(*kk)
+    pairs = F.collect_set(F.when(F.col("header").isNotNull(), F.struct("col_idx", "header"))).over(table)
 
     def place(acc, x):
         low = F.lower(x["_b"])
@@ -166,10 +163,20 @@ def unique_headers(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
         return F.struct(F.concat(acc["out"], F.array(F.struct(x["col_idx"].alias("col_idx"), name.alias("_u")))).alias("out"),
                         acc["all"].alias("all"))
 
-    start = F.struct(F.array().cast("array<struct<col_idx:int,_u:string>>").alias("out"), given.alias("all"))
-    named = heads.select(*kk, F.explode(F.aggregate("_hs", start, place)["out"]).alias("_e")).select(*kk, "_e.*")
-    return (cells.join(named, [*kk, "col_idx"], "left")
-            .withColumn("header", F.col("_u")).drop("_u"))
+    def names(given):
+        base = lambda x: F.trim(x["header"])
+        heads = F.transform(given, lambda x: F.struct(x["col_idx"].alias("col_idx"), F.when(
+            base(x) == "", F.concat(F.lit(BLANK_HEADER_PREFIX), x["col_idx"].cast("string"))).otherwise(base(x)).alias("_b")))
+        # Names in column order, bounded by the table's width: a repeat takes the first
+        # suffix that no header of the table, original or made, has.
+        start = lambda hs: F.struct(F.array().cast("array<struct<col_idx:int,_u:string>>").alias("out"),
+                                    F.transform(hs, lambda x: F.lower(x["_b"])).alias("all"))
+        return let(heads, lambda hs: F.aggregate(hs, start(hs), place)["out"])
+
+    named = _made_once(cells.withColumn("_n", pairs), kk, "_n", lambda p: names(_headers(p)))
+    own = F.get(F.filter("_n", lambda n: n["col_idx"] == F.col("col_idx")), 0)["_u"]
+    return (named.withColumn("header", F.when(_whole_key(kk), own))
+            .drop("_n"))
 
 
 def clean_cells(cells: DataFrame) -> DataFrame:
