@@ -24,7 +24,7 @@ MISSING_CELL = "NaN"          # filler of padded cells
 PREVIEW_LINES = 30            # lines of a table shown for relevance checks
 BLANK_HEADER_PREFIX = "col_"  # name of a blank header: col_<position>
 # OCR noise removed from cells (symbols only, never letters or digits).
-NOISE_CHARS = r"[*#§¤•■□▪►|]"
+NOISE_CHARS = "*#§¤•■□▪►|"
 #: A header cell that is a year, and a row label that only names the period.
 HEADER_YEAR_RE = r"^(?i:fy ?)?(?:19|20)[0-9]{2}$"
 PERIOD_LABEL_RE = r"(?i)^(?:(?:fiscal|financial|reporting) )?(?:year|years|period)$"
@@ -181,8 +181,8 @@ def unique_headers(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
 
 def clean_cells(cells: DataFrame) -> DataFrame:
     """Remove OCR noise symbols and code-fence backticks from cells."""
-    c = F.regexp_replace(F.col("cell"), NOISE_CHARS, "")
-    c = F.regexp_replace(c, r"^`+|`+$", "")
+    c = F.translate("cell", NOISE_CHARS, "")
+    c = F.when(c.contains("`"), F.regexp_replace(c, r"^`+|`+$", "")).otherwise(c)
     return cells.withColumn("cell", F.trim(c))
 
 
