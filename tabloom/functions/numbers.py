@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabloom.functions.maps import let
+
 # The missing-data markers seen in report tables.
 MISSING_MARKERS = ("", "na", "n/a", "n.a.", "nan", "-", "–", "—", "up", "null", "none")
 
@@ -41,59 +43,44 @@ def to_double(s: Column) -> Column:
     return F.when(norm.rlike(PLAIN_RE), norm.cast("double"))
 
 
-def with_parsed_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
-    """Add ``lo, hi, op, is_pct`` (optionally prefixed) parsed from ``col``.
+def parsed_number(text: Column) -> Column:
+    """T9 as one struct (lo, hi, op, is_pct) of a text.
 
-    The parser runs as a few successive projections so every intermediate is
-    computed once per row (one fused Column would repeat sub-expressions
-    and overflow generated-code limits).
+    Every intermediate is a lambda variable: it is computed once, also where a
+    filter on a field is moved in front of the projection, and what a text
+    does not need (ranges of a plain number, numbers of a marker) is left out.
     """
-    t0 = F.trim(F.col(col))
-    s1 = df.withColumns({
-        "_pn_missing": t0.isNull() | F.lower(t0).isin(*MISSING_MARKERS),
-        "_pn_pct": F.coalesce(F.instr(t0, "%") > 0, F.lit(False)),
-        "_pn_t1": F.regexp_replace(t0, r"[%\s]", ""),
-    })
-    t1 = F.col("_pn_t1")
-    acc = t1.rlike(ACCOUNTING_RE)
-    s2 = s1.withColumns({"_pn_acc": acc,
-                         "_pn_t2": F.when(acc, F.regexp_extract(t1, ACCOUNTING_RE, 1)).otherwise(t1)})
-    t2 = F.col("_pn_t2")
-    s3 = s2.withColumns({"_pn_op": F.regexp_extract(t2, OP_RE, 1),
-                         "_pn_body": F.regexp_replace(t2, OP_RE, "")})
-    body = F.col("_pn_body")
-    s4 = s3.withColumns({
-        "_pn_rng": body.rlike(RANGE_RE),
-        "_pn_n": _normalize(body),
-        "_pn_n1": _normalize(F.regexp_extract(body, RANGE_RE, 1)),
-        "_pn_n2": _normalize(F.regexp_extract(body, RANGE_RE, 2)),
-    })
-    s5 = s4.withColumns({
-        "_pn_v": _checked(F.col("_pn_n")) * F.when(F.col("_pn_acc"), F.lit(-1.0)).otherwise(F.lit(1.0)),
-        "_pn_d1": _checked(F.col("_pn_n1")),
-        "_pn_d2": _checked(F.col("_pn_n2")),
-    })
-    missing, rng, op, v = F.col("_pn_missing"), F.col("_pn_rng"), F.col("_pn_op"), F.col("_pn_v")
-    out = s5.withColumns({
-        prefix + "lo": F.when(missing, None).when(rng, F.col("_pn_d1")).when(op.isin("<", "<="), None)
-        .otherwise(v).cast("double"),
-        prefix + "hi": F.when(missing, None).when(rng, F.col("_pn_d2")).when(op.isin(">", ">="), None)
-        .otherwise(v).cast("double"),
-        prefix + "op": F.when(missing, None).when(rng, F.lit("range")).when(v.isNull(), None)
-        .when(op.isin("", "=", "~"), F.lit("=")).otherwise(op),
-        prefix + "is_pct": F.col("_pn_pct") & ~missing,
-    })
-    return out.drop(*[c for c in out.columns if c.startswith("_pn_")])
-
-
-def _normalize(s: Column) -> Column:
-    return (F.when(s.rlike(THOUSANDS_RE), F.regexp_replace(s, ",", ""))
-            .when(s.rlike(DECIMAL_COMMA_RE), F.regexp_replace(s, ",", "."))
-            .otherwise(s))
+    def result(lo, hi, op, pct) -> Column:
+        return F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"), op.cast("string").alias("op"), pct.alias("is_pct"))
 
+    null = F.lit(None)
 
-def _checked(norm: Column) -> Column:
-    return F.when(norm.rlike(PLAIN_RE), norm.cast("double"))
+    def plain(body: Column, op: Column, sign: Column, pct: Column) -> Column:
+        return let(to_double(body) * sign, lambda v: result(
+            F.when(~op.isin("<", "<="), v), F.when(~op.isin(">", ">="), v),
+            F.when(v.isNotNull(), F.when(op.isin("", "=", "~"), "=").otherwise(op)), pct))
+
+    def span(body: Column, pct: Column) -> Column:
+        end = lambda k: let(F.regexp_extract(body, RANGE_RE, k), to_double)
+        return result(end(1), end(2), F.lit("range"), pct)
+
+    def compared(s: Column, sign: Column, pct: Column) -> Column:
+        return let(F.regexp_extract(s, OP_RE, 1), lambda op: let(F.when(op == "", s).otherwise(F.regexp_replace(s, OP_RE, "")), lambda body: F.when(
+            body.rlike(RANGE_RE), span(body, pct)).otherwise(plain(body, op, sign, pct))))
+
+    def number(t: Column, pct: Column) -> Column:
+        return let(F.regexp_replace(t, r"[%\s]", ""), lambda s: F.when(s.rlike(ACCOUNTING_RE), let(
+            F.regexp_extract(s, ACCOUNTING_RE, 1), lambda inner: compared(inner, F.lit(-1.0), pct))).otherwise(compared(s, F.lit(1.0), pct)))
+
+    missing = lambda t: t.isNull() | F.lower(t).isin(*MISSING_MARKERS)
+    return let(F.trim(text), lambda t: F.when(missing(t), result(null, null, null, F.lit(False))).otherwise(
+        number(t, F.coalesce(F.instr(t, "%") > 0, F.lit(False)))))
+
+
+def with_parsed_number(df: DataFrame, col: str, prefix: str = "") -> DataFrame:
+    """Add ``lo, hi, op, is_pct`` (optionally prefixed) parsed from ``col``."""
+    out = df.withColumn("_pn", parsed_number(F.col(col)))
+    return out.withColumns({prefix + k: F.col(f"_pn.{k}") for k in ("lo", "hi", "op", "is_pct")}).drop("_pn")
 
 
 #: Decimals kept before rounding once: beyond those a double of up to 10 digits has.

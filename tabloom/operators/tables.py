@@ -398,22 +398,22 @@ def to_facts(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0,
     parsed lower bound.
     """
     kk = _key(key_cols)
-    labels = cells.where(F.col("col_idx") == label_col).select(*kk, "row_idx", F.col("cell").alias("row_label"))
+    row = Window.partitionBy(*kk, "row_idx")
     no_header, bracketed = F.trim(F.coalesce("header", F.lit(""))) == "", r"^\s*\(([^()]+)\)\s*$"
-    named = F.coalesce("header", F.lit("")).rlike(unit_header_re)
-    units = (cells.where(named | (no_header & (F.col("col_idx") != label_col) & F.col("cell").rlike(bracketed)))
-             .groupBy(*kk, "row_idx").agg(F.coalesce(F.max(F.when(named, F.col("cell"))),
-                                                     F.max(F.when(F.col("cell").rlike(bracketed), F.regexp_extract("cell", bracketed, 1)))).alias("unit")))
+    is_label, named = F.col("col_idx") == label_col, F.coalesce("header", F.lit("")).rlike(unit_header_re)
+    in_brackets = F.when((named | (no_header & ~is_label)) & F.col("cell").rlike(bracketed), F.regexp_extract("cell", bracketed, 1))
+    # A row's labels and unit reach its cells by a window, bounded by the row's width.
+    known = cells.withColumns({"_labels": F.collect_list(F.when(is_label, F.struct("cell"))).over(row),
+                               "_unit": F.coalesce(F.max(F.when(named, F.col("cell"))).over(row), F.max(in_brackets).over(row))})
+    known = known.where(~is_label & ~named)
+    whole = _whole_key([*kk, "row_idx"])
+    labels = F.when(whole & (F.size("_labels") > 0), F.col("_labels")).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("cell"))))
+    data = known.select(*kk, "row_idx", "col_idx", "header", "cell", F.when(whole, F.col("_unit")).alias("unit"), F.explode(labels).alias("_label"))
     of_label = F.when(F.col("row_label").rlike(r"\([^()]+\)\s*$"), F.regexp_extract("row_label", r"\(([^()]+)\)\s*$", 1))
-    data = cells.where((F.col("col_idx") != label_col)
-                       & ~F.coalesce(F.col("header"), F.lit("")).rlike(unit_header_re))
     year = F.regexp_extract(F.coalesce(F.col("header"), F.lit("")), YEAR_RE, 1)
-    facts = with_parsed_number(data, "cell").select(
-        *kk, "row_idx", "col_idx", F.col("header").alias("column_label"),
-        F.when(year != "", year.cast("int")).alias("year"), F.col("lo").alias("value"), "is_pct")
-    return (facts.join(labels, [*kk, "row_idx"], "left").join(units, [*kk, "row_idx"], "left")
-            .select(*kk, "row_idx", "col_idx", "row_label", "column_label", F.coalesce("unit", of_label).alias("unit"),
-                    "year", "value", "is_pct"))
+    facts = with_parsed_number(data.withColumn("row_label", F.col("_label.cell")), "cell")
+    return facts.select(*kk, "row_idx", "col_idx", "row_label", F.col("header").alias("column_label"), F.coalesce("unit", of_label).alias("unit"),
+                        F.when(year != "", year.cast("int")).alias("year"), F.col("lo").alias("value"), "is_pct")
 
 
 def table_preview(cells: DataFrame, key_cols=TABLE_KEY, n: int = PREVIEW_LINES) -> DataFrame:

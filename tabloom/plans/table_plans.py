@@ -266,8 +266,9 @@ def q_facts_to_answers(spark, sf_dir):
     facts = T.to_facts(driver.cells(spark, sf_dir)).where((F.col("column_label") == MONEY_COLUMN) & F.col("value").isNotNull())
     reported = facts.select(F.col("source").alias("company"), F.col("column_label").alias("metric"),
                             F.lit("cent").alias("unit"), "value")
-    rules = spark.createDataFrame([("cent", "unit", 0.01)], "unit string, target string, factor double")
+    rules = spark.range(1).select(F.lit("cent").alias("unit"), F.lit("unit").alias("target"), F.lit(0.01).alias("factor"))
     same = Q.normalize_units(reported, rules, "unit").where("status = 'ok'")
     by = ["company", "metric"]
-    total = Q.q_sum(same, by).select(*by, F.round(F.col("value").cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string").alias("total"))
-    return total.join(Q.q_best(same, by, "max").select(*by, format_answer("value").alias("highest")), by)
+    found = Q.q_together(same, by, total="sum", highest="max").dropna(subset=by)
+    return found.select(*by, F.round(F.col("total").cast("decimal(38,6)"), 2).cast("decimal(38,2)").cast("string").alias("total"),
+                        format_answer("highest").alias("highest"))
