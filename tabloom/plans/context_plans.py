@@ -119,8 +119,13 @@ tcsv AS (SELECT source, page, table_no, string_agg(line, chr(10) ORDER BY row_id
          FROM (SELECT * FROM hl UNION ALL SELECT * FROM bl) GROUP BY ALL)"""
 
 
+def _kept(spark, sf_dir, *cols):
+    """Kept references of the given columns, a few per code and source: worked out once for all that read them."""
+    return refs_after(spark, sf_dir).select(*cols, *KEY).distinct().checkpoint()
+
+
 def _kept_cells(spark, sf_dir):
-    kept = refs_after(spark, sf_dir).select(*KEY).distinct()
+    kept = _kept(spark, sf_dir)
     return driver.cells(spark, sf_dir, only=kept)
 
 
@@ -169,7 +174,7 @@ SELECT code, source, regexp_replace('Company name: ' || source || chr(10) || chr
        || string_agg(html || chr(10) || chr(10), '' ORDER BY page, table_no), '^\\s+|\\s+$', '', 'g') AS listing
 FROM th GROUP BY code, source""")
 def q_table_listing(spark, sf_dir):
-    kept = refs_after(spark, sf_dir).select("code", *KEY).distinct()
+    kept = _kept(spark, sf_dir, "code")
     html = T.render_html(driver.cells(spark, sf_dir, only=kept))
     return X.table_listing(kept.join(html, KEY), ["code", "source"])
 
@@ -183,7 +188,7 @@ ss AS (SELECT code, lang, 'The company below are inside the following sector: '
 SELECT code, regexp_replace(string_agg(t, '' ORDER BY lang), '^\\s+|\\s+$', '', 'g') AS listing FROM ss GROUP BY code""")
 def q_sector_table_listing(spark, sf_dir):
     """X5 (sector form): per code the kept tables of each company below its sector (here a language)."""
-    kept = refs_after(spark, sf_dir).select("code", *KEY).distinct()
+    kept = _kept(spark, sf_dir, "code")
     html = T.render_html(driver.cells(spark, sf_dir, only=kept))
     lang = driver.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page"), F.col("lang").alias("sector"))
     return X.table_listing(kept.join(html, KEY).join(lang, "page"), ["code"], "sector")
