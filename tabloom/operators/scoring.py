@@ -79,9 +79,8 @@ def sparse_cell(group_cols, key_cols, k: int, digits: int) -> Callable[[pa.Table
 
     A block of documents knows the greatest weight of each of its terms.  A
     query whose bounds sum to less than its k-th score skips the block.  Else
-    its terms of least bound are set aside as long as they cannot reach the
-    k-th score together: only documents with one of the other terms are
-    scored, and the terms set aside are added for those alone.
+    the weights of its terms, laid out as rows over the documents, are added
+    up at once, and only documents above the k-th score are offered.
     """
     g, kk = list(group_cols), list(key_cols)
     slack = 10.0 ** -digits  # rounding may lift a score by half of it
@@ -95,6 +94,8 @@ def sparse_cell(group_cols, key_cols, k: int, digits: int) -> Callable[[pa.Table
         qtf = np.asarray(pc.fill_null(queries["qtf"].combine_chunks(), 0.0))
         wanted = [(word[query == q], qtf[query == q]) for q in range(len(ids))]
         wanted = [(t[t >= 0], f[t >= 0]) for t, f in wanted]
+        asks = np.repeat(np.arange(len(wanted)), [len(t) for t, _ in wanted])
+        every = [np.concatenate(x) if x else np.zeros(0) for x in zip(*wanted)] if wanted else [np.zeros(0, dtype=np.int64), np.zeros(0)]
         term = np.asarray(pc.fill_null(pc.index_in(docs["term"].combine_chunks(), value_set=terms, skip_nulls=True), -1)).astype(np.int64)
         weight = np.asarray(pc.fill_null(docs["w"].combine_chunks(), 0.0))
         doc = _codes(docs, [*g, *kk])
@@ -106,40 +107,37 @@ def sparse_cell(group_cols, key_cols, k: int, digits: int) -> Callable[[pa.Table
             for lo in range(int(doc[a]), int(doc[b - 1]) + 1, BLOCK_DOCS):
                 hi = min(lo + BLOCK_DOCS, int(doc[b - 1]) + 1)
                 s, e = np.searchsorted(doc, [lo, hi])
-                _score_block(term[s:e], weight[s:e], doc[s:e] - lo, lo, hi - lo, wanted, best, len(terms))
+                _score_block(term[s:e], weight[s:e], doc[s:e] - lo, lo, hi - lo, wanted, best, len(terms), asks, *every)
             found += [(q, x) for q, x in enumerate(best)]
         return _result(found, ids, docs.select([*g, *kk]).take(pa.array(first)), "raw")
 
-    def _score_block(term, weight, doc, lo, n, wanted, best, n_terms) -> None:
+    def _score_block(term, weight, doc, lo, n, wanted, best, n_terms, asks, words, qtf) -> None:
         own = term >= 0
-        order = np.argsort(term[own], kind="stable")
-        term, weight, doc = term[own][order], weight[own][order], doc[own][order]
-        start = np.searchsorted(term, np.arange(n_terms + 1))
+        term, weight, doc = term[own], weight[own], doc[own]
         bound = np.zeros(n_terms)
-        if len(term):
-            full = np.flatnonzero(np.diff(start))
-            bound[full] = np.maximum.reduceat(weight, start[full])
-        every = np.arange(n)
-        for (words, qtf), top in zip(wanted, best):
-            least = top.least()
-            reach = qtf * bound[words]
-            if least >= 0 and reach.sum() < least - slack:
-                continue
-            aside = np.argsort(reach, kind="stable")
-            cut = int(np.searchsorted(np.cumsum(reach[aside]), least - slack)) if least > 0 else 0
-            sums, seen = np.zeros(n), np.zeros(n, dtype=bool)
-            for j in aside[cut:]:
-                p = slice(start[words[j]], start[words[j] + 1])
-                sums[doc[p]] += qtf[j] * weight[p]
-                seen[doc[p]] = True
-            docs = every if least == -np.inf else np.flatnonzero(seen)
-            if not len(docs):
-                continue
-            for j in aside[:cut]:
-                p = slice(start[words[j]], start[words[j] + 1])
-                at = seen[doc[p]]
-                sums[doc[p][at]] += qtf[j] * weight[p][at]
-            top.offer(np.round(sums[docs], digits), docs + lo, sums[docs])
+        np.maximum.at(bound, term, weight)
+        reach = np.bincount(asks, qtf * bound[words], len(wanted))
+        least = np.array([top.least() for top in best])
+        left = np.flatnonzero((least < 0) | (reach >= least - slack))
+        if not len(left):
+            return
+        here = np.unique(term)
+        place = np.full(n_terms, -1)
+        place[here] = np.arange(len(here))
+        step = max(1, SCORE_CELLS // max(1, len(here)))
+        for a in range(0, n, step):
+            b = min(a + step, n)
+            within = (doc >= a) & (doc < b)
+            rows = np.zeros((len(here), b - a))
+            rows[place[term[within]], doc[within] - a] = weight[within]
+            for q in left:
+                (t, f), top = wanted[q], best[q]
+                at = place[t]
+                sums = f[at >= 0] @ rows[at[at >= 0]]
+                rounded = np.round(sums, digits)
+                docs = np.flatnonzero(rounded > top.least())
+                if len(docs):
+                    top.offer(rounded[docs], docs + (lo + a), sums[docs])
 
     return score
 

@@ -24,7 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tabloom.functions.text import tokenize
-from tabloom.operators.retrieve import TfidfModel, tfidf_weights
+from tabloom.operators.retrieve import TEXT_BYTES, TfidfModel, tfidf_weights
+from tabloom.plans.sizing import broadcast_if_bounded
 
 
 @dataclass
@@ -44,10 +45,11 @@ class TermIndex:
 
     def add(self, chunks: DataFrame, batch: int, text_col: str = "content") -> None:
         """Count the documents that the index does not hold yet."""
-        self._write(self._counts(self._match(chunks, self._live("doc", batch), "left_anti"), text_col), batch)
+        self._write(self._counts(chunks, text_col, self._live("doc", batch)), batch)
 
     def remove(self, keys: DataFrame, batch: int) -> None:
         """Take documents out; ``keys`` holds their group and key columns."""
+        keys = broadcast_if_bounded(keys.select(*self.group_cols, *self.key_cols).distinct())
         gone = self._match(self._live("doc", batch), keys, "left_semi")
         fewer = self._match(self._live("tf", batch), keys, "left_semi").groupBy(*self.group_cols, "term").agg(
             (-F.count(F.lit(1))).alias("n"))
@@ -77,7 +79,8 @@ class TermIndex:
     def _live(self, kind: str, before: int | None = None) -> DataFrame:
         """Rows of documents that no later batch removed."""
         gone = self._rows("gone", before).groupBy(*self.group_cols, *self.key_cols).agg(F.max("batch").alias("gone_at"))
-        return self._match(self._rows(kind, before), gone, "left_anti", F.col("a.batch") < F.col("b.gone_at"))
+        # The rows of terms are many; they stay where they are unless very many documents were removed.
+        return self._match(self._rows(kind, before), broadcast_if_bounded(gone), "left_anti", F.col("a.batch") < F.col("b.gone_at"))
 
     def _match(self, rows: DataFrame, keys: DataFrame, how: str, also=None) -> DataFrame:
         on = F.lit(True) if also is None else also
@@ -85,15 +88,25 @@ class TermIndex:
             on = on & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
         return rows.alias("a").join(keys.alias("b"), on, how)
 
-    def _counts(self, chunks: DataFrame, text_col: str) -> list[tuple[str, DataFrame]]:
+    def _counts(self, chunks: DataFrame, text_col: str, known: DataFrame | None = None) -> list[tuple[str, DataFrame]]:
+        """Counts of the chunks whose key is not ``known``.
+
+        Texts move once, to the task of their key, in parts of bounded size; there known ones are
+        left out and terms counted, so that no term rows, which are many times as long, move.
+        """
         g, kk = self.group_cols, self.key_cols
-        docs = chunks.select(*g, *kk, F.col(text_col).alias("_text"))
-        tf = docs.select(*g, *kk, F.explode(tokenize("_text")).alias("term")).groupBy(*g, *kk, "term").agg(F.count(F.lit(1)).alias("n"))
-        # counting through the positive n keeps the aggregate the same in both branches: one shuffle
-        df = tf.groupBy(*g, "term").agg(F.count(F.when(F.col("n") > 0, F.lit(1))).alias("n"))
-        doc = docs.groupBy(*g, *kk).agg(F.count(F.lit(1)).alias("n")).withColumn(
+        key = F.struct(*g, *kk).alias("_key")  # as one value its nulls are equal
+        docs = chunks.select(key, F.col(text_col).alias("_text"))
+        size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
+        docs = docs.repartition(size // TEXT_BYTES + 1, "_key")
+        if known is not None:
+            docs = docs.join(known.select(key).hint("shuffle_hash"), "_key", "left_anti")
+        columns = [F.col("_key")[c].alias(c) for c in (*g, *kk)]
+        tf = docs.select("_key", F.explode(tokenize("_text")).alias("term")).groupBy("_key", "term").agg(F.count(F.lit(1)).alias("n"))
+        df = docs.select(*columns[: len(g)], F.explode(F.array_distinct(tokenize("_text"))).alias("term")).groupBy(*g, "term").agg(F.count(F.lit(1)).alias("n"))
+        doc = docs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).withColumn(
             "n", F.when(F.col("n") > 1, F.raise_error(F.lit("several chunks share one key")).cast("long")).otherwise(F.col("n")))
-        return [("tf", tf), ("doc", doc), ("df", df)]
+        return [("tf", tf.select(*columns, "term", "n")), ("doc", doc.select(*columns, "n")), ("df", df)]
 
     def _write(self, parts: list[tuple[str, DataFrame]], batch: int) -> None:
         """All rows of a batch in one write, over what an earlier try of it left."""

@@ -77,3 +77,21 @@ def test_a_stream_keeps_the_index(spark, tmp_path):
         stream.writeStream.foreachBatch(lambda df, n: index.add(df, n)).option(
             "checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
     same(index.model(), frame(every))
+
+
+def test_a_batch_moves_texts_not_term_rows(spark, tmp_path):
+    frame = lambda x: spark.createDataFrame(x, CHUNKS)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    every = [(None, 1, "one two two"), (None, None, "two three"), ("s", None, "one"), ("s", 2, None)]
+    index = TermIndex.create(frame(every[:2]), str(tmp_path / "a"))
+    counts = dict(index._counts(frame(every), "content", index._live("doc", 1)))
+    exchanges = [x for x in plan(counts["tf"]).split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("term#" in x for x in exchanges)
+    assert sorted((r.source, r.page or 0, r.term, r.n) for r in counts["tf"].collect()) == [("s", 0, "one", 1)]  # null keys are known
+    index.remove(frame(every[:1]).select("source", "page"), 1)
+    assert "Exchange hashpartitioning" not in plan(index._live("tf")).split("BroadcastExchange")[0]
+    assert [(r.page, r.term) for r in index._live("tf").orderBy("term").collect()] == [(None, "three"), (None, "two")]
+    index.add(frame(every), 2)
+    kept = index.model().checkpoint()
+    assert kept.weights.inputFiles() and weights(kept) == weights(index.model())
+    assert kept.docs.count() == 4
