@@ -12,7 +12,9 @@ template at ``CLOSE`` or more, for a whole text at ``CLOSE_TEXT``.
 
 A document without a licence of its own inherits that of the nearest ancestor directory that
 holds a licence file (``LICENSE``, ``COPYING``, ``NOTICE`` ...): every document's ancestor
-directories join the licensed directories, and the longest one wins.  The documents are read
+directories join the licensed directories, and the longest one wins.  Where paths have no names
+of files, a licence file is a document whose whole text, not just its header, is that of a
+licence; a licence line or a header speaks for its own document only.  The documents are read
 twice: once for the terms of their units, which are counted per task before they move, and once
 for the keys and paths of the result.  No text is shuffled.
 
@@ -144,7 +146,10 @@ def term_counts(docs: DataFrame, text: str, key: str, path: Column) -> DataFrame
 
 
 def best_match(found: DataFrame) -> DataFrame:
-    """(row, license, cosine, line_no): the closest template of each document with a unit, from :func:`term_counts`."""
+    """(row, license, cosine, line_no, whole): the closest template of each document with a unit, from :func:`term_counts`.
+
+    ``whole``: the text as a whole is that of a licence, and not because of its header.
+    """
     spark = found.sparkSession
     weight = F.when(F.col("form") == "text", F.log(F.col("tf")) + 1).otherwise(F.col("tf"))
     template = spark.createDataFrame(templates(), "form string, number int, license string, body string").select(
@@ -166,10 +171,12 @@ def best_match(found: DataFrame) -> DataFrame:
     bag = bag.join(weights, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(1.0)))
     length = bag.groupBy(*own).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("len"))
     dot = bag.join(wt, ["form", "term"]).groupBy(*own, "number", "license").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    least = F.when((F.col("form") == "text") & (F.col("part") == 0), CLOSE_TEXT).otherwise(CLOSE)
+    part = lambda no: (F.col("form") == "text") & (F.col("part") == no)
+    least = F.when(part(0), CLOSE_TEXT).otherwise(CLOSE)
     close = dot.join(length, list(own)).withColumn("cosine", F.round(F.col("dot") / F.col("len"), 6)).where(F.col("cosine") >= least)
-    best = close.groupBy("row").agg(F.min(F.struct(-F.col("cosine"), "license", "unit")).alias("b"))
-    return best.select("row", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"), F.col("b.unit").cast("bigint").alias("line_no"))
+    best = close.groupBy("row").agg(
+        F.min(F.struct(-F.col("cosine"), "license", "unit")).alias("b"), (F.bool_or(part(0)) & ~F.bool_or(part(1))).alias("whole"))
+    return best.select("row", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"), F.col("b.unit").cast("bigint").alias("line_no"), "whole")
 
 
 def ancestors(path: Column) -> Column:
@@ -178,14 +185,18 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def scan(docs: DataFrame, path: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, license, cosine, line_no, inherited_from (the directory, null for an own licence)."""
+def scan(docs: DataFrame, path: Column, text: str = "text", key: str = "doc_id", named: bool = True) -> DataFrame:
+    """doc_id, license, cosine, line_no, inherited_from (the directory, null for an own licence).
+
+    ``named``: paths end in names of files, which tell the licence files; otherwise the texts tell them.
+    """
     checkpoint_dir(docs.sparkSession)
     best = best_match(term_counts(docs, text, key, path))
     rows = docs.select(F.col(key).alias("doc_id"), path.alias("path"), F.xxhash64(F.col(key), F.col(text), path).alias("row"))
     own = rows.join(best, "row", "left").checkpoint()  # no texts; read three times below
     folder = F.regexp_replace("path", "/?[^/]*$", "")
-    files = own.where(F.col("license").isNotNull() & F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_FILE))
+    license_file = F.regexp_extract("path", "[^/]*$", 0).rlike(LICENSE_FILE) if named else F.col("whole") & F.col("path").isNotNull()
+    files = own.where(F.col("license").isNotNull() & license_file)
     dirs = files.groupBy(folder.alias("dir")).agg(F.min(F.struct(-F.col("cosine"), "path", "license")).alias("b")).select("dir", F.col("b.license").alias("dir_license"))
     above = own.where("license is null and path is not null").select("path").distinct().select("path", F.explode(ancestors(F.col("path"))).alias("dir"))
     nearest = above.join(dirs, "dir").groupBy("path").agg(F.max(F.struct(F.length("dir"), "dir", "dir_license")).alias("b")).select(

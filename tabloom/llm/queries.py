@@ -58,8 +58,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    return license_scan.scan(table(spark, sf_dir, "documents"), path)
+    """A source and language is a directory; without a source a document has none, so that it shares no licence."""
+    name = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(".txt"))
+    path = F.when(F.col("source") != "", F.concat_ws("/", "source", "lang", name))
+    return license_scan.scan(table(spark, sf_dir, "documents"), path, named=False)
 
 
 def op7_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,6 +379,26 @@ def test_license_lines_and_inheritance(spark):
     assert license_scan.scan(empty(spark), F.col("source")).count() == 0
 
 
+def test_license_texts_among_documents_license_their_directory(spark, tmp_path):
+    full = {name: body for form, _, name, body in license_scan.templates() if form == "text"}
+    mit = dict(license_scan.NOTICES)["MIT"]
+    header = "/*\n" + "".join(f" * {x}\n" for x in mit.split("\n")) + " */\nint x;\n"
+    rows = [  # doc_id, text, lang, source, licence, inherited_from
+        (0, full["Apache-2.0"], "en", "a", "Apache-2.0", None), (1, "plain words", "en", "a", "Apache-2.0", "a/en"),
+        (2, "words\nReleased under the MIT License.", "en", "a", "MIT", None), (3, "plain words", "de", "a", None, None),
+        (4, None, "en", "a", "Apache-2.0", "a/en"), (1, "plain words", "en", "a", "Apache-2.0", "a/en"),
+        (5, "words\nReleased under the MIT License.", "en", "b", "MIT", None), (6, header, "en", "b", "MIT", None), (7, "plain words", "en", "b", None, None),
+        (8, full["GPL-3.0"], None, None, "GPL-3.0", None), (9, "plain words", None, None, None, None), (10, full["GPL-3.0"], None, "", "GPL-3.0", None),
+        (11, "plain words", None, "", None, None), (None, "# MIT License\n\n" + mit, "en", "c/d", "MIT", None), (12, "plain words", "en", "c/d", "MIT", "c/d/en"),
+        (13, "plain words", "en", "c", None, None), (14, "plain words", "de", "c/d", None, None),
+        (15, full["MPL-2.0"], None, "e", "MPL-2.0", None), (16, "plain words", "fr", "e", "MPL-2.0", "e"), (17, full["CC0-1.0"], "en", "e", "CC0-1.0", None),
+        (18, "plain words", "en", "e", "CC0-1.0", "e/en")]
+    spark.createDataFrame([(*r[:4], 0) for r in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op6_license_scan(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.license, r.inherited_from) for r in got) == Counter((r[0], r[4], r[5]) for r in rows)
+    assert all((r.cosine is None) == (r.license is None or r.inherited_from is not None) for r in got)
+
+
 def test_license_texts_headers_and_spdx(spark):
     full = {name: body for form, _, name, body in license_scan.templates() if form == "text" and name not in ("AGPL-3.0",)}
     notice = dict(license_scan.NOTICES)
