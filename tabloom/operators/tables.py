@@ -338,12 +338,27 @@ def render_html(cells: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
                                   F.lit("</table>")).alias("html"))
 
 
-def apply_edits(cells: DataFrame, edits: DataFrame, key_cols=TABLE_KEY) -> DataFrame:
-    """Edited cells replace stored ones; ``edits(<key>, row_idx, col_idx, new_cell)``."""
+def apply_edits(cells: DataFrame, edits: DataFrame, key_cols=TABLE_KEY, aligned: bool = False) -> DataFrame:
+    """Edited cells replace stored ones; ``edits(<key>, row_idx, col_idx, new_cell)``.
+
+    ``aligned`` says that the edits are partitioned as the cells are, by table
+    or by part of its key: both then stay where they are and meet in a window
+    per cell position, whose sort may spill.  Otherwise they are joined, which
+    broadcasts few edits and moves the cells for many.
+    """
     kk = _key(key_cols)
-    e = edits.select(*kk, "row_idx", "col_idx", F.col("new_cell").alias("_new"))
-    return (cells.join(e, [*kk, "row_idx", "col_idx"], "left")
-            .withColumn("cell", F.coalesce("_new", "cell")).drop("_new"))
+    at = [*kk, "row_idx", "col_idx"]
+    e = edits.select(*at, F.col("new_cell").alias("_new"))
+    if not aligned:
+        return cells.join(e, at, "left").withColumn("cell", F.coalesce("_new", "cell")).drop("_new")
+    # Under new names, as a union of columns that are still known by their stored table loses its partitioning.
+    pos, rest = [F.col(c).alias(f"_{c}") for c in at], [c for c in cells.columns if c not in at]
+    # As in a join, an edit whose position holds a null matches no cell, and a cell stands once for each of its edits.
+    both = cells.select(*pos, *rest).unionByName(
+        e.where(_whole_key(at)).select(*pos, F.struct("_new").alias("_e")), allowMissingColumns=True)
+    both = both.withColumn("_es", F.collect_list("_e").over(Window.partitionBy(*[f"_{c}" for c in at])))
+    made = both.where(F.col("_e").isNull()).select(*[F.col(f"_{c}").alias(c) for c in at], *rest, F.explode_outer("_es").alias("_e"))
+    return made.withColumn("cell", F.coalesce("_e._new", "cell")).drop("_e")
 
 
 def merge_header_rows(cells: DataFrame, key_cols=TABLE_KEY, label_col: int = 0) -> DataFrame:

@@ -204,7 +204,8 @@ def q_apply_edits(spark, sf_dir):
     c = driver.cells(spark, sf_dir)
     edits = c.where((F.col("col_idx") == 1) & (F.col("cell") == "R")).select(
         *KEY, "row_idx", "col_idx", F.lit(EDIT_TEXT).alias("new_cell"))
-    return T.apply_edits(c, edits).select(*KEY, "row_idx", "col_idx", "header", "cell")
+    # The edits come from the stored cells, so they lie in the same buckets.
+    return T.apply_edits(c, edits, aligned=True).select(*KEY, "row_idx", "col_idx", "header", "cell")
 
 
 _STRIP = r"""trim(replace(replace(replace(replace(replace(replace(

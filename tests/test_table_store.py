@@ -48,6 +48,35 @@ def test_stored_cells_are_not_moved(spark, sf, name):
     assert shuffles(getattr(P, f"q_{name}")(spark, sf)) == 0
 
 
+def test_edits_meet_their_cells_unmoved(spark, sf):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"  # as with edits that are too large to broadcast
+    was = spark.conf.get(threshold)
+    spark.conf.set(threshold, "-1")
+    try:
+        edited = P.q_apply_edits(spark, sf)
+        assert shuffles(edited) == 0
+        got = sorted(map(repr, edited.collect()))
+    finally:
+        spark.conf.set(threshold, was)
+    cell = F.when((F.col("col_idx") == 1) & (F.col("cell") == "R") & F.col("source").isNotNull(), P.EDIT_TEXT).otherwise(F.col("cell"))
+    want = driver.derive_cells(spark, sf).withColumn("cell", cell)
+    assert got == sorted(map(repr, want.collect())) and any(f"cell='{P.EDIT_TEXT}'" in r for r in got)
+
+
+@pytest.mark.parametrize("aligned", [False, True])
+def test_edits_of_repeated_and_null_positions(spark, aligned):
+    cells = spark.createDataFrame([("a", 1, 0, 0, 0, "h", "x"), ("a", 1, 0, 0, 1, None, "y"), ("a", 1, 0, 0, 1, None, "z"), ("a", 1, 0, 1, 0, "h", None),
+                                   ("b", 1, 0, 0, 0, "h", "x"), (None, 1, 0, 0, 0, "h", "n"), ("b", 2, 0, 0, None, "h", "c")], CELL)
+    edits = spark.createDataFrame([("a", 1, 0, 0, 0, "X"), ("a", 1, 0, 0, 1, "Y1"), ("a", 1, 0, 0, 1, "Y2"), ("a", 1, 0, 1, 0, "new"), ("b", 1, 0, 0, 0, None),
+                                   (None, 1, 0, 0, 0, "N"), ("b", 2, 0, 0, None, "C"), ("c", 1, 0, 0, 0, "no such cell")],
+                                  "source string, page long, table_no int, row_idx int, col_idx int, new_cell string")
+    # A cell stands once for each of its edits, an edit to null leaves it, and positions that hold a null match nothing.
+    want = spark.createDataFrame([("a", 1, 0, 0, 0, "h", "X"), ("a", 1, 0, 1, 0, "h", "new"), ("b", 1, 0, 0, 0, "h", "x"), (None, 1, 0, 0, 0, "h", "n"),
+                                ("b", 2, 0, 0, None, "h", "c"), *[("a", 1, 0, 0, 1, None, y) for y in ("Y1", "Y1", "Y2", "Y2")]], CELL)
+    got = T.apply_edits(cells, edits, aligned=aligned)
+    assert got.columns == cells.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
 def test_facts_and_answers_move_one_row_a_task(spark, sf):
     assert shuffles(T.to_facts(driver.cells(spark, sf))) == 0
     assert shuffles(P.q_facts_to_answers(spark, sf)) <= 2  # the totals and the rules, not the cells
